@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A parser that stops after the first value would accept trailing text, so the message is
@@ -13,11 +13,16 @@ _END = "~end"
 NUMBER = r"(?:[+-]?(?:(?i:inf|infinity|nan)|(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?))"
 
 
-def parse_document(col: Column) -> Column:
-    """The message as a VARIANT ``{"doc": ...}``, or null when it is not one JSON value."""
-    wrapped = F.try_parse_json(F.concat(F.lit('{"doc":'), col, F.lit(f',"{_END}":1}}')))
-    whole = F.try_variant_get(wrapped, f'$["{_END}"]', "int") == 1
-    return F.when(whole, wrapped)
+def with_document(df: DataFrame, message: Column, name: str = "_doc") -> DataFrame:
+    """Add the message as a VARIANT ``{"doc": ...}``, null when it is not one JSON value.
+
+    Parsing sits behind a generator: a filter on the result is then not copied below it, where
+    every use of the document would parse the text again.
+    """
+    wrapped = F.try_parse_json(F.concat(F.lit('{"doc":'), message, F.lit(f',"{_END}":1}}')))
+    parsed = df.select("*", F.inline(F.array(F.struct(wrapped.alias(name)))))
+    whole = F.try_variant_get(F.col(name), f'$["{_END}"]', "int") == 1
+    return parsed.withColumn(name, F.when(whole, F.col(name)))
 
 
 def variant_path(path: str) -> str:
@@ -58,3 +63,42 @@ class Scalar:
         guarded = F.when(self.text.rlike(rf"^{NUMBER}\z"), self.text.try_cast("double"))
         parsed = F.when(self.is_scalar & (self.kind != "BOOLEAN"), guarded)
         return F.when(~F.isnan(parsed), parsed)
+
+
+def json_depth(col: Column) -> Column:
+    """Deepest nesting of braces and brackets outside strings."""
+    bare = F.regexp_replace(F.regexp_replace(col, r"(?s)\\.", ""), r'"[^"]*"?', "")
+    brackets = F.regexp_replace(bare, r"[^\[\]{}]", "")
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("deepest"))
+
+    def step(acc, char):
+        depth = F.when(char.isin("{", "["), acc["depth"] + 1).otherwise(F.greatest(acc["depth"] - 1, F.lit(0)))
+        return F.struct(depth.alias("depth"), F.greatest(acc["deepest"], depth).alias("deepest"))
+
+    walked = F.aggregate(F.split(brackets, ""), start, step, lambda acc: acc["deepest"])
+    return F.when(F.length(brackets) == 0, F.lit(0)).otherwise(walked)
+
+
+def too_deep(col: Column, limit: int) -> Column:
+    """Deeper than ``limit``; texts with no more openers than that are settled by counting them."""
+    openers = F.length(F.regexp_replace(col, r"[^\[{]", ""))
+    return F.when(openers <= limit, F.lit(False)).otherwise(json_depth(col) > limit)
+
+
+def sorted_object(sources: list[Column]) -> Column:
+    """JSON text of several ``map<string,variant>`` merged with sorted keys; later maps win."""
+    empty = F.array().cast("array<string>")
+    names = F.concat(*[F.coalesce(F.map_keys(source), empty) for source in sources])
+    keys = F.array_sort(F.array_distinct(names))
+    values = F.transform(keys, lambda key: F.coalesce(*[F.try_element_at(s, key) for s in reversed(sources)]))
+    return F.to_json(F.map_from_arrays(keys, values))
+
+
+def object_at(document: Column, path: str) -> Column:
+    """The object at a path as ``map<string,variant>``, or null when it is missing or something else."""
+    return F.try_variant_get(document, variant_path(path), "map<string,variant>")
+
+
+def single_entry(key: str, value: Column) -> Column:
+    """``{key: value}`` as ``map<string,variant>``, or null where the value is missing."""
+    return F.when(value.isNotNull(), F.create_map(F.lit(key), value.cast("variant")))

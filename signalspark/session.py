@@ -17,6 +17,7 @@ def build_session(app: str = "signalspark", master: str | None = None, conf: dic
         builder = builder.master(master)
     settings = {
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
