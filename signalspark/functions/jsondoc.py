@@ -13,18 +13,33 @@ _END = "~end"
 NUMBER = r"(?:[+-]?(?:(?i:inf|infinity|nan)|(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?))"
 
 
-def with_document(df: DataFrame, message: Column, name: str = "_doc") -> DataFrame:
-    """Add the message as a VARIANT ``{"doc": ...}``, null when it is not one JSON value.
+def computed_once(df: DataFrame, *columns: Column) -> DataFrame:
+    """Add columns behind a generator.
 
-    Parsing sits behind a generator: a filter on the result is then not copied below it, where
-    every use of the document would parse the text again.
+    A later filter on them is then not copied below it, where every use would compute them again.
     """
+    return df.select("*", F.inline(F.array(F.struct(*columns))))
+
+
+def with_document(df: DataFrame, message: Column, name: str = "_doc") -> DataFrame:
+    """Add the message as a VARIANT ``{"doc": ...}``, null when it is not one JSON value."""
     wrapped = F.try_parse_json(F.concat(F.lit('{"doc":'), message, F.lit(f',"{_END}":1}}')))
-    parsed = df.select("*", F.inline(F.array(F.struct(wrapped.alias(name)))))
+    parsed = computed_once(df, wrapped.alias(name))
     whole = F.try_variant_get(F.col(name), f'$["{_END}"]', "int") == 1
     return parsed.withColumn(name, F.when(whole, F.col(name)))
 
 
+def with_fields(df: DataFrame, message: Column, names: list[str]) -> DataFrame:
+    """Add ``_doc``, a struct with the named top-level fields as VARIANT, in one parse.
+
+    ``_complete`` is null when the message is not one JSON value; ``_doc`` when it is not an object.
+    """
+    fields = ", ".join(f"`{name}`: variant" for name in names)
+    wrapped = F.concat(F.lit('{"doc":'), message, F.lit(f',"{_END}":1}}'))
+    parsed = F.from_json(wrapped, f"struct<doc: struct<{fields}>, `{_END}`: int>")
+    return df.select("*", F.inline(F.array(parsed)).alias("_doc", "_complete"))
+
+
 def variant_path(path: str) -> str:
     parts = path.split(".")
     if any('"' in part for part in parts):
@@ -80,18 +95,22 @@ def json_depth(col: Column) -> Column:
 
 
 def too_deep(col: Column, limit: int) -> Column:
-    """Deeper than ``limit``; texts with no more openers than that are settled by counting them."""
-    openers = F.length(F.regexp_replace(col, r"[^\[{]", ""))
-    return F.when(openers <= limit, F.lit(False)).otherwise(json_depth(col) > limit)
+    """Deeper than ``limit``; texts with no more openers than that need no closer look."""
+    many = col.rlike(rf"^(?:[^\[{{]*+[\[{{]){{{limit + 1}}}")
+    return F.when(~many, F.lit(False)).otherwise(json_depth(col) > limit)
 
 
-def sorted_object(sources: list[Column]) -> Column:
-    """JSON text of several ``map<string,variant>`` merged with sorted keys; later maps win."""
+def with_object(df: DataFrame, name: str, sources: dict[str, Column]) -> DataFrame:
+    """Add the JSON text of several ``map<string,variant>`` merged with sorted keys; later maps win.
+
+    The maps become columns first: inside the lambda they would be built anew for every key.
+    """
+    columns = [f"_source_{key}" for key in sources]
+    made = computed_once(df, *[source.alias(column) for source, column in zip(sources.values(), columns)])
     empty = F.array().cast("array<string>")
-    names = F.concat(*[F.coalesce(F.map_keys(source), empty) for source in sources])
-    keys = F.array_sort(F.array_distinct(names))
-    values = F.transform(keys, lambda key: F.coalesce(*[F.try_element_at(s, key) for s in reversed(sources)]))
-    return F.to_json(F.map_from_arrays(keys, values))
+    keys = F.array_sort(F.array_distinct(F.concat(*[F.coalesce(F.map_keys(c), empty) for c in columns])))
+    values = F.transform(keys, lambda key: F.coalesce(*[F.try_element_at(c, key) for c in reversed(columns)]))
+    return made.withColumn(name, F.to_json(F.map_from_arrays(keys, values))).drop(*columns)
 
 
 def object_at(document: Column, path: str) -> Column:

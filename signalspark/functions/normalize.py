@@ -45,8 +45,7 @@ IP_ADDRESS = rf"^(?:{_IPV4}|{_ipv6_pattern()})\z"
 def norm_uuid(col: Column) -> Column:
     """Lower-case hyphenated form of 32 hex digits, however hyphenated; null when it is not one."""
     digits = F.lower(F.replace(col, F.lit("-"), F.lit("")))
-    parts = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
-    dashed = F.concat_ws("-", *[F.substring(digits, at, size) for at, size in parts])
+    dashed = F.regexp_replace(digits, r"^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-")
     return F.when(digits.rlike(r"^[0-9a-f]{32}\z"), dashed)
 
 

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from signalspark.functions import normalize as n
 from signalspark.functions.jsondoc import (
     Scalar,
+    computed_once,
     object_at,
     single_entry,
-    sorted_object,
     too_deep,
     value_at,
     with_document,
+    with_fields,
+    with_object,
 )
 from signalspark.schema import NIL_UUID
 
@@ -25,87 +27,92 @@ def read_lines(spark: SparkSession, path: str, streaming: bool = False) -> DataF
     return (spark.readStream if streaming else spark.read).text(path)
 
 
-def _checked(lines: DataFrame, required: list[str], optional: list[str]) -> DataFrame:
-    """Non-blank lines with their document and the reason for rejecting them, if any."""
+def _checked(lines: DataFrame, required: list[str], optional: list[str], plain: list[str], objects: list[str],
+             device: bool) -> DataFrame:
+    """Non-blank lines with their fields as ``_doc`` and the reason for rejecting them, if any, as ``_error``.
+
+    Each line is parsed once, into a struct of VARIANT fields, which keep their JSON types.
+    ``plain`` fields may be left out but not be null.
+    """
     filled = lines.where(~F.col("value").rlike(r"^[ \t\n\x0B\f\r]*\z"))
     deep = too_deep(F.col("value"), MAX_JSON_DEPTH)
+    names = [*required, *optional, *plain, "timestamp", *objects]
     # A line that nests too deeply is not handed to the parser at all.
-    parsed = with_document(filled, F.when(~deep, F.col("value")))
-    document = F.col("_doc")
-    whole = Scalar(value_at(document, None))
-    stamp = Scalar(value_at(document, "timestamp"))
+    parsed = with_fields(filled, F.when(~deep, F.col("value")), names)
     tests = [
-        (deep, F.lit(f"JSON nesting exceeds maximum depth of {MAX_JSON_DEPTH}")),
-        (document.isNull(), F.lit("invalid JSON")),
-        (~whole.is_object, F.lit("expected an object")),
+        (deep, f"JSON nesting exceeds maximum depth of {MAX_JSON_DEPTH}"),
+        (F.col("_complete").isNull(), "invalid JSON"),
+        (F.col("_doc").isNull(), "expected an object"),
     ]
+
+    def kind(name: str) -> Column:
+        return F.schema_of_variant(f"_doc.{name}")
+
     for name in required:
-        field = Scalar(value_at(document, name))
-        tests.append((~field.present, F.lit(f"missing field `{name}`")))
-        tests.append((~field.is_string, F.lit(f"invalid type for `{name}`, expected a string")))
+        tests.append((F.col(f"_doc.{name}").isNull(), f"missing field `{name}`"))
+        tests.append((kind(name) != "STRING", f"invalid type for `{name}`, expected a string"))
     for name in optional:
-        field = Scalar(value_at(document, name))
-        tests.append((field.present & ~field.is_null & ~field.is_string, F.lit(f"invalid type for `{name}`")))
-    natural = F.coalesce(
-        (stamp.kind == "BIGINT") & (F.try_variant_get(document, '$["doc"]["timestamp"]', "bigint") >= 0),
-        F.lit(False),
-    )
-    tests.append((stamp.present & ~stamp.is_null & ~natural, F.lit("invalid type for `timestamp`")))
+        tests.append((~kind(name).isin("STRING", "VOID"), f"invalid type for `{name}`"))
+    for name in plain:
+        tests.append((kind(name) != "STRING", f"invalid type for `{name}`"))
+    natural = (kind("timestamp") == "VOID") | ((kind("timestamp") == "BIGINT") & (_stamp() >= 0))
+    tests.append((~natural, "invalid type for `timestamp`"))
+    if device:
+        tests.append((n.norm_uuid(_text("device_id")).isNull(), "`device_id` must be a valid UUID"))
     error = F.lit(None).cast("string")
     for test, reason in reversed(tests):
-        error = F.when(test, reason).otherwise(error)
-    return parsed.withColumn("_error", error)
+        error = F.when(test, F.lit(reason)).otherwise(error)
+    return computed_once(parsed, error.alias("_error"))
 
 
 def _text(name: str) -> Column:
-    return F.try_variant_get(F.col("_doc"), f'$["doc"]["{name}"]', "string")
+    return F.try_variant_get(f"_doc.{name}", "$", "string")
 
 
-def _stamp(now_ms: int | None) -> Column:
-    return n.ts_from_ms(F.try_variant_get(F.col("_doc"), '$["doc"]["timestamp"]', "bigint"), now_ms)
+def _stamp() -> Column:
+    return F.try_variant_get("_doc.timestamp", "$", "bigint")
 
 
-def build_payload(document: Column) -> Column:
-    """Ids, then properties, then traits (later ones win), with the context nested; keys sorted."""
-    return sorted_object(
-        [
-            single_entry("user_id", F.try_variant_get(document, '$["doc"]["user_id"]', "string")),
-            single_entry("group_id", F.try_variant_get(document, '$["doc"]["group_id"]', "string")),
-            object_at(document, "properties"),
-            object_at(document, "traits"),
-            _nested_context(document),
-        ]
-    )
+def _object(name: str) -> Column:
+    return F.try_variant_get(f"_doc.{name}", "$", "map<string,variant>")
 
 
-def _nested_context(document: Column) -> Column:
-    value = value_at(document, "context")
-    given = F.coalesce(F.schema_of_variant(value) != "VOID", F.lit(False))
-    return F.when(given, F.create_map(F.lit("_context"), value))
+def build_payload(df: DataFrame) -> DataFrame:
+    """Add ``payload``: ids, then properties, then traits (later ones win), the context nested; keys sorted."""
+    context = F.col("_doc.context")
+    given = F.coalesce(F.schema_of_variant(context) != "VOID", F.lit(False))
+    return with_object(
+        df,
+        "payload",
+        {
+            "user": single_entry("user_id", _text("user_id")),
+            "group": single_entry("group_id", _text("group_id")),
+            "properties": _object("properties"),
+            "traits": _object("traits"),
+            "context": F.when(given, F.create_map(F.lit("_context"), context)),
+        },
+    )
 
 
-def build_log_payload(document: Column) -> Column:
-    """The message, then the fields of ``data``, which may replace it; keys sorted."""
-    message = F.try_variant_get(document, '$["doc"]["message"]', "string")
-    return sorted_object([single_entry("message", message), object_at(document, "data")])
+def build_log_payload(df: DataFrame) -> DataFrame:
+    """Add ``payload``: the message, then the fields of ``data``, which may replace it; keys sorted."""
+    sources = {"message": single_entry("message", _text("message")), "data": _object("data")}
+    return with_object(df, "payload", sources)
 
 
 def parse_event_lines(lines: DataFrame, now_ms: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Events and rejected lines. ``traits`` stays beside the payload so that it reaches the trait table."""
-    checked = _checked(lines, ["type", "device_id"], ["event", "session_id", "user_id", "group_id"])
-    device = n.norm_uuid(_text("device_id"))
-    checked = checked.withColumn(
-        "_error", F.coalesce("_error", F.when(device.isNull(), F.lit("`device_id` must be a valid UUID")))
-    )
+    checked = _checked(lines, ["type", "device_id"], ["event", "session_id", "user_id", "group_id"], [],
+                       ["properties", "traits", "context"], device=True)
     carried = [c for c in lines.columns if c != "value"]
-    good = checked.where(F.col("_error").isNull()).select(
+    good = build_payload(checked.where(F.col("_error").isNull())).select(
         n.norm_event_type(_text("type")).alias("event_type"),
-        _stamp(now_ms).alias("timestamp"),
-        device.alias("device_id"),
+        n.ts_from_ms(_stamp(), now_ms).alias("timestamp"),
+        n.norm_uuid(_text("device_id")).alias("device_id"),
         n.norm_uuid(_text("session_id")).alias("session_id"),
         _text("event").alias("event_name"),
-        build_payload(F.col("_doc")).alias("payload"),
-        F.to_json(object_at(F.col("_doc"), "traits")).alias("traits"),
+        "payload",
+        F.to_json(_object("traits")).alias("traits"),
         *carried,
     )
     return good, _rejected(checked, carried)
@@ -113,21 +120,17 @@ def parse_event_lines(lines: DataFrame, now_ms: int | None = None) -> tuple[Data
 
 def parse_log_lines(lines: DataFrame, now_ms: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Log entries and rejected lines; level info and type log are the defaults."""
-    checked = _checked(lines, ["message"], ["source", "service", "session_id"])
-    for name in ("level", "type"):  # optional, but not nullable
-        field = Scalar(value_at(F.col("_doc"), name))
-        wrong = F.when(field.present & ~field.is_string, F.lit(f"invalid type for `{name}`"))
-        checked = checked.withColumn("_error", F.coalesce("_error", wrong))
+    checked = _checked(lines, ["message"], ["source", "service", "session_id"], ["level", "type"], ["data"], device=False)
     carried = [c for c in lines.columns if c != "value"]
     kind = F.lower(F.coalesce(_text("type"), F.lit("log")))
-    good = checked.where(F.col("_error").isNull()).select(
+    good = build_log_payload(checked.where(F.col("_error").isNull())).select(
         F.when(kind.isin("log", "enrich"), kind).otherwise(F.lit("unknown")).alias("event_type"),
         n.norm_log_level(F.coalesce(_text("level"), F.lit("info"))).alias("level"),
-        _stamp(now_ms).alias("timestamp"),
+        n.ts_from_ms(_stamp(), now_ms).alias("timestamp"),
         _text("source").alias("source"),
         _text("service").alias("service"),
         n.norm_uuid(_text("session_id")).alias("session_id"),
-        build_log_payload(F.col("_doc")).alias("payload"),
+        "payload",
         *carried,
     )
     return good, _rejected(checked, carried)
