@@ -129,7 +129,8 @@ def _base62(digest: Column) -> Column:
     big = "decimal(38,0)"
     reversed_hex = F.concat(*[F.substring(digest, 2 * i + 1, 2) for i in reversed(range(HASHED_BYTES))])
     words = [F.conv(F.substring(reversed_hex, 8 * i + 1, 8), 16, 10).cast(big) for i in range(3)]
-    number = (words[0] * F.lit(2**64).cast(big) + words[1] * F.lit(2**32).cast(big) + words[2]).cast(big)
+    high, middle = (F.lit(str(2**power)).cast(big) for power in (64, 32))
+    number = (words[0] * high + words[1] * middle + words[2]).cast(big)
     # 17 digits hold 96 bits; three steps of six digits keep each piece within a bigint.
     step = 62**6
 
@@ -170,13 +171,16 @@ def redact_text(col: Column, config: RedactConfig) -> Column:
     result = col
     for regex, prefix in config.scanned():
         found = F.regexp_extract_all(col, F.lit(java_regex(regex)), F.lit(0))
+        result = F.aggregate(found, result, _replacing(config, prefix))
+    return result
 
-        def replace(text: Column, match: Column, prefix: str = prefix) -> Column:
-            new = F.lit(MASK) if config.strategy == "redact" else pseudonym(match, config.hash_key, prefix)
-            return F.replace(text, match, new)
 
-        result = F.aggregate(found, result, replace)
-    return result
+def _replacing(config: RedactConfig, prefix: str):
+    def replace(text: Column, match: Column) -> Column:
+        new = F.lit(MASK) if config.strategy == "redact" else pseudonym(match, config.hash_key, prefix)
+        return F.replace(text, match, new)
+
+    return replace
 
 
 def redact_column(df: DataFrame, column: str, pattern: str, config: RedactConfig) -> DataFrame:

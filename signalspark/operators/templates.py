@@ -7,6 +7,7 @@ enter this only through their masked form, so it runs on the distinct masked tem
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -111,30 +112,52 @@ def _bucketed(df: DataFrame) -> DataFrame:
     return df.withColumn("words", F.size("masked")).withColumn("head", head)
 
 
-def _fold(threshold: float):
-    """Group at most ``CHUNK`` templates of one bucket in order of first occurrence."""
+def _group(masked: list, threshold: float) -> list[int]:
+    """For each template of a bucket, in order of first occurrence, the index of its group's founder."""
+    if len(masked) == 1:
+        return [0]
+    words: dict[str, int] = {}
+    rows = np.array([[-1 if w is None else words.setdefault(w, len(words)) for w in line] for line in masked])
+    founders = np.empty_like(rows)
+    founded: list[int] = []
+    leader = []
+    for i, row in enumerate(rows):
+        known = founders[: len(founded)]
+        agreeing = ((known == row) | (known == -1) | (row == -1)).sum(axis=1)
+        fits = np.flatnonzero(agreeing / rows.shape[1] >= threshold)
+        if len(fits):
+            leader.append(founded[fits[0]])
+        else:
+            founders[len(founded)] = row
+            founded.append(i)
+            leader.append(i)
+    return leader
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("place", kind="stable")
-        words: dict[str, int] = {}
-        rows = np.array(
-            [[-1 if w is None else words.setdefault(w, len(words)) for w in masked] for masked in frame["masked"]]
-        )
-        founders = np.empty_like(rows)
-        founded: list[int] = []
-        leader = np.empty(len(rows), np.int64)
-        for i, row in enumerate(rows):
-            known = founders[: len(founded)]
-            agreeing = ((known == row) | (known == -1) | (row == -1)).sum(axis=1)
-            fits = np.flatnonzero(agreeing / rows.shape[1] >= threshold)
-            if len(fits):
-                leader[i] = founded[fits[0]]
-            else:
-                founders[len(founded)] = row
-                founded.append(i)
-                leader[i] = i
-        places = frame["place"].to_numpy()
-        return pd.DataFrame({"place": places, "leader": places[leader]})
+
+def _fold(threshold: float):
+    """Group sorted buckets of at most ``CHUNK`` templates, one bucket in memory at a time."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, places, masked = None, [], []
+        done: list[tuple[int, int]] = []
+
+        def flush() -> None:
+            done.extend(zip(places, [places[i] for i in _group(masked, threshold)]))
+
+        for frame in frames:
+            rows = zip(frame["service"], frame["words"], frame["head"], frame["place"], frame["masked"])
+            for *bucket, place, line in rows:
+                if bucket != key:
+                    if places:
+                        flush()
+                    key, places, masked = bucket, [], []
+                places.append(place)
+                masked.append(line)
+            yield pd.DataFrame(done, columns=["place", "leader"])
+            done = []
+        if places:
+            flush()
+        yield pd.DataFrame(done, columns=["place", "leader"])
 
     return run
 
@@ -181,12 +204,15 @@ def _resolve(templates: DataFrame, threshold: float, chunk: int, salts: int) ->
     resolved, waiting = None, templates
     earliest = Window.partitionBy(*_BUCKET).orderBy("place")
     while True:
-        ranked = waiting.withColumn("rank", F.row_number().over(earliest))
-        taken = ranked.where(F.col("rank") <= chunk).drop("rank")
-        grouped = taken.groupBy(*_BUCKET).applyInPandas(_fold(threshold), "place bigint, leader bigint").checkpoint()
-        resolved = grouped if resolved is None else resolved.unionByName(grouped)
-        sizes = waiting.groupBy(*_BUCKET).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk).checkpoint()
+        sizes = waiting.groupBy(*_BUCKET).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk)
         buckets = sizes.count()
+        taken = waiting
+        if buckets:
+            taken = waiting.withColumn("rank", F.row_number().over(earliest)).where(F.col("rank") <= chunk)
+        sorted_buckets = taken.repartition(*_BUCKET).sortWithinPartitions(*_BUCKET, "place")
+        columns = sorted_buckets.select(*_BUCKET, "place", "masked")
+        grouped = columns.mapInPandas(_fold(threshold), "place bigint, leader bigint").checkpoint()
+        resolved = grouped if resolved is None else resolved.unionByName(grouped)
         if buckets == 0:
             return resolved
         large = waiting.join(F.broadcast(sizes) if buckets <= SMALL else sizes, _null_safe(waiting, sizes), "left_semi")
@@ -249,7 +275,7 @@ def cluster(
         F.max(ts).alias("last_seen"),
     )
     distinct = seen.withColumnsRenamed({"_service": "service", "_masked": "masked"})
-    distinct = _bucketed(_numbered(distinct, ["first", "service", "masked"], "place")).drop("first").checkpoint()
+    distinct = _bucketed(_numbered(distinct, ["first", "service", "masked"], "place")).drop("first")
 
     known = 0
     fresh, adopted = distinct, None
@@ -263,7 +289,7 @@ def cluster(
     ids = pairs.join(leaders, "leader").select("place", "pattern_id")
     if adopted is not None:
         ids = ids.unionByName(adopted)
-    named = distinct.join(ids, "place").checkpoint()
+    named = distinct.join(ids, "place")
 
     lookup = named.select(F.col("service").alias("_service"), F.col("masked").alias("_masked"), "pattern_id")
     same = masked["_service"].eqNullSafe(lookup["_service"]) & (masked["_masked"] == lookup["_masked"])
