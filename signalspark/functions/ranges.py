@@ -21,16 +21,13 @@ class Range:
     start: datetime
     end: datetime
 
-    def __post_init__(self):
-        if self.end < self.start:
-            raise ValueError("range end lies before its start")
-
     def previous_period(self) -> Range:
         length = self.end - self.start
         second = timedelta(seconds=1)
         return Range(self.start - length - second, self.start - second)
 
     def previous_year(self) -> Range:
+        """Both bounds a year earlier; 29 February stays, which may leave an empty period."""
         return Range(_year_earlier(self.start), _year_earlier(self.end))
 
     def duration(self) -> timedelta:
@@ -58,7 +55,7 @@ def _typed_literal(moment: datetime, kind: T.DataType) -> Column:
 def _year_earlier(moment: datetime) -> datetime:
     try:
         return moment.replace(year=moment.year - 1)
-    except ValueError:  # 29 February has no counterpart, and stays where it is
+    except ValueError:
         return moment
 
 
@@ -111,6 +108,8 @@ def _explicit(text: str) -> Range | None:
         first, last = (datetime.strptime(part, "%Y-%m-%d").date() for part in parts)
     except ValueError:
         raise ValueError(f"invalid date in {text!r} (use YYYY-MM-DD)") from None
+    if last < first:
+        raise ValueError(f"range {text!r} ends before it starts")
     return _span(first, last)
 
 
