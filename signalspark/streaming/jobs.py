@@ -7,8 +7,8 @@ from collections.abc import Callable, Iterable, Iterator, Mapping
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from signalspark.operators.reduce import ReduceConfig, epoch_ms, reduce_key
 from signalspark.operators.routing import Rule, for_sink, route
@@ -74,81 +74,58 @@ def without_repeats(stream: DataFrame, key: str, ts: str = "timestamp", late: st
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
-_GROUP = StructType(
-    [
-        StructField("message", StringType()),
-        StructField("first_ts", LongType()),
-        StructField("last_ts", LongType()),
-        StructField("count", LongType()),
-    ]
-)
 REDUCED = "key string, message string, first_ts bigint, last_ts bigint, count bigint"
-
-
-class ReduceProcessor(StatefulProcessor):
-    """Keeps one open group per key.
-
-    Rows close groups by event time and by count, as in the batch operator; a group that stays
-    open is closed by a processing-time timer one window after it last took in rows.
-    """
-
-    def __init__(self, config: ReduceConfig):
-        self.config = config
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.group = handle.getValueState("group", _GROUP)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        current = self.group.get() if self.group.exists() else None
-        closed = []
-        frame = pd.concat(list(rows)).sort_values(["ts", "message"], kind="stable")
-        for ts, message in zip(frame["ts"], frame["message"]):
-            if current is not None and ts - current[1] >= self.config.window_ms:
-                closed.append(current)
-                current = None
-            if current is None:
-                current = (message, int(ts), int(ts), 1)
-            else:
-                current = (current[0], current[1], max(int(ts), current[2]), current[3] + 1)
-            if current[3] >= self.config.max_events:
-                closed.append(current)
-                current = None
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if current is None:
-            self.group.clear()
+_OPEN_GROUP = "message string, first_ts bigint, last_ts bigint, count bigint"
+
+
+def _reduce_key_group(config: ReduceConfig):
+    """Keep one open group per key, chunk by chunk as rows arrive."""
+
+    def run(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        columns = ["key", "message", "first_ts", "last_ts", "count"]
+        if state.hasTimedOut:
+            closed = [(key[0], *state.get)]
+            state.remove()
+            yield pd.DataFrame(closed, columns=columns)
+            return
+        group = tuple(state.get) if state.exists else None
+        for chunk in chunks:
+            closed = []
+            ordered = chunk.sort_values("ts", kind="stable")
+            for ts, message in zip(ordered["ts"], ordered["message"]):
+                if group is not None and ts - group[1] >= config.window_ms:
+                    closed.append((key[0], *group))
+                    group = None
+                if group is None:
+                    group = (message, int(ts), int(ts), 1)
+                else:
+                    group = (group[0], group[1], max(int(ts), group[2]), group[3] + 1)
+                if group[3] >= config.max_events:
+                    closed.append((key[0], *group))
+                    group = None
+            yield pd.DataFrame(closed, columns=columns)
+        if group is None:
+            if state.exists:
+                state.remove()
         else:
-            self.group.update(current)
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.config.window_ms)
-        yield self._rows(key, closed)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        closed = [self.group.get()] if self.group.exists() else []
-        self.group.clear()
-        yield self._rows(key, closed)
-
-    def close(self) -> None:
-        pass
+            state.update(group)
+            state.setTimeoutDuration(config.window_ms)
 
-    @staticmethod
-    def _rows(key, groups) -> pd.DataFrame:
-        rows = [(key[0], *group) for group in groups]
-        return pd.DataFrame(rows, columns=["key", "message", "first_ts", "last_ts", "count"])
+    return run
 
 
 def reduce_stream(
     stream: DataFrame, config: ReduceConfig, message: str = "message", ts: str = "timestamp"
 ) -> DataFrame:
-    """Collapse repeats on a stream; needs the RocksDB state store.
+    """Collapse repeats on a stream.
 
-    ``operators.reduce.with_reduction`` writes the counts into the messages, as in batch.
+    Rows close groups by event time and by count, as in the batch operator; a group that takes in
+    nothing more is closed one window later by the clock, so the query keeps running batches: give
+    it a processing-time trigger, as ``availableNow`` would wait for ever. ``operators.reduce.with_reduction``
+    writes the counts into the messages, as in batch.
     """
     keyed = reduce_key(stream, config.group_by, message, "key")
     rows = keyed.select("key", epoch_ms(keyed, ts).alias("ts"), F.col(message).alias("message"))
-    return rows.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=ReduceProcessor(config),
-        outputStructType=REDUCED,
-        outputMode="Append",
-        timeMode="ProcessingTime",
+    return rows.groupBy("key").applyInPandasWithState(
+        _reduce_key_group(config), REDUCED, _OPEN_GROUP, "append", GroupStateTimeout.ProcessingTimeTimeout
     )

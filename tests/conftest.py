@@ -13,11 +13,7 @@ def spark():
     session = build_session(
         "tests",
         "local[4]",
-        {
-            "spark.sql.shuffle.partitions": "4",
-            "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state."
-            "RocksDBStateStoreProvider",
-        },
+        {"spark.sql.shuffle.partitions": "4"},
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
