@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache, partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalspark.schema import Frames
+from signalspark.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +33,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table in front of costly work on its texts."""
+    return spread(table(spark, sf, name))
+
+
 # The same column text runs in Spark and in DuckDB.
 _SESSION = "concat(CAST(user_id AS STRING), '-', CAST(CAST(ts AS DATE) AS STRING)) AS session_id"
 _EVENTS = [
@@ -107,13 +114,12 @@ def users(spark, sf):
 
 
 def messages(spark, sf):
-    return table(spark, sf, "events").selectExpr(*_MESSAGES)
+    return texts(spark, sf, "events").selectExpr(*_MESSAGES)
 
 
 def frames(spark, sf) -> Frames:
-    return Frames(
-        events=events(spark, sf), context=context(spark, sf), logs=logs(spark, sf), users=users(spark, sf)
-    )
+    openers = {"events": events, "context": context, "logs": logs, "users": users}
+    return Frames(**{name: cache(partial(opener, spark, sf)) for name, opener in openers.items()})
 
 
 WITH_VIEWS = f"""WITH v_events AS (SELECT {", ".join(_EVENTS)} FROM events),

@@ -7,7 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from catalog.base import context, events, frames, logs, query, table, users
+from catalog.base import context, events, frames, logs, query, table, texts, users
 from signalspark.functions import normalize as n
 from signalspark.functions.jsondoc import json_depth, too_deep
 from signalspark.operators import tables as t
@@ -55,7 +55,7 @@ _NIL = "'00000000-0000-0000-0000-000000000000'"
 
 
 def event_lines(spark, sf):
-    return table(spark, sf, "events").selectExpr(
+    return texts(spark, sf, "events").selectExpr(
         f"{_EVENT_LINE} AS value", "concat('192.168.0.', CAST(user_id % 200 AS STRING)) AS source_ip"
     )
 
@@ -113,7 +113,7 @@ _STORED_LEVEL = (
 
 
 def log_lines(spark, sf):
-    return table(spark, sf, "events").selectExpr(f"{_LOG_LINE} AS value")
+    return texts(spark, sf, "events").selectExpr(f"{_LOG_LINE} AS value")
 
 
 @query(

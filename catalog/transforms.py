@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from catalog.base import logs, messages, query, table, users
+from catalog.base import messages, query, table, texts, users
+from catalog.base import logs as log_rows
 from catalog.ingest import scratch
 from signalspark.functions.filters import json_path
 from signalspark.operators import chain as chains
@@ -13,6 +14,11 @@ from signalspark.operators import redact as r
 from signalspark.operators import reduce as red
 from signalspark.operators import templates as tpl
 from signalspark.operators.jsonfilter import Cond, FilterConfig, json_filter
+from signalspark.session import spread
+
+def logs(spark, sf):
+    return spread(log_rows(spark, sf))
+
 
 # --- JSON filter: (name, config, the kept rows in SQL)
 
@@ -86,7 +92,7 @@ _CONTACT = (
 
 
 def contacts(spark, sf):
-    return users(spark, sf).selectExpr("c_custkey", _CONTACT)
+    return spread(users(spark, sf)).selectExpr("c_custkey", _CONTACT)
 
 
 @query(
@@ -118,13 +124,13 @@ def _single(pattern):
 )
 def _(spark, sf):
     config = r.RedactConfig(patterns=("email",))
-    return table(spark, sf, "documents").select("doc_id", r.redact_text(F.col("text"), config).alias("text"))
+    return texts(spark, sf, "documents").select("doc_id", r.redact_text(F.col("text"), config).alias("text"))
 
 
 @query("x13_redact_text_patterns")
 def _(spark, sf):
     config = r.RedactConfig(patterns=("email", "phone", "ipv4", "iban"), strategy="hash", hash_key="k")
-    return table(spark, sf, "conversations").select("conv_id", "turn", r.redact_text(F.col("text"), config).alias("text"))
+    return texts(spark, sf, "conversations").select("conv_id", "turn", r.redact_text(F.col("text"), config).alias("text"))
 
 
 @query("x14_redact_column", "SELECT c_custkey, '[REDACTED]' AS email, name FROM v_users")
@@ -156,7 +162,7 @@ _DIGITS = " || ".join(
         SELECT c_custkey, sha256({_OUTER} || unhex(sha256({_INNER} || encode(email)))) AS d FROM v_users))""",
 )
 def _(spark, sf):
-    df = users(spark, sf).select("c_custkey", "email")
+    df = spread(users(spark, sf)).select("c_custkey", "email")
     return r.redact_column(df, "email", "email", r.RedactConfig(strategy="hash", hash_key="secret-key", patterns=("email",)))
 
 
@@ -184,12 +190,12 @@ for _name in r.PATTERNS:
 
     @query(f"x16_pattern_{_name}", _report_sql(_name))
     def _(spark, sf, name=_name):
-        return r.pii_report(table(spark, sf, "documents"), "text", [name])
+        return r.pii_report(texts(spark, sf, "documents"), "text", [name])
 
 
 @query("x18_pii_report", " UNION ALL ".join(f"({_report_sql(n).replace('documents', 'conversations')})" for n in r.PATTERNS))
 def _(spark, sf):
-    return r.pii_report(table(spark, sf, "conversations"), "text")
+    return r.pii_report(texts(spark, sf, "conversations"), "text")
 
 
 # --- chains
@@ -327,7 +333,7 @@ def _template(text):
         SELECT unnest(string_split_regex(text, '\s+')) AS w FROM conversations) WHERE w <> '' GROUP BY 1, 2""",
 )
 def _(spark, sf):
-    words = table(spark, sf, "conversations").select(F.explode(tpl.tokens(F.col("text"))).alias("word"))
+    words = texts(spark, sf, "conversations").select(F.explode(tpl.tokens(F.col("text"))).alias("word"))
     return words.groupBy("word", tpl.is_variable(F.col("word")).alias("is_variable")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -340,7 +346,7 @@ def _(spark, sf):
 
 @query("x28_template_text", f"SELECT conv_id, turn, {_template('text')} AS template FROM conversations")
 def _(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", tpl.mask_template(F.col("text")).alias("template"))
+    return texts(spark, sf, "conversations").select("conv_id", "turn", tpl.mask_template(F.col("text")).alias("template"))
 
 
 def _ids(partition="", where="true"):
@@ -364,7 +370,7 @@ def _(spark, sf):
 
 @query("x29_cluster_text")
 def _(spark, sf):
-    lines = table(spark, sf, "conversations").select(
+    lines = texts(spark, sf, "conversations").select(
         "conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("line", "message")
     )
     return tpl.cluster(lines, ts="conv_id", order=("turn", "line")).assigned

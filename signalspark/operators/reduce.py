@@ -7,7 +7,7 @@ earlier events of the key. Keys may be very unevenly filled, hence the work is l
    no task holds much more than its share. The sorted rows are checkpointed.
 2. Each partition reports, for a key that began further left, where a group carried into it would
    end, for every way this can turn out: at most ``max_events`` numbers.
-3. These small reports are followed key by key, which tells each partition how many of its first
+3. These small reports are followed key by key, from which each partition knows how many of its first
    rows belong to a group from the left, and how a group that runs over its end is completed.
 4. Each partition then emits its groups on its own.
 """

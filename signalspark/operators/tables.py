@@ -171,7 +171,7 @@ def events_with_context(events: DataFrame, context: DataFrame, columns: list[str
 def session_timeline(session_id: str, frames: Frames, spans: DataFrame | None = None,
                      metrics: DataFrame | None = None) -> DataFrame:
     """Everything recorded under one session, in order of time."""
-    sources = {"event": frames.events, "log": frames.logs, "span": spans, "metric": metrics}
+    sources = {"event": frames.find("events"), "log": frames.find("logs"), "span": spans, "metric": metrics}
     parts = []
     for signal, df in sources.items():
         if df is None:

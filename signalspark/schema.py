@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame
@@ -132,19 +133,27 @@ SPAN_SCHEMA = T.StructType(
 )
 
 
+Table = DataFrame | Callable[[], DataFrame]
+
+
 @dataclass(frozen=True)
 class Frames:
-    """The analytics tables a metric may read; any of them may be absent."""
+    """The analytics tables a metric may read; any may be absent, or a function that opens it when used."""
+
+    events: Table | None = None
+    context: Table | None = None
+    logs: Table | None = None
+    users: Table | None = None
+    user_devices: Table | None = None
+    user_traits: Table | None = None
+    snapshots: Table | None = None
 
-    events: DataFrame | None = None
-    context: DataFrame | None = None
-    logs: DataFrame | None = None
-    users: DataFrame | None = None
-    user_devices: DataFrame | None = None
-    user_traits: DataFrame | None = None
-    snapshots: DataFrame | None = None
+    def find(self, name: str) -> DataFrame | None:
+        table = getattr(self, name)
+        return table() if callable(table) else table
 
     def get(self, name: str) -> DataFrame:
-        if name not in {f.name for f in fields(self)} or getattr(self, name) is None:
+        table = self.find(name) if name in {f.name for f in fields(self)} else None
+        if table is None:
             raise ValueError(f"no table named {name!r} in these frames")
-        return getattr(self, name)
+        return table

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "signalspark", master: str | None = None, conf: dict | None = None) -> SparkSession:
@@ -43,3 +43,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="signalspark-checkpoint-")
     context.setCheckpointDir(named)
     return context.getCheckpointDir()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of an input with fewer splits than cores out over all cores.
+
+    Meant for scans in front of costly text work. Inputs with enough splits stay as they are, so
+    nothing large is ever shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
