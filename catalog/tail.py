@@ -60,7 +60,10 @@ def _(spark, sf):
     return narrowed.union(t.tail_match(tailed(spark, sf), "7}", columns).select("event_id")).distinct()
 
 
-@query("l5_tail_sample")
+@query(
+    "l5_tail_sample",
+    f"SELECT event_id FROM {_VIEW} WHERE CAST(concat('0x', substr(md5(CAST(event_id AS VARCHAR)), 1, 8)) AS BIGINT) < {2**30}",
+)
 def _(spark, sf):
     return t.tail_sample(tailed(spark, sf), 0.25, by="event_id").select("event_id")
 
@@ -121,7 +124,13 @@ def _(spark, sf):
     return files.with_workspace(rows).select("event_id")
 
 
-@query("k3_typed_tables")
+@query(
+    "k3_typed_tables",
+    """SELECT trait_key, CASE trait_key WHEN 'plan' THEN concat('p', CAST(event_id % 3 AS VARCHAR))
+        ELSE CAST(event_id % 7 AS VARCHAR) END AS trait_value, count(*) AS n
+        FROM events, (VALUES ('plan'), ('seats')) AS k(trait_key)
+        WHERE event_id % 50 NOT IN (14, 15, 16, 17) AND event_id % 10 = 0 GROUP BY 1, 2""",
+)
 def _(spark, sf):
     base = scratch(spark, "typed")
     files.write_tables(base, events=ingested(spark, sf).withColumn("workspace_id", F.lit(7)))

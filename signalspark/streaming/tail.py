@@ -67,8 +67,8 @@ def tail_sample(df: DataFrame, rate: float | None, by: str | None = None) -> Dat
         return df.where(F.lit(False))
     if by is None:
         return df.where(F.rand() < rate)
-    buckets = 1_000_000
-    return df.where(F.pmod(F.xxhash64(by), F.lit(buckets)) < int(rate * buckets))
+    place = F.conv(F.substring(F.md5(F.col(by).cast("string")), 1, 8), 16, 10).cast("bigint")
+    return df.where(place < int(rate * 2**32))
 
 
 def tail_rate(df: DataFrame, n: int, ts: str = "timestamp", order: Iterable[str] = ()) -> DataFrame:

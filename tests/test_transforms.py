@@ -136,6 +136,16 @@ def redacted(rows, message, **options):
     return r.redact(rows([(message,)], "message string"), r.RedactConfig(**options)).first().message
 
 
+def test_email_form_finds_the_same_matches(rows):
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice("aab.b@@- é1") for _ in range(rnd.randrange(40))) for _ in range(3000)]
+    texts += ["a@b.cod.e@f.com", "x" * 200_000, "a@b.co@d.ef.gh@i.jk"]
+    found = F.regexp_extract_all(F.col("t"), F.lit(r.java_regex(r.PATTERNS["email"])), F.lit(0))
+    got = [x[0] for x in rows([(t,) for t in texts], "t string").select(found).collect()]
+    short = [re.findall(r.PATTERNS["email"], t) if len(t) < 1000 else [] for t in texts]
+    assert got == short and sum(map(len, got)) > 100
+
+
 def test_targeted_fields(rows):
     message = json.dumps({"user": {"email": "me: a@b.co", "name": "a@b.co"}, "id": "EMP-77", "n": 5})
     fields = (r.Target("user.email", "email"), r.Target("id", "badge", "hash"), r.Target("n", "bsn_nl"), r.Target("no.way", "email"))
