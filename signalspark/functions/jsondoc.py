@@ -29,15 +29,18 @@ def with_document(df: DataFrame, message: Column, name: str = "_doc") -> DataFra
     return parsed.withColumn(name, F.when(whole, F.col(name)))
 
 
-def with_fields(df: DataFrame, message: Column, names: list[str]) -> DataFrame:
+def with_fields(df: DataFrame, message: Column, names: list[str], *extra: Column) -> DataFrame:
     """Add ``_doc``, a struct with the named top-level fields as VARIANT, in one parse.
 
     ``_complete`` is null when the message is not one JSON value; ``_doc`` when it is not an object.
+    ``extra`` columns are computed along with it: parsing and lambdas keep a step from being
+    compiled, so they are best kept together in one.
     """
     fields = ", ".join(f"`{name}`: variant" for name in names)
     wrapped = F.concat(F.lit('{"doc":'), message, F.lit(f',"{_END}":1}}'))
     parsed = F.from_json(wrapped, f"struct<doc: struct<{fields}>, `{_END}`: int>")
-    return df.select("*", F.inline(F.array(parsed)).alias("_doc", "_complete"))
+    made = computed_once(df, parsed.alias("_parsed"), *extra)
+    return made.withColumns({"_doc": F.col("_parsed.doc"), "_complete": F.col(f"_parsed.`{_END}`")}).drop("_parsed")
 
 
 def variant_path(path: str) -> str:

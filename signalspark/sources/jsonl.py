@@ -38,9 +38,9 @@ def _checked(lines: DataFrame, required: list[str], optional: list[str], plain:
     deep = too_deep(F.col("value"), MAX_JSON_DEPTH)
     names = [*required, *optional, *plain, "timestamp", *objects]
     # A line that nests too deeply is not handed to the parser at all.
-    parsed = with_fields(filled, F.when(~deep, F.col("value")), names)
+    parsed = with_fields(filled, F.when(~deep, F.col("value")), names, deep.alias("_deep"))
     tests = [
-        (deep, f"JSON nesting exceeds maximum depth of {MAX_JSON_DEPTH}"),
+        (F.col("_deep"), f"JSON nesting exceeds maximum depth of {MAX_JSON_DEPTH}"),
         (F.col("_complete").isNull(), "invalid JSON"),
         (F.col("_doc").isNull(), "expected an object"),
     ]
