@@ -104,22 +104,20 @@ Opener = Callable[[SparkSession], DataFrame]
 class Workspace:
     """A session of its own whose only tables are one workspace's rows."""
 
-    def __init__(self, spark: SparkSession, workspace: int, tables: Mapping[str, Opener]):
+    def __init__(self, spark: SparkSession, workspace: int, tables: Mapping[str, Opener] | None = None):
         self.id = workspace
         self.session = spark.newSession()
         self.session.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
         # Tables are reached by name only, never by file path.
         self.session.conf.set("spark.sql.runSQLOnFiles", "false")
-        self.views = workspace_views(self.session, workspace, tables)
+        if tables:
+            workspace_views(self.session, workspace, tables)
 
     @classmethod
     def of_lake(cls, spark: SparkSession, base: str, workspace: int) -> Workspace:
-        found = lake.available_tables(spark, base)
-        if not found:
-            raise FileNotFoundError(f"no tables under {base}")
-        openers = {name: (lambda s, name=name: lake.scan_table(s, base, workspace, name)) for name in found}
-        openers |= {alias: openers[name] for alias, name in lake.ALIASES.items() if name in openers}
-        return cls(spark, workspace, openers)
+        made = cls(spark, workspace)
+        lake.register_tables(made.session, base, workspace)
+        return made
 
     def run_sql(self, text: str, limit: int = DEFAULT_LIMIT, strict: bool = False) -> DataFrame:
         """The query's rows, at most ``limit`` and never more than 10,000."""

@@ -30,26 +30,26 @@ def scan_table(spark: SparkSession, base: str, workspace: int, table: str) -> Da
     return df.where(F.col("workspace_id") == workspace)
 
 
-def available_tables(spark: SparkSession, base: str) -> list[str]:
-    return [table for table in TABLES if _open(spark, base, table) is not None]
+def open_tables(spark: SparkSession, base: str) -> dict[str, DataFrame]:
+    """Every table that has data; each one's files are listed once."""
+    opened = {table: _open(spark, base, table) for table in TABLES}
+    return {table: df for table, df in opened.items() if df is not None}
 
 
 def register_tables(spark: SparkSession, base: str, workspace: int) -> list[str]:
     """Temp views for every table that has data, scoped to the workspace; the rest is skipped."""
-    found = available_tables(spark, base)
+    found = open_tables(spark, base)
     if not found:
         raise FileNotFoundError(f"no tables under {base}")
-    for table in found:
-        scan_table(spark, base, workspace, table).createOrReplaceTempView(table)
-    for alias, table in ALIASES.items():
-        if table in found:
-            scan_table(spark, base, workspace, table).createOrReplaceTempView(alias)
-    return found
+    names = {name: name for name in found} | {alias: t for alias, t in ALIASES.items() if t in found}
+    for name, table in names.items():
+        found[table].where(F.col("workspace_id") == workspace).createOrReplaceTempView(name)
+    return list(found)
 
 
 def list_tables(spark: SparkSession, base: str) -> dict[str, list[tuple[str, str]]]:
     """Every table that has data, with its columns and types."""
     return {
-        table: [(f.name, f.dataType.simpleString()) for f in _open(spark, base, table).schema.fields]
-        for table in available_tables(spark, base)
+        table: [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
+        for table, df in open_tables(spark, base).items()
     }

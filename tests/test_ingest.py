@@ -161,10 +161,10 @@ def test_write_and_scan_tables(spark, events, tmp_path):
         files.write_tables(base, events=events, batch_id=3)
     assert lake.scan_table(spark, base, 4, "users_v1").count() == 2
     assert lake.scan_table(spark, base, 5, "users_v1").count() == 0
-    assert set(lake.available_tables(spark, base)) == set(t.EVENT_TABLES)
+    assert set(lake.open_tables(spark, base)) == set(t.EVENT_TABLES)
     plan = lake.scan_table(spark, base, 4, "events_v1")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(workspace_id" in plan
-    assert lake.register_tables(spark, base, 4) == lake.available_tables(spark, base)
+    assert lake.register_tables(spark, base, 4) == list(lake.open_tables(spark, base))
     assert ("city", "string") in lake.list_tables(spark, base)["context_v1"]
     with pytest.raises(FileNotFoundError):
         lake.scan_table(spark, base, 4, "logs_v1")
