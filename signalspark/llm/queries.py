@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from signalspark.llm import bpe, token_counts
+from signalspark.llm import bpe, langid, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,3 +32,12 @@ def op2_token_counts(spark, sf):
 def op9_bpe_roundtrip(spark, sf):
     path = public_tokenizers.path("word_bpe_49k.json")
     return bpe.digests(table(spark, sf, "documents"), path)
+
+
+@query
+def op10_language_id(spark, sf):
+    docs = table(spark, sf, "documents")
+    held_out = langid.remainder("doc_id", 3) == 1
+    model = langid.learn(docs.where(~held_out))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "languages", "shares")
