@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from signalspark.llm import bpe, langid, token_counts
+from signalspark.llm import bpe, langid, token_counts, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,3 +41,27 @@ def op10_language_id(spark, sf):
     model = langid.learn(docs.where(~held_out))
     found = langid.identify(docs, model)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "languages", "shares")
+
+
+@query
+def op7_toxicity(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    held_out = langid.remainder("doc_id", 4) == 2
+    model = toxicity.learn(docs, labels.where(~held_out))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query
+def op8_warc_archive(spark, sf):
+    archive = warc.write(table(spark, sf, "pages"))
+    return warc.read(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op8_warc_archive"] = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS bytes, sha1(coalesce(html, '')) AS sha FROM pages),
+f AS (SELECT sha, bytes, max(page_id) AS first FROM p WHERE bytes >= 1000 GROUP BY ALL)
+SELECT page_id, p.bytes AS payload_bytes, p.sha AS payload_digest,
+  CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f ON f.sha = p.sha AND f.bytes = p.bytes"""
