@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from signalspark.llm import bpe, langid, token_counts, toxicity, warc
+from signalspark.llm import bpe, langid, token_counts, token_store, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +65,9 @@ SELECT page_id, p.bytes AS payload_bytes, p.sha AS payload_digest,
   CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN first <> page_id THEN first END AS refers_to
 FROM p LEFT JOIN f ON f.sha = p.sha AND f.bytes = p.bytes"""
+
+
+@query
+def op3_token_store(spark, sf):
+    folder = token_store.write(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 0)
+    return token_store.checksums(token_store.starts(spark, folder)).withColumnRenamed("key", "doc_id")
