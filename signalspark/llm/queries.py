@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from signalspark.llm import bpe, langid, token_counts, token_store, toxicity, warc
+from signalspark.llm import bpe, decontaminate, langid, quality, token_counts, token_store, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,3 +71,48 @@ FROM p LEFT JOIN f ON f.sha = p.sha AND f.bytes = p.bytes"""
 def op3_token_store(spark, sf):
     folder = token_store.write(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 0)
     return token_store.checksums(token_store.starts(spark, folder)).withColumnRenamed("key", "doc_id")
+
+
+@query
+def op5_quality_rules(spark, sf):
+    found = quality.judge(table(spark, sf, "documents")).withColumnRenamed("key", "doc_id")
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+_RATES = "\n".join(
+    f", avg(k_{n} / n_docs) AS m_{n}, coalesce(var_samp(k_{n} / n_docs), 0) AS v_{n}" for n in quality.RULES
+)
+_WEIGHTS = "\n".join(
+    f", CASE WHEN v_{n} > 1e-9 THEN greatest(m_{n} * (1 - m_{n}) / v_{n} - 1, 1) ELSE 100 END AS w_{n}"
+    for n in quality.RULES
+)
+_FAILED = " OR ".join(f"(k_{n} + m_{n} * w_{n}) / (n_docs + w_{n}) > 0.5" for n in quality.RULES)
+ORACLES["op5_quality_rules"] = f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+t AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
+p AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM t WHERE len(w) > 2),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM p),
+r AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM g, (SELECT unnest([0, 1, 2]) AS o) WHERE n > 1 GROUP BY doc_id),
+m AS (SELECT doc_id, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+  len(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(l) AS n_lines,
+  len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words FROM t LEFT JOIN r USING (doc_id)),
+h AS (SELECT source, count(*) AS n_docs
+  {" ".join(f", sum(CASE WHEN {rule} THEN 1 ELSE 0 END) AS k_{n}" for n, rule in quality.RULES.items())}
+  FROM m GROUP BY source),
+a AS (SELECT 1 AS one {_RATES} FROM h),
+b AS (SELECT * {_WEIGHTS} FROM a),
+v AS (SELECT source, {_FAILED} AS host_failed FROM h, b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT host_failed AS kept
+FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m) AS x
+JOIN v ON v.source IS NOT DISTINCT FROM x.source"""
+
+
+@query
+def op6_decontaminate(spark, sf):
+    """One row for each document and benchmark item that it leaks."""
+    found = decontaminate.find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select("doc_id", "item_id", "n_matched", "n_windows", "n_slotted")
