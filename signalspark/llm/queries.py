@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from signalspark.llm import bpe, decontaminate, langid, quality, token_counts, token_store, toxicity, warc
+from signalspark.llm import bpe, decontaminate, langid, neardup, quality, token_counts, token_store, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -116,3 +116,8 @@ def op6_decontaminate(spark, sf):
     """One row for each document and benchmark item that it leaks."""
     found = decontaminate.find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return found.select("doc_id", "item_id", "n_matched", "n_windows", "n_slotted")
+
+
+@query
+def op4_minhash_dedup(spark, sf):
+    return neardup.near_duplicates(table(spark, sf, "documents"))
