@@ -254,6 +254,21 @@ def near_duplicates(
     )
 
 
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
+    """One document of each group of near copies, that of the smallest key; all columns.
+
+    Repeated rows of the kept key are one row; documents with null or empty texts all stay.
+    """
+    found = near_duplicates(docs, key, text, settings).where(~F.col("kept"))
+    gone = found.select(F.col(key).alias("__gone")).distinct()
+    kept = docs.join(gone, docs[f"`{key}`"].eqNullSafe(F.col("__gone")), "left_anti")
+    words = F.col(f"`{text}`").rlike(r"[^ \t\n\x0B\f\r]")
+    body = F.when(words, F.xxhash64(F.col(f"`{text}`")))
+    empty = kept.where(F.coalesce(~words, F.lit(True)))
+    full = kept.where(words).withColumn("__body", body).dropDuplicates([key, "__body"]).drop("__body")
+    return full.unionAll(empty)
+
+
 def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     """The pairs whose ends are in different components."""
     left = groups.select(F.col("node").alias("a"), F.col("component").alias("of_a"))

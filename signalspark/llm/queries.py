@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from signalspark.llm import bpe, decontaminate, langid, neardup, quality, token_counts, token_store, toxicity, warc
+from signalspark.llm import bpe, decontaminate, langid, linededup, neardup, quality, token_counts, token_store, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -121,3 +121,10 @@ def op6_decontaminate(spark, sf):
 @query
 def op4_minhash_dedup(spark, sf):
     return neardup.near_duplicates(table(spark, sf, "documents"))
+
+
+@query
+def op1_line_dedup(spark, sf):
+    """One row per line of every document."""
+    found = linededup.similar_lines(table(spark, sf, "documents"))
+    return found.select("doc_id", "line", "n_tokens", "first_key", "first_line", "removed")

@@ -1,15 +1,49 @@
-"""Stages of the corpus pipeline; each takes (spark, docs, sf_dir) and returns a frame."""
+"""Stages of the corpus pipeline; each takes (spark, docs, sf_dir) and returns a frame.
+
+All but the last return the columns of their input. Null keys, repeated rows, empty texts and extra
+columns are handled as the operators' docstrings say.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
+
+from signalspark.llm import bpe, decontaminate, langid, linededup, neardup
+
+
+def identify_language(spark, docs, sf_dir):
+    """Learn languages from two thirds of the documents, and keep every document of a known language
+    whose main language has at least half of its words. Texts that are null or have no letter go."""
+    model = langid.learn(docs.where(langid.remainder("doc_id", 3) != 1))
+    found = langid.identify(docs, model, keep=docs.columns)
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= 0.5)).select(*docs.columns)
+
+
+def drop_repeated_lines(spark, docs, sf_dir):
+    """Take later lines that are similar to an earlier one out of the texts."""
+    return linededup.dedup_lines(docs)
+
+
+def drop_near_duplicates(spark, docs, sf_dir):
+    """Keep one document of each group of near copies, the one with the smallest id."""
+    return neardup.dedup(docs)
+
 
-from signalspark.llm import bpe
+def drop_benchmark_leaks(spark, docs, sf_dir):
+    """Leave out documents that hold a benchmark item, with its own or with other values."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode_tokens(spark, docs, sf_dir):
-    """The last stage: the documents with their ids."""
+    """The documents as token ids with the text they decode to."""
     return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id", "lang", "source"])
 
 
-STAGES = [("tokens", encode_tokens)]
+STAGES = [
+    ("language", identify_language),
+    ("lines", drop_repeated_lines),
+    ("near_duplicates", drop_near_duplicates),
+    ("benchmark", drop_benchmark_leaks),
+    ("tokens", encode_tokens),
+]
