@@ -74,7 +74,7 @@ def _runs(batch):
 
 
 def _features(docs: DataFrame, settings: Settings) -> DataFrame:
-    """key, n_shingles, node (fingerprint of the set) and signature of every row."""
+    """key, text_hash, n_shingles, node (fingerprint of the set) and signature of every row."""
     a, b = _permutations(settings.hashes)
 
     def run(batches):
@@ -89,13 +89,12 @@ def _features(docs: DataFrame, settings: Settings) -> DataFrame:
                         least = np.minimum.reduceat(values * a[i] + b[i], starts[:-1][full])
                         signature[full, i] = (least >> _U(32)).astype(np.uint32)
                 rows = [s.tobytes() if n else None for s, n in zip(signature, sizes.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [some.column(0), pa.array(sizes), pa.array(fingerprints(values, starts)), pa.array(rows, pa.binary())],
-                    ["key", "n_shingles", "node", "signature"],
-                )
+                made = [pa.array(sizes), pa.array(fingerprints(values, starts)), pa.array(rows, pa.binary())]
+                names = ["key", "text_hash", "n_shingles", "node", "signature"]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *made], names)
 
     kind = docs.schema["key"].dataType.simpleString()
-    return docs.mapInArrow(run, f"key {kind}, n_shingles bigint, node bigint, signature binary")
+    return docs.mapInArrow(run, f"key {kind}, text_hash bigint, n_shingles bigint, node bigint, signature binary")
 
 
 def _bands(nodes: DataFrame, settings: Settings) -> DataFrame:
@@ -175,13 +174,14 @@ def _sets(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
                 sets = [values[starts[i] : starts[i + 1]].view(np.int64) for i in at.tolist()]
                 edges = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(at)), pa.array(nodes[at]), pa.ListArray.from_arrays(pa.array(edges), pa.array(flat))],
-                    ["key", "node", "shingles"],
-                )
-
-    rows = docs.mapInArrow(run, f"key {kind}, node bigint, shingles array<bigint>").alias("s")
-    match = (F.col("s.node") == F.col("w.node")) & F.col("s.key").eqNullSafe(F.col("w.rep"))
+                rows = part.select([0, 1]).take(pa.array(at, pa.int64())).columns
+                sets = pa.ListArray.from_arrays(pa.array(edges), pa.array(flat))
+                names = ["key", "text_hash", "node", "shingles"]
+                yield pa.RecordBatch.from_arrays([*rows, pa.array(nodes[at]), sets], names)
+
+    rows = docs.mapInArrow(run, f"key {kind}, text_hash bigint, node bigint, shingles array<bigint>").alias("s")
+    match = (F.col("s.node") == F.col("w.node")) & (F.col("s.text_hash") == F.col("w.rep.text_hash"))
+    match &= F.col("s.key").eqNullSafe(F.col("w.rep.key"))
     return rows.join(wanted.alias("w"), match).select("s.node", "s.shingles").dropDuplicates(["node"])
 
 
@@ -198,6 +198,11 @@ def _proved(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, settings: Setti
     return rows.where(100 * both >= settings.percent * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
 
 
+def _place():
+    """Orders rows by key, a null one last, then by the hash of the text."""
+    return F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("key"), F.col("text_hash").alias("text_hash"))
+
+
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings = Settings()
 ) -> DataFrame:
@@ -208,10 +213,18 @@ def near_duplicates(
     linked with nothing. kept: key = component_id; rows of equal key are kept or dropped together. A
     null key is larger than any other, and is kept where a component has no other key.
     """
-    docs = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("__text"))
+    found = _groups(docs, key, text, settings)
+    same = F.col("key").eqNullSafe(F.col("first.key"))
+    return found.select(F.col("key").alias(key), "n_shingles", F.col("first.key").alias("component_id"), same.alias("kept"))
+
+
+def _groups(docs: DataFrame, key: str, text: str, settings: Settings) -> DataFrame:
+    """Per row: key, text_hash, n_shingles and the first row of its component, itself included."""
+    body = F.col(f"`{text}`").cast("string")
+    docs = docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(body).alias("text_hash"), body.alias("__text"))
     rows = landed(_features(docs, settings), "signatures")
     full = rows.where("n_shingles > 0")
-    reps = full.groupBy("node").agg(F.min("key").alias("rep"))
+    reps = full.groupBy("node").agg(F.min(_place()).alias("rep"))
     nodes = full.select("node", F.col("n_shingles").alias("n"), "signature").dropDuplicates(["node"])
     nodes = landed(nodes.join(reps, "node"), "nodes")
     bands = _bands(nodes, settings)
@@ -248,25 +261,32 @@ def near_duplicates(
     of_node = groups.join(smallest, "component").select("node", "least")
     own = reps.join(of_node, "node", "left").select("node", F.coalesce("least", "rep").alias("least"))
     found = rows.drop("signature").join(own, "node", "left")
-    found = found.select("key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("key")).alias("component_id"))
-    return found.select(
-        F.col("key").alias(key), "n_shingles", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept")
-    )
+    first = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(_place())
+    return found.select("key", "text_hash", "n_shingles", first.alias("first"))
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
     """One document of each group of near copies, that of the smallest key; all columns.
 
-    Repeated rows of the kept key are one row; documents with null or empty texts all stay.
+    Of rows with equal key and text one stays; documents with null or empty texts all stay.
     """
-    found = near_duplicates(docs, key, text, settings).where(~F.col("kept"))
-    gone = found.select(F.col(key).alias("__gone")).distinct()
-    kept = docs.join(gone, docs[f"`{key}`"].eqNullSafe(F.col("__gone")), "left_anti")
-    words = F.col(f"`{text}`").rlike(r"[^ \t\n\x0B\f\r]")
-    body = F.when(words, F.xxhash64(F.col(f"`{text}`")))
-    empty = kept.where(F.coalesce(~words, F.lit(True)))
-    full = kept.where(words).withColumn("__body", body).dropDuplicates([key, "__body"]).drop("__body")
-    return full.unionAll(empty)
+    found = landed(_groups(docs, key, text, settings).where("n_shingles > 0"), "groups")
+    again = found.groupBy("key", "text_hash").agg(F.count("*").alias("n"), F.first("first").alias("first"))
+    last = F.col("first") == _place()
+    # Rows that go, and rows of which one stays.
+    gone = again.where(~last).select("key", "text_hash")
+    copies = again.where(last & (F.col("n") > 1)).select("key", "text_hash")
+    marked = docs.withColumn("__text_hash", F.xxhash64(F.col(f"`{text}`").cast("string")))
+
+    def same(other):
+        rows = other.select(F.col("key").alias("__key"), F.col("text_hash").alias("__hash"))
+        return rows, (F.col("__text_hash") == F.col("__hash")) & F.col(f"`{key}`").eqNullSafe(F.col("__key"))
+
+    out, on = same(gone.unionAll(copies))
+    single = marked.join(out, on, "left_anti")
+    out, on = same(copies)
+    one = marked.join(out, on, "left_semi").dropDuplicates([key, "__text_hash"])
+    return single.unionAll(one).drop("__text_hash")
 
 
 def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
