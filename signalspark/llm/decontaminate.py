@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalspark.llm.shared import landed
+from signalspark.llm.shared import landed, packed, same_row
 
 NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"  # private-use characters
 #: Units that may follow a number.
@@ -78,7 +78,8 @@ def benchmark_windows(items: DataFrame, item: str = "item_id", text: str = "text
     slots = F.when(slotted, F.slice(words, F.col("pos") + 1, F.col("size")))
     rows = rows.select("item", "size", "kind", "pos", hashed.alias("hash"), slots.alias("slots"))
     totals = rows.groupBy("item").agg(F.countDistinct("pos").alias("n_windows"))
-    return rows.join(totals, "item")
+    both = rows.alias("r").join(totals.alias("t"), F.col("r.item").eqNullSafe(F.col("t.item")))
+    return both.select("r.*", "t.n_windows")
 
 
 def find_leaks(
@@ -129,7 +130,8 @@ def _inconsistent(found: DataFrame, marks: DataFrame, texts: DataFrame) -> DataF
     texts = docs.alias("d").join(texts.alias("t"), same).select("d.*", "t.words").dropDuplicates(["key", "text_hash"])
     same = [F.col(f"f.{c}").eqNullSafe(F.col(f"x.{c}")) for c in ("key", "text_hash")]
     rows = found.alias("f").join(texts.alias("x"), same).select("f.*", F.slice("x.words", F.col("at") + 1, F.col("size")).alias("own"))
-    rows = rows.join(marks.select("item", "pos", "size", "slots"), ["item", "pos", "size"])
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"m.{c}")) for c in ("item", "pos", "size")]
+    rows = rows.alias("r").join(marks.where("slots IS NOT NULL").alias("m"), same).select("r.*", "m.slots")
     pairs = F.arrays_zip(F.col("slots.c").alias("c"), F.col("slots.r").alias("theirs"), F.col("own").alias("own"))
     slots = rows.select("key", "text_hash", "item", "shift", F.explode(pairs).alias("s"))
     slots = slots.where(F.col("s.c").rlike(f"[{NUMBER}-{UNIT}]"))
@@ -139,8 +141,7 @@ def _inconsistent(found: DataFrame, marks: DataFrame, texts: DataFrame) -> DataF
 
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """The documents without those that leak an item; all columns, repeated rows kept."""
-    leaks = find_leaks(docs, items, key, text, **settings).select(F.col(key).alias("__key"), F.col("text_hash").alias("__hash"))
-    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    marked = docs.withColumn("__text_hash", F.xxhash64(body))
-    on = marked["__text_hash"].eqNullSafe(F.col("__hash")) & marked[f"`{key}`"].eqNullSafe(F.col("__key"))
-    return marked.join(leaks.distinct(), on, "left_anti").drop("__text_hash")
+    leaks = find_leaks(docs, items, key, text, **settings)
+    leaks = leaks.select(F.col(f"`{key}`").alias("key"), "text_hash").distinct()
+    rows = packed(docs, key, text).alias("d").join(leaks.alias("x"), same_row("d", "x"), "left_anti")
+    return rows.select("row.*")

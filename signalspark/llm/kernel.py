@@ -118,11 +118,12 @@ class Words:
         self.sums = prefix_hashes(codes)
         self.hashes = span_hashes(self.sums, self.starts, self.ends)
         if lines:  # each text's pieces between newlines count as the rows
-            cuts = np.flatnonzero(codes == 10) + 1
-            marks = np.concatenate([starts_of[:-1], cuts])
-            text_of = np.searchsorted(starts_of[1:], marks, side="right")
-            text_of[: len(starts_of) - 1] = np.arange(len(starts_of) - 1)
-            order = np.lexsort((np.arange(len(marks)), marks, text_of))
+            breaks_at = np.flatnonzero(codes == 10)
+            marks = np.concatenate([starts_of[:-1], breaks_at + 1])
+            text_of = np.concatenate(
+                [np.arange(len(starts_of) - 1), np.searchsorted(starts_of[1:], breaks_at, side="right")]
+            )
+            order = np.lexsort((marks, text_of))
             self.row_starts, self.row_text = marks[order], text_of[order]
             first = np.searchsorted(self.row_text, np.arange(len(starts_of) - 1))
             self.row_line = np.arange(len(marks)) - first[self.row_text]

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from signalspark.llm.bpe import small
 from signalspark.llm.components import Bitmap, bitmap, components
 from signalspark.llm.kernel import BLOCK, HashIndex, Words, blocks, mix, utf8
-from signalspark.llm.shared import landed
+from signalspark.llm.shared import landed, packed, same_row
 
 _U = np.uint64
 _ID_BITS = 46
@@ -269,24 +269,21 @@ def dedup_lines(docs: DataFrame, settings: Settings = Settings(), key: str = "do
     are, null ones too.
     """
     found = similar_lines(docs, settings, key, text).where("removed")
-    gone = found.groupBy(F.col(key).alias("__key"), F.col("text_hash").alias("__hash")).agg(
-        F.sort_array(F.collect_set("line")).alias("__gone")
-    )
+    gone = found.groupBy(F.col(f"`{key}`").alias("key"), "text_hash").agg(F.collect_set("line").alias("lines"))
+    rows = packed(docs, key, text).alias("d").join(gone.alias("x"), same_row("d", "x"), "left")
+    rows = rows.select("row.*", F.col("x.lines").alias("__lines_to_remove"))
     columns = docs.columns
-    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    marked = docs.withColumn("__text_hash", F.xxhash64(body))
-    on = marked["__text_hash"].eqNullSafe(F.col("__hash")) & marked[f"`{key}`"].eqNullSafe(F.col("__key"))
-    both = marked.join(gone, on, "left").select(*(F.col(f"`{c}`") for c in columns), "__gone")
     at = columns.index(text)
 
     def run(batches):
         for batch in batches:
-            texts, lost = batch.column(at), batch.column(len(columns)).to_pylist()
+            lost = batch.column(len(columns)).to_pylist()
+            batch = batch.select(range(len(columns)))
             if not any(lost):
-                yield batch.select(range(len(columns)))
+                yield batch
                 continue
             kept, out = [], []
-            for i, (body, numbers) in enumerate(zip(texts.to_pylist(), lost, strict=True)):
+            for i, (body, numbers) in enumerate(zip(batch.column(at).to_pylist(), lost, strict=True)):
                 if numbers:
                     drop = set(numbers)
                     body = "\n".join(line for j, line in enumerate(body.split("\n")) if j not in drop)
@@ -294,7 +291,7 @@ def dedup_lines(docs: DataFrame, settings: Settings = Settings(), key: str = "do
                         continue
                 kept.append(i)
                 out.append(body)
-            rows = batch.select(range(len(columns))).take(pa.array(kept, pa.int64()))
-            yield rows.set_column(at, columns[at], pa.array(out, texts.type))
+            rows = batch.take(pa.array(kept, pa.int64()))
+            yield rows.set_column(at, columns[at], pa.array(out, batch.column(at).type))
 
-    return both.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, docs.schema)

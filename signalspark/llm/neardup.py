@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from signalspark.llm.bpe import small
 from signalspark.llm.components import Bitmap, bitmap, components
 from signalspark.llm.kernel import BLOCK, Words, blocks, mix, utf8
-from signalspark.llm.shared import landed
+from signalspark.llm.shared import landed, packed, same_row
 
 _U = np.uint64
 
@@ -220,7 +220,7 @@ def near_duplicates(
 
 def _groups(docs: DataFrame, key: str, text: str, settings: Settings) -> DataFrame:
     """Per row: key, text_hash, n_shingles and the first row of its component, itself included."""
-    body = F.col(f"`{text}`").cast("string")
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     docs = docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(body).alias("text_hash"), body.alias("__text"))
     rows = landed(_features(docs, settings), "signatures")
     full = rows.where("n_shingles > 0")
@@ -276,17 +276,10 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Se
     # Rows that go, and rows of which one stays.
     gone = again.where(~last).select("key", "text_hash")
     copies = again.where(last & (F.col("n") > 1)).select("key", "text_hash")
-    marked = docs.withColumn("__text_hash", F.xxhash64(F.col(f"`{text}`").cast("string")))
-
-    def same(other):
-        rows = other.select(F.col("key").alias("__key"), F.col("text_hash").alias("__hash"))
-        return rows, (F.col("__text_hash") == F.col("__hash")) & F.col(f"`{key}`").eqNullSafe(F.col("__key"))
-
-    out, on = same(gone.unionAll(copies))
-    single = marked.join(out, on, "left_anti")
-    out, on = same(copies)
-    one = marked.join(out, on, "left_semi").dropDuplicates([key, "__text_hash"])
-    return single.unionAll(one).drop("__text_hash")
+    rows = packed(docs, key, text).alias("d")
+    single = rows.join(gone.unionAll(copies).alias("x"), same_row("d", "x"), "left_anti")
+    one = rows.join(copies.alias("x"), same_row("d", "x"), "left_semi").dropDuplicates(["key", "text_hash"])
+    return single.unionAll(one).select("row.*")
 
 
 def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:

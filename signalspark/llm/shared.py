@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from signalspark.session import ensure_checkpoint_dir
 
@@ -24,3 +25,16 @@ def landed(df: DataFrame, name: str, partitioned: list[str] | None = None, optio
     writer = df.write.options(**(options or {}))
     (writer.partitionBy(*partitioned) if partitioned else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def packed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """row (all columns), key and text_hash: what lets rows pass through joins whatever their names."""
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    return docs.select(row.alias("row"), F.col(f"`{key}`").alias("key"), F.xxhash64(body).alias("text_hash"))
+
+
+def same_row(left: str, right: str):
+    """Whether two aliased frames have the same key and text hash; null keys are equal."""
+    on = F.col(f"{left}.text_hash") == F.col(f"{right}.text_hash")
+    return on & F.col(f"{left}.key").eqNullSafe(F.col(f"{right}.key"))
