@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalspark.schema import Frames
-from signalspark.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,11 +32,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A table in front of costly work on its texts."""
-    return spread(table(spark, sf, name))
-
-
 # The same column text runs in Spark and in DuckDB.
 _SESSION = "concat(CAST(user_id AS STRING), '-', CAST(CAST(ts AS DATE) AS STRING)) AS session_id"
 _EVENTS = [
@@ -46,7 +40,7 @@ _EVENTS = [
     "event_type AS event_name",
     "CAST(user_id AS STRING) AS device_id",
     _SESSION,
-    "concat('10.0.', CAST(user_id % 256 AS STRING), '.1') AS source_ip",
+    "concat('::ffff:10.0.', CAST(user_id % 256 AS STRING), '.1') AS source_ip",
     "props AS properties",
     "value",
     "user_id % 3 + 1 AS workspace_id",
@@ -114,7 +108,7 @@ def users(spark, sf):
 
 
 def messages(spark, sf):
-    return texts(spark, sf, "events").selectExpr(*_MESSAGES)
+    return table(spark, sf, "events").selectExpr(*_MESSAGES)
 
 
 def frames(spark, sf) -> Frames:

@@ -81,10 +81,10 @@ CONDITIONS = [
     ("f14_is_not_set", "v_events", Condition("properties.z", "is_not_set"), "json_extract_string(properties, '$.z') IS NULL"),
     ("f15_regex", "v_logs", Condition("message", "regex", r"request \d*5$"), r"regexp_matches(message, 'request \d*5$')"),
     ("f17_json_path", "v_events", Condition("properties.k", "eq", "42"), "json_extract_string(properties, '$.k') = '42'"),
-    ("f18_ip_eq", "v_events", Condition("source_ip", "eq", " 10.0.7.1 "), "source_ip = '10.0.7.1'"),
-    ("f18_ip_ne", "v_events", Condition("source_ip", "ne", "::ffff:10.0.7.1"), "source_ip <> '10.0.7.1'"),
-    ("f18_ip_in", "v_events", Condition("source_ip", "in", ["10.0.7.1", "10.0.8.1"]), "source_ip IN ('10.0.7.1', '10.0.8.1')"),
-    ("f18_ip_not_in", "v_events", Condition("source_ip", "not_in", ["10.0.7.1"]), "source_ip NOT IN ('10.0.7.1')"),
+    ("f18_ip_eq", "v_events", Condition("source_ip", "eq", " 10.0.7.1 "), "source_ip = '::ffff:10.0.7.1'"),
+    ("f18_ip_ne", "v_events", Condition("source_ip", "ne", "::ffff:10.0.7.1"), "source_ip <> '::ffff:10.0.7.1'"),
+    ("f18_ip_in", "v_events", Condition("source_ip", "in", ["10.0.7.1", "10.0.8.1"]), "source_ip IN ('::ffff:10.0.7.1', '::ffff:10.0.8.1')"),
+    ("f18_ip_not_in", "v_events", Condition("source_ip", "not_in", ["10.0.7.1"]), "source_ip NOT IN ('::ffff:10.0.7.1')"),
     ("f18_ip_is_set", "v_events", Condition("source_ip", "is_set"), "source_ip IS NOT NULL"),
 ]
 
@@ -96,9 +96,9 @@ for _name, _view, _condition, _where in CONDITIONS:
         return df.where(condition.to_column(df)).select("event_id")
 
 
-@query("f20_limit", f"SELECT event_id FROM v_events WHERE {IN_RANGE} ORDER BY event_id LIMIT 10000")
+@query("f20_limit", f"SELECT event_id FROM v_events WHERE {IN_RANGE} ORDER BY event_id LIMIT 1500")
 def _(spark, sf):
-    f = DAILY.with_limit(50_000)
+    f = DAILY.with_limit(1500)
     return f.capped(f.apply(events(spark, sf)).select("event_id").orderBy("event_id"))
 
 

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import json
+from pyspark.sql import functions as F
 
-from catalog.base import RANGE, context, events, frames, logs, query, users
+from catalog.base import context, events, logs, query, users
 from catalog.ingest import scratch
-from signalspark.functions.filters import Filter
-from signalspark.operators.metrics import top_events
 from signalspark.plans.sqlaccess import Workspace, normalise_table_names, render
 from signalspark.sinks import files
 
@@ -40,9 +38,19 @@ def _(spark, sf):
     return workspace(spark, sf).run_sql("select device_id, count(*) AS n from 2.events_v1 group by device_id;")
 
 
-@query("q5_row_limit", f"SELECT event_id FROM {_MINE} ORDER BY event_id LIMIT 1000")
+@query("q5_row_limit", f"SELECT event_id FROM {_MINE} ORDER BY event_id LIMIT 50000")
 def _(spark, sf):
-    return workspace(spark, sf).run_sql("SELECT event_id FROM events_v1 ORDER BY event_id LIMIT 50000")
+    return workspace(spark, sf).run_sql("SELECT event_id FROM events_v1 ORDER BY event_id LIMIT 50000", limit=1000)
+
+
+@query("q5_row_limit_asked", f"SELECT event_id FROM {_MINE} ORDER BY event_id LIMIT 100")
+def _(spark, sf):
+    return workspace(spark, sf).run_sql("SELECT event_id FROM events_v1 ORDER BY event_id", limit=100)
+
+
+@query("q6_sql_many_groups", f"SELECT event_id, CAST(count(*) AS BIGINT) AS n FROM {_MINE} GROUP BY 1")
+def _(spark, sf):
+    return workspace(spark, sf).run_sql("SELECT event_id, count(*) AS n FROM events_v1 GROUP BY event_id")
 
 
 _JOINED = """SELECT c.device_type, count(*) AS n FROM {events} e JOIN (SELECT DISTINCT device_id, device_type FROM {context}) c
@@ -85,13 +93,21 @@ def _(spark, sf):
     return workspace(spark, sf).field_values("events", "device_id", "1", 500)
 
 
+_LINE = """concat('{"device_id":"', device_id, '","event_name":"', event_name, '","n":', CAST(count(*) AS STRING), '}')"""
+
+
+@query("q10_render", f"SELECT {_LINE} AS text FROM v_events GROUP BY device_id, event_name")
+def _(spark, sf):
+    counted = events(spark, sf).groupBy("device_id", "event_name").agg(F.count("*").alias("n"))
+    return render(counted, "json")
+
+
 @query(
-    "q10_render",
-    """SELECT concat('[{"dimension":"', string_agg(concat(dimension, '","value":', CAST(n AS VARCHAR), '.0'), '},{"dimension":"'
-        ORDER BY n DESC, dimension), '}]') AS text FROM (SELECT event_name AS dimension, count(*) AS n FROM v_events GROUP BY 1)""",
+    "q10_render_table",
+    """SELECT concat(rpad(device_id, CAST(w AS INTEGER), ' '), ' | ', rpad(CAST(n AS STRING), CAST(v AS INTEGER), ' ')) AS text
+    FROM (SELECT device_id, count(*) AS n FROM v_events GROUP BY 1),
+    (SELECT greatest(9, max(length(device_id))) AS w, greatest(1, max(length(CAST(n AS STRING)))) AS v
+    FROM (SELECT device_id, count(*) AS n FROM v_events GROUP BY 1))""",
 )
 def _(spark, sf):
-    # A top list is what gets rendered: ten rows at most.
-    text = render(top_events(frames(spark, sf), Filter.over(RANGE)), "json")
-    compact = json.dumps(json.loads(text), separators=(",", ":"))
-    return spark.createDataFrame([(compact,)], "text string")
+    return render(events(spark, sf).groupBy("device_id").agg(F.count("*").alias("n")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from catalog.base import messages, query, table, texts, users
+from catalog.base import messages, query, table, users
 from catalog.base import logs as log_rows
 from catalog.ingest import scratch
 from signalspark.functions.filters import json_path
@@ -14,10 +14,9 @@ from signalspark.operators import redact as r
 from signalspark.operators import reduce as red
 from signalspark.operators import templates as tpl
 from signalspark.operators.jsonfilter import Cond, FilterConfig, json_filter
-from signalspark.session import spread
 
 def logs(spark, sf):
-    return spread(log_rows(spark, sf))
+    return log_rows(spark, sf)
 
 
 # --- JSON filter: (name, config, the kept rows in SQL)
@@ -50,11 +49,12 @@ FILTERS = [
     ("x4_starts_with", FilterConfig("keep", "all", (Cond("level", "starts_with", "c"),)), f"starts_with({_text('level')}, 'c')"),
     ("x4_ends_with", FilterConfig("keep", "all", (Cond("ok", "ends_with", "ue"),)), f"ends_with({_text('ok')}, 'ue')"),
     ("x4_regex", FilterConfig("keep", "all", (Cond("size", "regex", "^[1-3]5$"),)), f"regexp_matches({_text('size')}, '^[1-3]5$')"),
-    ("x4_nested_never", FilterConfig("keep", "all", (Cond("user", "contains", "t"),)), "false"),
+    # Nested values never hold a text, so dropping on it keeps every row.
+    ("x4_nested_never", FilterConfig("drop", "all", (Cond("user", "contains", "t"),)), "true"),
     ("x5_exists", FilterConfig("keep", "all", (Cond("note", "exists"),)), "json_type(message, '$.note') IS NOT NULL"),
     ("x6_gt", FilterConfig("keep", "all", (Cond("size", "gt", "49.5"),)), f"{_SIZE} > 49.5"),
     ("x6_lte", FilterConfig("keep", "all", (Cond("amount", "lte", "7.5"),)), f"TRY_CAST({_text('amount')} AS DOUBLE) <= 7.5"),
-    ("x6_no_number", FilterConfig("keep", "all", (Cond("level", "lt", "5"),)), "false"),
+    ("x6_no_number", FilterConfig("drop", "all", (Cond("level", "lt", "5"),)), "true"),
 ]
 
 for _name, _config, _where in FILTERS:
@@ -64,6 +64,26 @@ for _name, _config, _where in FILTERS:
         return json_filter(messages(spark, sf).drop("ts"), config)
 
 
+# Numbers in several spellings, and how the parsed value prints.
+_SPELLED = """concat('{"n":', CASE event_id % 8 WHEN 0 THEN '1.0' WHEN 1 THEN '1.50' WHEN 2 THEN '1e-7' WHEN 3 THEN
+    '100000000000000000000000' WHEN 4 THEN '12345678901234567' WHEN 5 THEN '-2.50e3' WHEN 6 THEN '0.000120' ELSE '1' END, '}')"""
+_PRINTED = """CASE event_id % 8 WHEN 0 THEN '1.0' WHEN 1 THEN '1.5' WHEN 2 THEN '1e-7' WHEN 3 THEN '1e23'
+    WHEN 4 THEN '12345678901234567' WHEN 5 THEN '-2500.0' WHEN 6 THEN '0.00012' ELSE '1' END"""
+for _name, _op, _value, _test in (
+    ("x3_eq_whole", "eq", "1.0", "= '1.0'"),
+    ("x3_ne_whole", "ne", "1", "<> '1'"),
+    ("x4_number_ends", "ends_with", "5", "LIKE '%5'"),
+    ("x4_number_contains", "contains", "e", "LIKE '%e%'"),
+    ("x4_number_regex", "regex", r"^-?[0-9]+\.[0-9]+$", "SIMILAR TO '-?[0-9]+\.[0-9]+'"),
+    ("x4_number_starts", "starts_with", "0.00012", "= '0.00012'"),
+):
+
+    @query(_name, f"SELECT event_id FROM (SELECT event_id, {_PRINTED} AS n FROM v_messages) WHERE n {_test}")
+    def _(spark, sf, op=_op, value=_value):
+        spelled = table(spark, sf, "events").selectExpr("event_id", f"{_SPELLED} AS message")
+        return json_filter(spelled, FilterConfig("keep", "all", (Cond("n", op, value),))).select("event_id")
+
+
 @query("x7_json_path", f"SELECT event_id, {_text('user.tier')} AS tier FROM v_messages")
 def _(spark, sf):
     return messages(spark, sf).select("event_id", F.get_json_object("message", json_path("user.tier")).alias("tier"))
@@ -92,7 +112,7 @@ _CONTACT = (
 
 
 def contacts(spark, sf):
-    return spread(users(spark, sf)).selectExpr("c_custkey", _CONTACT)
+    return users(spark, sf).selectExpr("c_custkey", _CONTACT)
 
 
 @query(
@@ -124,13 +144,13 @@ def _single(pattern):
 )
 def _(spark, sf):
     config = r.RedactConfig(patterns=("email",))
-    return texts(spark, sf, "documents").select("doc_id", r.redact_text(F.col("text"), config).alias("text"))
+    return table(spark, sf, "documents").select("doc_id", r.redact_text(F.col("text"), config).alias("text"))
 
 
 @query("x13_redact_text_patterns")
 def _(spark, sf):
     config = r.RedactConfig(patterns=("email", "phone", "ipv4", "iban"), strategy="hash", hash_key="k")
-    return texts(spark, sf, "conversations").select("conv_id", "turn", r.redact_text(F.col("text"), config).alias("text"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", r.redact_text(F.col("text"), config).alias("text"))
 
 
 @query("x14_redact_column", "SELECT c_custkey, '[REDACTED]' AS email, name FROM v_users")
@@ -162,7 +182,7 @@ _DIGITS = " || ".join(
         SELECT c_custkey, sha256({_OUTER} || unhex(sha256({_INNER} || encode(email)))) AS d FROM v_users))""",
 )
 def _(spark, sf):
-    df = spread(users(spark, sf)).select("c_custkey", "email")
+    df = users(spark, sf).select("c_custkey", "email")
     return r.redact_column(df, "email", "email", r.RedactConfig(strategy="hash", hash_key="secret-key", patterns=("email",)))
 
 
@@ -190,12 +210,12 @@ for _name in r.PATTERNS:
 
     @query(f"x16_pattern_{_name}", _report_sql(_name))
     def _(spark, sf, name=_name):
-        return r.pii_report(texts(spark, sf, "documents"), "text", [name])
+        return r.pii_report(table(spark, sf, "documents"), "text", [name])
 
 
 @query("x18_pii_report", " UNION ALL ".join(f"({_report_sql(n).replace('documents', 'conversations')})" for n in r.PATTERNS))
 def _(spark, sf):
-    return r.pii_report(texts(spark, sf, "conversations"), "text")
+    return r.pii_report(table(spark, sf, "conversations"), "text")
 
 
 # --- chains
@@ -333,7 +353,7 @@ def _template(text):
         SELECT unnest(string_split_regex(text, '\s+')) AS w FROM conversations) WHERE w <> '' GROUP BY 1, 2""",
 )
 def _(spark, sf):
-    words = texts(spark, sf, "conversations").select(F.explode(tpl.tokens(F.col("text"))).alias("word"))
+    words = table(spark, sf, "conversations").select(F.explode(tpl.tokens(F.col("text"))).alias("word"))
     return words.groupBy("word", tpl.is_variable(F.col("word")).alias("is_variable")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -346,7 +366,7 @@ def _(spark, sf):
 
 @query("x28_template_text", f"SELECT conv_id, turn, {_template('text')} AS template FROM conversations")
 def _(spark, sf):
-    return texts(spark, sf, "conversations").select("conv_id", "turn", tpl.mask_template(F.col("text")).alias("template"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", tpl.mask_template(F.col("text")).alias("template"))
 
 
 def _ids(partition="", where="true"):
@@ -370,7 +390,7 @@ def _(spark, sf):
 
 @query("x29_cluster_text")
 def _(spark, sf):
-    lines = texts(spark, sf, "conversations").select(
+    lines = table(spark, sf, "conversations").select(
         "conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("line", "message")
     )
     return tpl.cluster(lines, ts="conv_id", order=("turn", "line")).assigned

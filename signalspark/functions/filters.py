@@ -11,10 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from signalspark.functions.normalize import norm_ip
 from signalspark.functions.ranges import Range, parse_range
 
-MAX_LIMIT = 10_000
 DEFAULT_RANGE = "30d"
 DEFAULT_TOP = 10
 DEFAULT_DRILL = 100
@@ -138,16 +136,22 @@ def _many(operator: str, value) -> list[str]:
     return list(value)
 
 
+def _address(value: str) -> str:
+    """An address in the form in which tables store it, as ``norm_ip`` makes it."""
+    text = value.strip(" ")
+    return f"::ffff:{text}" if "." in text and ":" not in text else text
+
+
 def ip_condition(operator: str, value) -> Column:
-    """Address tests on ``source_ip``: both sides are brought to IPv6 form."""
-    column = norm_ip(F.col("source_ip"))
+    """Address tests on ``source_ip``, which holds addresses in stored form; the value may have any form."""
+    column = F.col("source_ip")
     if operator in ("is_set", "is_not_set"):
         return column.isNotNull() if operator == "is_set" else column.isNull()
     if operator in ("eq", "ne"):
-        wanted = norm_ip(F.lit(_single(operator, value)))
+        wanted = F.lit(_address(_single(operator, value)))
         return column == wanted if operator == "eq" else column != wanted
     if operator in ("in", "not_in"):
-        found = column.isin([norm_ip(F.lit(v)) for v in _many(operator, value)])
+        found = column.isin([F.lit(_address(v)) for v in _many(operator, value)])
         return found if operator == "in" else ~found
     raise ValueError(f"operator {operator} does not apply to addresses")
 
@@ -196,7 +200,7 @@ class Filter:
         return replace(self, conditions=(*self.conditions, *extra))
 
     def with_limit(self, limit: int) -> Filter:
-        return replace(self, limit=min(limit, MAX_LIMIT))
+        return replace(self, limit=limit)
 
     def where(self, event=None, service=None, level=None, source=None) -> Filter:
         """Shortcuts for the common equality tests."""
@@ -217,4 +221,4 @@ class Filter:
         return kept
 
     def capped(self, df: DataFrame) -> DataFrame:
-        return df if self.limit is None else df.limit(min(self.limit, MAX_LIMIT))
+        return df if self.limit is None else df.limit(self.limit)

@@ -55,13 +55,66 @@ def value_at(document: Column, path: str | None) -> Column:
     return F.try_variant_get(document, variant_path(path) if path else '$["doc"]', "variant")
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` applied to a value that is computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def number_text(number: Column) -> Column:
+    """A double as JSON writers print it: the fewest digits that give it back, whole numbers with
+    ``.0``, and an exponent only below 1e-5 and from 1e16 on."""
+    zero = F.lit("0")
+
+    def parts(plain: Column) -> Column:
+        whole, fraction, exponent = (
+            F.regexp_extract(plain, r"^([0-9]+)\.([0-9]+)(?:E(-?[0-9]+))?$", i) for i in (1, 2, 3)
+        )
+        return F.struct(
+            F.ltrim(whole, zero).alias("whole"),
+            F.rtrim(fraction, zero).alias("fraction"),
+            F.coalesce(exponent.try_cast("int"), F.lit(0)).alias("exponent"),
+        )
+
+    def placed(x: Column) -> Column:
+        """The significant digits, and where the point stands in them."""
+        digits = F.ltrim(F.concat(x["whole"], x["fraction"]), zero)
+        before = F.length(F.ltrim(x["fraction"], zero)) - F.length(x["fraction"])
+        point = x["exponent"] + F.when(x["whole"] != "", F.length(x["whole"])).otherwise(before)
+        return F.struct(F.rtrim(digits, zero).alias("digits"), point.alias("point"))
+
+    def written(x: Column) -> Column:
+        digits, point = x["digits"], x["point"]
+        size = F.length(digits)
+        rest = F.when(size > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), size))).otherwise("")
+        return (
+            F.when(digits == "", F.lit("0.0"))
+            .when((point >= size) & (point <= 16), F.concat(F.rpad(digits, point, "0"), F.lit(".0")))
+            .when(
+                (point > 0) & (point <= 16),
+                F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, size)),
+            )
+            .when((point > -5) & (point <= 0), F.concat(F.lit("0."), F.repeat(zero, -point), digits))
+            .otherwise(
+                F.concat(F.substring(digits, F.lit(1), F.lit(1)), rest, F.lit("e"), (point - 1).cast("string"))
+            )
+        )
+
+    text = _let(_let(_let(F.abs(number).cast("string"), parts), placed), written)
+    return F.concat(F.when(number < 0, F.lit("-")).otherwise(""), text)
+
+
 class Scalar:
     """Tests on one JSON value; every test is false where the value is missing."""
 
     def __init__(self, value: Column):
         self.value = value
         self.kind = F.schema_of_variant(value)
-        self.text = F.try_variant_get(value, "$", "string")
+        # Integers up to 64 bits print as they are, all other numbers as doubles.
+        plain, self.double = F.try_variant_get(value, "$", "string"), F.try_variant_get(value, "$", "double")
+        wide = (self.double >= 2.0**63) & (self.double < 2.0**64) & plain.rlike(r"^[0-9]+$")
+        self.is_real = F.coalesce(self.kind.startswith("DECIMAL") | self.kind.isin("DOUBLE", "FLOAT"), F.lit(False))
+        self.text = F.when(self.is_real & ~wide, number_text(self.double)).otherwise(plain)
+        self._plain = plain
         self.present = value.isNotNull()
         self.is_null = F.coalesce(self.kind == "VOID", F.lit(False))
         self.is_string = F.coalesce(self.kind == "STRING", F.lit(False))
@@ -78,8 +131,8 @@ class Scalar:
 
     def number(self) -> Column:
         """The value as a double if it is a number or number text."""
-        guarded = F.when(self.text.rlike(rf"^{NUMBER}\z"), self.text.try_cast("double"))
-        parsed = F.when(self.is_scalar & (self.kind != "BOOLEAN"), guarded)
+        guarded = F.when(self._plain.rlike(rf"^{NUMBER}\z"), self._plain.try_cast("double"))
+        parsed = F.when(self.is_scalar & (self.kind != "BOOLEAN"), F.when(self.is_string, guarded).otherwise(self.double))
         return F.when(~F.isnan(parsed), parsed)
 
 

@@ -37,10 +37,41 @@ class Range:
         return (self.end.date() - self.start.date()).days + 1
 
     def predicate(self, df: DataFrame, ts: str = "timestamp") -> Column:
-        """Both bounds as literals of the column's own type, so that they reach the scan."""
-        kind = df.schema[ts].dataType
-        low, high = (_typed_literal(moment, kind) for moment in (self.start, self.end))
-        return (F.col(ts) >= low) & (F.col(ts) <= high)
+        """Both bounds as literals of the column's own type, so that they reach the scan.
+
+        Where the table says that its folders go by the day of this column, they are bounded too.
+        """
+        high = _typed_literal(self.end, df.schema[ts].dataType)
+        return since(df, self.start, ts) & (F.col(ts) <= high) & _days(df, ts, None, self.end)
+
+    def dates(self) -> list[date]:
+        """The days whose folders may hold rows of the period; one more on either side, for any time zone."""
+        first = self.start.date() - timedelta(days=1)
+        return [first + timedelta(days=i) for i in range((self.end.date() - first).days + 2)]
+
+
+#: Key in a date column's metadata that names the time column whose day it is.
+DAY_OF = "day_of"
+
+
+def _by_day(df: DataFrame, ts: str) -> bool:
+    return "date" in df.columns and df.schema["date"].metadata.get(DAY_OF) == ts
+
+
+def _days(df: DataFrame, ts: str, low: datetime | None, high: datetime | None) -> Column:
+    """Bounds on the day folders, a day wider on either side than the times, for any time zone."""
+    day, test = timedelta(days=1), F.lit(True)
+    if _by_day(df, ts):
+        if low is not None:
+            test &= F.col("date") >= F.lit((low - day).strftime("%Y-%m-%d")).cast("date")
+        if high is not None:
+            test &= F.col("date") <= F.lit((high + day).strftime("%Y-%m-%d")).cast("date")
+    return test
+
+
+def since(df: DataFrame, moment: datetime, ts: str = "timestamp") -> Column:
+    """Rows from a moment on, bounded by day folders too where there are any."""
+    return (F.col(ts) >= _typed_literal(moment, df.schema[ts].dataType)) & _days(df, ts, moment, None)
 
 
 def _typed_literal(moment: datetime, kind: T.DataType) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalspark.functions.buckets import bucket, bucket_offset
-from signalspark.functions.filters import DEFAULT_DRILL, DEFAULT_TOP, MAX_LIMIT, Filter, field_column
+from signalspark.functions.filters import DEFAULT_DRILL, DEFAULT_TOP, Filter, field_column
 
 
 def _value(agg: Column) -> Column:
@@ -55,7 +55,7 @@ def top_n(df: DataFrame, field: str, f: Filter, ts: str = "timestamp", n: int =
     counted = kept.groupBy(field_column(kept, field).cast("string").alias("dimension")).agg(
         F.count(F.lit(1)).cast("double").alias("value")
     )
-    return counted.orderBy(F.desc("value"), F.asc("dimension")).limit(min(n, MAX_LIMIT))
+    return counted.orderBy(F.desc("value"), F.asc("dimension")).limit(n)
 
 
 _FUNCTIONS = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count}
@@ -76,7 +76,7 @@ def raw_data(
 ) -> DataFrame:
     """The newest n rows; equal times are ordered by the shown columns."""
     ties = [F.asc_nulls_first(name) for name in columns if name != ts]
-    return f.apply(df, ts).select(*columns).orderBy(F.desc(ts), *ties).limit(min(n, MAX_LIMIT))
+    return f.apply(df, ts).select(*columns).orderBy(F.desc(ts), *ties).limit(n)
 
 
 def distinct_values(
@@ -84,7 +84,7 @@ def distinct_values(
 ) -> DataFrame:
     kept = f.apply(df, ts)
     values = kept.select(field_column(kept, column).alias(column.split(".")[-1])).distinct()
-    return values.orderBy(F.asc_nulls_first(values.columns[0])).limit(min(n, MAX_LIMIT))
+    return values.orderBy(F.asc_nulls_first(values.columns[0])).limit(n)
 
 
 def to_points(df: DataFrame) -> DataFrame:

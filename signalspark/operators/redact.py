@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import json
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -112,10 +113,10 @@ class RedactConfig:
 # The email pattern begins with an open-ended run of characters, which a backtracking matcher tries
 # again from every place inside a long run. This form finds the same matches, but takes each run
 # from its start, or from where the last match ended, and once only.
+_RUN_ONLY = r"(?<![a-zA-Z0-9._%+-])"
+_RUN_START = rf"(?:\G|{_RUN_ONLY})"
 _ONE_TRY_PER_RUN = {
-    PATTERNS["email"]: (
-        r"(?:\G|(?<![a-zA-Z0-9._%+-]))[a-zA-Z0-9._%+-]++@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
-    )
+    PATTERNS["email"]: _RUN_START + r"[a-zA-Z0-9._%+-]++@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 }
 
 
@@ -235,14 +236,40 @@ def _refuse(name: str):
     raise ValueError(f"{name} is not JSON")
 
 
+def _finite(text: str) -> float:
+    number = float(text)
+    if math.isinf(number):
+        raise ValueError(f"{text} is out of range")
+    return number
+
+
+class _Finder:
+    """Non-empty matches of a pattern in order; a run that cannot begin a match is tried once, not from every place."""
+
+    def __init__(self, regex: str):
+        once = _ONE_TRY_PER_RUN.get(regex)
+        # Where a match may begin: anywhere, or at the start of a run or where the last match ended.
+        self.anywhere = re.compile(regex if once is None else once.replace(_RUN_START, _RUN_ONLY))
+        self.here = None if once is None else re.compile(once.replace(_RUN_START, ""))
+
+    def __call__(self, text: str) -> Iterator[str]:
+        if self.here is None:
+            yield from (m[0] for m in self.anywhere.finditer(text) if m[0])
+            return
+        at = 0
+        while found := self.here.match(text, at) or self.anywhere.search(text, at):
+            yield found[0]
+            at = found.end()
+
+
 class _JsonRedactor:
     """Rewrites one message at a time inside a task."""
 
     def __init__(self, config: RedactConfig):
         self.config = config
-        self.scanned = [(re.compile(regex), prefix) for regex, prefix in config.scanned()]
+        self.scanned = [(_Finder(regex), prefix) for regex, prefix in config.scanned()]
         self.targets = [
-            (t.path.split("."), [(re.compile(r), p) for r, p in config.named(t.pattern)], t.strategy or config.strategy)
+            (t.path.split("."), [(_Finder(r), p) for r, p in config.named(t.pattern)], t.strategy or config.strategy)
             for t in config.fields
         ]
 
@@ -251,10 +278,9 @@ class _JsonRedactor:
 
     def text(self, value: str) -> str:
         result = value
-        for regex, prefix in self.scanned:
-            for match in regex.finditer(value):
-                if match[0]:
-                    result = result.replace(match[0], self.replacement(match[0], prefix, self.config.strategy))
+        for finder, prefix in self.scanned:
+            for match in finder(value):
+                result = result.replace(match, self.replacement(match, prefix, self.config.strategy))
         return result
 
     def scan(self, value):
@@ -271,8 +297,8 @@ class _JsonRedactor:
             document = document.get(part) if isinstance(document, dict) else None
         value = document.get(path[-1]) if isinstance(document, dict) else None
         if isinstance(value, str):
-            for regex, prefix in regexes:
-                if regex.search(value):
+            for finder, prefix in regexes:
+                if next(finder(value), None) is not None:
                     document[path[-1]] = self.replacement(value, prefix, strategy)
                     return
 
@@ -280,13 +306,13 @@ class _JsonRedactor:
         if text is None:
             return None
         try:
-            document = json.loads(text, parse_constant=_refuse)
-        except ValueError:
+            document = json.loads(text, parse_constant=_refuse, parse_float=_finite)
+            for target in self.targets:
+                self.target(document, *target)
+            if self.config.scan_all:
+                document = self.scan(document)
+        except (ValueError, RecursionError):  # no JSON, a number out of range, or nested too deeply
             return self.text(text) if self.config.scan_all else text
-        for target in self.targets:
-            self.target(document, *target)
-        if self.config.scan_all:
-            document = self.scan(document)
         return json.dumps(document, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 

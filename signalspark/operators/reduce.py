@@ -66,7 +66,7 @@ def epoch_ms(df: DataFrame, ts: str) -> Column:
     return F.unix_millis(F.col(ts).cast("timestamp"))
 
 
-def _next_start(ts: np.ndarray, ends: np.ndarray, window: int, most: int) -> np.ndarray:
+def next_start(ts: np.ndarray, ends: np.ndarray, window: int, most: int) -> np.ndarray:
     """For each row, where the following group begins if one begins here; ``ends`` closes each key's run."""
     size = len(ts)
     rank = np.cumsum(np.concatenate(([0], (ends[1:] != ends[:-1]).astype(np.int64))))
@@ -85,19 +85,21 @@ def _run_ends(changed: np.ndarray, size: int) -> np.ndarray:
 
 
 def _changes(keys: pa.Array, before) -> np.ndarray:
-    """Whether each key differs from the one above it, ``before`` standing above the first."""
-    size = len(keys)
-    first = pa.array([keys[0].as_py() != before])
-    if size == 1:
-        return first.to_numpy(zero_copy_only=False)
-    rest = pc.not_equal(keys.slice(1), keys.slice(0, size - 1))
-    return pa.concat_arrays([first, rest.combine_chunks() if isinstance(rest, pa.ChunkedArray) else rest]).to_numpy(
-        zero_copy_only=False
-    )
+    """Whether each key differs from the one above it, ``before`` standing above the first; nulls are equal."""
+    if isinstance(keys, pa.ChunkedArray):
+        keys = keys.combine_chunks()
+    out = np.ones(len(keys), bool)
+    out[0] = keys[0].as_py() != before
+    if len(keys) > 1:
+        above, below = keys.slice(0, len(keys) - 1), keys.slice(1)
+        same = pc.fill_null(pc.equal(above, below), False).to_numpy(zero_copy_only=False)
+        none = keys.is_null().to_numpy(zero_copy_only=False)
+        out[1:] = ~(same | (none[1:] & none[:-1]))
+    return out
 
 
 REPORT = (
-    "part int, key string, leads boolean, rows bigint, last_ts bigint,"
+    "part int, key string, leads boolean, closes boolean, rows bigint, last_ts bigint,"
     " head_ts array<bigint>, exit_ts array<bigint>, exit_count array<bigint>"
 )
 
@@ -109,18 +111,14 @@ def _exits(ts: np.ndarray, window: int, most: int) -> tuple[list[int], list[int]
     the head: when the group left open at the end of the run began, and its size (0: none open).
     """
     size = len(ts)
-    following = _next_start(ts, np.full(size, size), window, most)
+    following = next_start(ts, np.full(size, size), window, most)
     reach = int(min(size, most, np.searchsorted(ts, ts[0] + window, side="left") + 1))
-    begun, count = np.empty(size, np.int64), np.empty(size, np.int64)
-    steps = following.tolist()
-    for i in range(size - 1, -1, -1):
-        step = steps[i]
-        if step < size:
-            begun[i], count[i] = begun[step], count[step]
-        else:
-            held = size - i
-            begun[i], count[i] = ts[i], held if held < most else 0
-    return ts[:reach].tolist(), begun[:reach].tolist(), count[:reach].tolist()
+    # Where the chain of groups that begins at a row ends, by doubling the steps.
+    last = np.where(following < size, following, np.arange(size))
+    while not np.array_equal(last, further := last[last]):
+        last = further
+    held = size - last
+    return ts[:reach].tolist(), ts[last][:reach].tolist(), np.where(held < most, held, 0)[:reach].tolist()
 
 
 def _report(window: int, most: int):
@@ -132,7 +130,7 @@ def _report(window: int, most: int):
         rows: list[dict] = []
         started = False
 
-        def close(leads: bool) -> None:
+        def close(leads: bool, closes: bool) -> None:
             ts = np.concatenate(runs)
             head, begun, count = _exits(ts, window, most)
             if not leads:  # nothing can be carried into a key that begins here
@@ -142,6 +140,7 @@ def _report(window: int, most: int):
                     "part": part,
                     "key": last_key,
                     "leads": leads,
+                    "closes": closes,
                     "rows": len(ts),
                     "last_ts": int(ts[-1]),
                     "head_ts": head,
@@ -164,11 +163,11 @@ def _report(window: int, most: int):
             runs.append(ts[: starts[0]])
             if not rows:  # the leading key ends here
                 if len(runs) and sum(map(len, runs)):
-                    close(leads=True)
+                    close(leads=True, closes=False)
             runs = [ts[starts[-1] :]]
             last_key = keys[int(starts[-1])].as_py()
         if started:
-            close(leads=not rows)
+            close(leads=not rows, closes=True)
         if rows:
             yield from pa.Table.from_pylist(rows, schema=_REPORT_SCHEMA).to_batches()
 
@@ -180,6 +179,7 @@ _REPORT_SCHEMA = pa.schema(
         ("part", pa.int32()),
         ("key", pa.string()),
         ("leads", pa.bool_()),
+        ("closes", pa.bool_()),
         ("rows", pa.int64()),
         ("last_ts", pa.int64()),
         ("head_ts", pa.list_(pa.int64())),
@@ -208,7 +208,7 @@ def _follow(window: int, most: int):
                     settle()
                     key, open_group = row.key, None
                 if not row.leads or open_group is None:
-                    if row.exit_count[0] > 0:
+                    if row.closes and row.exit_count[0] > 0:
                         open_group = (row.part, int(row.exit_ts[0]), int(row.exit_count[0]), int(row.last_ts))
                     continue
                 origin, begun, count, last = open_group
@@ -218,14 +218,14 @@ def _follow(window: int, most: int):
                     total = count + int(row.rows)
                     verdicts.append((row.part, int(row.rows), None, None))
                     open_group = (origin, begun, total, int(row.last_ts))
-                    if total == most:
+                    if total == most or not row.closes:
                         settle()
                         open_group = None
                     continue
                 verdicts.append((row.part, taken, None, None))
                 open_group = (origin, begun, count + taken, int(head[taken - 1]) if taken else last)
                 settle()
-                left = int(row.exit_count[taken])
+                left = int(row.exit_count[taken]) if row.closes else 0
                 open_group = (row.part, int(row.exit_ts[taken]), left, int(row.last_ts)) if left else None
             if verdicts:
                 yield pd.DataFrame(verdicts, columns=["part", "skip", "final_count", "final_ts"])
@@ -237,16 +237,21 @@ def _follow(window: int, most: int):
     return run
 
 
-def _emit(window: int, most: int, skips: dict[int, int], finals: dict[int, tuple[int, int]]):
-    """The groups that begin in a partition, each with its first row, size and last time."""
+def _emit(window: int, most: int):
+    """The groups that begin in a partition, each with its first row, size and last time.
+
+    Every row carries what was settled about its partition: how many rows to skip, and the size and
+    last time of the group that is open at its end.
+    """
+    settled = ("skip", "final_count", "final_ts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, key, skip = None, None, 0
+        started, key, skip, final = False, None, 0, (None, None)
         held = None  # (first row as a batch of one, begun at, events so far, last event)
 
         def group(rows: pa.RecordBatch, counts, lasts) -> pa.RecordBatch:
-            columns = [rows.column(name) for name in rows.schema.names if name != "part"]
-            names = [name for name in rows.schema.names if name != "part"]
+            names = [name for name in rows.schema.names if name not in ("part", *settled)]
+            columns = [rows.column(name) for name in names]
             return pa.RecordBatch.from_arrays(
                 [*columns, pa.array(counts, pa.int64()), pa.array(lasts, pa.int64())], [*names, "count", "last_ts"]
             )
@@ -254,9 +259,10 @@ def _emit(window: int, most: int, skips: dict[int, int], finals: dict[int, tuple
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            if part is None:
-                part = batch["part"][0].as_py()
-                skip = skips.get(part, 0)
+            if not started:
+                started = True
+                skip = batch["skip"][0].as_py() or 0
+                final = (batch["final_count"][0].as_py(), batch["final_ts"][0].as_py())
                 key = batch["key"][0].as_py()
             if skip:
                 cut = min(skip, batch.num_rows)
@@ -278,7 +284,7 @@ def _emit(window: int, most: int, skips: dict[int, int], finals: dict[int, tuple
                     held = None
                 else:
                     held = (held[0], held[1], count, last)
-            following = _next_start(ts, ends, window, most).tolist()
+            following = next_start(ts, ends, window, most).tolist()
             starts = []
             while at < size:
                 starts.append(at)
@@ -295,7 +301,7 @@ def _emit(window: int, most: int, skips: dict[int, int], finals: dict[int, tuple
                 stops = np.array([following[i] for i in starts])
                 yield group(batch.take(pa.array(picked)), stops - picked, ts[stops - 1])
         if held is not None:
-            count, last = finals.get(part, (held[2], held[3]))
+            count, last = (held[2], held[3]) if final[0] is None else final
             yield group(held[0], [count], [last])
 
     return run
@@ -320,13 +326,14 @@ def reduce_groups(
     ordered = ranged.sortWithinPartitions(*places).withColumn("part", F.spark_partition_id()).checkpoint()
     reports = ordered.select("part", "key", "ts").mapInArrow(_report(window_ms, max_events), REPORT)
     followed = reports.repartition("key").sortWithinPartitions("key", "part", F.desc("leads"))
-    # At most two short rows per partition of the input come back to the driver.
-    verdicts = followed.mapInPandas(_follow(window_ms, max_events), VERDICT).collect()
-    skips = {v.part: int(v.skip) for v in verdicts if v.skip is not None}
-    finals = {v.part: (int(v.final_count), int(v.final_ts)) for v in verdicts if v.final_count is not None}
+    # One row per partition of the input.
+    verdicts = followed.mapInPandas(_follow(window_ms, max_events), VERDICT).groupBy("part").agg(
+        *(F.max(c).alias(c) for c in ("skip", "final_count", "final_ts"))
+    )
     fields = [f for f in ordered.schema.fields if f.name != "part"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", count bigint, last_ts bigint"
-    return ordered.mapInArrow(_emit(window_ms, max_events, skips, finals), schema).withColumnRenamed("ts", "first_ts")
+    told = ordered.join(F.broadcast(verdicts), "part", "left")  # keeps the order of the rows
+    return told.mapInArrow(_emit(window_ms, max_events), schema).withColumnRenamed("ts", "first_ts")
 
 
 def with_reduction(df: DataFrame, min_events: int, message: str = "message") -> DataFrame:

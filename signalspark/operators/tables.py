@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalspark.functions import normalize as n
-from signalspark.functions.ranges import _typed_literal
+from signalspark.functions.ranges import since
 from signalspark.schema import CONTEXT_FIELDS, RETENTION_YEARS, UNSTORED_TYPES, Frames
 
 
@@ -145,16 +145,23 @@ def latest_patterns(df: DataFrame) -> DataFrame:
     return latest(df, ["pattern_id"], "last_updated")
 
 
-def apply_ttl(df: DataFrame, table: str, now: datetime, ts: str = "timestamp") -> DataFrame:
-    """Rows within the table's retention; tables without one keep everything."""
+def oldest_kept(table: str, now: datetime) -> datetime | None:
+    """The start of a table's retention; None for tables that keep everything."""
     years = RETENTION_YEARS.get(table)
     if years is None:
-        return df
+        return None
     try:
-        oldest = now.replace(year=now.year - years)
+        return now.replace(year=now.year - years)
     except ValueError:  # 29 February
-        oldest = now.replace(year=now.year - years, day=28)
-    return df.where(F.col(ts) >= _typed_literal(oldest, df.schema[ts].dataType))
+        return now.replace(year=now.year - years, day=28)
+
+
+def apply_ttl(df: DataFrame, table: str, now: datetime, ts: str = "timestamp") -> DataFrame:
+    """Rows within the table's retention; tables without one keep everything."""
+    oldest = oldest_kept(table, now)
+    if oldest is None:
+        return df
+    return df.where(since(df, oldest, ts))
 
 
 def events_with_context(events: DataFrame, context: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -168,15 +175,17 @@ def events_with_context(events: DataFrame, context: DataFrame, columns: list[str
     return events.join(device, "device_id")
 
 
-def session_timeline(session_id: str, frames: Frames, spans: DataFrame | None = None,
-                     metrics: DataFrame | None = None) -> DataFrame:
-    """Everything recorded under one session, in order of time."""
+def session_timeline(session_id: str | Column, frames: Frames, spans: DataFrame | None = None,
+                     metrics: DataFrame | None = None, period: Range | None = None) -> DataFrame:
+    """Everything recorded under one session, in order of time; ``period`` bounds what is scanned."""
     sources = {"event": frames.find("events"), "log": frames.find("logs"), "span": spans, "metric": metrics}
     parts = []
     for signal, df in sources.items():
         if df is None:
             continue
         label = {"event": "event_name", "log": "message", "span": "name", "metric": "name"}[signal]
+        if period is not None:
+            df = df.where(period.predicate(df))
         parts.append(
             df.where(F.col("session_id") == session_id).select(
                 F.lit(signal).alias("signal"), "timestamp", "session_id", F.col(label).alias("label")

@@ -5,15 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalspark.schema import TABLES
 from signalspark.sources import lake
 
 DEFAULT_LIMIT = 1000
-MAX_LIMIT = 10_000
-MAX_VALUES = 1000
+DEFAULT_VALUES = 1000
 MAX_SEARCH = 100
 
 # Words that never belong in a read-only query.
@@ -66,12 +65,12 @@ def _bare(text: str) -> str:
 def _check(text: str, starts: tuple[str, ...]) -> None:
     bare = _bare(text)
     if not re.match(rf"(?:{'|'.join(starts)})\b", bare, re.I):
-        raise ValueError(f"only {' and '.join(starts)} queries are allowed")
+        raise ValueError(f"a query begins with {' or '.join(starts)}")
     if ";" in bare.rstrip().removesuffix(";"):
-        raise ValueError("multiple statements are not allowed")
+        raise ValueError("send one statement at a time")
     found = re.search(rf"\b({'|'.join([*BANNED, 'INTO'])})\b", bare, re.I)
     if found:
-        raise ValueError(f"{found[1].upper()} is not allowed in queries")
+        raise ValueError(f"{found[1].upper()} has no place in a query that only reads")
 
 
 def validate_sql(text: str) -> None:
@@ -84,6 +83,12 @@ def validate_sql_strict(text: str) -> None:
     _check(text, ("SELECT",))
 
 
+def has_limit(text: str) -> bool:
+    """Whether the statement as a whole ends in a LIMIT; limits of subqueries do not count."""
+    last = _bare(text).rstrip().removesuffix(";").rstrip()
+    return re.search(r"\bLIMIT\s+[^()]*$", last, re.I) is not None
+
+
 def normalise_table_names(text: str, workspace: int) -> str:
     """``<workspace>.<table>`` becomes ``<table>`` for known tables; another workspace's is an error."""
     known = "|".join([*TABLES, *lake.ALIASES])
@@ -119,13 +124,17 @@ class Workspace:
         lake.register_tables(made.session, base, workspace)
         return made
 
-    def run_sql(self, text: str, limit: int = DEFAULT_LIMIT, strict: bool = False) -> DataFrame:
-        """The query's rows, at most ``limit`` and never more than 10,000."""
+    def run_sql(self, text: str, limit: int | None = None, strict: bool = False) -> DataFrame:
+        """All rows of the query.
+
+        limit: how many rows at most if the text sets no limit of its own; one in the text stands.
+        """
         (validate_sql_strict if strict else validate_sql)(text)
         plain = normalise_table_names(text, self.id).strip().removesuffix(";")
-        return self.session.sql(plain).limit(min(limit, MAX_LIMIT))
+        found = self.session.sql(plain)
+        return found if limit is None or has_limit(text) else found.limit(limit)
 
-    def field_values(self, source: str, field: str, search: str | None = None, n: int = MAX_VALUES) -> DataFrame:
+    def field_values(self, source: str, field: str, search: str | None = None, n: int = DEFAULT_VALUES) -> DataFrame:
         """Distinct values of a catalogued field, optionally those that hold a text."""
         if source not in SOURCES:
             raise ValueError(f"unknown source {source!r}")
@@ -141,7 +150,7 @@ def workspace_views(session: SparkSession, workspace: int, tables: Mapping[str,
     return sorted(tables)
 
 
-def field_values(df: DataFrame, field: str, search: str | None = None, n: int = MAX_VALUES) -> DataFrame:
+def field_values(df: DataFrame, field: str, search: str | None = None, n: int = DEFAULT_VALUES) -> DataFrame:
     value = F.col(field).cast("string")
     if search:
         if len(search) > MAX_SEARCH:
@@ -149,9 +158,7 @@ def field_values(df: DataFrame, field: str, search: str | None = None, n: int =
         if not all(c.isalnum() or c in " -_." for c in search):
             raise ValueError("search term holds characters that are not allowed")
         df = df.where(F.contains(value, F.lit(search)))
-    return df.select(value.alias(field)).where(F.col(field).isNotNull()).distinct().orderBy(field).limit(
-        min(n, MAX_VALUES)
-    )
+    return df.select(value.alias(field)).where(F.col(field).isNotNull()).distinct().orderBy(field).limit(n)
 
 
 def list_sources() -> dict[str, str]:
@@ -164,21 +171,45 @@ def list_fields(source: str) -> dict[str, str]:
     return dict(FIELDS[source])
 
 
-def render(df: DataFrame, fmt: str = "table", rows: int = MAX_LIMIT) -> str:
-    """A result for display, at most ``rows`` rows, as a table, JSON or CSV text."""
-    if fmt not in ("table", "json", "csv"):
+def _cell(df: DataFrame, name: str) -> Column:
+    return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("NULL"))
+
+
+def render(df: DataFrame, fmt: str = "table") -> DataFrame:
+    """A result as lines of text in one column ``text``, row by row in the result's order.
+
+    json: one object per row; csv: one record per row; table: cells of equal width. Every row and
+    every cell comes whole. ``heading`` gives the line above the rows.
+    """
+    if fmt == "json":
+        return df.select(F.to_json(F.struct("*")).alias("text"))
+    if fmt == "csv":
+        return df.select(F.to_csv(F.struct("*")).alias("text"))
+    if fmt != "table":
         raise ValueError(f"unknown format {fmt!r}")
-    shown = df.limit(min(rows, MAX_LIMIT))
+    widths = _widths(df)
+    cells = [F.rpad(_cell(df, name), widths[name], " ") for name in df.columns]
+    return df.select(F.concat_ws(" | ", *cells).alias("text"))
+
+
+def _widths(df: DataFrame) -> dict[str, int]:
+    """The width of each column in characters, names included; one row comes to the driver."""
+    found = df.agg(*(F.max(F.length(_cell(df, name))) for name in df.columns)).first()
+    return {name: max(len(name), most or 0) for name, most in zip(df.columns, found)}
+
+
+def heading(df: DataFrame, fmt: str = "table") -> str:
+    """Column names as the first line of a table or of CSV; nothing for JSON."""
     if fmt == "json":
-        return "[" + ",\n".join(shown.toJSON().collect()) + "]"
-    frame = shown.toPandas()
+        return ""
+    if fmt == "csv":
+        return ",".join(df.columns)
+    return " | ".join(name.ljust(width) for name, width in _widths(df).items())
+
+
+def write_result(df: DataFrame, path: str, fmt: str = "json") -> None:
+    """A result as files: JSON lines, CSV with a heading in every file, or table lines."""
     if fmt == "csv":
-        return frame.to_csv(index=False, lineterminator="\n")
-    if frame.empty:
-        return "(empty result)"
-    cells = [[("NULL" if v is None else str(v)) for v in row] for row in frame.itertuples(index=False)]
-    cut = [[c if len(c) <= 50 else c[:47] + "..." for c in row] for row in cells]
-    widths = [max(len(str(h)), *(len(row[i]) for row in cut)) for i, h in enumerate(frame.columns)]
-    lines = [" | ".join(str(h).ljust(w) for h, w in zip(frame.columns, widths)), "-+-".join("-" * w for w in widths)]
-    lines += [" | ".join(c.ljust(w) for c, w in zip(row, widths)) for row in cut]
-    return "\n".join(lines)
+        df.write.option("header", True).csv(path)
+    else:
+        render(df, fmt).write.text(path)

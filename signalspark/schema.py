@@ -23,6 +23,14 @@ TABLES = [
     "pattern_groups",
 ]
 
+# The column that holds a table's own time, where it is not ``timestamp``.
+TIME_COLUMNS = {
+    "users_v1": "updated_at",
+    "user_devices": "linked_at",
+    "user_traits": "updated_at",
+    "pattern_registry": "last_updated",
+}
+
 # Storage severities by level name (RFC 5424 order, then TRACE).
 SEVERITY = {
     "EMERGENCY": 0,

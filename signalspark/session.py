@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def build_session(app: str = "signalspark", master: str | None = None, conf: dict | None = None) -> SparkSession:
@@ -23,6 +21,7 @@ def build_session(app: str = "signalspark", master: str | None = None, conf: dic
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.variant.allowDuplicateKeys": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **(conf or {}),
     }
     for key, value in settings.items():
@@ -31,25 +30,9 @@ def build_session(app: str = "signalspark", master: str | None = None, conf: dic
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the session's own, else a temporary one in local mode only."""
+    """The folder for checkpoints: the context's or the session's, else one in the warehouse, which all executors share."""
     context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        named = tempfile.mkdtemp(prefix="signalspark-checkpoint-")
-    context.setCheckpointDir(named)
+    if not context.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
     return context.getCheckpointDir()
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of an input with fewer splits than cores out over all cores.
-
-    Meant for scans in front of costly text work. Inputs with enough splits stay as they are, so
-    nothing large is ever shuffled for this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from signalspark.functions.normalize import norm_ip
 from signalspark.operators import tables
+from signalspark.schema import TIME_COLUMNS
 
 # Accepted codec names, and column order of file rows (filters first, payload last).
 CODECS = {"snappy": "snappy", "lz4": "lz4", "zstd": "zstd", "none": "uncompressed"}
@@ -66,9 +68,11 @@ def write_parquet(
     codec: str = "snappy",
     mode: str = "append",
     now: datetime | None = None,
+    batch: str | None = None,
 ) -> None:
     """Files under workspace / date / hour of receipt.
 
+    batch: a name for the batch, which becomes one more folder; writing it again replaces its own rows.
     The rebalance hint gathers each folder's rows into few files and lets AQE split a folder
     that is much larger than the others; sorting by time narrows the row-group statistics.
     """
@@ -79,51 +83,68 @@ def write_parquet(
     if rotation == "hourly":
         stamped = stamped.withColumn("hour", F.date_format("batch_timestamp", "HH"))
         folders.append("hour")
+    if batch is not None:
+        stamped, mode = stamped.withColumn("batch_id", F.lit(batch)), "overwrite"
+        folders.append("batch_id")
     (
         stamped.hint("rebalance", *folders)
         .sortWithinPartitions(*folders, "timestamp")
         .write.mode(mode)
+        .option("partitionOverwriteMode", "dynamic")
         .option("compression", CODECS[codec])
         .partitionBy(*folders)
         .parquet(path)
     )
 
 
-# The column that holds each table's own time.
-TIME_COLUMNS = {"users_v1": "updated_at", "user_devices": "linked_at", "user_traits": "updated_at"}
+def write_table(df: DataFrame, base: str, table: str, batch: str | None = None) -> None:
+    """Add one batch's rows to a table, under workspace, day and batch.
 
-
-def write_table(df: DataFrame, base: str, table: str, batch_id: int = 0) -> None:
-    """One table's rows of one batch; writing the batch again replaces them."""
+    batch: a name for the batch. Writing a batch again replaces its own folders and no others, so a
+    stream's retries leave one copy; without a name every write is a batch of its own.
+    """
     ts = TIME_COLUMNS.get(table, "timestamp")
     folders = ["workspace_id", "date"]
     (
         with_workspace(df)
-        .withColumn("date", F.to_date(ts))
+        .withColumns({"date": F.to_date(ts), "batch_id": F.lit(batch or uuid.uuid4().hex)})
         .hint("rebalance", *folders)
         .sortWithinPartitions(*folders, ts)
         .write.mode("overwrite")
-        .partitionBy(*folders)
-        .parquet(f"{base.rstrip('/')}/{table}/batch_id={batch_id}")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*folders, "batch_id")
+        .parquet(f"{base.rstrip('/')}/{table}")
     )
 
 
 def write_tables(
     base: str, events: DataFrame | None = None, logs: DataFrame | None = None,
-    snapshots: DataFrame | None = None, batch_id: int = 0,
+    snapshots: DataFrame | None = None, batch: str | None = None,
 ) -> None:
     """Fan one batch out into the seven typed tables; the input is computed once and kept meanwhile."""
+    batch = batch or uuid.uuid4().hex
     if events is not None:
         kept = events.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             for table, build in tables.EVENT_TABLES.items():
-                write_table(build(kept), base, table, batch_id)
+                write_table(build(kept), base, table, batch)
         finally:
             kept.unpersist()
     if logs is not None:
-        write_table(tables.to_logs(logs), base, "logs_v1", batch_id)
+        write_table(tables.to_logs(logs), base, "logs_v1", batch)
     if snapshots is not None:
-        write_table(snapshots, base, "snapshots_v1", batch_id)
+        write_table(snapshots, base, "snapshots_v1", batch)
+
+
+def write_batch(df: DataFrame, path: str, batch: str) -> None:
+    """Add a batch's rows to a folder; writing the batch again replaces its own."""
+    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch}")
+
+
+def stream_batch(batch: DataFrame, batch_id: int) -> str:
+    """A name for a stream's micro-batch that its retries share and no other query's batch has."""
+    query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    return f"{query or 'batch'}-{batch_id}"
 
 
 def escape_text(col: Column) -> Column:
@@ -219,10 +240,20 @@ def retrying(write: Callable[[DataFrame, int], None], attempts: int = 3, delay:
     return run
 
 
-def jdbc_writer(options: dict[str, str], attempts: int = 3) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that appends each micro-batch to a database table."""
+def jdbc_writer(
+    options: dict[str, str], attempts: int = 3, clear: Callable[[str], None] | None = None
+) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that appends each micro-batch to a database table.
+
+    Every row gets the batch's name as ``batch_id``. clear: called with that name before each
+    attempt, to delete what an earlier attempt at the same batch left; without it a retry after a
+    partly done write repeats rows, which readers can tell by key and ``batch_id``.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.format("jdbc").options(**options).mode("append").save()
+        name = stream_batch(batch, batch_id)
+        if clear is not None:
+            clear(name)
+        batch.withColumn("batch_id", F.lit(name)).write.format("jdbc").options(**options).mode("append").save()
 
     return retrying(write, attempts)

@@ -100,12 +100,15 @@ def build_log_payload(df: DataFrame) -> DataFrame:
     return with_object(df, "payload", sources)
 
 
-def parse_event_lines(lines: DataFrame, now_ms: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Events and rejected lines. ``traits`` stays beside the payload so that it reaches the trait table."""
-    checked = _checked(lines, ["type", "device_id"], ["event", "session_id", "user_id", "group_id"], [],
-                       ["properties", "traits", "context"], device=True)
-    carried = [c for c in lines.columns if c != "value"]
-    good = build_payload(checked.where(F.col("_error").isNull())).select(
+def check_event_lines(lines: DataFrame) -> DataFrame:
+    """Lines parsed once, for ``events_of`` and ``rejected_of``."""
+    return _checked(lines, ["type", "device_id"], ["event", "session_id", "user_id", "group_id"], [],
+                    ["properties", "traits", "context"], device=True)
+
+
+def events_of(checked: DataFrame, now_ms: int | None = None) -> DataFrame:
+    """Events. ``traits`` stays beside the payload so that it reaches the trait table."""
+    return build_payload(checked.where(F.col("_error").isNull())).select(
         n.norm_event_type(_text("type")).alias("event_type"),
         n.ts_from_ms(_stamp(), now_ms).alias("timestamp"),
         n.norm_uuid(_text("device_id")).alias("device_id"),
@@ -113,17 +116,19 @@ def parse_event_lines(lines: DataFrame, now_ms: int | None = None) -> tuple[Data
         _text("event").alias("event_name"),
         "payload",
         F.to_json(_object("traits")).alias("traits"),
-        *carried,
+        *_carried(checked),
     )
-    return good, _rejected(checked, carried)
 
 
-def parse_log_lines(lines: DataFrame, now_ms: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Log entries and rejected lines; level info and type log are the defaults."""
-    checked = _checked(lines, ["message"], ["source", "service", "session_id"], ["level", "type"], ["data"], device=False)
-    carried = [c for c in lines.columns if c != "value"]
+def check_log_lines(lines: DataFrame) -> DataFrame:
+    """Lines parsed once, for ``logs_of`` and ``rejected_of``."""
+    return _checked(lines, ["message"], ["source", "service", "session_id"], ["level", "type"], ["data"], device=False)
+
+
+def logs_of(checked: DataFrame, now_ms: int | None = None) -> DataFrame:
+    """Log entries; level info and type log are the defaults."""
     kind = F.lower(F.coalesce(_text("type"), F.lit("log")))
-    good = build_log_payload(checked.where(F.col("_error").isNull())).select(
+    return build_log_payload(checked.where(F.col("_error").isNull())).select(
         F.when(kind.isin("log", "enrich"), kind).otherwise(F.lit("unknown")).alias("event_type"),
         n.norm_log_level(F.coalesce(_text("level"), F.lit("info"))).alias("level"),
         n.ts_from_ms(_stamp(), now_ms).alias("timestamp"),
@@ -131,17 +136,33 @@ def parse_log_lines(lines: DataFrame, now_ms: int | None = None) -> tuple[DataFr
         _text("service").alias("service"),
         n.norm_uuid(_text("session_id")).alias("session_id"),
         "payload",
-        *carried,
+        *_carried(checked),
     )
-    return good, _rejected(checked, carried)
 
 
-def _rejected(checked: DataFrame, carried: list[str]) -> DataFrame:
+def rejected_of(checked: DataFrame) -> DataFrame:
+    """The other lines and why they were rejected."""
     return checked.where(F.col("_error").isNotNull()).select(
-        F.col("value").alias("line"), F.col("_error").alias("error"), *carried
+        F.col("value").alias("line"), F.col("_error").alias("error"), *_carried(checked)
     )
 
 
+def _carried(checked: DataFrame) -> list[str]:
+    return [c for c in checked.columns if c != "value" and not c.startswith("_")]
+
+
+def parse_event_lines(lines: DataFrame, now_ms: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Events and rejected lines."""
+    checked = check_event_lines(lines)
+    return events_of(checked, now_ms), rejected_of(checked)
+
+
+def parse_log_lines(lines: DataFrame, now_ms: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Log entries and rejected lines."""
+    checked = check_log_lines(lines)
+    return logs_of(checked, now_ms), rejected_of(checked)
+
+
 def read_events_jsonl(
     spark: SparkSession, path: str, now_ms: int | None = None, streaming: bool = False
 ) -> tuple[DataFrame, DataFrame]:

@@ -4,41 +4,83 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Mapping
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from signalspark.operators.reduce import ReduceConfig, epoch_ms, reduce_key
+from signalspark.operators.reduce import ReduceConfig, epoch_ms, next_start, reduce_key
 from signalspark.operators.routing import Rule, for_sink, route
-from signalspark.sinks.files import write_tables
-from signalspark.sources.jsonl import read_events_jsonl, read_logs_jsonl
+from signalspark.operators.tables import unsupported
+from signalspark.sinks.files import stream_batch, write_batch, write_tables
+from signalspark.sources.jsonl import (
+    assign_workspace,
+    check_event_lines,
+    check_log_lines,
+    events_of,
+    logs_of,
+    read_lines,
+    rejected_of,
+)
+
+
+def _ingest(
+    spark: SparkSession, source: str, base: str, checkpoint: str, workspace: int | None, keys: DataFrame | None,
+    check: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame, str], None], kind: str,
+) -> DataStreamWriter:
+    """Parse each micro-batch once; stored rows, rejected lines and counts of unstored types all land."""
+    if (workspace is None) == (keys is None):
+        raise ValueError("give a workspace or a table of keys")
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        name = stream_batch(batch, batch_id)
+        checked = check(batch).persist()
+        try:
+            write(checked, name)
+            rejected = rejected_of(checked)
+            write_batch(rejected, f"{base.rstrip('/')}/_rejected/{kind}", name)
+        finally:
+            checked.unpersist()
+
+    return read_lines(spark, source, streaming=True).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+
+
+def _scoped(rows: DataFrame, workspace: int | None, keys: DataFrame | None) -> DataFrame:
+    return rows.withColumn("workspace_id", F.lit(workspace)) if keys is None else assign_workspace(rows, keys)
 
 
 def ingest_events(
-    spark: SparkSession, source: str, base: str, checkpoint: str, workspace: int, now_ms: int | None = None
-) -> DataStreamWriter:
-    """JSON-lines files to the typed tables; a repeated micro-batch replaces what it wrote before."""
-    good, _ = read_events_jsonl(spark, source, now_ms, streaming=True)
-    scoped = good.withColumn("workspace_id", F.lit(workspace))
+    spark: SparkSession, source: str, base: str, checkpoint: str, workspace: int | None = None,
+    now_ms: int | None = None, keys: DataFrame | None = None,
+) -> DataStreamWriter:
+    """JSON-lines files to the typed tables; a repeated micro-batch replaces what it wrote before.
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        write_tables(base, events=batch, batch_id=batch_id)
+    Rows go to one workspace, or with ``keys`` (api_key, workspace_id) to that of their folder
+    ``api_key=...``. Rejected lines land under ``_rejected/events`` with the reason, counts of event
+    types that no table takes under ``_unstored``.
+    """
+
+    def write(checked: DataFrame, name: str) -> None:
+        events = _scoped(events_of(checked, now_ms), workspace, keys)
+        write_tables(base, events=events, batch=name)
+        unstored = unsupported(events).groupBy("workspace_id", "event_type").agg(F.count("*").alias("n"))
+        write_batch(unstored, f"{base.rstrip('/')}/_unstored", name)
 
-    return scoped.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return _ingest(spark, source, base, checkpoint, workspace, keys, check_event_lines, write, "events")
 
 
 def ingest_logs(
-    spark: SparkSession, source: str, base: str, checkpoint: str, workspace: int, now_ms: int | None = None
-) -> DataStreamWriter:
-    good, _ = read_logs_jsonl(spark, source, now_ms, streaming=True)
-    scoped = good.withColumn("workspace_id", F.lit(workspace))
+    spark: SparkSession, source: str, base: str, checkpoint: str, workspace: int | None = None,
+    now_ms: int | None = None, keys: DataFrame | None = None,
+) -> DataStreamWriter:
+    """JSON-lines files to the log table; rejected lines land under ``_rejected/logs``."""
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        write_tables(base, logs=batch, batch_id=batch_id)
+    def write(checked: DataFrame, name: str) -> None:
+        write_tables(base, logs=_scoped(logs_of(checked, now_ms), workspace, keys), batch=name)
 
-    return scoped.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return _ingest(spark, source, base, checkpoint, workspace, keys, check_log_lines, write, "logs")
 
 
 def route_stream(
@@ -79,7 +121,7 @@ _OPEN_GROUP = "message string, first_ts bigint, last_ts bigint, count bigint"
 
 
 def _reduce_key_group(config: ReduceConfig):
-    """Keep one open group per key, chunk by chunk as rows arrive."""
+    """Keep one open group per key, batch by batch as rows arrive."""
 
     def run(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         columns = ["key", "message", "first_ts", "last_ts", "count"]
@@ -89,21 +131,26 @@ def _reduce_key_group(config: ReduceConfig):
             yield pd.DataFrame(closed, columns=columns)
             return
         group = tuple(state.get) if state.exists else None
-        for chunk in chunks:
-            closed = []
-            ordered = chunk.sort_values("ts", kind="stable")
-            for ts, message in zip(ordered["ts"], ordered["message"]):
-                if group is not None and ts - group[1] >= config.window_ms:
-                    closed.append((key[0], *group))
-                    group = None
-                if group is None:
-                    group = (message, int(ts), int(ts), 1)
-                else:
-                    group = (group[0], group[1], max(int(ts), group[2]), group[3] + 1)
-                if group[3] >= config.max_events:
-                    closed.append((key[0], *group))
-                    group = None
-            yield pd.DataFrame(closed, columns=columns)
+        # A key's rows of one batch may come in several chunks; order holds over all of them.
+        rows = pd.concat(list(chunks)).sort_values("ts", kind="stable")
+        times, messages = rows["ts"].to_numpy(), rows["message"].to_numpy()
+        closed, at, size = [], 0, len(rows)
+        if group is not None:
+            at = int(min(np.searchsorted(times, group[1] + config.window_ms), config.max_events - group[3]))
+            if at:
+                group = (group[0], group[1], max(int(times[at - 1]), group[2]), group[3] + at)
+            if at < size or group[3] >= config.max_events:
+                closed.append((key[0], *group))
+                group = None
+        following = next_start(times, np.full(size, size), config.window_ms, config.max_events) if size else []
+        while at < size:
+            stop = int(following[at])
+            group = (messages[at], int(times[at]), int(times[stop - 1]), stop - at)
+            if stop < size or group[3] >= config.max_events:
+                closed.append((key[0], *group))
+                group = None
+            at = stop
+        yield pd.DataFrame(closed, columns=columns)
         if group is None:
             if state.exists:
                 state.remove()

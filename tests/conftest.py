@@ -9,11 +9,14 @@ from signalspark import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         "tests",
         "local[4]",
-        {"spark.sql.shuffle.partitions": "4"},
+        {
+            "spark.sql.shuffle.partitions": "4",
+            "spark.checkpoint.dir": tmp_path_factory.mktemp("checkpoints").as_uri(),
+        },
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -158,7 +158,7 @@ def test_typed_tables(events):
 def test_write_and_scan_tables(spark, events, tmp_path):
     base = str(tmp_path)
     for _ in range(2):  # a repeated batch replaces itself
-        files.write_tables(base, events=events, batch_id=3)
+        files.write_tables(base, events=events, batch="three")
     assert lake.scan_table(spark, base, 4, "users_v1").count() == 2
     assert lake.scan_table(spark, base, 5, "users_v1").count() == 0
     assert set(lake.open_tables(spark, base)) == set(t.EVENT_TABLES)

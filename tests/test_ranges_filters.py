@@ -160,5 +160,5 @@ def test_flattened_conditions():
 def test_filter_defaults_and_limit():
     f = Filter()
     assert f.granularity == "daily" and f.time_range.days() == 30
-    assert f.with_limit(50_000).limit == 10_000
+    assert f.with_limit(50_000).limit == 50_000
     assert Filter.over("7d", NOW, limit=5, compare="prev").comparison().limit is None

@@ -166,7 +166,8 @@ def test_workspaces_are_apart(spark, tmp_path):
     one, two = (q.Workspace.of_lake(spark, base, w) for w in (1, 2))
     assert one.run_sql("SELECT min(id) AS i FROM events_v1").first().i == 0
     assert two.run_sql("SELECT min(id) AS i FROM 2.events_v1").first().i == 1
-    assert one.run_sql("SELECT * FROM events_v1 LIMIT 9", limit=3).count() == 3
+    assert one.run_sql("SELECT * FROM events_v1 LIMIT 9", limit=3).count() == 9
+    assert one.run_sql("SELECT * FROM (SELECT * FROM events_v1 LIMIT 9)", limit=3).count() == 3
     for text in (f"SELECT * FROM parquet.`{base}/events_v1`", "SELECT * FROM 2.events_v1", "SELECT * FROM nowhere"):
         with pytest.raises(Exception):
             one.run_sql(text)
@@ -183,10 +184,15 @@ def test_catalogue_and_rendering(rows):
     with pytest.raises(ValueError):
         q.list_fields("x")
     df = rows([("a,b", 1), ('c"d', None)], "name string, n int")
-    assert q.render(df, "csv").splitlines()[1].startswith('"a,b",1')
-    assert q.render(df, "json") == '[{"name":"a,b","n":1},\n{"name":"c\\"d"}]'
-    assert q.render(df).splitlines()[0].startswith("name")
-    assert q.render(df.limit(0)) == "(empty result)"
+    wide = rows([("x" * 80, 1)], "name string, n int")
+
+    def lines(df, fmt="table"):
+        return [r.text for r in q.render(df, fmt).collect()]
+
+    assert lines(df, "csv") == ['"a,b",1', '"c\\"d",'] and q.heading(df, "csv") == "name,n"
+    assert lines(df, "json") == ['{"name":"a,b","n":1}', '{"name":"c\\"d"}']
+    assert lines(df) == ["a,b  | 1   ", 'c"d  | NULL'] and q.heading(df) == "name | n   "
+    assert lines(wide) == ["x" * 80 + " | 1"] and lines(df.limit(0)) == []
     with pytest.raises(ValueError):
         q.render(df, "xml")
 
