@@ -7,11 +7,15 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from catalog.base import context, events, frames, logs, query, table, users
+from catalog.base import IN_LATER, LATER, context, events, frames, logs, query, table, users
 from signalspark.functions import normalize as n
+from signalspark.functions.filters import Filter
 from signalspark.functions.jsondoc import json_depth, too_deep
+from signalspark.functions.ranges import parse_range
+from signalspark.operators import metrics
 from signalspark.operators import tables as t
 from signalspark.operators.routing import Rule, route
+from signalspark.schema import Frames
 from signalspark.session import ensure_checkpoint_dir
 from signalspark.sinks import files
 from signalspark.sources import jsonl, lake
@@ -444,17 +448,6 @@ def _(spark, sf):
     return t.unsupported(ingested(spark, sf)).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(
-    "r7_logs_table",
-    f"""SELECT timestamp, upper(level) AS level, CAST(CASE level WHEN 'ERROR' THEN 3 WHEN 'NOTICE' THEN 5 WHEN 'INFO'
-        THEN 6 WHEN 'DEBUG' THEN 7 ELSE 8 END AS INTEGER) AS severity, source, service, session_id,
-        nullif(event_id % 4, 0) AS pattern_id, message, message AS _raw FROM v_logs""",
-)
-def _(spark, sf):
-    df = logs(spark, sf).selectExpr("*", "message AS payload", "event_id % 4 AS pattern_id")
-    return t.to_logs(df).drop("source_ip")
-
-
 @query("r8_fan_out", f"""SELECT 'events_v1' AS "table", count(*) AS n FROM events WHERE {_EVENT_OK} AND event_id % 10 > 3
     UNION ALL SELECT 'context_v1', count(*) FROM events WHERE {_EVENT_OK} AND event_id % 10 = 1
     UNION ALL SELECT 'users_v1', count(*) FROM events WHERE {_EVENT_OK} AND event_id % 10 = 0
@@ -533,13 +526,62 @@ def _(spark, sf):
     return joined.select("event_id", "device_id", "device_type", "operating_system", "country")
 
 
+_SPANS = f"""SELECT timestamp, session_id, concat('span ', event_name) AS name FROM v_events WHERE value > 10"""
+_MEASURED = f"""SELECT timestamp, session_id, concat('metric ', level) AS name FROM v_logs WHERE level <> 'TRACE'"""
+
+
 @query(
     "r14_session_timeline",
-    """SELECT 'event' AS signal, timestamp, session_id, event_name AS label FROM v_events
-            WHERE session_id = (SELECT min(session_id) FROM v_events)
+    f"""SELECT * FROM (SELECT 'event' AS signal, timestamp, session_id, event_name AS label FROM v_events
         UNION ALL SELECT 'log', timestamp, session_id, message FROM v_logs
-            WHERE session_id = (SELECT min(session_id) FROM v_events)""",
+        UNION ALL SELECT 'span', * FROM ({_SPANS}) UNION ALL SELECT 'metric', * FROM ({_MEASURED}))
+        WHERE {IN_LATER} AND session_id = '7-2024-01-20'""",
+)
+def _(spark, sf):
+    spans = events(spark, sf).where("value > 10").selectExpr("timestamp", "session_id", "concat('span ', event_name) AS name")
+    measured = logs(spark, sf).where("level <> 'TRACE'").selectExpr(
+        "timestamp", "session_id", "concat('metric ', level) AS name"
+    )
+    return t.session_timeline("7-2024-01-20", frames(spark, sf), spans, measured, parse_range(LATER))
+
+
+@query(
+    "t10_lake_days",
+    f"""SELECT CAST(timestamp AS DATE) AS date, CAST(count(*) AS DOUBLE) AS value FROM v_events
+        WHERE {IN_LATER} AND workspace_id = 2 GROUP BY 1""",
 )
 def _(spark, sf):
-    first = events(spark, sf).agg(F.min("session_id")).first()[0]
-    return t.session_timeline(first, frames(spark, sf))
+    """A metric over the lake; the scan lists the folders of the range's days only."""
+    base = scratch(spark, "days")
+    files.write_table(events(spark, sf), base, "events_v1")
+    period = parse_range(LATER)
+    scanned = lake.scan_table(spark, base, 2, "events_v1", period)
+    points = metrics.event_count(Frames(events=scanned), Filter(period))
+    return points.select(F.to_date("date").alias("date"), "value")
+
+
+@query(
+    "r8_two_batches",
+    "SELECT event_id, CAST(2 AS BIGINT) AS n FROM v_events WHERE workspace_id = 3",
+)
+def _(spark, sf):
+    """Two unnamed batches are both kept; a named one written again is there once."""
+    base = scratch(spark, "batches")
+    rows = events(spark, sf).where("workspace_id = 3")
+    files.write_table(rows, base, "events_v1")
+    for _ in range(2):
+        files.write_table(rows, base, "events_v1", "again")
+    return lake.scan_table(spark, base, 3, "events_v1").groupBy("event_id").agg(F.count("*").alias("n"))
+
+
+_QUARTER = "date_trunc('quarter', o_orderdate)"
+
+
+@query("r11_expired", f"SELECT o_orderkey FROM orders WHERE {_QUARTER} >= TIMESTAMP '1996-07-31'")
+def _(spark, sf):
+    """Day folders before the table's retention are gone from disk."""
+    base = scratch(spark, "expiry")
+    rows = table(spark, sf, "orders").selectExpr("o_orderkey", f"{_QUARTER} AS timestamp", "1 AS workspace_id")
+    files.write_table(rows, base, "events_v1")
+    lake.expire(spark, base, "events_v1", datetime(2001, 8, 1, 12))
+    return lake.scan_table(spark, base, 1, "events_v1").select("o_orderkey")

@@ -14,6 +14,7 @@ from signalspark.operators import redact as r
 from signalspark.operators import reduce as red
 from signalspark.operators import templates as tpl
 from signalspark.operators.jsonfilter import Cond, FilterConfig, json_filter
+from signalspark.operators.tables import to_logs
 
 def logs(spark, sf):
     return log_rows(spark, sf)
@@ -383,6 +384,18 @@ def _(spark, sf):
     return tpl.cluster(logs(spark, sf), order=("event_id",), threshold=0.9).assigned.select("event_id", "pattern_id")
 
 
+@query(
+    "r7_logs_table",
+    f"""SELECT timestamp, upper(level) AS level, CAST(CASE level WHEN 'ERROR' THEN 3 WHEN 'NOTICE' THEN 5 WHEN 'INFO'
+        THEN 6 WHEN 'DEBUG' THEN 7 ELSE 8 END AS INTEGER) AS severity, source, service, session_id, pattern_id,
+        message, message AS _raw FROM (SELECT *, {_template('message')} AS template FROM v_logs) JOIN {_ids()} USING (template)""",
+)
+def _(spark, sf):
+    """Log rows stored with the ids that clustering gave them."""
+    assigned = tpl.cluster(logs(spark, sf), order=("event_id",), threshold=0.9).assigned
+    return to_logs(assigned.withColumn("payload", F.col("message"))).drop("source_ip")
+
+
 @query("x29_cluster_default", "SELECT event_id, CAST(1 AS BIGINT) AS pattern_id FROM v_logs")
 def _(spark, sf):
     return tpl.cluster(logs(spark, sf), order=("event_id",)).assigned.select("event_id", "pattern_id")

@@ -28,8 +28,8 @@ DEFAULT_THRESHOLD = 0.5
 CHUNK = 1000
 # Up to this many rows, a side of a join is small enough to be sent to every task.
 SMALL = 100_000
-# Tasks that the rest of one bucket is spread over.
-SALTS = 64
+# Templates of one bucket that a task matches against its founders, as a multiple of a round's templates.
+PER_TASK = 10
 
 
 def _at_most(limit: str) -> str:
@@ -177,6 +177,11 @@ def _numbered(df: DataFrame, order: list[str], name: str, above: int = 0) -> Dat
     return numbered.withColumn(name, F.col("_offset") + F.col("_index") + 1).drop("_part", "_index", "_offset")
 
 
+def _salts(largest: int | None, chunk: int) -> int:
+    """How many tasks share the largest bucket."""
+    return max(1, -(-(largest or 0) // (PER_TASK * chunk)))
+
+
 def _match(waiting: DataFrame, founders: DataFrame, threshold: float, salts: int) -> DataFrame:
     """The earliest founder of the same bucket that each waiting template fits, or null.
 
@@ -194,7 +199,7 @@ def _match(waiting: DataFrame, founders: DataFrame, threshold: float, salts: int
     return joined.withColumn("leader", F.get(fitting, F.lit(0))["place"]).drop("founders", "salt")
 
 
-def _resolve(templates: DataFrame, threshold: float, chunk: int, salts: int) -> DataFrame:
+def _resolve(templates: DataFrame, threshold: float, chunk: int, salts: int | None) -> DataFrame:
     """(place, leader) for every template; a leader is itself the place of a template.
 
     A round takes the earliest ``chunk`` templates of each bucket and groups them. What is left
@@ -205,7 +210,7 @@ def _resolve(templates: DataFrame, threshold: float, chunk: int, salts: int) ->
     earliest = Window.partitionBy(*_BUCKET).orderBy("place")
     while True:
         sizes = waiting.groupBy(*_BUCKET).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk)
-        buckets = sizes.count()
+        buckets, largest = sizes.agg(F.count("*"), F.max("n")).first()
         taken = waiting
         if buckets:
             taken = waiting.withColumn("rank", F.row_number().over(earliest)).where(F.col("rank") <= chunk)
@@ -218,13 +223,13 @@ def _resolve(templates: DataFrame, threshold: float, chunk: int, salts: int) ->
         large = waiting.join(F.broadcast(sizes) if buckets <= SMALL else sizes, _null_safe(waiting, sizes), "left_semi")
         rest = large.join(grouped.select("place"), "place", "left_anti")
         founders = grouped.where("place = leader").select("place").join(large, "place")
-        matched = _match(rest, founders, threshold, salts).checkpoint()
+        matched = _match(rest, founders, threshold, salts or _salts(largest, chunk)).checkpoint()
         resolved = resolved.unionByName(matched.where("leader IS NOT NULL").select("place", "leader"))
         waiting = matched.where("leader IS NULL").drop("leader").checkpoint()
 
 
 def _adopt(
-    templates: DataFrame, earlier: DataFrame, threshold: float, chunk: int, salts: int
+    templates: DataFrame, earlier: DataFrame, threshold: float, chunk: int, salts: int | None
 ) -> tuple[DataFrame, DataFrame]:
     """Templates that fit a pattern of an earlier run, with its id, and those that fit none.
 
@@ -233,6 +238,8 @@ def _adopt(
     oldest = Window.partitionBy(*_BUCKET).orderBy("place")
     pieces = earlier.withColumn("piece", F.floor((F.row_number().over(oldest) - 1) / chunk)).checkpoint()
     last = pieces.agg(F.max("piece")).first()[0]
+    largest = templates.groupBy(*_BUCKET).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    salts = salts or _salts(largest, chunk)
     adopted, waiting = None, templates
     for piece in range((-1 if last is None else last) + 1):
         matched = _match(waiting, pieces.where(F.col("piece") == piece).drop("piece"), threshold, salts).checkpoint()
@@ -253,7 +260,7 @@ def _null_safe(left: DataFrame, right: DataFrame, columns=_BUCKET) -> Column:
 def cluster(
     df: DataFrame, message: str = "message", ts: str = "timestamp", order: tuple[str, ...] = (),
     threshold: float = DEFAULT_THRESHOLD, by_service: str | None = None, seed: DataFrame | None = None,
-    only: Column | None = None, chunk: int = CHUNK, salts: int = SALTS,
+    only: Column | None = None, chunk: int = CHUNK, salts: int | None = None,
 ) -> Clustering:
     """Give every message the id of its pattern; blank messages get 0.
 

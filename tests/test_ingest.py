@@ -244,3 +244,48 @@ def test_timeline_and_context_join(rows):
     context = rows([(datetime(2023, 1, 1), "d", "old"), (at, "d", "new")], "timestamp timestamp, device_id string, device_type string")
     joined = t.events_with_context(events, context, ["device_type"]).collect()
     assert [r.device_type for r in joined] == ["new", "new"]
+
+
+def test_lake_keeps_batches_and_prunes_days(spark, tmp_path):
+    from signalspark.functions.filters import Filter
+    from signalspark.functions.ranges import parse_range
+    from signalspark.operators.tables import apply_ttl
+
+    base = str(tmp_path / "lake")
+    data = "SELECT id, timestamp_seconds(1704067200 + id * 43200) AS timestamp, 1 AS workspace_id FROM range({}, {})"
+    files.write_table(spark.sql(data.format(0, 10)), base, "events_v1")
+    files.write_table(spark.sql(data.format(10, 13)), base, "events_v1", "named")
+    files.write_table(spark.sql(data.format(10, 13)), base, "events_v1", "named")
+    scanned = lake.scan_table(spark, base, 1, "events_v1")
+    assert scanned.count() == 13
+    period = parse_range("2024-01-03,2024-01-04")
+    for df in (Filter(period).apply(scanned), lake.scan_table(spark, base, 1, "events_v1", period)):
+        assert sorted(r.id for r in df.collect()) == [4, 5, 6, 7]
+    plan = Filter(period).apply(scanned)._jdf.queryExecution().executedPlan().toString()
+    assert "date" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    plan = apply_ttl(scanned, "events_v1", datetime(2029, 1, 4))._jdf.queryExecution().executedPlan().toString()
+    assert "date" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert lake.expire(spark, base, "events_v1", datetime(2029, 1, 4)) == 2
+    assert sorted(r.id for r in lake.scan_table(spark, base, 1, "events_v1").collect()) == list(range(4, 13))
+
+
+def test_streams_land_what_they_reject(spark, tmp_path):
+    from signalspark.streaming.jobs import ingest_events
+
+    device = "550e8400-e29b-41d4-a716-446655440000"
+    for key, lines in {
+        "k1": [f'{{"type":"track","device_id":"{device}","event":"a"}}', "no json", f'{{"type":"group","device_id":"{device}"}}'],
+        "k2": [f'{{"type":"track","device_id":"{device}","event":"b"}}', '{"type":"track"}'],
+    }.items():
+        folder = tmp_path / "in" / f"api_key={key}"
+        folder.mkdir(parents=True)
+        (folder / "x.jsonl").write_text("\n".join(lines))
+    keys = spark.createDataFrame([("k1", 1), ("k2", 2)], "api_key string, workspace_id int")
+    base = str(tmp_path / "lake")
+    stream = ingest_events(spark, str(tmp_path / "in"), base, str(tmp_path / "cp"), now_ms=1704067200000, keys=keys)
+    stream.trigger(availableNow=True).start().awaitTermination()
+    assert [lake.scan_table(spark, base, w, "events_v1").first().event_name for w in (1, 2)] == ["a", "b"]
+    rejected = spark.read.parquet(f"{base}/_rejected/events").collect()
+    assert sorted(r.line for r in rejected) == ["no json", '{"type":"track"}'] and all(r.error for r in rejected)
+    unstored = spark.read.parquet(f"{base}/_unstored").collect()
+    assert [(r.workspace_id, r.event_type, r.n) for r in unstored] == [(1, "group", 1)]

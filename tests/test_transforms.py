@@ -355,3 +355,39 @@ def test_registry_carries_over(spark, rows, tmp_path, chunk):
     assert ids(second) == [3, 2, 1]
     counts = {x.pattern_id: x["count"] for x in second.registry.collect()}
     assert counts == {1: 3, 2: 2, 3: 1}
+
+
+# --- cases that went wrong once
+
+
+def test_reduction_keeps_null_keys_apart(rows):
+    from signalspark.operators.reduce import reduce_groups
+
+    data = [(k, i * 10, i) for i, k in enumerate([None, "a", None, "a", "b", None])]
+    for partitions in (1, 3, 6):
+        found = reduce_groups(rows(data, "k string, ts bigint, id bigint"), "k", "ts", 1000, 100, ("id",), partitions)
+        got = sorted((str(r.key), r["count"], r.first_ts, r.last_ts) for r in found.collect())
+        assert got == [("None", 3, 0, 50), ("a", 2, 10, 30), ("b", 1, 40, 40)]
+
+
+def test_json_redaction_survives_odd_messages(rows):
+    from signalspark.operators import redact as r
+
+    deep = "[" * 200_000 + '"a@b.com"' + "]" * 200_000
+    data = [(0, deep), (1, '{"x":1e400,"m":"a@b.com"}'), (2, '{"m":"' + "a" * 1_000_000 + '"}'), (3, None), (4, '{"m":"x@y.de"}')]
+    config = r.RedactConfig(patterns=("email",), scan_all=True)
+    got = {x.id: x.message for x in r.redact(rows(data, "id int, message string"), config).collect()}
+    assert "a@b.com" not in got[0] and got[0].startswith("[[[")
+    assert got[1] == '{"x":1e400,"m":"[REDACTED]"}'
+    assert got[2] == data[2][1] and got[3] is None and got[4] == '{"m":"[REDACTED]"}'
+
+
+def test_number_text(rows):
+    from signalspark.functions.jsondoc import number_text
+
+    known = {
+        0.0: "0.0", 1.0: "1.0", 1.5: "1.5", -2500.0: "-2500.0", 1e-7: "1e-7", 1.25e-7: "1.25e-7", 0.00012: "0.00012",
+        1e15: "1000000000000000.0", 1e16: "1e16", 1.5e300: "1.5e300", 123456.789: "123456.789", 0.00001: "0.00001",
+    }
+    got = rows([(x,) for x in known], "x double").select("x", number_text(F.col("x")).alias("t")).collect()
+    assert {r.x: r.t for r in got} == known
