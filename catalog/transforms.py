@@ -75,7 +75,7 @@ for _name, _op, _value, _test in (
     ("x3_ne_whole", "ne", "1", "<> '1'"),
     ("x4_number_ends", "ends_with", "5", "LIKE '%5'"),
     ("x4_number_contains", "contains", "e", "LIKE '%e%'"),
-    ("x4_number_regex", "regex", r"^-?[0-9]+\.[0-9]+$", "SIMILAR TO '-?[0-9]+\.[0-9]+'"),
+    ("x4_number_regex", "regex", r"^-?[0-9]+\.[0-9]+$", r"SIMILAR TO '-?[0-9]+\.[0-9]+'"),
     ("x4_number_starts", "starts_with", "0.00012", "= '0.00012'"),
 ):
 
