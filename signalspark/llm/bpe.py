@@ -194,7 +194,7 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     return picked.mapInArrow(run, f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
-def small(batch, column: str = "__text", limit: int = 4 << 20) -> Iterator:
+def small(batch, column: str = "__text", limit: int = 1 << 20) -> Iterator:
     """An Arrow batch in pieces of about ``limit`` bytes of text, one row at least."""
     from signalspark.llm.kernel import blocks, utf8
 

@@ -8,21 +8,25 @@ from pyspark.sql import functions as F
 from signalspark.llm.shared import landed
 
 
-def _stamp(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
+def _settled(links: DataFrame) -> bool:
+    """Whether the links are stars around their smallest nodes: no node has two, or one on either side."""
+    ends = links.select(F.col("hi").alias("node"), "lo").unionAll(links.select("lo", F.lit(None).cast("bigint")))
+    seen = ends.groupBy("node").agg(
+        F.min("lo").alias("least"), F.max("lo").alias("most"), F.count("*").alias("n"), F.count("lo").alias("above")
+    )
+    return seen.where("least <> most OR (above > 0 AND above < n)").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node in ``links`` (a, b); the component is its smallest node.
 
     Large and small stars in turn: every node hands its larger neighbours, then its smaller ones, to
-    its smallest neighbour, until nothing changes. No neighbourhood is ever held as a whole; a node
+    its smallest neighbour, until only stars are left. No neighbourhood is ever held as a whole; a node
     with very many links is summed up before the shuffle and its join can be split.
     """
     links = links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
     links = landed(links.distinct(), "links")
-    stamp = _stamp(links)
-    while stamp[0]:
+    while not _settled(links):
         both = links.select(F.col("hi").alias("u"), F.col("lo").alias("v"))
         both = both.unionAll(links.select("lo", "hi"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -31,9 +35,6 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         links = landed(small.unionAll(least.select("hi", F.col("m").alias("lo"))).distinct(), "small-star")
-        before, stamp = stamp, _stamp(links)
-        if before == stamp:
-            break
     roots = links.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
     return links.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionAll(roots)
 

@@ -1,6 +1,6 @@
 """Array code shared by the text operators: blocks of texts, spans in them, and 64-bit span hashes.
 
-A batch of texts becomes blocks of a few million characters; everything on a block is whole-array
+A batch of texts becomes blocks of half a million characters; everything on a block is whole-array
 work. A single text longer than a block is a block of its own, so memory is bounded by the larger
 of the block size and the longest text.
 """
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
@@ -204,3 +204,31 @@ def gather(starts: np.ndarray, lengths: np.ndarray, values: np.ndarray) -> np.nd
         return values[:0]
     begin = np.cumsum(lengths) - lengths
     return values[np.repeat(starts - begin, lengths) + np.arange(total)]
+
+
+def parities(values: np.ndarray, starts: np.ndarray, at: np.ndarray, words: int) -> list[np.ndarray]:
+    """Parity bits of some sets as columns of 64 bits each: every member of a set flips one bit.
+
+    values holds the sets one after another, starts where each begins; none of those in ``at`` may be
+    empty. Two sets' bits differ in no more places than the sets differ in members. words: a power of 2.
+    """
+    sizes = np.diff(starts)[at]
+    ends = np.cumsum(sizes)
+    own = mix(gather(starts[at], sizes, values))
+    bits = _U(1) << (own & _U(63))
+    word = (own >> _U(6)) & _U(words - 1)
+    out = []
+    for i in range(words):
+        part = np.where(word == _U(i), bits, _U(0))
+        out.append((np.bitwise_xor.reduceat(part, ends - sizes) if len(at) else part).view(np.int64))
+    return out
+
+
+def differ(left: str, right: str, columns):
+    """In how many parity bits two aliased frames' rows differ, as a column."""
+    from pyspark.sql import functions as F
+
+    out = F.lit(0)
+    for c in columns:
+        out = out + F.bit_count(F.col(f"{left}.{c}").bitwiseXOR(F.col(f"{right}.{c}")))
+    return out

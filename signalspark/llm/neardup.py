@@ -5,8 +5,9 @@ are compared a batch of hashes at a time; after each batch the posterior of the
 how many hashes agreed, tells whether the pair may still reach the threshold, and pairs whose chance
 falls below the chosen miss probability are dropped. Survivors are proved on their full sets.
 
-A bucket of n copies is not expanded into pairs: its members are first compared with its smallest
-node only, components are formed, and later rounds compare only what is still in different ones.
+A bucket of n copies is not expanded into pairs: its members are first compared with one of them
+only, components are formed, and later rounds compare only what is still in different ones. There,
+1,024 parity bits of each set first rule out pairs that differ in too many shingles.
 """
 
 from __future__ import annotations
@@ -20,10 +21,11 @@ from pyspark.sql import functions as F
 
 from signalspark.llm.bpe import small
 from signalspark.llm.components import Bitmap, bitmap, components
-from signalspark.llm.kernel import BLOCK, Words, blocks, mix, utf8
+from signalspark.llm.kernel import BLOCK, Words, blocks, differ, mix, parities, utf8
 from signalspark.llm.shared import landed, packed, same_row
 
 _U = np.uint64
+_BITS = tuple(f"p{i}" for i in range(16))
 
 
 @dataclass(frozen=True)
@@ -74,7 +76,7 @@ def _runs(batch):
 
 
 def _features(docs: DataFrame, settings: Settings) -> DataFrame:
-    """key, text_hash, n_shingles, node (fingerprint of the set) and signature of every row."""
+    """key, text_hash, n_shingles, node (fingerprint of the set), signature and parity bits of every row."""
     a, b = _permutations(settings.hashes)
 
     def run(batches):
@@ -90,11 +92,16 @@ def _features(docs: DataFrame, settings: Settings) -> DataFrame:
                         signature[full, i] = (least >> _U(32)).astype(np.uint32)
                 rows = [s.tobytes() if n else None for s, n in zip(signature, sizes.tolist(), strict=True)]
                 made = [pa.array(sizes), pa.array(fingerprints(values, starts)), pa.array(rows, pa.binary())]
-                names = ["key", "text_hash", "n_shingles", "node", "signature"]
+                for part in parities(values, starts, full, len(_BITS)):
+                    column = np.zeros(len(sizes), np.int64)
+                    column[full] = part
+                    made.append(pa.array(column))
+                names = ["key", "text_hash", "n_shingles", "node", "signature", *_BITS]
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *made], names)
 
     kind = docs.schema["key"].dataType.simpleString()
-    return docs.mapInArrow(run, f"key {kind}, text_hash bigint, n_shingles bigint, node bigint, signature binary")
+    made = f"key {kind}, text_hash bigint, n_shingles bigint, node bigint, signature binary"
+    return docs.mapInArrow(run, ", ".join([made, *(f"{name} bigint" for name in _BITS)]))
 
 
 def _bands(nodes: DataFrame, settings: Settings) -> DataFrame:
@@ -225,19 +232,21 @@ def _groups(docs: DataFrame, key: str, text: str, settings: Settings) -> DataFra
     rows = landed(_features(docs, settings), "signatures")
     full = rows.where("n_shingles > 0")
     reps = full.groupBy("node").agg(F.min(_place()).alias("rep"))
-    nodes = full.select("node", F.col("n_shingles").alias("n"), "signature").dropDuplicates(["node"])
+    nodes = full.select("node", F.col("n_shingles").alias("n"), "signature", *_BITS).dropDuplicates(["node"])
     nodes = landed(nodes.join(reps, "node"), "nodes")
     bands = _bands(nodes, settings)
-    heads = bands.groupBy("band").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("size"))
+    picked = F.struct(F.xxhash64("node", "band").alias("h"), "node", "n")  # another one in every band
+    heads = bands.groupBy("band").agg(F.min(picked).alias("head"), F.count("*").alias("size"))
     shared = landed(bands.join(heads.where("size > 1").select("band", "head"), "band"), "shared-bands")
 
     def alike(n, m):
         return (100 * F.least(n, m) >= settings.percent * F.greatest(n, m))
 
-    # Every node against the smallest node of each of its buckets: first one of these, then those
-    # that are still in another component.
+    # Every node against one node of each of its buckets: first the smallest of these, then those that
+    # are still in another component.
     stars = shared.where((F.col("node") != F.col("head.node")) & alike(F.col("n"), F.col("head.n")))
-    stars = landed(stars.select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    ends = F.least("head.node", "node").alias("a"), F.greatest("head.node", "node").alias("b")
+    stars = landed(stars.select(*ends).distinct(), "stars")
     first = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = landed(_proved(first, docs, nodes, settings), "links-1")
     groups = landed(components(links), "components-1")
@@ -248,10 +257,13 @@ def _groups(docs: DataFrame, key: str, text: str, settings: Settings) -> DataFra
     own = F.coalesce("component", "node")
     placed = shared.join(groups, "node", "left").select("band", "node", "n", own.alias("component"))
     mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    placed = placed.join(mixed.select("band"), "band")
+    placed = placed.join(mixed.select("band"), "band").join(nodes.select("node", *_BITS), "node")
     x, y = placed.alias("x"), placed.alias("y")
     apart = (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node"))
     apart &= (F.col("x.component") != F.col("y.component")) & alike(F.col("x.n"), F.col("y.n"))
+    # Sets that differ in more members than the threshold allows differ in parity bits too.
+    both = F.col("x.n") + F.col("y.n")
+    apart &= (100 + settings.percent) * differ("x", "y", _BITS) <= (100 - settings.percent) * both
     left = x.join(y, apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     left = landed(left.join(stars, ["a", "b"], "left_anti"), "left-pairs")
     if not left.isEmpty():
@@ -260,7 +272,7 @@ def _groups(docs: DataFrame, key: str, text: str, settings: Settings) -> DataFra
     smallest = groups.join(nodes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"))
     of_node = groups.join(smallest, "component").select("node", "least")
     own = reps.join(of_node, "node", "left").select("node", F.coalesce("least", "rep").alias("least"))
-    found = rows.drop("signature").join(own, "node", "left")
+    found = rows.drop("signature", *_BITS).join(own, "node", "left")
     first = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(_place())
     return found.select("key", "text_hash", "n_shingles", first.alias("first"))
 
