@@ -98,20 +98,24 @@ def find_leaks(
     few = marks.count() <= broadcast_rows
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(body).alias("text_hash"), body.alias("text"))
-    rows = rows.withColumn("template", _template(F.col("text")))
+    marked = rows.withColumn("template", _template(F.col("text")))
     plain = _raw(F.col("text"), F.col("template"))
     hashes = None
     for kind, size in sorted(kinds) or [("c", WINDOW)]:
-        words = rows.select("key", "text_hash", (_words(F.col("template")) if kind == "c" else plain).alias("words"))
+        words = marked.select("key", "text_hash", (_words(F.col("template")) if kind == "c" else plain).alias("words"))
         some = words.select("key", "text_hash", F.posexplode(_hashes(F.col("words"), size, kind)).alias("at", "hash"))
         hashes = some if hashes is None else hashes.unionAll(some)
     light = marks.select("hash", "item", "pos", "size", "n_windows", F.col("slots").isNotNull().alias("slotted"))
     found = hashes.join(F.broadcast(light) if few else light, "hash")
     found = found.withColumn("shift", F.col("at") - F.col("pos")).drop("hash")
     found = landed(found.distinct(), "template-matches")
-    odd = _inconsistent(found.where("slotted"), marks, rows.select("key", "text_hash", plain.alias("words")))
-    on = [F.col(f"f.{c}").eqNullSafe(F.col(f"o.{c}")) for c in ("key", "text_hash", "item", "shift")]
-    right = found.alias("f").join(odd.alias("o"), [*on, F.col("f.slotted")], "left_anti")
+    # Only documents with placeholders in matched windows are read again.
+    slotted = landed(found.where("slotted").select("key", "text_hash").distinct(), "slotted-documents")
+    right, n = found.alias("f"), slotted.count()
+    if n:
+        odd = _inconsistent(found.where("slotted"), marks, rows, F.broadcast(slotted) if n <= broadcast_rows else slotted)
+        on = [F.col(f"f.{c}").eqNullSafe(F.col(f"o.{c}")) for c in ("key", "text_hash", "item", "shift")]
+        right = right.join(odd.alias("o"), [*on, F.col("f.slotted")], "left_anti")
     pairs = right.groupBy("key", "text_hash", "item").agg(
         F.countDistinct("pos").alias("n_matched"),
         F.max("n_windows").alias("n_windows"),
@@ -123,11 +127,12 @@ def find_leaks(
     )
 
 
-def _inconsistent(found: DataFrame, marks: DataFrame, texts: DataFrame) -> DataFrame:
+def _inconsistent(found: DataFrame, marks: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
     """The (document, item, shift) in which some value of the item became two values in the document."""
-    docs = found.select("key", "text_hash").distinct()
     same = [F.col(f"d.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ("key", "text_hash")]
-    texts = docs.alias("d").join(texts.alias("t"), same).select("d.*", "t.words").dropDuplicates(["key", "text_hash"])
+    texts = texts.alias("t").join(docs.alias("d"), same, "left_semi").dropDuplicates(["key", "text_hash"])
+    texts = texts.withColumn("template", _template(F.col("text")))
+    texts = texts.select("key", "text_hash", _raw(F.col("text"), F.col("template")).alias("words"))
     same = [F.col(f"f.{c}").eqNullSafe(F.col(f"x.{c}")) for c in ("key", "text_hash")]
     rows = found.alias("f").join(texts.alias("x"), same).select("f.*", F.slice("x.words", F.col("at") + 1, F.col("size")).alias("own"))
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"m.{c}")) for c in ("item", "pos", "size")]
