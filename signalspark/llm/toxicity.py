@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalspark.llm.bpe import small
-from signalspark.llm.kernel import HashIndex, Words, gather, mix, span_hashes, utf8
+from signalspark.llm.kernel import HashIndex, Words, blocks, gather, mix, span_hashes, utf8
 
 BUCKETS = 1 << 18
 WINDOW = 16
@@ -86,19 +86,37 @@ def _means(values: np.ndarray, begin: np.ndarray, end_of_all: int) -> np.ndarray
     return np.add.reduceat(values, begin, axis=0) / sizes[:, None]
 
 
-def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray, dim: int = 8, rounds: int = 6, seed: int = 7) -> Model:
+def _vocabulary(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts as numbers of their words, where each begins, and the n-grams of every word."""
+    index, words_of, sizes, grams_of, counts_of = HashIndex(16), [], [], [], []
+    for at in range(0, len(texts), 64):
+        raw, offsets = utf8(pa.array(texts[at : at + 64], pa.string()))
+        for a, b in blocks(np.diff(offsets), 1 << 19):
+            words = Words(raw, offsets[a : b + 1])
+            fresh, first = np.unique(words.hashes, return_index=True)
+            new = index.find(fresh) < 0
+            found, counts = grams(words, first[new])
+            grams_of.append(found)
+            counts_of.append(counts)
+            index.add(fresh[new])
+            word = index.find(words.hashes)
+            place, bounds = firsts(words.bounds, words.row, word)
+            words_of.append(word[place].astype(np.int32))
+            sizes.append(np.diff(bounds))
+    bounds = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+    return np.concatenate(words_of), bounds, np.concatenate(grams_of), np.concatenate(counts_of)
+
+
+def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray, dim: int = 8, rounds: int = 8, seed: int = 7) -> Model:
     """Fit vectors and softmax by stochastic gradient steps with per-number step sizes.
 
     weight: what each row counts for. Rows without words teach nothing. Without both labels the
     model scores everything at the share of toxic rows.
     """
     share = float(np.average(toxic, weights=weight)) if len(texts) else 0.0
-    raw, offsets = utf8(pa.array(texts, pa.string()))
-    words = Words(raw, offsets)
-    if not len(words.starts) or not 0 < share < 1:
+    if not 0 < share < 1:
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
-    _, first, word = np.unique(words.hashes, return_index=True, return_inverse=True)
-    gram, gram_counts = grams(words, first)
+    word, bounds, gram, gram_counts = _vocabulary(texts)
     gram_begin = np.cumsum(gram_counts) - gram_counts
     random = np.random.default_rng(seed)
     vectors = random.normal(0, 0.01, (BUCKETS, dim)).astype(np.float32)
@@ -106,8 +124,6 @@ def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray, dim: int = 8,
     softmax[:, 1] = random.normal(0, 0.5, dim)
     offset = -4.0
     seen_v, seen_s, seen_o = np.full((BUCKETS, dim), 1e-6, np.float32), np.full((dim, 2), 1e-6, np.float32), 1e-6
-    place, bounds = firsts(words.bounds, words.row, word)
-    word = word[place]
     full = np.flatnonzero(np.diff(bounds))
     scale = weight / weight.mean()
     for _ in range(rounds):
@@ -136,7 +152,7 @@ def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray, dim: int = 8,
                 per_word = np.bincount(inverse, to_words[:, d], len(own)) / gram_counts[own]
                 step = np.bincount(spot, per_word[gram_owner], len(touched)).astype(np.float32)
                 seen_v[touched, d] += step * step
-                vectors[touched, d] -= 0.3 * step / np.sqrt(seen_v[touched, d])
+                vectors[touched, d] -= 0.1 * step / np.sqrt(seen_v[touched, d])
             seen_s += to_softmax * to_softmax
             softmax -= 0.1 * to_softmax / np.sqrt(seen_s)
             pulled = float(slope.sum())
