@@ -7,8 +7,8 @@ filter). What passes is verified on the full sets. Rarity is counted over all li
 sketch of fixed size: any order gives the same links, a good one keeps common tokens out of prefixes.
 
 Lines of equal sets are one node. A group of lines that share a token is not expanded into pairs:
-its members are compared with its smallest node, components are formed, and then only members of
-different components are compared. The first line of a component stays, later ones go.
+its members are compared with a few of it, components are formed, and then only members of different
+components are compared. The first line of a component stays, later ones go.
 """
 
 from __future__ import annotations
@@ -22,13 +22,15 @@ from pyspark.sql import functions as F
 
 from signalspark.llm.bpe import small
 from signalspark.llm.components import Bitmap, bitmap, components
-from signalspark.llm.kernel import BLOCK, HashIndex, Words, blocks, mix, utf8
+from signalspark.llm.kernel import BLOCK, HashIndex, Words, blocks, differ, mix, parities, utf8
 from signalspark.llm.shared import landed, packed, same_row
 
 _U = np.uint64
 _ID_BITS = 46
 _SKETCH = 1 << 16
 _CHUNK = 1 << 12
+_HEADS = 3
+_BITS = ("p0", "p1", "p2", "p3")
 
 
 @dataclass(frozen=True)
@@ -141,7 +143,7 @@ class _Fresh:
 
 
 def _token_rows(docs: DataFrame, settings: Settings, levels: np.ndarray, wanted: bytes | None) -> DataFrame:
-    """(node, tokens): the prefix of each line's tokens, or all tokens of the wanted nodes.
+    """node, n, tokens and parity bits: the prefix of each line's tokens, or all tokens of the wanted nodes.
 
     Lines that no other set can be similar to, those of fewer than three tokens, are left out. A
     node comes about once per task, so repeated lines are combined before the shuffle.
@@ -164,19 +166,19 @@ def _token_rows(docs: DataFrame, settings: Settings, levels: np.ndarray, wanted:
                 flat = values[np.repeat(starts[at] - (ends - take), take) + np.arange(int(take.sum()))]
                 edges = np.concatenate([[0], ends]).astype(np.int32)
                 tokens = pa.ListArray.from_arrays(pa.array(edges), pa.array(flat.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(n), tokens], ["node", "n", "tokens"])
+                columns = [pa.array(nodes[at]), pa.array(n), tokens]
+                if not passes:
+                    columns += [pa.array(c) for c in parities(values, starts, at, len(_BITS))]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    made = docs.select("__text").mapInArrow(run, "node bigint, n bigint, tokens array<bigint>")
-    return made.groupBy("node").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    names = ["node", "n", "tokens", *(_BITS if wanted is None else ())]
+    kinds = ["bigint", "bigint", "array<bigint>", *(["bigint"] * 4 if wanted is None else ())]
+    made = docs.select("__text").mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
+    return made.groupBy("node").agg(*(F.first(n).alias(n) for n in names[1:]))
 
 
-def _proved(pairs: DataFrame, docs: DataFrame, settings: Settings, levels: np.ndarray) -> DataFrame:
+def _proved(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
-    pairs = landed(pairs, "line-pairs")
-    ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
-    some = bitmap(ends.select(F.col("node").alias("x")))
-    sets = _token_rows(docs, settings, levels, some).join(ends, "node", "left_semi")
-    sets = landed(sets, "line-sets")
     left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("of_a"))
     right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("of_b"))
     both = F.size(F.array_intersect("of_a", "of_b"))
@@ -184,13 +186,6 @@ def _proved(pairs: DataFrame, docs: DataFrame, settings: Settings, levels: np.nd
     return rows.where(100 * both >= settings.percent * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
 
 
-def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    left = groups.select(F.col("node").alias("a"), F.col("component").alias("of_a"))
-    right = groups.select(F.col("node").alias("b"), F.col("component").alias("of_b"))
-    rows = pairs.join(left, "a", "left").join(right, "b", "left")
-    return rows.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
-
-
 def similar_lines(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per line: ``key``, ``text_hash``, ``line``, ``n_tokens``, ``first_key``, ``first_line`` and ``removed``.
 
@@ -225,30 +220,50 @@ def similar_lines(docs: DataFrame, settings: Settings = Settings(), key: str = "
             )
 
     rows = prefixes.select("node", "n", "tokens").mapInArrow(index, "token bigint, node bigint, n bigint, place bigint")
-    heads = rows.groupBy("token").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("size"))
-    shared = landed(rows.join(heads.where("size > 1").select("token", "head"), "token"), "shared-tokens")
+    sizes = rows.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
+    shared = landed(rows.join(sizes.select("token"), "token"), "shared-tokens")
+    nodes = shared.select("node").distinct()
+    wanted = bitmap(nodes.select(F.col("node").alias("x")))
+    sets = landed(_token_rows(docs, settings, levels, wanted).join(nodes, "node", "left_semi"), "line-sets")
+    bits = prefixes.select("node", "n", *_BITS)
 
     def alike(n, m):
         return 100 * F.least(n, m) >= settings.percent * F.greatest(n, m)
 
-    stars = shared.where((F.col("node") != F.col("head.node")) & alike(F.col("n"), F.col("head.n")))
-    stars = landed(stars.select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct(), "line-stars")
-    first = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = landed(_proved(first, docs, settings, levels), "line-links-1")
+    def close(left: str, right: str):
+        """Whether two sets' parity bits allow the similarity; it never rules out a pair that has it."""
+        both = F.col(f"{left}.n") + F.col(f"{right}.n")
+        return (100 + settings.percent) * differ(left, right, _BITS) <= (100 - settings.percent) * both
+
+    # Every member of a token's group against a few of the group, picked by hash.
+    picked = [F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node", "n") for i in range(_HEADS)]
+    heads = shared.groupBy("token").agg(F.array(*(F.min(p) for p in picked)).alias("heads"))
+    stars = shared.join(heads, "token").select("node", "n", F.explode(F.array_distinct("heads")).alias("head"))
+    stars = stars.where((F.col("node") != F.col("head.node")) & alike(F.col("n"), F.col("head.n")))
+    ends = F.greatest("node", "head.node").alias("a"), F.least("node", "head.node").alias("b")
+    stars = stars.select(*ends).distinct()
+    x, y = bits.alias("x"), bits.alias("y")
+    stars = stars.join(x, F.col("a") == F.col("x.node")).join(
+        y, (F.col("b") == F.col("y.node")) & close("x", "y")
+    )
+    stars = landed(stars.select("a", "b"), "line-stars")
+    links = landed(_proved(stars, sets, settings), "line-links-1")
     groups = landed(components(links), "line-components-1")
+    # Members of a token's group in different components: what the filters leave is compared too.
     placed = shared.join(groups, "node", "left")
     placed = placed.select("token", "node", "n", "place", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    placed = placed.join(mixed.select("token"), "token")
+    placed = placed.join(mixed.select("token"), "token").join(bits.drop("n"), "node")
     x, y = placed.alias("x"), placed.alias("y")
     apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node"))
     apart &= (F.col("x.component") != F.col("y.component")) & alike(F.col("x.n"), F.col("y.n"))
     behind = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))  # the shared one included
     apart &= (100 + settings.percent) * behind >= settings.percent * (F.col("x.n") + F.col("y.n"))
+    apart &= close("x", "y")
     rest = x.join(y, apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    rest = landed(rest.join(first, ["a", "b"], "left_anti"), "line-rest")
+    rest = landed(rest, "line-rest")
     if not rest.isEmpty():
-        links = links.unionAll(landed(_proved(rest, docs, settings, levels), "line-links-2"))
+        links = links.unionAll(landed(_proved(rest, sets, settings), "line-links-2"))
         groups = landed(components(links), "line-components-2")
     named = lines.join(groups, "node", "left").withColumn("class", F.coalesce("component", "node"))
     place = F.struct("key", "text_hash", "line")
