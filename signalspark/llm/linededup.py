@@ -6,9 +6,9 @@ of similar size (length filter), and have enough tokens left behind the shared o
 filter). What passes is verified on the full sets. Rarity is counted over all lines in a count-min
 sketch of fixed size: any order gives the same links, a good one keeps common tokens out of prefixes.
 
-Lines of equal sets are one node. A group of lines that share a token is not expanded into pairs:
-its members are compared with a few of it, components are formed, and then only members of different
-components are compared. The first line of a component stays, later ones go.
+Lines of equal sets are one node, so copies are never expanded into pairs. Every pair of nodes that the
+filters leave is verified, within a component too: links are counted, weighted by copies, and a line
+goes when it is linked with an earlier one itself.
 """
 
 from __future__ import annotations
@@ -29,7 +29,6 @@ _U = np.uint64
 _ID_BITS = 46
 _SKETCH = 1 << 16
 _CHUNK = 1 << 12
-_HEADS = 3
 _BITS = ("p0", "p1", "p2", "p3")
 
 
@@ -187,12 +186,16 @@ def _proved(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
 
 
 def similar_lines(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per line: ``key``, ``text_hash``, ``line``, ``n_tokens``, ``first_key``, ``first_line`` and ``removed``.
-
-    first_key and first_line: the first line, by key, hash of the text and number, among those that
-    are linked with the line directly or over others. Lines are the parts between newlines; a line
-    without words is never removed and is its own first. Null texts are one empty line. Rows of
-    equal key and text are one document here and lose the same lines. A null key comes first.
+    """Per line: ``key``, ``text_hash``, ``line``, ``n_tokens``, ``class_id``, ``n_links``, ``first_key``,
+    ``first_line``, ``removed`` and ``repeats``.
+
+    class_id: the same for lines that links lead between, directly or over others; null for lines
+    without words. n_links: how many other lines of the table, copies and lines of repeated rows
+    included, are linked with the line directly. first_key and first_line: the first line, by key,
+    hash of the text and number, of the class. removed: the line is not that one. repeats: an earlier
+    line is linked with it directly; dedup_lines goes by this. Lines are the parts between newlines; a
+    line without words has no links and is its own first. Null texts are one empty line. Rows of equal
+    key and text are one document here and lose the same lines. A null key comes first.
     """
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     docs = docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(body).alias("text_hash"), body.alias("__text"))
@@ -214,18 +217,23 @@ def similar_lines(docs: DataFrame, settings: Settings = Settings(), key: str = "
             at = np.flatnonzero(passes(flat))
             place = at + edges[0] - edges[owner[at]]
             rows = pa.array(owner[at])
+            # The token before, null for the first one: a pair that shares it too was met there.
+            first = np.ones(len(at), bool)
+            first[1:] = owner[at[1:]] != owner[at[:-1]]
+            before = pa.array(np.concatenate([flat[at][:1], flat[at][:-1]]), mask=first)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(flat[at]), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place)],
-                ["token", "node", "n", "place"],
+                [pa.array(flat[at]), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place), before],
+                ["token", "node", "n", "place", "before"],
             )
 
-    rows = prefixes.select("node", "n", "tokens").mapInArrow(index, "token bigint, node bigint, n bigint, place bigint")
+    kinds = "token bigint, node bigint, n bigint, place bigint, before bigint"
+    rows = prefixes.select("node", "n", "tokens").mapInArrow(index, kinds)
     sizes = rows.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
     shared = landed(rows.join(sizes.select("token"), "token"), "shared-tokens")
     nodes = shared.select("node").distinct()
     wanted = bitmap(nodes.select(F.col("node").alias("x")))
     sets = landed(_token_rows(docs, settings, levels, wanted).join(nodes, "node", "left_semi"), "line-sets")
-    bits = prefixes.select("node", "n", *_BITS)
+    bits = prefixes.select("node", *_BITS)
 
     def alike(n, m):
         return 100 * F.least(n, m) >= settings.percent * F.greatest(n, m)
@@ -235,55 +243,51 @@ def similar_lines(docs: DataFrame, settings: Settings = Settings(), key: str = "
         both = F.col(f"{left}.n") + F.col(f"{right}.n")
         return (100 + settings.percent) * differ(left, right, _BITS) <= (100 - settings.percent) * both
 
-    # Every member of a token's group against a few of the group, picked by hash.
-    picked = [F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node", "n") for i in range(_HEADS)]
-    heads = shared.groupBy("token").agg(F.array(*(F.min(p) for p in picked)).alias("heads"))
-    stars = shared.join(heads, "token").select("node", "n", F.explode(F.array_distinct("heads")).alias("head"))
-    stars = stars.where((F.col("node") != F.col("head.node")) & alike(F.col("n"), F.col("head.n")))
-    ends = F.greatest("node", "head.node").alias("a"), F.least("node", "head.node").alias("b")
-    stars = stars.select(*ends).distinct()
-    x, y = bits.alias("x"), bits.alias("y")
-    stars = stars.join(x, F.col("a") == F.col("x.node")).join(
-        y, (F.col("b") == F.col("y.node")) & close("x", "y")
-    )
-    stars = landed(stars.select("a", "b"), "line-stars")
-    links = landed(_proved(stars, sets, settings), "line-links-1")
-    groups = landed(components(links), "line-components-1")
-    # Members of a token's group in different components: what the filters leave is compared too.
-    placed = shared.join(groups, "node", "left")
-    placed = placed.select("token", "node", "n", "place", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    placed = placed.join(mixed.select("token"), "token").join(bits.drop("n"), "node")
+    placed = shared.join(bits, "node")
     x, y = placed.alias("x"), placed.alias("y")
-    apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node"))
-    apart &= (F.col("x.component") != F.col("y.component")) & alike(F.col("x.n"), F.col("y.n"))
+    left = (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node"))
+    left &= F.coalesce(F.col("x.before") != F.col("y.before"), F.lit(True))
+    left &= alike(F.col("x.n"), F.col("y.n"))
     behind = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))  # the shared one included
-    apart &= (100 + settings.percent) * behind >= settings.percent * (F.col("x.n") + F.col("y.n"))
-    apart &= close("x", "y")
-    rest = x.join(y, apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    rest = landed(rest, "line-rest")
-    if not rest.isEmpty():
-        links = links.unionAll(landed(_proved(rest, sets, settings), "line-links-2"))
-        groups = landed(components(links), "line-components-2")
-    named = lines.join(groups, "node", "left").withColumn("class", F.coalesce("component", "node"))
+    left &= (100 + settings.percent) * behind >= settings.percent * (F.col("x.n") + F.col("y.n"))
+    left &= close("x", "y")
+    pairs = landed(x.join(y, left).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "line-pairs")
+    links = landed(_proved(pairs, sets, settings), "line-links")
+    groups = landed(components(links), "line-components")
     place = F.struct("key", "text_hash", "line")
-    firsts = named.where("node <> 0").groupBy("class").agg(F.min(place).alias("first"), F.count("*").alias("size"))
-    firsts = firsts.where("size > 1").select("class", "first")
-    found = named.join(firsts, "class", "left").withColumn("first", F.coalesce("first", place))
+    own = lines.where("node <> 0").groupBy("node").agg(F.min(place).alias("own"), F.count("*").alias("copies"))
+    own = landed(own, "line-nodes")
+    both = links.select(F.col("a").alias("node"), F.col("b").alias("other"))
+    both = both.unionAll(links.select("b", "a"))
+    others = own.select(F.col("node").alias("other"), F.col("own").alias("theirs"), F.col("copies").alias("more"))
+    near = both.join(others, "other").groupBy("node").agg(F.min("theirs").alias("theirs"), F.sum("more").alias("more"))
+    linked = own.join(near, "node", "left").join(groups, "node", "left").select(
+        "node", "own",
+        F.coalesce("component", "node").alias("class"),
+        (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"),
+        F.least("own", "theirs").alias("nearest"),
+    )
+    linked = landed(linked.where("n_links > 0"), "line-classes")
+    firsts = linked.groupBy("class").agg(F.min("own").alias("first"))
+    linked = linked.join(firsts, "class").select("node", "class", "n_links", "first", "nearest")
+    found = lines.join(linked, "node", "left").withColumn("first", F.coalesce("first", place))
     return found.select(
         F.col("key").alias(key), "text_hash", "line", "n_tokens",
+        F.when(F.col("node") != 0, F.coalesce("class", "node")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.col("first.key").alias("first_key"), F.col("first.line").alias("first_line"),
         (F.col("first") != place).alias("removed"),
+        F.coalesce(F.col("nearest") < place, F.lit(False)).alias("repeats"),
     )
 
 
 def dedup_lines(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with their removed lines taken out of ``text``; all other columns as they were.
+    """The documents without the lines that repeat an earlier one; all other columns as they were.
 
     Documents that had words and lost them all are left out; texts that lose no line stay as they
     are, null ones too.
     """
-    found = similar_lines(docs, settings, key, text).where("removed")
+    found = similar_lines(docs, settings, key, text).where("repeats")
     gone = found.groupBy(F.col(f"`{key}`").alias("key"), "text_hash").agg(F.collect_set("line").alias("lines"))
     rows = packed(docs, key, text).alias("d").join(gone.alias("x"), same_row("d", "x"), "left")
     rows = rows.select("row.*", F.col("x.lines").alias("__lines_to_remove"))

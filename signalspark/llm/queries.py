@@ -127,4 +127,6 @@ def op4_minhash_dedup(spark, sf):
 def op1_line_dedup(spark, sf):
     """One row per line of every document."""
     found = linededup.similar_lines(table(spark, sf, "documents"))
-    return found.select("doc_id", "line", "n_tokens", "first_key", "first_line", "removed")
+    return found.select(
+        "doc_id", "line", "n_tokens", "class_id", "n_links", "first_key", "first_line", "removed", "repeats"
+    )

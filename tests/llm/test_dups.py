@@ -112,6 +112,35 @@ def test_lines_equal_brute_force(documents):
         }
 
 
+def test_line_links_equal_brute_force(documents):
+    for seed in (3, 5):
+        rows = list(enumerate(corpus(seed, 40))) + [(1000, None)]
+        found = linededup.similar_lines(documents(rows).repartition(4)).collect()
+        sets = {(i, j): shingles(line) for i, t in rows for j, line in enumerate((t or "").split("\n"))}
+        near = {
+            a: [b for b in sets if b != a and s and 100 * len(s & sets[b]) >= 75 * len(s | sets[b])] for a, s in sets.items()
+        }
+        assert {(r.doc_id, r.line): (r.n_links, r.repeats) for r in found} == {
+            a: (len(near[a]), any(b < a for b in near[a])) for a in sets
+        }
+        classes = {(r.doc_id, r.line): r.class_id for r in found}
+        first = smallest(sets, order=lambda n: n)
+        assert all((classes[a] is None) == (not sets[a]) for a in sets)
+        assert all((classes[a] == classes[b]) == (first[a] == first[b]) for a in sets for b in sets if sets[a] and sets[b])
+
+
+def test_a_line_between_two_others_removes_none_of_them(documents):
+    words = [f"c{i}" for i in range(44)]
+    left, right = [*(f"a{i}" for i in range(5)), *words[5:]], [*words[:-5], *(f"b{i}" for i in range(5))]
+    rows = [(1, " ".join(left)), (2, " ".join(right)), (3, " ".join(words)), (4, " ".join(words))]
+    found = {r.doc_id: r for r in linededup.similar_lines(documents(rows)).collect()}
+    assert {i: (r.n_links, r.first_key, r.repeats) for i, r in found.items()} == {
+        1: (2, 1, False), 2: (2, 1, False), 3: (3, 1, True), 4: (3, 1, True),
+    }
+    assert len({r.class_id for r in found.values()}) == 1
+    assert sorted(r.doc_id for r in linededup.dedup_lines(documents(rows)).collect()) == [1, 2]
+
+
 def test_lines_are_taken_out(documents):
     line, other = "one two three four five six seven eight", "a b c d e f g"
     rows = [(1, f"{line}\n\nx"), (2, f"y\n{line.upper()}\nz"), (3, line), (4, None), (5, ""), (6, f"{other}\n{other}")]
