@@ -2,13 +2,15 @@
 
 Numbers, names and units become typed placeholders, so a question asked again with other values has
 the same template. Windows of template words are hash-joined between benchmark and documents. Where
-a window has placeholders, the values behind them must map one to one from the benchmark to the
-document: a re-parameterised question renames each value the same way everywhere.
+a window has placeholders, the values behind them must map one to one between the benchmark and the
+document: a re-parameterised question renames each value the same way everywhere, and two values never
+to one. Only windows that hold a value against this are dropped, and windows whose own words are the
+item's count whatever the others hold.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalspark.llm.shared import landed, packed, same_row
@@ -22,7 +24,7 @@ UNITS = (
 ).split()
 WINDOW = 8
 SHORTEST = 5
-#: A window matches as a template if so many of its words are no placeholders, else only word for word.
+#: A window matches as a template if so many of its words are no placeholders, and always word for word.
 LITERALS = 4
 _BLANK = r"[ \t\n\x0B\f\r]+"
 
@@ -56,7 +58,8 @@ def _hashes(words: Column, size: int, kind: str) -> Column:
 
 def benchmark_windows(items: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
     """item, size, kind, pos and hash of every window of the benchmark, ``slots``, its words where some
-    are placeholders, and n_windows of its item.
+    are placeholders, and n_windows of its item. Kind c is the template, r the words themselves; a
+    window without enough other words than placeholders has no c.
 
     Items of fewer than 8 template words are one window of their own size; fewer than 5 words (and
     null or empty texts) are too little to tell a leak and have none. Items of equal id are one.
@@ -67,7 +70,8 @@ def benchmark_windows(items: DataFrame, item: str = "item_id", text: str = "text
     rows = rows.where(F.size("c") >= SHORTEST).withColumn("size", F.least(F.size("c"), F.lit(WINDOW)))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.size("c") - F.col("size"))).alias("pos"))
     literal = F.size(F.filter(F.slice("c", F.col("pos") + 1, F.col("size")), lambda w: ~w.rlike(f"[{NUMBER}-{UNIT}]")))
-    rows = rows.withColumn("kind", F.when(literal >= F.least(F.lit(LITERALS), F.col("size")), "c").otherwise("r"))
+    kinds = F.when(literal >= F.least(F.lit(LITERALS), F.col("size")), F.array(F.lit("c"), F.lit("r")))
+    rows = rows.withColumn("kind", F.explode(F.coalesce(kinds, F.array(F.lit("r")))))
     hashed = F.lit(None).cast("bigint")
     for size in range(SHORTEST, WINDOW + 1):
         for kind in "cr":
@@ -114,7 +118,7 @@ def find_leaks(
     right, n = found.alias("f"), slotted.count()
     if n:
         odd = _inconsistent(found.where("slotted"), marks, rows, F.broadcast(slotted) if n <= broadcast_rows else slotted)
-        on = [F.col(f"f.{c}").eqNullSafe(F.col(f"o.{c}")) for c in ("key", "text_hash", "item", "shift")]
+        on = [F.col(f"f.{c}").eqNullSafe(F.col(f"o.{c}")) for c in ("key", "text_hash", "item", "shift", "pos")]
         right = right.join(odd.alias("o"), [*on, F.col("f.slotted")], "left_anti")
     pairs = right.groupBy("key", "text_hash", "item").agg(
         F.countDistinct("pos").alias("n_matched"),
@@ -128,7 +132,8 @@ def find_leaks(
 
 
 def _inconsistent(found: DataFrame, marks: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
-    """The (document, item, shift) in which some value of the item became two values in the document."""
+    """The windows (document, item, shift, pos) that hold a value of the item which became two values in
+    the document at this shift, or a value of the document which stands for two of the item."""
     same = [F.col(f"d.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ("key", "text_hash")]
     texts = texts.alias("t").join(docs.alias("d"), same, "left_semi").dropDuplicates(["key", "text_hash"])
     texts = texts.withColumn("template", _template(F.col("text")))
@@ -138,10 +143,13 @@ def _inconsistent(found: DataFrame, marks: DataFrame, texts: DataFrame, docs: Da
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"m.{c}")) for c in ("item", "pos", "size")]
     rows = rows.alias("r").join(marks.where("slots IS NOT NULL").alias("m"), same).select("r.*", "m.slots")
     pairs = F.arrays_zip(F.col("slots.c").alias("c"), F.col("slots.r").alias("theirs"), F.col("own").alias("own"))
-    slots = rows.select("key", "text_hash", "item", "shift", F.explode(pairs).alias("s"))
-    slots = slots.where(F.col("s.c").rlike(f"[{NUMBER}-{UNIT}]"))
-    values = slots.groupBy("key", "text_hash", "item", "shift", "s.c", "s.theirs").agg(F.min("s.own").alias("a"), F.max("s.own").alias("b"))
-    return values.where("a <> b").select("key", "text_hash", "item", "shift").distinct()
+    at = ["key", "text_hash", "item", "shift"]
+    slots = rows.select(*at, "pos", F.explode(pairs).alias("s")).where(F.col("s.c").rlike(f"[{NUMBER}-{UNIT}]"))
+    slots = slots.select(*at, "pos", "s.c", "s.theirs", "s.own")
+    there, back = Window.partitionBy(*at, "c", "theirs"), Window.partitionBy(*at, "c", "own")
+    slots = slots.withColumn("there", F.min("own").over(there) != F.max("own").over(there))
+    slots = slots.withColumn("back", F.min("theirs").over(back) != F.max("theirs").over(back))
+    return slots.where("there OR back").select(*at, "pos").distinct()
 
 
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:

@@ -159,6 +159,17 @@ def test_decontamination_rejects_values_that_do_not_map(spark):
     assert leaks(spark, [same, mixed, item], [(5, item)]) == {0, 2}
 
 
+def test_decontamination_keeps_windows_without_the_conflicting_value(spark):
+    item = "take 7 apples from the basket and put 7 apples into the bag then count 7 apples again"
+    changed = item.replace("count 7", "count 8")
+    tail = "then walk along the river until the old stone bridge comes into sight and rest there"
+    other = f"take 1 apples and put 2 apples away {tail}"
+    assert leaks(spark, [changed, other, changed.upper()], [(5, item)]) == {0, 2}
+    assert leaks(spark, [other], [(5, f"take 7 apples and put 7 apples away {tail}")]) == {0}
+    two = "put 3 apples and then 5 pears into a box of wood or glass"
+    assert leaks(spark, [two.replace("3", "4").replace("5", "4"), two.replace("3", "8")], [(5, two)]) == {1}
+
+
 def test_decontamination_of_odd_tables(spark):
     numbers = "1 2 3 4 5 6 7 8 9 10"
     short = "five words are just enough"
