@@ -22,6 +22,17 @@ UNITS = (
     " liter liters s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years"
     " percent dollar dollars euro euros cent cents usd eur gbp mph kmh kph hz khz mhz ghz w kw v a j kj cal kcal degrees"
 ).split()
+#: Capitalised words that are no names, wherever they stand.
+COMMON = (
+    "a about above after again all along also although an and another any are as at away back be because been before"
+    " below between both but by calculate can compute consider could compare count determine did do does draw during each either"
+    " even every evaluate explain express few find finally first five following for four from give given has have he"
+    " hence her here his how however i if in initially is it its last later let list many may more most much must my name"
+    " neither next no not now of often on once one only or other our out over per please prove put second select several"
+    " she should show simplify since so solve some state such suppose take ten that the their them then there therefore"
+    " these they third this those though three through thus to today together two under until up use using was we were"
+    " what when where whether which while who whom whose why will with without would write yes yesterday you your"
+).split()
 WINDOW = 8
 SHORTEST = 5
 #: A window matches as a template if so many of its words are no placeholders, and always word for word.
@@ -30,9 +41,15 @@ _BLANK = r"[ \t\n\x0B\f\r]+"
 
 
 def _template(text: Column) -> Column:
-    """The text in lower case with placeholders, without punctuation; words stay apart as they were."""
+    """The text in lower case with placeholders, without punctuation; words stay apart as they were.
+
+    Names are words that begin with a capital and go on in lower case, wherever they stand, and other
+    capitals within a sentence; common words are none.
+    """
     text = F.regexp_replace(text, f"[{NUMBER}-{UNIT}]", "")
-    text = F.regexp_replace(text, r"(?<=[\p{Ll}\p{Nd},;] )\p{Lu}[\p{L}'’-]*", NAME)
+    name = r"(?=\p{Lu})(?<![\p{L}\p{N}'’-])" + rf"(?!(?i:{'|'.join(COMMON)})(?![\p{{L}}'’-]))"
+    within = r"(?<=[\p{Ll}\p{Nd},;][ \t\n\x0B\f\r]{1,8})"
+    text = F.regexp_replace(text, rf"{name}(?:\p{{Lu}}\p{{Ll}}|{within}\p{{Lu}})[\p{{L}}'’-]*", NAME)
     text = F.regexp_replace(F.lower(text), r"[0-9]+(?:[.,:/][0-9]+)*", NUMBER)
     text = F.regexp_replace(text, f"({NUMBER} ?)(?:{'|'.join(UNITS)}|%)(?!\\p{{L}})", f"$1{UNIT}")
     return F.regexp_replace(text, rf"[^\p{{L}}\p{{N}}{NUMBER}-{UNIT} \t\n\x0B\f\r]+", "")

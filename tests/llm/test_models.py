@@ -170,6 +170,17 @@ def test_decontamination_keeps_windows_without_the_conflicting_value(spark):
     assert leaks(spark, [two.replace("3", "4").replace("5", "4"), two.replace("3", "8")], [(5, two)]) == {1}
 
 
+def test_decontamination_finds_names_wherever_they_stand(spark):
+    item = "Tom has 4 pens. Ann has 7 pens. Sue has 9 pens. Who has the most pens?"
+    asked = "Bob has 5 pens. Eve has 8 pens. Kim has 6 pens. Who has the most pens?"
+    quoted = asked.replace("Eve", "“Eve”").replace("Kim", "(Kim)")
+    texts = [asked, asked.replace(". ", ".\n"), asked.replace(" ", "  "), quoted, item.lower(), item.upper(), f"So: {asked}"]
+    texts += [asked.replace("Kim", "Bob")[:47], "Who has the most pens?"]
+    assert leaks(spark, texts, [(0, item)]) == {0, 1, 2, 3, 4, 5, 6}
+    wrapped = QUESTION.replace("Anna", "Boris").replace(" ", "\n").replace("120", "77")
+    assert leaks(spark, [wrapped, QUESTION.lower().replace(" ", "\t ")]) == {0, 1}
+
+
 def test_decontamination_of_odd_tables(spark):
     numbers = "1 2 3 4 5 6 7 8 9 10"
     short = "five words are just enough"
