@@ -34,6 +34,8 @@ COMMON = (
     " what when where whether which while who whom whose why will with without would write yes yesterday you your"
 ).split()
 WINDOW = 8
+#: A pair leaks by so many words in a row, however long the item is.
+RUN = 13
 SHORTEST = 5
 #: A window matches as a template if so many of its words are no placeholders, and always word for word.
 LITERALS = 4
@@ -111,7 +113,7 @@ def find_leaks(
     ``n_windows`` windows, and ``n_slotted``, how many of these have placeholders.
 
     A pair leaks when at least ``coverage`` of the item's windows, two at least if it has two, stand
-    in the document with consistent values. Null texts are empty and leak nothing. Rows of equal key
+    in the document with consistent values, or when 13 words of it in a row do. Null texts are empty and leak nothing. Rows of equal key
     and text are one. broadcast_rows: a benchmark with more windows is joined by shuffling instead.
     """
     marks = landed(benchmark_windows(items, item, item_text), "benchmark-windows")
@@ -137,13 +139,19 @@ def find_leaks(
         odd = _inconsistent(found.where("slotted"), marks, rows, F.broadcast(slotted) if n <= broadcast_rows else slotted)
         on = [F.col(f"f.{c}").eqNullSafe(F.col(f"o.{c}")) for c in ("key", "text_hash", "item", "shift", "pos")]
         right = right.join(odd.alias("o"), [*on, F.col("f.slotted")], "left_anti")
-    pairs = right.groupBy("key", "text_hash", "item").agg(
+    at = ["key", "text_hash", "item", "shift"]
+    # Windows RUN - WINDOW before each one's place, at the same shift: there if all between are.
+    before = F.lag("pos", RUN - WINDOW).over(Window.partitionBy(*at).orderBy("pos"))
+    runs = right.groupBy(*at, "pos").agg(F.max("slotted").alias("slotted"), F.max("n_windows").alias("n_windows"))
+    runs = runs.withColumn("run", F.col("pos") - before == RUN - WINDOW)
+    pairs = runs.groupBy("key", "text_hash", "item").agg(
+        F.coalesce(F.max("run"), F.lit(False)).alias("run"),
         F.countDistinct("pos").alias("n_matched"),
         F.max("n_windows").alias("n_windows"),
         F.countDistinct(F.when(F.col("slotted"), F.col("pos"))).alias("n_slotted"),
     )
     least = F.greatest(F.least(F.lit(2), F.col("n_windows")), F.ceil(F.col("n_windows") * coverage))
-    return pairs.where(F.col("n_matched") >= least).select(
+    return pairs.where((F.col("n_matched") >= least) | F.col("run")).select(
         F.col("key").alias(key), "text_hash", F.col("item").alias(item), "n_matched", "n_windows", "n_slotted"
     )
 

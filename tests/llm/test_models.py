@@ -181,6 +181,14 @@ def test_decontamination_finds_names_wherever_they_stand(spark):
     assert leaks(spark, [wrapped, QUESTION.lower().replace(" ", "\t ")]) == {0, 1}
 
 
+def test_decontamination_finds_a_passage_of_a_long_item(spark):
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(500)]
+    texts = [" ".join(["x", *words[200 : 200 + n], "y"]) for n in (100, 13, 12)]
+    texts.append(" ".join([*words[10:19], "x", *words[30:39], "y", *words[50:59]]))
+    assert leaks(spark, texts, [(0, " ".join(words))]) == {0, 1}
+    assert leaks(spark, [" ".join(words[20:35])], [(0, " ".join(words[:59]))]) == {0}
+
+
 def test_decontamination_of_odd_tables(spark):
     numbers = "1 2 3 4 5 6 7 8 9 10"
     short = "five words are just enough"
