@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from signalspark.llm.bpe import small
 from signalspark.llm.kernel import flags_to_spans, utf8
+from signalspark.llm.shared import landed
 
 BUCKETS = 1 << 16
 UNKNOWN = "und"
@@ -69,8 +70,8 @@ class Model:
 def learn(docs: DataFrame, lang: str = "lang", text: str = "text", max_languages: int = 256) -> Model:
     """Count the trigrams of all rows by language; rows without text or language are left out.
 
-    The model has 65,536 numbers per language. max_languages bounds it: the values of ``lang`` with
-    the most letters are learned.
+    The model has 65,536 numbers per language. max_languages bounds it: a table with more values of
+    ``lang`` raises, as leaving some out would give their documents another language.
     """
     rows = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("__text"))
 
@@ -99,12 +100,11 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text", max_languages
         yield from flush()
 
     counted = rows.where("lang IS NOT NULL AND __text IS NOT NULL").mapInArrow(count, "lang string, bucket int, n bigint")
-    sums = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    pages = sums.groupBy("lang").agg(
-        F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("counts")
-    )
-    best = pages.orderBy(F.desc("total"), "lang").limit(max_languages).select("lang", "counts").collect()
-    best = sorted(best, key=lambda r: r["lang"])
+    sums = landed(counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "language-counts")
+    pages = sums.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("counts"))
+    if sums.select("lang").distinct().limit(max_languages + 1).count() > max_languages:
+        raise ValueError(f"column {lang} has more than {max_languages} languages; raise max_languages to learn them all")
+    best = sorted(pages.select("lang", "counts").collect(), key=lambda r: r["lang"])
     scores = np.zeros((BUCKETS, len(best)), np.float32)
     for k, row in enumerate(best):
         counts = np.full(BUCKETS, 0.05)

@@ -51,6 +51,13 @@ def test_language_without_anything_to_learn(spark):
     assert langid.identify(labelled(spark, []), model).count() == 0
 
 
+def test_more_languages_than_the_bound_raise(spark):
+    rows = labelled(spark, [(i, sentence(random.Random(i), lang), lang, "") for i, lang in enumerate(VOCABULARY)])
+    assert langid.learn(rows, max_languages=3).languages == ["aa", "bb", "cc"]
+    with pytest.raises(ValueError, match="more than 2 languages"):
+        langid.learn(rows, max_languages=2)
+
+
 def test_remainder_equals_crc32_of_the_id(spark):
     ids = spark.createDataFrame([(i,) for i in (0, 1, 42, 10**12)], "doc_id bigint")
     got = {r[0]: r[1] for r in ids.select("doc_id", langid.remainder("doc_id", 7)).collect()}
