@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from signalspark.llm import bpe, decontaminate, langid, linededup, neardup, quality, token_counts, token_store, toxicity, warc
+from signalspark.llm import (
+    bpe, decontaminate, langid, linededup, neardup, quality, repair, token_counts, token_store, toxicity, warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -130,3 +132,9 @@ def op1_line_dedup(spark, sf):
     return found.select(
         "doc_id", "line", "n_tokens", "class_id", "n_links", "first_key", "first_line", "removed", "repeats"
     )
+
+
+@query
+def op12_conversation_repair(spark, sf):
+    turns = table(spark, sf, "conversations")
+    return repair.repair(repair.damage(turns), turns)
