@@ -1,0 +1,456 @@
+"""Hard negatives by a GNAT-style multiway hyperplane tree with exact leaves.
+
+Every node of the tree has some split points; a row goes to the nearest one, and for each pair of split
+point and sibling subtree the least and greatest distance is stored. Scores are inner products: with
+one more coordinate, which brings all rows to the same length and is 0 for the asker, the rows whose
+score lies in a window are those in an annulus around the asker. A sibling goes when its range around
+any split point can't meet the annulus, and so does a block of a leaf by its own ranges. What is left
+is scored in integers, so the tree decides only what need not be looked at.
+
+The tree is fitted on a bounded sample; all rows are sent down it. A leaf is cut into blocks by distance,
+so a leaf of many equal rows is many blocks. Askers come in blocks as well: a look-up joins blocks of
+askers and blocks of rows of the same leaf, and every task keeps the best few of each asker.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from signalspark.llm.shared import landed
+
+#: Rounding of a distance, as a share of the lengths it comes from; annuli are widened by it.
+_SLACK = 1e-6
+
+
+@dataclass(frozen=True)
+class Settings:
+    """scale: components become floor(scale * x). positives and negatives: how many of each. low: least
+    score of a negative in percent of the positive's. fanout: split points of a node; leaf_rows: rows
+    that a leaf should have; levels: of the tree at most; sample: rows that it is fitted on at most;
+    block: rows of a block; askers: anchors of a block."""
+
+    scale: float = 256.0
+    positives: int = 5
+    negatives: int = 5
+    low: int = 80
+    fanout: int = 8
+    leaf_rows: int = 8192
+    levels: int = 4
+    sample: int = 16384
+    block: int = 1024
+    askers: int = 256
+
+
+def quantised(rows: DataFrame, settings: Settings, key: str, label: str, vector: str) -> DataFrame:
+    """key, label, v: one row for each key, the least label and vector of its rows; others take no part."""
+    x = F.col(f"`{vector}`").cast("array<double>")
+    usable = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    found = rows.select(
+        F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{label}`").cast("bigint").alias("label"),
+        F.when(usable, F.transform(x, lambda c: F.floor(c * F.lit(settings.scale)))).alias("v"),
+    )
+    found = found.where("key IS NOT NULL AND label IS NOT NULL AND v IS NOT NULL")
+    return found.groupBy("key").agg(F.min(F.struct("label", "v")).alias("one")).select("key", "one.label", "one.v")
+
+
+def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
+    """Lists of integers as rows of a matrix; shorter ones end in zeros."""
+    edges = column.offsets.to_numpy().astype(np.int64)
+    flat = column.values.to_numpy()[edges[0] : edges[-1]]
+    sizes = np.diff(edges)
+    if len(sizes) and (sizes == width).all():
+        return flat.reshape(len(sizes), width).astype(np.int64)
+    out = np.zeros((len(sizes), width), np.int64)
+    out[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(edges[:-1] - edges[0], sizes)] = flat
+    return out
+
+
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact inner products of integer rows; sums stay below 2**56 (``_measure`` sees to it)."""
+    bound = a.shape[1] * (int(np.abs(a).max(initial=0)) + 1) * (int(np.abs(b).max(initial=0)) + 1)
+    if bound < 1 << 53:
+        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
+    return a.astype(np.int64) @ b.astype(np.int64).T
+
+
+@dataclass
+class Node:
+    """points: split points with their last coordinate; children: nodes or leaf numbers; ranges: for each
+    child the least and greatest distance of its rows to all points, None for a child without rows."""
+
+    points: np.ndarray
+    children: list
+    ranges: list
+
+
+@dataclass
+class Tree:
+    """width: components of a row; top: greatest squared length; paths: the nodes and children on the way
+    to each leaf."""
+
+    root: Node | int
+    width: int
+    top: int
+    paths: list[list[tuple[Node, int]]]
+
+    def lifted(self, x: np.ndarray) -> np.ndarray:
+        """Rows of equal length: the last coordinate makes up what each lacks."""
+        rest = self.top - np.einsum("ij,ij->i", x.astype(np.float64), x.astype(np.float64))
+        return np.column_stack([x.astype(np.float64), np.sqrt(np.maximum(rest, 0))])
+
+
+def _distances(a: np.ndarray, points: np.ndarray) -> np.ndarray:
+    square = np.einsum("ij,ij->i", a, a)[:, None] + np.einsum("ij,ij->i", points, points)[None] - 2 * (a @ points.T)
+    return np.sqrt(np.maximum(square, 0))
+
+
+def fit(sample: np.ndarray, n_rows: int, top: int, settings: Settings) -> Tree:
+    """A tree for so many rows from a sample of them. Split points are drawn far from each other."""
+    tree = Tree(0, sample.shape[1], top, [])
+    depth = 0
+    while depth < settings.levels and n_rows > settings.leaf_rows * settings.fanout**depth:
+        depth += 1
+
+    def grow(x: np.ndarray, level: int, path: list) -> Node | int:
+        if level < depth and len(x) >= 2 * settings.fanout:
+            far, picked = _distances(x, x[:1])[:, 0], [0]
+            while len(picked) < settings.fanout and far.max() > 1:
+                picked.append(int(far.argmax()))
+                far = np.minimum(far, _distances(x, x[picked[-1] :][:1])[:, 0])
+            if len(picked) > 1:
+                node = Node(x[picked], [], [None] * len(picked))
+                near = _distances(x, node.points).argmin(1)
+                for i in range(len(picked)):
+                    node.children.append(grow(x[near == i], level + 1, [*path, (node, i)]))
+                return node
+        tree.paths.append(path)
+        return len(tree.paths) - 1
+
+    tree.root = grow(tree.lifted(sample), 0, [])
+    return tree
+
+
+def placed(tree: Tree, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Leaf of each row and its distance to the leaf's own split point."""
+    rows = tree.lifted(x)
+    leaf, near = np.zeros(len(x), np.int64), np.zeros(len(x))
+    todo = [(tree.root, np.arange(len(x)))]
+    while todo:
+        node, at = todo.pop()
+        if not isinstance(node, Node):
+            leaf[at] = node
+        elif len(at):
+            distance = _distances(rows[at], node.points)
+            child = distance.argmin(1)
+            near[at] = distance[np.arange(len(at)), child]
+            todo += [(node.children[i], at[child == i]) for i in range(len(node.children))]
+    return leaf, near
+
+
+def _spans(tree: Tree, leaf: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest distance of some rows to all split points on the way to their leaf."""
+    path = tree.paths[leaf]
+    if not path:
+        return np.empty(0), np.empty(0)
+    distance = np.concatenate([_distances(rows, node.points) for node, _ in path], 1)
+    return distance.min(0), distance.max(0)
+
+
+def _meets(distance, low, high, inner, outer) -> np.ndarray:
+    """Whether a range of distances around each split point can meet the annulus around the asker, for
+    all points. distance: askers x points; low and high: points; inner and outer: askers."""
+    least = np.maximum(np.maximum(distance - high, low - distance), 0).max(1, initial=0)
+    most = (distance + high).min(1, initial=np.inf)
+    return (least <= outer) & (most >= inner)
+
+
+def annuli(tree: Tree, askers: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inner and outer distance of rows whose score lies between low and high, widened by rounding."""
+    x = askers.astype(np.float64)
+    lengths = np.einsum("ij,ij->i", x, x) + tree.top
+    inner, outer = lengths - 2.0 * high, lengths - 2.0 * low
+    slack = _SLACK * (1 + np.sqrt(lengths))
+    return np.sqrt(np.maximum(inner, 0)) - slack, np.sqrt(np.maximum(outer, 0)) + slack
+
+
+def _asking(askers: np.ndarray) -> np.ndarray:
+    return np.column_stack([askers.astype(np.float64), np.zeros(len(askers))])
+
+
+def leaves_of(tree: Tree, askers: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each leaf that some asker must look into, with the askers' numbers."""
+    points = _asking(askers)
+    inner, outer = annuli(tree, askers, low, high)
+    todo = [(tree.root, np.arange(len(askers)))]
+    while todo:
+        node, at = todo.pop()
+        if not isinstance(node, Node):
+            yield node, at
+            continue
+        distance = _distances(points[at], node.points)
+        for child, span in zip(node.children, node.ranges, strict=True):
+            if span is not None:
+                some = at[_meets(distance, *span, inner[at], outer[at])]
+                if len(some):
+                    todo.append((child, some))
+
+
+def with_ranges(tree: Tree, spans: list[tuple[int, np.ndarray, np.ndarray]]) -> Tree:
+    """spans: per leaf with rows, the least and greatest distances to the points on its way."""
+    for leaf, low, high in spans:
+        at = 0
+        for node, child in tree.paths[leaf]:
+            part = slice(at, at + len(node.points))
+            at, old = part.stop, node.ranges[child]
+            here = low[part], high[part]
+            node.ranges[child] = here if old is None else (np.minimum(old[0], here[0]), np.maximum(old[1], here[1]))
+    return tree
+
+
+@dataclass
+class Index:
+    """tree: with its ranges; blocks: leaf, keys, labels, rows and ranges of every block."""
+
+    tree: Tree
+    blocks: DataFrame
+
+
+def _measure(rows: DataFrame) -> tuple[int, int, int]:
+    """Number of rows, length of the longest vector and greatest squared length."""
+    square = F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double"))
+    n, width, top = rows.agg(F.count("*"), F.max(F.size("v")), F.max(square)).first()
+    if n and top >= 1 << 55:
+        raise ValueError("components are too large for integer scores of 64 bits; choose a smaller scale")
+    return n, width or 0, int(top or 0) + 1
+
+
+def build(rows: DataFrame, settings: Settings) -> Index:
+    """The index of rows (key, label, v)."""
+    spark = rows.sparkSession
+    n, width, top = _measure(rows)
+    some = rows.orderBy(F.xxhash64("key"), "key").limit(settings.sample).select("v").toArrow()  # of bounded size
+    sample = _matrix(some.column(0).combine_chunks(), width) if some.num_rows else np.zeros((0, width), np.int64)
+    tree = fit(sample, n, top, settings)
+    sent = spark.sparkContext.broadcast(tree)
+
+    def place(batches):
+        tree = sent.value
+        for batch in batches:
+            leaf, near = placed(tree, _matrix(batch.column(2), tree.width))
+            yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(near), *batch.columns], ["leaf", "near", *batch.schema.names])
+
+    kinds = "leaf bigint, near double, key bigint, label bigint, v array<bigint>"
+    order = ["leaf", "near", "key"]
+    sorted_rows = rows.select("key", "label", "v").mapInArrow(place, kinds).repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def cut(batches):
+        tree, held, leaf_of = sent.value, [], None
+
+        def block(parts, leaf):
+            keys, labels, x = (np.concatenate([p[i] for p in parts]) for i in range(3))
+            low, high = _spans(tree, leaf, tree.lifted(x))
+            small = np.abs(x).max(initial=0) < 1 << 31
+            columns = [
+                pa.array([leaf]), pa.array([len(keys)]), pa.array([keys.tobytes()]), pa.array([labels.tobytes()]),
+                pa.array([x.astype(np.int32 if small else np.int64).tobytes()]), pa.array([low.tolist()], pa.list_(pa.float64())),
+                pa.array([high.tolist()], pa.list_(pa.float64())),
+            ]
+            return pa.RecordBatch.from_arrays(columns, [k.split()[0] for k in _BLOCK.split(", ")])
+
+        for batch in batches:
+            leaves = batch.column(0).to_numpy()
+            keys, labels = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            x = _matrix(batch.column(4), tree.width)
+            edges = [0, *(np.flatnonzero(np.diff(leaves)) + 1).tolist(), len(leaves)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                while a < b:
+                    if held and (leaf_of != leaves[a] or sum(len(p[0]) for p in held) >= settings.block):
+                        yield block(held, leaf_of)
+                        held = []
+                    leaf_of = int(leaves[a])
+                    end = min(b, a + settings.block - sum(len(p[0]) for p in held))
+                    held.append((keys[a:end], labels[a:end], x[a:end]))
+                    a = end
+        if held:
+            yield block(held, leaf_of)
+
+    blocks = landed(sorted_rows.mapInArrow(cut, _BLOCK), "vector-blocks")
+    spans = blocks.select("leaf", F.posexplode(F.arrays_zip("low", "high")).alias("at", "x"))
+    spans = spans.groupBy("leaf", "at").agg(F.min("x.low").alias("low"), F.max("x.high").alias("high"))
+    spans = spans.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("at", "low", "high"))).alias("x"))
+    found = [  # one row for each leaf: fanout ** levels at most
+        (r.leaf, np.array([s.low for s in r.x]), np.array([s.high for s in r.x])) for r in spans.collect()
+    ]
+    return Index(with_ranges(tree, found), blocks)
+
+
+_BLOCK = "leaf bigint, n bigint, keys binary, labels binary, rows binary, low array<double>, high array<double>"
+_ASKERS = "leaf bigint, keys binary, labels binary, rows binary, low binary, high binary, extra binary"
+
+def _askers(anchors: DataFrame, index: Index, settings: Settings, home: bool) -> DataFrame:
+    """Blocks of anchors (key, label, v, low, high, extra) for each leaf that they must look into, or, at
+    home, for the leaf that they lie in."""
+    sent = anchors.sparkSession.sparkContext.broadcast(index.tree)
+    names = [k.split()[0] for k in _ASKERS.split(", ")]
+
+    def run(batches):
+        tree = sent.value
+        for whole in batches:
+            for start in range(0, whole.num_rows, settings.askers):
+                batch = whole.slice(start, settings.askers)
+                keys, labels = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                x = _matrix(batch.column(2), tree.width)
+                low, high = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+                extra = _matrix(batch.column(5), 2 * settings.positives)
+                visits = leaves_of(tree, x, low, high)
+                if home:
+                    own = placed(tree, x)[0]
+                    visits = ((leaf, np.flatnonzero(own == leaf)) for leaf in np.unique(own).tolist())
+                out = []
+                for leaf, at in visits:
+                    parts = (keys[at], labels[at], x[at], low[at], high[at], extra[at])
+                    out.append((leaf, *(np.ascontiguousarray(p).tobytes() for p in parts)))
+                if out:
+                    columns = list(zip(*out, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], names)
+
+    return anchors.select("key", "label", "v", "low", "high", "extra").mapInArrow(run, _ASKERS)
+
+
+def _looked_up(anchors: DataFrame, index: Index, settings: Settings, home: bool = False, negatives: bool = False) -> DataFrame:
+    """The best rows of each anchor (``key``): ``other``, ``score``, and for negatives the positive they belong to.
+
+    Every task gives the few best that it met of each anchor, or anchor and positive. home: only in the
+    blocks of an anchor's leaf that it may lie in itself.
+    """
+    sent = anchors.sparkSession.sparkContext.broadcast(index.tree)
+    many = settings.negatives if negatives else settings.positives
+    kinds = "key bigint, positive bigint, positive_score bigint, other bigint, score bigint"
+
+    def best(score, keys, old):
+        if old is not None:
+            score, keys = np.concatenate([old[0], score]), np.concatenate([old[1], keys])
+        if len(score) > many:
+            least = np.partition(score, len(score) - many)[len(score) - many]
+            at = np.flatnonzero(score >= least)
+            score, keys = score[at], keys[at]
+        order = np.lexsort((keys, -score))[:many]
+        return score[order], keys[order]
+
+    def run(batches):
+        tree, found = sent.value, {}
+
+        def flushed():
+            rows = [(*name, int(k), int(s)) for name, (score, keys) in found.items() for s, k in zip(score, keys, strict=True)]
+            found.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 5)], [k.split()[0] for k in kinds.split(", ")]
+            )
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                own, own_labels, low, high = (np.frombuffer(row[c], np.int64) for c in ("a_keys", "a_labels", "a_low", "a_high"))
+                asking = np.frombuffer(row["a_rows"], np.int64).reshape(len(own), tree.width)
+                extra = np.frombuffer(row["a_extra"], np.int64).reshape(len(own), 2 * settings.positives)
+                alive, path, span = np.arange(len(own)), tree.paths[row["leaf"]], (np.array(row["low"]), np.array(row["high"]))
+                if path and home:
+                    node, child = path[-1]
+                    near = _distances(tree.lifted(asking), node.points[child : child + 1])[:, 0]
+                    least, most = (s[len(s) - len(node.points) + child] for s in span)
+                    slack = _SLACK * (1 + tree.top**0.5)
+                    alive = np.flatnonzero((near >= least - slack) & (near <= most + slack))
+                elif path:
+                    distance = np.concatenate([_distances(_asking(asking), node.points) for node, _ in path], 1)
+                    alive = np.flatnonzero(_meets(distance, *span, *annuli(tree, asking, low, high)))
+                if not len(alive):
+                    continue
+                keys, labels = np.frombuffer(row["keys"], np.int64), np.frombuffer(row["labels"], np.int64)
+                kind = np.int32 if len(row["rows"]) == 4 * len(keys) * tree.width else np.int64
+                x = np.frombuffer(row["rows"], kind).reshape(len(keys), tree.width)
+                scores = products(asking[alive], x)
+                for i, score in zip(alive.tolist(), scores, strict=True):
+                    if not negatives:
+                        at = np.flatnonzero((labels == own_labels[i]) & (score >= low[i]) & (keys != own[i]))
+                        if len(at):
+                            name = (int(own[i]), None, None)
+                            found[name] = best(score[at], keys[at], found.get(name))
+                        continue
+                    at = np.flatnonzero((labels != own_labels[i]) & (score >= low[i]) & (score <= high[i]))
+                    at = at[np.lexsort((keys[at], -score[at]))]
+                    falling = -score[at]
+                    for positive, its in extra[i].reshape(-1, 2).tolist():
+                        if positive == _NONE or its < 0:
+                            continue
+                        first = int(np.searchsorted(falling, -its))
+                        some = at[first : first + many]
+                        some = some[100 * score[some] >= settings.low * its]
+                        if len(some):
+                            name = (int(own[i]), positive, its)
+                            found[name] = best(score[some], keys[some], found.get(name))
+                if len(found) > 100_000:
+                    yield flushed()
+        yield flushed()
+
+    asked = _askers(anchors, index, settings, home)
+    names = [k.split()[0] for k in _ASKERS.split(", ")]
+    asked = asked.select("leaf", *(F.col(c).alias(f"a_{c}") for c in names[1:]))
+    both = asked.join(index.blocks, "leaf").select(*(f"a_{c}" for c in names[1:]), *(k.split()[0] for k in _BLOCK.split(", ")))
+    return both.mapInArrow(run, kinds)
+
+
+#: Stands for no key or no score; keys and scores are never that small.
+_NONE = -(1 << 62)
+
+
+def _ranked(found: DataFrame, by: list[str], many: int) -> DataFrame:
+    order = Window.partitionBy(*by).orderBy(F.col("score").desc(), "other")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= many)
+
+
+def mine(
+    rows: DataFrame, anchors, settings: Settings = Settings(), key: str = "vec_id", label: str = "label", vector: str = "embedding"
+) -> DataFrame:
+    """Per anchor and positive, up to ``negatives`` hard negatives: ``anchor_id``, ``positive_id``, ``rank``
+    (from 1), ``negative_id``, ``positive_score``, ``negative_score``.
+
+    anchors: a condition on ``key`` (a column expression of a column named key). An anchor's positives are
+    the best other rows of its label, its negatives for one of them the best rows of other labels whose
+    score is at most the positive's and at least ``low`` percent of it. A score is the inner product of
+    ``floor(scale * x)``; ties go to the smaller key. Rows with a null key, label or vector, or with a null
+    or non-finite component, take no part; of rows with equal keys the one of the least label and
+    vector counts; shorter vectors end in zeros, as empty ones do. Components whose squares sum to
+    2**55 or more raise an error. Other columns are not looked at; an empty table gives no rows.
+    """
+    rows = landed(quantised(rows, settings, key, label, vector), "vectors")
+    index = build(rows, settings)
+    none = F.array_repeat(F.lit(_NONE), 2 * settings.positives)
+    asking = landed(rows.where(anchors).select("key", "label", "v"), "anchors")
+    least, most = F.lit(_NONE), F.lit(1 << 62)
+    first = asking.select("*", least.alias("low"), most.alias("high"), none.alias("extra"))
+    # The last of enough positives near an anchor is a bound for all others.
+    held = _ranked(_looked_up(first, index, settings, home=True), ["key"], settings.positives)
+    bound = held.where(F.col("rank") == settings.positives).select("key", F.col("score").alias("bound"))
+    wider = asking.join(bound, "key", "left").select(
+        "key", "label", "v", F.coalesce("bound", least).alias("low"), most.alias("high"), none.alias("extra")
+    )
+    found = _ranked(_looked_up(landed(wider, "bounds"), index, settings), ["key"], settings.positives)
+    positives = landed(found.select("key", "other", "score"), "positives")
+    pairs = positives.groupBy("key").agg(
+        F.max("score").alias("high"), F.min(F.when(F.col("score") >= 0, F.col("score"))).alias("least"),
+        F.flatten(F.collect_list(F.array("other", "score"))).alias("extra"),
+    )
+    # A negative positive score has an empty window: 80 percent of it are more than it is.
+    pairs = pairs.where("least IS NOT NULL").withColumn("low", F.expr(f"{settings.low} * least div 100"))
+    padded = F.slice(F.concat("extra", none), 1, 2 * settings.positives).alias("extra")
+    windows = asking.join(pairs, "key").select("key", "label", "v", "low", "high", padded)
+    found = _ranked(_looked_up(landed(windows, "score-windows"), index, settings, negatives=True), ["key", "positive"], settings.negatives)
+    return found.select(
+        F.col("key").alias("anchor_id"), F.col("positive").alias("positive_id"), "rank",
+        F.col("other").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"),
+    )
