@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalspark.llm import (
-    bpe, decontaminate, hardneg, langid, linededup, neardup, quality, repair, token_counts, token_store, toxicity, warc,
+    bpe, decontaminate, hardneg, langid, linededup, neardup, quality, repair, substrings, token_counts, token_store, toxicity, warc,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,3 +164,22 @@ SELECT p.anchor_id, positive_id,
 FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same
   AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
 QUALIFY rank <= 5"""
+
+
+@query
+def op13_substring_dedup(spark, sf):
+    found = substrings.dedup_substrings(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op13_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, w FROM d WHERE len(w) >= 50),
+h AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS h FROM p),
+g AS (SELECT doc_id, i FROM h QUALIFY doc_id > min(doc_id) OVER (PARTITION BY h)),
+r AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 50)))) AS gone FROM g GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN w
+    ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(gone, i)), lambda i: w[i]) END, ' '))
+    AS kept_sha256
+FROM d LEFT JOIN r ON r.doc_id = d.doc_id"""
