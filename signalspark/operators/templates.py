@@ -3,6 +3,12 @@
 Grouping is greedy in order of first occurrence: a template joins the first earlier group of the
 same length and first word that agrees with it in enough places, else it founds a group. Messages
 enter this only through their masked form, so it runs on the distinct masked templates.
+
+Templates of large buckets meet through an inverted index of (bucket, place, word). Two templates may
+differ in a fixed number d of places; of any d + 1 places that are constant in both, one must therefore
+hold the same word in both. Which places these are goes by the pair of shapes (which places are
+variable), the ones with most different words first. Pairs of shapes with no more than d constant places
+in common always fit and need no index: there the earliest founder of a shape stands for all of it.
 """
 
 from __future__ import annotations
@@ -23,13 +29,14 @@ UNNAMED = "Unknown Pattern"
 NAME_WORDS = 5
 DEFAULT_THRESHOLD = 0.5
 
-# Templates per bucket that one round resolves; the rest is matched against what they founded.
-# Not above spark.sql.optimizer.windowGroupLimitThreshold, so that the ranking cuts before its shuffle.
+# Templates per bucket that the first round resolves one by one in a task. What fits none of their
+# founders has few that fit each other, so that a later round may take GROWTH times as many.
 CHUNK = 1000
+GROWTH = 8
+# The most that a round takes of a bucket: its founders are kept in one task's memory.
+LARGEST = 1 << 18
 # Up to this many rows, a side of a join is small enough to be sent to every task.
 SMALL = 100_000
-# Templates of one bucket that a task matches against its founders, as a multiple of a round's templates.
-PER_TASK = 10
 
 
 def _at_most(limit: str) -> str:
@@ -177,76 +184,168 @@ def _numbered(df: DataFrame, order: list[str], name: str, above: int = 0) -> Dat
     return numbered.withColumn(name, F.col("_offset") + F.col("_index") + 1).drop("_part", "_index", "_offset")
 
 
-def _salts(largest: int | None, chunk: int) -> int:
-    """How many tasks share the largest bucket."""
-    return max(1, -(-(largest or 0) // (PER_TASK * chunk)))
+def _shaped(df: DataFrame) -> DataFrame:
+    """shape: a mark for each place after the first one, 1 where it is variable."""
+    rest = F.slice("masked", 2, F.size("masked"))
+    return df.withColumn("shape", F.array_join(F.transform(rest, lambda w: F.when(w.isNull(), "1").otherwise("0")), ""))
 
 
-def _match(waiting: DataFrame, founders: DataFrame, threshold: float, salts: int) -> DataFrame:
-    """The earliest founder of the same bucket that each waiting template fits, or null.
+def _needed(words: Column, threshold: float) -> Column:
+    """The least number of agreeing places whose share reaches the threshold."""
+    up = F.ceil(F.lit(threshold) * words).cast("int")
+    return F.when((up - 1) / words >= threshold, up - 1).otherwise(up)
 
-    A bucket holds at most ``CHUNK`` founders; its waiting templates may be very many and are
-    spread over ``salts`` tasks, each of which gets the bucket's founders.
-    """
-    listed = founders.groupBy(*_BUCKET).agg(
-        F.sort_array(F.collect_list(F.struct("place", "masked"))).alias("founders")
+
+def _places(templates: DataFrame) -> DataFrame:
+    """Per bucket, ``by``: its places after the first one, those with most different words first."""
+    rest = F.slice("masked", 2, F.size("masked"))
+    words = templates.select(*_BUCKET, F.posexplode(rest).alias("at", "word"))
+    counted = words.groupBy(*_BUCKET, "at").agg(F.approx_count_distinct("word").alias("n"))
+    ranked = counted.groupBy(*_BUCKET).agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "at"))).alias("by"))
+    return ranked.select(*_BUCKET, F.transform("by", lambda x: x["at"]).alias("by"))
+
+
+def _sent(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
+def _shape_pairs(later: DataFrame, earlier: DataFrame, places: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of shapes within a bucket, ``shape`` and ``other``, with the places to look up; null: always fit."""
+    a = later.select(*_BUCKET, "shape").distinct()
+    b = earlier.select(*[F.col(c).alias(f"_{c}") for c in _BUCKET], F.col("shape").alias("other")).distinct()
+    both = a.join(b, a["service"].eqNullSafe(b["_service"]) & (a["words"] == b["_words"]) & (a["head"] == b["_head"]))
+    both = both.select(*_BUCKET, "shape", "other")
+    both = both.join(places, _null_safe(both, places), "left").select(*[both[c] for c in both.columns], "by")
+
+    def constant(at: Column) -> Column:
+        return (F.substring("shape", at + 1, F.lit(1)) == "0") & (F.substring("other", at + 1, F.lit(1)) == "0")
+
+    free = F.col("words") - _needed(F.col("words"), threshold)
+    shared = F.filter(F.coalesce("by", F.array().cast("array<int>")), constant)
+    return both.select(*_BUCKET, "shape", "other", F.when(F.size(shared) > free, F.slice(shared, 1, free + 1)).alias("at"))
+
+
+def _index(rows: DataFrame, pairs: DataFrame, mine: str) -> DataFrame:
+    """A row for each token under which a template looks for others (mine: shape) or is found (other)."""
+    some = pairs.where("at IS NOT NULL").select(
+        *_BUCKET, F.col(mine).alias("mine"), F.col("shape").alias("of_later"), F.col("other").alias("of_earlier"), "at"
+    )
+    some = _sent(some)
+    found = rows.join(some, _null_safe(rows, some) & (rows["shape"] == some["mine"])).select(
+        *[rows[c] for c in (*_BUCKET, "place", "masked")], "of_later", "of_earlier", F.explode("at").alias("at")
+    )
+    word = F.get("masked", F.col("at") + 1)
+    return found.select(F.xxhash64(*_BUCKET, "of_later", "of_earlier", "at", word).alias("token"), *_BUCKET, "place", "masked")
+
+
+def _fitting(later: DataFrame, earlier: DataFrame, pairs: DataFrame, threshold: float, ordered: bool) -> DataFrame:
+    """(place, leader) of templates that fit and were met in the index; ordered: leaders come first."""
+    w, f = _index(later, pairs, "shape").alias("w"), _index(earlier, pairs, "other").alias("f")
+    same = (F.col("w.token") == F.col("f.token")) & (F.col("w.words") == F.col("f.words"))
+    same &= (F.col("w.head") == F.col("f.head")) & F.col("w.service").eqNullSafe(F.col("f.service"))
+    if ordered:
+        same &= F.col("f.place") < F.col("w.place")
+    met = w.join(f, same).where(similarity(F.col("f.masked"), F.col("w.masked")) >= threshold)
+    return met.select(F.col("w.place").alias("place"), F.col("f.place").alias("leader"))
+
+
+def _earliest(waiting: DataFrame, founders: DataFrame, places: DataFrame, threshold: float) -> DataFrame:
+    """``waiting`` with its earliest founder that fits as ``leader``, null if none does."""
+    pairs = _shape_pairs(waiting, founders, places, threshold).checkpoint()
+    met = _fitting(waiting, founders, pairs, threshold, False).groupBy("place").agg(F.min("leader").alias("met"))
+    firsts = founders.groupBy(*_BUCKET, "shape").agg(F.min("place").alias("first")).withColumnRenamed("shape", "other")
+    always = pairs.where("at IS NULL")
+    always = always.join(firsts, _null_safe(always, firsts, [*_BUCKET, "other"])).select(
+        *[always[c] for c in (*_BUCKET, "shape")], "first"
     )
-    spread = listed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = waiting.withColumn("salt", F.pmod(F.xxhash64("masked"), F.lit(salts)).cast("int"))
-    same = [salted[c].eqNullSafe(spread[c]) for c in [*_BUCKET, "salt"]]
-    joined = salted.join(spread.hint("shuffle_merge"), same, "left").select(salted["*"], "founders")
-    fitting = F.filter("founders", lambda f: similarity(f["masked"], F.col("masked")) >= threshold)
-    return joined.withColumn("leader", F.get(fitting, F.lit(0))["place"]).drop("founders", "salt")
+    always = _sent(always.groupBy(*_BUCKET, "shape").agg(F.min("first").alias("first")))
+    joined = waiting.join(always, _null_safe(waiting, always, [*_BUCKET, "shape"]), "left")
+    joined = joined.select(*[waiting[c] for c in waiting.columns], "first").join(met, "place", "left")
+    return joined.withColumn("leader", F.least("met", "first")).drop("met", "first")
+
+
+def _follow(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Decide templates in order, bucket by bucket: each has the earlier ones that fit it (``fits``) and the
+    shapes that always do (``always``); only founders are kept in memory."""
+    key, founders, firsts = None, set(), {}
+    for frame in frames:
+        done = []
+        for *bucket, place, shape, fits, always in zip(*(frame[c] for c in (*_BUCKET, "place", "shape", "fits", "always"))):
+            if bucket != key:
+                key, founders, firsts = bucket, set(), {}
+            near = [f for f in (() if fits is None else fits) if f in founders]
+            near += [firsts[s] for s in (() if always is None else always) if s in firsts]
+            done.append((place, min(near) if near else place))
+            if not near:
+                founders.add(place)
+                firsts.setdefault(shape, place)
+        yield pd.DataFrame(done, columns=["place", "leader"])
+
+
+def _in_order(taken: DataFrame, places: DataFrame, threshold: float) -> DataFrame:
+    """(place, leader) of templates none of which fits an earlier founder."""
+    pairs = _shape_pairs(taken, taken, places, threshold).checkpoint()
+    fits = _fitting(taken, taken, pairs, threshold, True).groupBy("place").agg(F.collect_set("leader").alias("fits"))
+    always = _sent(pairs.where("at IS NULL").groupBy(*_BUCKET, "shape").agg(F.collect_set("other").alias("always")))
+    rows = taken.join(always, _null_safe(taken, always, [*_BUCKET, "shape"]), "left")
+    rows = rows.select(*[taken[c] for c in (*_BUCKET, "place", "shape")], "always").join(fits, "place", "left")
+    rows = rows.repartition(*_BUCKET).sortWithinPartitions(*_BUCKET, "place")
+    return rows.mapInPandas(_follow, "place bigint, leader bigint")
+
+
+_HALVES = [0.5**k for k in range(1, 41)]
+
 
+def _taken(waiting: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """The earliest templates of each bucket, up to ``size``, and how many buckets have more.
 
-def _resolve(templates: DataFrame, threshold: float, chunk: int, salts: int | None) -> DataFrame:
+    Of larger buckets at least half as many are taken: up to a place found among approximate quantiles.
+    """
+    cuts = F.percentile_approx("place", F.lit(_HALVES), 10_000)
+    sizes = waiting.groupBy(*_BUCKET).agg(F.count(F.lit(1)).alias("n"), cuts.alias("cuts")).where(F.col("n") > size)
+    sizes = sizes.select(*_BUCKET, F.get("cuts", F.ceil(F.log2(F.col("n") / size)).cast("int") - 1).alias("cut")).checkpoint()
+    buckets = sizes.count()
+    if not buckets:
+        return waiting, 0
+    sizes = F.broadcast(sizes) if buckets <= SMALL else sizes
+    marked = waiting.join(sizes, _null_safe(waiting, sizes), "left").select(*[waiting[c] for c in waiting.columns], "cut")
+    return marked.where("cut IS NULL OR place <= cut").drop("cut"), buckets
+
+
+def _resolve(templates: DataFrame, threshold: float, chunk: int) -> DataFrame:
     """(place, leader) for every template; a leader is itself the place of a template.
 
-    A round takes the earliest ``chunk`` templates of each bucket and groups them. What is left
-    of larger buckets comes later than all of these, so it can be matched against the groups they
-    founded in any order; only templates that fit none wait for the next round.
+    A round takes the earliest templates of each bucket and finds the founders among them. What is left
+    of larger buckets comes later than all of these, so it can be matched against the founders in any
+    order; only templates that fit none wait for the next round, which takes GROWTH times as many.
     """
-    resolved, waiting = None, templates
-    earliest = Window.partitionBy(*_BUCKET).orderBy("place")
+    resolved, waiting, size, places = None, _shaped(templates), chunk, None
     while True:
-        sizes = waiting.groupBy(*_BUCKET).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk)
-        buckets, largest = sizes.agg(F.count("*"), F.max("n")).first()
-        taken = waiting
-        if buckets:
-            taken = waiting.withColumn("rank", F.row_number().over(earliest)).where(F.col("rank") <= chunk)
-        sorted_buckets = taken.repartition(*_BUCKET).sortWithinPartitions(*_BUCKET, "place")
-        columns = sorted_buckets.select(*_BUCKET, "place", "masked")
-        grouped = columns.mapInPandas(_fold(threshold), "place bigint, leader bigint").checkpoint()
+        taken, buckets = _taken(waiting, size)
+        if size == chunk:
+            rows = taken.repartition(*_BUCKET).sortWithinPartitions(*_BUCKET, "place").select(*_BUCKET, "place", "masked")
+            grouped = rows.mapInPandas(_fold(threshold), "place bigint, leader bigint").checkpoint()
+        else:
+            grouped = _in_order(taken, places, threshold).checkpoint()
         resolved = grouped if resolved is None else resolved.unionByName(grouped)
-        if buckets == 0:
+        if not buckets:
             return resolved
-        large = waiting.join(F.broadcast(sizes) if buckets <= SMALL else sizes, _null_safe(waiting, sizes), "left_semi")
-        rest = large.join(grouped.select("place"), "place", "left_anti")
-        founders = grouped.where("place = leader").select("place").join(large, "place")
-        matched = _match(rest, founders, threshold, salts or _salts(largest, chunk)).checkpoint()
+        places = _places(waiting).checkpoint() if places is None else places
+        rest = waiting.join(grouped.select("place"), "place", "left_anti")
+        founders = waiting.join(grouped.where("place = leader").select("place"), "place")
+        matched = _earliest(rest, founders, places, threshold).checkpoint()
         resolved = resolved.unionByName(matched.where("leader IS NOT NULL").select("place", "leader"))
-        waiting = matched.where("leader IS NULL").drop("leader").checkpoint()
-
+        waiting = matched.where("leader IS NULL").drop("leader")
+        size = min(size * GROWTH, max(LARGEST, chunk))
 
-def _adopt(
-    templates: DataFrame, earlier: DataFrame, threshold: float, chunk: int, salts: int | None
-) -> tuple[DataFrame, DataFrame]:
-    """Templates that fit a pattern of an earlier run, with its id, and those that fit none.
 
-    Buckets with more than ``chunk`` earlier patterns are gone through piece by piece, oldest first.
-    """
-    oldest = Window.partitionBy(*_BUCKET).orderBy("place")
-    pieces = earlier.withColumn("piece", F.floor((F.row_number().over(oldest) - 1) / chunk)).checkpoint()
-    last = pieces.agg(F.max("piece")).first()[0]
-    largest = templates.groupBy(*_BUCKET).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-    salts = salts or _salts(largest, chunk)
-    adopted, waiting = None, templates
-    for piece in range((-1 if last is None else last) + 1):
-        matched = _match(waiting, pieces.where(F.col("piece") == piece).drop("piece"), threshold, salts).checkpoint()
-        found = matched.where("leader IS NOT NULL").select("place", F.col("leader").alias("pattern_id"))
-        adopted = found if adopted is None else adopted.unionByName(found)
-        waiting = matched.where("leader IS NULL").drop("leader")
-    return adopted, waiting
+def _adopt(templates: DataFrame, earlier: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Templates that fit a pattern of an earlier run, with its id, and those that fit none."""
+    templates, earlier = _shaped(templates), _shaped(earlier)
+    places = _places(templates.select(*_BUCKET, "masked").unionAll(earlier.select(*_BUCKET, "masked")))
+    matched = _earliest(templates, earlier, places, threshold).checkpoint()
+    adopted = matched.where("leader IS NOT NULL").select("place", F.col("leader").alias("pattern_id"))
+    return adopted, matched.where("leader IS NULL").drop("leader", "shape")
 
 
 def _null_safe(left: DataFrame, right: DataFrame, columns=_BUCKET) -> Column:
@@ -260,9 +359,9 @@ def _null_safe(left: DataFrame, right: DataFrame, columns=_BUCKET) -> Column:
 def cluster(
     df: DataFrame, message: str = "message", ts: str = "timestamp", order: tuple[str, ...] = (),
     threshold: float = DEFAULT_THRESHOLD, by_service: str | None = None, seed: DataFrame | None = None,
-    only: Column | None = None, chunk: int = CHUNK, salts: int | None = None,
+    only: Column | None = None, chunk: int = CHUNK,
 ) -> Clustering:
-    """Give every message the id of its pattern; blank messages get 0.
+    """Give every message the id of its pattern; blank messages get 0, null ones none.
 
     ``order`` settles messages of the same time. ``by_service`` keeps the services in that column
     apart. ``seed`` is the registry of an earlier run: its patterns come first and keep their ids.
@@ -289,9 +388,9 @@ def cluster(
     if seed is not None:
         known = seed.agg(F.max("pattern_id")).first()[0] or 0
         earlier = _bucketed(seed.select("service", F.col("tokens").alias("masked"), F.col("pattern_id").alias("place")))
-        adopted, fresh = _adopt(distinct, earlier, threshold, chunk, salts)
+        adopted, fresh = _adopt(distinct, earlier, threshold)
 
-    pairs = _resolve(fresh, threshold, max(chunk, 1), salts)
+    pairs = _resolve(fresh, threshold, max(chunk, 1))
     leaders = _numbered(pairs.where("place = leader").select("leader"), ["leader"], "pattern_id", known)
     ids = pairs.join(leaders, "leader").select("place", "pattern_id")
     if adopted is not None:

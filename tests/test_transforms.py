@@ -5,6 +5,7 @@ import random
 import re
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
@@ -309,7 +310,7 @@ def ids(clustering):
     return [x.pattern_id for x in clustering.assigned.orderBy("id").collect()]
 
 
-@pytest.mark.parametrize("seed, threshold, chunk", [(1, 0.5, 1000), (2, 0.9, 7), (3, 0.3, 2), (4, 0.6, 5)])
+@pytest.mark.parametrize("seed, threshold, chunk", [(1, 0.5, 1000), (2, 0.9, 7), (3, 0.3, 2), (4, 0.6, 5), (5, 1.0, 1), (6, 0.75, 1)])
 def test_clusters_match_brute_force(rows, seed, threshold, chunk):
     rnd = random.Random(seed)
     words = ["a", "b", "c", "d", "<*>"]
@@ -317,11 +318,57 @@ def test_clusters_match_brute_force(rows, seed, threshold, chunk):
         " ".join(rnd.choice(words) if rnd.random() < 0.8 else str(rnd.randrange(99)) for _ in range(rnd.choice([0, 3, 4])))
         for _ in range(60)
     ]
-    found = tpl.cluster(logs_of(rows, lines), order=("id",), threshold=threshold, chunk=chunk, salts=3)
+    found = tpl.cluster(logs_of(rows, lines), order=("id",), threshold=threshold, chunk=chunk)
     assert ids(found) == brute_ids(lines, threshold, str.isdigit)
     assert found.registry.agg(F.sum("count")).first()[0] == sum(1 for line in lines if line.strip())
 
 
+def bucket_of(seed, n, length, common, odd):
+    """Distinct lines of one length and first word: base lines with words changed and places made variable."""
+    rnd = np.random.default_rng(seed)
+    base = rnd.integers(0, common, (max(n // 40, 1), length))
+    lines = base[rnd.integers(0, len(base), n)]
+    changed = rnd.random((n, length)) < rnd.choice([0.1, 0.4, 0.8], (n, 1))
+    lines = np.where(changed, rnd.integers(0, odd, (n, length)), lines)
+    variable = rnd.random((n, length)) < rnd.choice([0.0, 0.0, 0.2], (n, 1))
+    variable |= (rnd.random((n, 1)) < 0.3) & (np.arange(length) == length - 1)
+    return list(dict.fromkeys("job " + " ".join("7" if v else f"w{w}" for w, v in zip(x, y)) for x, y in zip(lines.tolist(), variable.tolist())))
+
+
+def one_by_one(lines, threshold):
+    """Ids of lines of one length that begin with the same word."""
+    known = {"7": -1}
+    rows = np.array([[known.setdefault(w, len(known)) for w in line.split()] for line in lines])
+    founders, n, out = np.empty_like(rows), 0, []
+    for row in rows:
+        fits = ((founders[:n] == row) | (founders[:n] == -1) | (row == -1)).sum(1) / rows.shape[1] >= threshold
+        first = int(fits.argmax()) if n and fits.any() else n
+        if first == n:
+            founders[n] = row
+            n += 1
+        out.append(first + 1)
+    return out
+
+
+@pytest.mark.parametrize("threshold, chunk, common, odd", [(0.5, 20, 60, 4000), (0.9, 50, 10, 500), (0.7, 5, 10, 30)])
+def test_large_buckets_match_one_by_one(rows, threshold, chunk, common, odd):
+    lines = bucket_of(chunk, 3000, 9, common, odd)
+    found = ids(tpl.cluster(logs_of(rows, lines), order=("id",), threshold=threshold, chunk=chunk))
+    expected = one_by_one(lines, threshold)
+    assert max(expected) > 2 * chunk and found == expected
+
+
+def test_query_over_free_text_matches_brute_force(spark):
+    from catalog import QUERIES
+
+    found = QUERIES["x29_cluster_text"](spark, "/root/testdata/sf0.01").collect()
+    found.sort(key=lambda r: (r.conv_id, r.turn, r.line))
+    words = sorted({w for r in found for w in r.message.split()})
+    some = spark.createDataFrame([(w,) for w in words], "w string").where(tpl.is_variable(F.col("w"))).collect()
+    variable = {r.w for r in some}
+    assert [r.pattern_id for r in found] == brute_ids([r.message for r in found], 0.5, variable.__contains__)
+
+
 def test_thresholds_and_names(rows):
     lines = ["user went to office", "user went to home", "module A started", "module B started", "1 2 3", " ", "user 5 went a b c d"]
     assert ids(tpl.cluster(logs_of(rows, lines), order=("id",), threshold=0.9)) == [1, 2, 3, 4, 5, 0, 6]
