@@ -6,10 +6,10 @@ index leads from an anchor to its first place: the smallest document that has it
 
 A document is parsed against every block that its anchors lead to: from the first anchor that no factor
 covers yet, the longest run of equal words on both sides is a factor. A factor as long as a window is a
-duplicate span if the block's document is smaller. At factor boundaries, windows that hold an anchor but
-reach beyond its factor are checked by themselves: no place of such a window is matched by the anchor's
-first place, so all its places are found among these windows, and the smallest document of each is
-counted exactly.
+duplicate span if the block's document is smaller. At factor boundaries, windows whose anchor led to the
+block but which reach beyond the factor are checked by themselves: no place of such a window is matched
+by its anchor's first place, so all its places are found among these windows, and the smallest
+document of each is counted exactly.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ from signalspark.llm.shared import landed
 _U = np.uint64
 _SECOND = _U(0x9E3779B97F4A7C15)
 _FILTER_BITS = 1 << 26
+#: Words of documents' parts that are parsed at a time.
+_PART_WORDS = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -37,7 +40,7 @@ class Settings:
     reference block."""
 
     window: int = 50
-    anchor: int = 12
+    anchor: int = 24
     block: int = 512
 
 
@@ -57,6 +60,17 @@ def _grams(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix((sums[size:] - sums[:n]) * inverse[:n] + _U(size)) if n else hashes[:0]
 
 
+def _least(grams: np.ndarray, span: int) -> np.ndarray:
+    """Place of the first of the least grams among so many from each place on, by doubling."""
+    least, reach = np.arange(len(grams)), 1
+    while reach < span:
+        step = min(reach, span - reach)
+        left, right = least[:-step], least[step:]
+        least = np.where(grams[left] <= grams[right], left, right)
+        reach += step
+    return least
+
+
 def anchors(words: Words, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, row and position in the row of each anchor of a run of texts.
 
@@ -66,15 +80,9 @@ def anchors(words: Words, settings: Settings) -> tuple[np.ndarray, np.ndarray, n
     span = settings.window - settings.anchor + 1
     if len(grams) < span:
         return grams[:0], np.empty(0, np.int64), np.empty(0, np.int64)
-    least, reach = np.arange(len(grams)), 1
-    while reach < span:  # the least of the runs within reach, by doubling
-        step = min(reach, span - reach)
-        left, right = least[:-step], least[step:]
-        least = np.where(grams[left] <= grams[right], left, right)
-        reach += step
+    least = _least(grams, span)
     starts = np.arange(len(least))
-    row = words.row[starts]
-    at = np.unique(least[starts + settings.window <= words.bounds[1:][row]])
+    at = np.unique(least[starts + settings.window <= words.bounds[1:][words.row[starts]]])
     row = words.row[at]
     return grams[at], row, at - words.bounds[:-1][row]
 
@@ -194,33 +202,44 @@ def _cuts(docs: DataFrame, leads: DataFrame, settings: Settings) -> tuple[DataFr
 
 
 def parse(
-    words: np.ndarray, start: int, block: np.ndarray, block_start: int, offset: int, at: list[int], settings: Settings
-) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Factors of a part of a document, and starts of the windows at their boundaries.
-
-    words: hashes of the part's words from position ``start`` of its document on; block: those of the
-    block, from ``block_start`` on; offset: from a position of the document to that of the block; at: the
-    anchors. A factor is (start, end) in the document and has a window's length at least.
+    words: np.ndarray, bounds: np.ndarray, ref: np.ndarray, ref_bounds: np.ndarray, shift: np.ndarray, anchor: np.ndarray,
+    settings: Settings,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Factors of some parts of documents, as (starts, ends), and starts of the windows at their boundaries.
+
+    words: hashes of the parts' words one after another, part i's from bounds[i] to bounds[i + 1]; ref and
+    ref_bounds: likewise the blocks that each is parsed against; shift: from a place in the part to that
+    in the block; anchor: places of the anchors among ``words``. Only runs as long as a window are factors.
     """
-    low = max(start, block_start - offset)
-    high = min(start + len(words), block_start + len(block) - offset)
-    equal = words[low - start : high - start] == block[low + offset - block_start : high + offset - block_start]
-    begins, ends = flags_to_spans(equal)
-    factors, loose, covered = [], [], -1
-    for anchor in at:
-        if anchor + settings.anchor > covered:  # greedily: an anchor within the last factor needs no other
-            i = int(np.searchsorted(begins, anchor - low, side="right")) - 1
-            begin, end = (int(begins[i]) + low, int(ends[i]) + low) if i >= 0 else (anchor, anchor)
-            if end < anchor + settings.anchor:  # hashes of anchors agree, their words do not
-                begin, end = anchor, anchor
-            covered = end
-            if end - begin >= settings.window:
-                factors.append((begin, end))
-        first = max(anchor + settings.anchor - settings.window, start, 0)
-        last = min(anchor, start + len(words) - settings.window)
-        windows = np.arange(first, last + 1)
-        loose.append(windows[(windows < begin) | (windows + settings.window > end)])
-    return factors, np.unique(np.concatenate(loose)) if loose else np.empty(0, np.int64)
+    part = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    place = np.arange(len(words)) - bounds[:-1][part] + shift[part]
+    inside = (place >= 0) & (place < np.diff(ref_bounds)[part])
+    equal = np.zeros(len(words), bool)
+    equal[inside] = words[inside] == ref[ref_bounds[:-1][part[inside]] + place[inside]]
+    is_anchor = np.zeros(len(words) + 1, np.int64)
+    is_anchor[anchor + 1] = 1
+    breaks = np.zeros(len(words), bool)
+    breaks[bounds[:-1][bounds[:-1] < len(words)]] = True
+    begins, ends = flags_to_spans(equal, breaks)
+    met = np.cumsum(is_anchor)
+    long = (ends - begins >= settings.window) & (met[ends] > met[begins])
+    grams, span = _grams(words, settings.anchor), settings.window - settings.anchor + 1
+    if len(grams) < span:
+        return begins[long], ends[long], np.empty(0, np.int64)
+    least = _least(grams, span)
+    starts = np.arange(len(least))
+    whole = np.concatenate([[0], np.cumsum(equal)])
+    loose = (is_anchor[least + 1] == 1) & (starts + settings.window <= bounds[1:][part[starts]])
+    loose &= whole[starts + settings.window] - whole[starts] < settings.window
+    return begins[long], ends[long], np.flatnonzero(loose)
+
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes in a binary column one after another, and where each row's begin."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.empty(0, np.uint8)
+    return np.frombuffer(raw.tobytes(), _U), (offsets - offsets[0]) // 8
 
 
 def duplicate_spans(docs: DataFrame, settings: Settings, key: str, text: str) -> DataFrame:
@@ -239,25 +258,34 @@ def duplicate_spans(docs: DataFrame, settings: Settings, key: str, text: str) ->
     )
     names = ["key", "text_hash", "start", "end", "h1", "h2"]
 
+    def parsed(batch):
+        words, bounds = _bytes(batch.column(3))
+        ref, ref_bounds = _bytes(batch.column(5))
+        start, ref_start, offset = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 4, 6))
+        own = batch.column(8).to_numpy(zero_copy_only=False)
+        at = batch.column(7)
+        edges = at.offsets.to_numpy()
+        which = np.repeat(np.arange(len(start)), np.diff(edges))
+        anchor = at.values.to_numpy()[edges[0] : edges[-1]] - start[which] + bounds[which]
+        begins, ends, loose = parse(words, bounds, ref, ref_bounds, start + offset - ref_start, anchor, settings)
+        of = np.searchsorted(bounds, begins, side="right") - 1
+        begins, ends, of = (x[~own[of]] for x in (begins, ends, of))  # what a document has of itself only
+        of_loose = np.searchsorted(bounds, loose, side="right") - 1
+        rows = np.concatenate([of, of_loose])
+        shift = (start - bounds[:-1])[rows]
+        low = np.concatenate([begins, loose]) + shift
+        high = np.concatenate([ends, loose + settings.window]) + shift
+        none = pa.nulls(len(of), pa.int64())
+        both = [_grams(w, settings.window)[loose].view(np.int64) if len(loose) else loose for w in (words, words ^ _SECOND)]
+        rows = pa.array(rows)
+        made = [pa.array(x.astype(np.int32)) for x in (low, high)] + [pa.concat_arrays([none, pa.array(h)]) for h in both]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *made], names)
+
     def run(batches):
         for batch in batches:
-            found, loose_of = [np.empty((3, 0), np.int64)], [np.empty((5, 0), np.int64)]
-            columns = [batch.column(i).to_pylist() for i in range(2, 9)]
-            for i, (start, raw, ref_start, ref_raw, offset, at, own) in enumerate(zip(*columns, strict=True)):
-                words = np.frombuffer(raw, _U)
-                factors, loose = parse(words, start, np.frombuffer(ref_raw, _U), ref_start, offset, at, settings)
-                if factors and not own:
-                    found.append(np.array([(i, *f) for f in factors], np.int64).T)
-                if len(loose):
-                    near = words[int(loose[0]) - start : int(loose[-1]) - start + settings.window]
-                    both = [_grams(w, settings.window)[loose - loose[0]].view(np.int64) for w in (near, near ^ _SECOND)]
-                    loose_of.append(np.stack([np.full(len(loose), i), loose, loose + settings.window, *both]))
-            sure, open_ = np.concatenate(found, 1), np.concatenate(loose_of, 1)
-            rows = pa.array(np.concatenate([sure[0], open_[0]]))
-            none = pa.nulls(sure.shape[1], pa.int64())
-            made = [pa.array(np.concatenate([sure[k], open_[k]]).astype(np.int32)) for k in (1, 2)]
-            made += [pa.concat_arrays([none, pa.array(np.ascontiguousarray(open_[k]))]) for k in (3, 4)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *made], names)
+            sizes = pc.binary_length(batch.column(3)).to_numpy() // 8
+            for a, b in blocks(sizes, _PART_WORDS):
+                yield parsed(batch.slice(a, b - a))
 
     made = f"key {kind}, text_hash bigint, start int, end int, h1 bigint, h2 bigint"
     found = landed(both.mapInArrow(run, made), "factors")
