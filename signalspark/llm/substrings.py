@@ -31,7 +31,7 @@ _U = np.uint64
 _SECOND = _U(0x9E3779B97F4A7C15)
 _FILTER_BITS = 1 << 26
 #: Words of documents' parts that are parsed at a time.
-_PART_WORDS = 1 << 18
+_PART_WORDS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -251,8 +251,11 @@ def duplicate_spans(docs: DataFrame, settings: Settings, key: str, text: str) ->
     reference, parts = _cuts(docs, leads, settings)
     r, p = reference.alias("r"), parts.alias("p")
     same = F.col("r.ref_key").eqNullSafe(F.col("p.ref_key")) & (F.col("r.ref_hash") == F.col("p.ref_hash"))
+    # Of a block no more than the words that stand beside the part is handed on.
+    skipped = F.greatest(F.col("p.start") + F.col("p.offset") - F.col("r.start"), F.lit(0))
+    beside = F.substring(F.col("r.words"), 8 * skipped + 1, F.octet_length("p.words"))
     both = p.join(r, same & (F.col("r.block") == F.col("p.block"))).select(
-        "p.key", "p.text_hash", "p.start", "p.words", F.col("r.start").alias("ref_start"), F.col("r.words").alias("ref_words"),
+        "p.key", "p.text_hash", "p.start", "p.words", (F.col("r.start") + skipped).alias("ref_start"), beside.alias("ref_words"),
         "p.offset", "p.at",
         (F.col("p.key").eqNullSafe(F.col("p.ref_key"))).alias("own"),
     )
