@@ -224,7 +224,7 @@ def pii_report(df: DataFrame, column: str, patterns: list[str] | None = None) ->
 
 
 def _hash(value: str, key: str, prefix: str) -> str:
-    digest = hmac.new(key.encode(), value.encode(), hashlib.sha256).digest()
+    digest = hmac.new(key.encode(), value.encode(errors="surrogatepass"), hashlib.sha256).digest()
     number, digits = int.from_bytes(digest[:HASHED_BYTES], "little"), ""
     while number:
         number, rest = divmod(number, 62)
@@ -313,7 +313,12 @@ class _JsonRedactor:
                 document = self.scan(document)
         except (ValueError, RecursionError):  # no JSON, a number out of range, or nested too deeply
             return self.text(text) if self.config.scan_all else text
-        return json.dumps(document, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        plain = json.dumps(document, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        try:
+            plain.encode()
+        except UnicodeEncodeError:  # half of a surrogate pair, which only an escape can spell
+            return json.dumps(document, sort_keys=True, separators=(",", ":"))
+        return plain
 
 
 def redact(df: DataFrame, config: RedactConfig, message: str = "message") -> DataFrame:

@@ -314,7 +314,8 @@ def reduce_groups(
     """The first row of each group with its ``count``, ``first_ts`` and ``last_ts`` in epoch milliseconds.
 
     ``order`` settles rows of one key at the same time; give an id, so that these can be split too.
-    All groups still open at the end of the input are closed there.
+    All groups still open at the end of the input are closed there. Rows without a time are groups of
+    their own, with null times.
     """
     ensure_checkpoint_dir(df.sparkSession)
     ties = [c for c in (order or [c for c in df.columns if c not in (key, ts)])]
@@ -324,6 +325,7 @@ def reduce_groups(
     places = ["key", "ts", *ties]
     ranged = rows.repartitionByRange(partitions, *places) if partitions else rows.repartitionByRange(*places)
     ordered = ranged.sortWithinPartitions(*places).withColumn("part", F.spark_partition_id()).checkpoint()
+    untimed, ordered = ordered.where("ts IS NULL"), ordered.where("ts IS NOT NULL")
     reports = ordered.select("part", "key", "ts").mapInArrow(_report(window_ms, max_events), REPORT)
     followed = reports.repartition("key").sortWithinPartitions("key", "part", F.desc("leads"))
     # One row per partition of the input.
@@ -333,7 +335,9 @@ def reduce_groups(
     fields = [f for f in ordered.schema.fields if f.name != "part"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", count bigint, last_ts bigint"
     told = ordered.join(F.broadcast(verdicts), "part", "left")  # keeps the order of the rows
-    return told.mapInArrow(_emit(window_ms, max_events), schema).withColumnRenamed("ts", "first_ts")
+    groups = told.mapInArrow(_emit(window_ms, max_events), schema)
+    alone = untimed.drop("part").withColumns({"count": F.lit(1).cast("bigint"), "last_ts": F.lit(None).cast("bigint")})
+    return groups.unionByName(alone).withColumnRenamed("ts", "first_ts")
 
 
 def with_reduction(df: DataFrame, min_events: int, message: str = "message") -> DataFrame:

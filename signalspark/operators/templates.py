@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from signalspark.functions.jsondoc import NUMBER
 from signalspark.session import ensure_checkpoint_dir
+from signalspark.sinks.versions import read_state, write_state
 
 VARIABLE = "<*>"
 UNNAMED = "Unknown Pattern"
@@ -462,8 +463,13 @@ def template_counts(df: DataFrame, message: str = "message", ts: str = "timestam
 
 
 def save_registry(registry: DataFrame, path: str) -> None:
-    registry.write.mode("overwrite").parquet(path)
+    """Store a registry as the folder's newest state; it may come from an earlier state of the same folder."""
+    write_state(registry, path)
 
 
 def load_registry(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The newest complete registry in a folder."""
+    found = read_state(spark, path)
+    if found is None:
+        raise FileNotFoundError(f"no registry in {path}")
+    return found

@@ -22,6 +22,9 @@ def build_session(app: str = "signalspark", master: str | None = None, conf: dic
         "spark.sql.variant.allowDuplicateKeys": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        "spark.sql.streaming.stateStore.providerClass": (
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+        ),
         **(conf or {}),
     }
     for key, value in settings.items():

@@ -1,4 +1,4 @@
-from datetime import datetime
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -134,6 +134,49 @@ def test_stream_reduce(spark, rows, tmp_path):
     ]
 
 
+def run_to_end(frame, tmp_path, name):
+    out = []
+    writer = frame.writeStream.outputMode("append").foreachBatch(lambda b, i: out.extend(b.collect()))
+    query = writer.option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+    assert query.awaitTermination(300)
+    return out
+
+
+def test_event_time_reduction_equals_batch(spark, rows, tmp_path):
+    import random
+
+    from signalspark.operators.reduce import reduce_groups, reduce_key
+    from signalspark.streaming.eventtime import reduce_by_event_time
+
+    rnd = random.Random(6)
+    data = [(rnd.choice("abc"), rnd.randrange(20_000)) for _ in range(150)] + [("a", None), ("b", None), ("a", None)]
+    kinds, config = "message string, ts bigint", ReduceConfig((), 700, 4, 2)
+    # batches out of order by less than 3 seconds, then two that move the watermark past all windows
+    data.sort(key=lambda r: -1 if r[1] is None else r[1] + rnd.randrange(2500))
+    parts = [data[i : i + 40] for i in range(0, len(data), 40)] + [[("end", 500_000)], [("end", 900_000)]]
+    for i, part in enumerate(parts):
+        rows(part, kinds).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
+    found = run_to_end(reduce_by_event_time(stream.parquet(str(tmp_path / "in")), config, ts="ts", late="3 seconds"), tmp_path, "ck")
+    batch = reduce_groups(reduce_key(rows(data, kinds), (), "message", "k"), "k", "ts", 700, 4, ("message",))
+    expected = [(r.key, r.first_ts, r.last_ts, r["count"]) for r in batch.collect()]
+    got = [(r.key, r.first_ts, r.last_ts, r["count"]) for r in found if r.key != "end"]
+    assert sorted(got, key=str) == sorted(expected, key=str) and len(got) > 60
+
+
+def test_the_rate_limit_holds_over_micro_batches(spark, rows, tmp_path):
+    from signalspark.streaming.eventtime import limit_stream
+
+    kinds, start = "id bigint, timestamp timestamp", datetime(2024, 1, 1, tzinfo=timezone.utc)
+    parts = [[(i * 10 + b, start + timedelta(milliseconds=100 * i + b)) for i in range(20)] for b in range(3)]
+    for b, part in enumerate(parts):
+        rows(part, kinds).coalesce(1).write.parquet(str(tmp_path / f"in/{b}"))
+    stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
+    found = run_to_end(limit_stream(stream.parquet(str(tmp_path / "in")), 12), tmp_path, "ck")
+    # two seconds of ten rows a batch: ten of the first batch, two of the second, none of the third
+    assert sorted(r.id for r in found) == sorted([i * 10 for i in range(20)] + [1, 11, 101, 111])
+
+
 # --- SQL
 
 GOOD = ["SELECT 1", "with x as (select 1) select * from x;", "select updated_at, 'DROP; it' from t -- ; delete", "SELECT drop_rate FROM t"]

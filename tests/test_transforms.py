@@ -404,6 +404,53 @@ def test_registry_carries_over(spark, rows, tmp_path, chunk):
     assert counts == {1: 3, 2: 2, 3: 1}
 
 
+def test_a_registry_may_replace_the_one_it_was_made_from(spark, rows, tmp_path):
+    folder = str(tmp_path / "r")
+    tpl.save_registry(tpl.cluster(logs_of(rows, ["job 1 done", "job a b"]), order=("id",)).registry, folder)
+    for n in range(4):
+        seed = tpl.load_registry(spark, folder)
+        tpl.save_registry(tpl.cluster(logs_of(rows, [f"extra {'x ' * n}y"]), order=("id",), seed=seed).registry, folder)
+    assert sorted(r.pattern_id for r in tpl.load_registry(spark, folder).collect()) == [1, 2, 3, 4, 5]
+    assert len(list((tmp_path / "r").glob("state-*"))) == 3 and not list((tmp_path / "r").glob("_attempt*"))
+    with pytest.raises(FileNotFoundError):
+        tpl.load_registry(spark, str(tmp_path / "none"))
+
+
+def test_batches_of_a_stream_get_the_ids_of_one_batch(spark, rows, tmp_path):
+    from signalspark.sinks.files import write_batch
+    from signalspark.streaming.patterns import assign_batch, pattern_stream
+
+    lines = bucket_of(8, 240, 5, 10, 40) + ["user 5 left", " ", "other words here"]
+    whole = logs_of(rows, lines)
+    options = {"order": ("id",), "threshold": 0.6, "chunk": 20}
+    expected = dict(enumerate(ids(tpl.cluster(whole, **options))))
+    cuts = [0, 70, 71, len(lines)]
+    for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        whole.where(f"id >= {a} AND id < {b}").coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+
+    def run(name):
+        out, registry = str(tmp_path / f"{name}-out"), str(tmp_path / f"{name}-registry")
+        for i in range(3):  # a file a batch; the second and third are repeated after their registry was stored
+            batch = spark.read.parquet(str(tmp_path / f"in/{i}"))
+            for _ in range(1 + (i > 0)):
+                assign_batch(batch, f"b{i}", registry, lambda df, b: write_batch(df, out, b), **options)
+        return out, registry
+
+    out, registry = run("batches")
+    assert {r.id: r.pattern_id for r in spark.read.parquet(out).collect()} == expected
+    counts = {r.pattern_id: r["count"] for r in tpl.load_registry(spark, registry).collect()}
+    assert sum(counts.values()) == sum(1 for line in lines if line.strip())
+
+    stream = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
+    out = str(tmp_path / "stream-out")
+    query = pattern_stream(
+        stream.parquet(str(tmp_path / "in")), str(tmp_path / "stream-registry"), str(tmp_path / "checkpoint"),
+        lambda df, name: write_batch(df, out, name), **options,
+    ).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert {r.id: r.pattern_id for r in spark.read.parquet(out).collect()} == expected
+
+
 # --- cases that went wrong once
 
 
@@ -429,6 +476,27 @@ def test_json_redaction_survives_odd_messages(rows):
     assert got[2] == data[2][1] and got[3] is None and got[4] == '{"m":"[REDACTED]"}'
 
 
+def test_json_redaction_of_lone_surrogates(rows):
+    data = [(0, r'{"a":"\ud800","m":"a@b.com"}'), (1, r'{"a":"\ud800 a@b.com"}'), (2, r'["\udc00x"]'), (3, r'{"\ud800":1,"e":"é"}')]
+    frame = rows(data, "id int, message string")
+    scan = r.RedactConfig(patterns=("email",), scan_all=True)
+    got = {x.id: x.message for x in r.redact(frame, scan).collect()}
+    assert got == {
+        0: r'{"a":"\ud800","m":"[REDACTED]"}', 1: r'{"a":"\ud800 [REDACTED]"}', 2: r'["\udc00x"]',
+        3: r'{"e":"\u00e9","\ud800":1}',
+    }
+    field = r.RedactConfig(fields=(r.Target("a", "email"),), strategy="hash", hash_key="k")
+    got = {x.id: x.message for x in r.redact(frame, field).collect()}
+    assert "a@b.com" not in got[1] and "ud800" not in got[1] and got[3] == r'{"e":"\u00e9","\ud800":1}'
+
+
+def test_reduction_puts_rows_without_a_time_apart(rows):
+    data = [("a", None, 1), ("a", 5, 2), ("a", None, 3), ("a", 6, 4), ("b", None, 5)]
+    found = red.reduce_groups(rows(data, "k string, ts bigint, id bigint"), "k", "ts", 1000, 100, ("id",)).collect()
+    got = sorted((r.key, r.first_ts or -1, r.last_ts or -1, r["count"], r.id) for r in found)
+    assert got == [("a", -1, -1, 1, 1), ("a", -1, -1, 1, 3), ("a", 5, 6, 2, 2), ("b", -1, -1, 1, 5)]
+
+
 def test_number_text(rows):
     from signalspark.functions.jsondoc import number_text
 
