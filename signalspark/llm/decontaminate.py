@@ -16,11 +16,21 @@ from pyspark.sql import functions as F
 from signalspark.llm.shared import landed, packed, same_row
 
 NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"  # private-use characters
-#: Units that may follow a number.
+#: Short units that may follow a number, and spelled ones with prefixes and plurals.
 UNITS = (
-    "mm cm dm m km in inch inches ft feet foot yd yards mi mile miles mg g kg t lb lbs pounds oz ml cl l litre litres"
-    " liter liters s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years"
-    " percent dollar dollars euro euros cent cents usd eur gbp mph kmh kph hz khz mhz ghz w kw v a j kj cal kcal degrees"
+    "mm cm dm m km in inch inches ft feet foot yd mi mg g kg t lb lbs oz ml cl l s sec min h hr"
+    " percent usd eur gbp mph kmh kph hz khz mhz ghz w kw v a j kj cal kcal kb mb gb tb"
+).split()
+SPELLED = (
+    "yard mile pound ounce pint quart gallon acre hectare cup spoon dozen second minute hour day week month year decade"
+    " century dollar euro cent degree knot ton tonne"
+).split()
+PREFIXES = "kilo centi milli micro nano deci mega giga tera".split()
+PREFIXED = "meter metre gram gramme liter litre watt volt joule hertz byte bit newton pascal calorie ampere".split()
+#: Numbers in words; 'one' is left to be a word.
+NUMERALS = (
+    "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen"
+    " twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion"
 ).split()
 #: Capitalised words that are no names, wherever they stand.
 COMMON = (
@@ -37,72 +47,127 @@ WINDOW = 8
 #: A pair leaks by so many words in a row, however long the item is.
 RUN = 13
 SHORTEST = 5
-#: A window matches as a template if so many of its words are no placeholders, and always word for word.
-LITERALS = 4
-_BLANK = r"[ \t\n\x0B\f\r]+"
+#: A window matches as a template if so many of its words are no placeholders, and so many of these none of
+#: the common words, and always word for word.
+LITERALS, CONTENT = 4, 2
+_BLANKS = "\t\n\x0b\x0c\r"
+_MARK = f"[{NUMBER}-{UNIT}]"
 
 
-def _template(text: Column) -> Column:
+def _template(flat: Column) -> Column:
     """The text in lower case with placeholders, without punctuation; words stay apart as they were.
 
     Names are words that begin with a capital and go on in lower case, wherever they stand, and other
-    capitals within a sentence; common words are none.
+    capitals within a sentence; common words are none. Numbers may be spelled.
     """
-    text = F.regexp_replace(text, f"[{NUMBER}-{UNIT}]", "")
-    name = r"(?=\p{Lu})(?<![\p{L}\p{N}'’-])" + rf"(?!(?i:{'|'.join(COMMON)})(?![\p{{L}}'’-]))"
-    within = r"(?<=[\p{Ll}\p{Nd},;][ \t\n\x0B\f\r]{1,8})"
-    text = F.regexp_replace(text, rf"{name}(?:\p{{Lu}}\p{{Ll}}|{within}\p{{Lu}})[\p{{L}}'’-]*", NAME)
-    text = F.regexp_replace(F.lower(text), r"[0-9]+(?:[.,:/][0-9]+)*", NUMBER)
-    text = F.regexp_replace(text, f"({NUMBER} ?)(?:{'|'.join(UNITS)}|%)(?!\\p{{L}})", f"$1{UNIT}")
-    return F.regexp_replace(text, rf"[^\p{{L}}\p{{N}}{NUMBER}-{UNIT} \t\n\x0B\f\r]+", "")
-
-
-def _words(template: Column) -> Column:
-    return F.filter(F.split(template, _BLANK), lambda w: w != "")
-
-
-def _raw(text: Column, template: Column) -> Column:
-    """The text's words in lower case, those without a letter, number or placeholder left out."""
-    both = F.arrays_zip(F.split(F.lower(text), _BLANK).alias("r"), F.split(template, _BLANK).alias("c"))
-    return F.transform(F.filter(both, lambda x: x["c"] != ""), lambda x: F.regexp_replace(x["r"], r"[^\p{L}\p{N}]+", ""))
-
-
-def _hashes(words: Column, size: int, kind: str) -> Column:
-    """Hashes of all windows of so many words; kind keeps templates and plain words apart."""
-    n = F.size(words)
-    at = F.sequence(F.lit(0), n - size)
-    hashed = F.transform(at, lambda i: F.xxhash64(F.lit(f"{kind}{size}"), *(F.get(words, i + k) for k in range(size))))
-    return F.when(n >= size, hashed).otherwise(F.array().cast("array<bigint>"))
+    name = r"(?=\p{Lu})(?<![\p{L}\p{N}'’-])" + rf"(?!(?i:{'|'.join(COMMON + NUMERALS)})(?![\p{{L}}'’-]))"
+    within = r"(?<=[\p{Ll}\p{Nd},;] {1,8})"
+    text = F.regexp_replace(flat, rf"{name}(?:\p{{Lu}}\p{{Ll}}|{within}\p{{Lu}})[\p{{L}}'’-]*", NAME)
+    numeral = f"(?:{'|'.join(NUMERALS)})"
+    spelled = rf"(?<![\p{{L}}\p{{N}}])(?=[tfsenhmb]){numeral}(?:-{numeral}|-one)?(?![\p{{L}}\p{{N}}'’-])"
+    text = F.regexp_replace(F.lower(text), rf"[0-9]+(?:[.,:/][0-9]+)*|{spelled}", NUMBER)
+    units = f"{'|'.join(UNITS)}|(?:{'|'.join(SPELLED)}|(?:{'|'.join(PREFIXES)})?(?:{'|'.join(PREFIXED)}))s?"
+    text = F.regexp_replace(text, f"({NUMBER} ?)(?:(?:{units})(?!\\p{{L}})|%)", f"$1{UNIT}")
+    return F.regexp_replace(text, rf"[^a-z \p{{L}}\p{{N}}{NUMBER}-{UNIT}]+", "")
+
+
+def _words(rows: DataFrame) -> DataFrame:
+    """``text`` replaced by ``c``, the words of its template, and ``r``, its own words in lower case at the same
+    places; what has no letter, number or placeholder is no word. ``any_mark``: there is a placeholder."""
+    clean = F.col("text")
+    held = F.contains(clean, F.lit(NUMBER)) | F.contains(clean, F.lit(NAME)) | F.contains(clean, F.lit(UNIT))
+    clean = F.when(held, F.regexp_replace(clean, _MARK, "")).otherwise(clean)
+    rows = rows.withColumn("text", F.translate(clean, _BLANKS, " " * len(_BLANKS)))
+    plain = F.regexp_replace(F.lower("text"), r"[^a-z \p{L}\p{N}]+", "")
+    rows = rows.withColumns({"template": _template(F.col("text")), "r": F.split(plain, " ")}).drop("text")
+    marks = [F.contains("template", F.lit(m)) for m in (NUMBER, NAME, UNIT)]
+    rows = rows.withColumns({"c": F.split("template", " "), "any_mark": marks[0] | marks[1] | marks[2]}).drop("template")
+    rows = rows.withColumns({"c0": F.array_remove("c", ""), "r0": F.array_remove("r", "")})
+    # A word of the text is one of the template; as many of both stand at the same places.
+    both = F.filter(F.arrays_zip("c", "r"), lambda x: x["c"] != "")
+    aligned = F.when(F.size("c0") == F.size("r0"), F.col("r0")).otherwise(F.transform(both, lambda x: x["r"]))
+    return rows.withColumn("r", aligned).withColumn("c", F.col("c0")).drop("c0", "r0")
+
+
+def _hash(words: Column, at: Column, size: int) -> Column:
+    """The hash of a window of words, which are hashes themselves."""
+    return F.xxhash64(F.lit(size), *(F.get(words, at + k) for k in range(size)))
+
+
+def _codes(size: int) -> tuple[Column, Column]:
+    """Place, size and kind of all windows of so many words, and of those template windows that hold a mark."""
+    none, last, code = F.array().cast("array<int>"), F.col("n") - size, 2 * (size - SHORTEST)
+
+    def around(mark: Column) -> Column:
+        low, high = F.greatest(mark - size + 1, F.lit(0)), F.least(mark, last)
+        return F.when(low <= high, F.sequence(low, high)).otherwise(none)
+
+    plain = F.transform(F.sequence(F.lit(0), last), lambda i: 8 * i + code)
+    near = F.array_distinct(F.flatten(F.transform("marks", around)))
+    marked = F.transform(near, lambda i: 8 * i + code + 1)
+    there = last >= 0
+    return F.coalesce(F.when(there, plain), none), F.coalesce(F.when(there, marked), none)
+
+
+def _windows(rows: DataFrame, sizes: list[int]) -> DataFrame:
+    """All other columns, with ``at`` and ``hash`` of every window of words, and of every template window that has
+    a placeholder. rows: as ``_words`` makes them.
+
+    Words are hashed once. Windows are numbers until they are hashed, place, size and kind in one, so
+    that rows are made and hashed in generated code.
+    """
+    rest = [c for c in rows.columns if c not in ("c", "r", "any_mark")]
+    # Without a placeholder template and text are the same words.
+    hashed = rows.select(
+        *rest, F.transform("r", lambda w: F.xxhash64(w)).alias("r"), F.size("r").alias("n"),
+        F.when(F.col("any_mark"), F.transform("c", lambda w: F.when(w.rlike(_MARK), F.xxhash64(w)))).alias("c"),
+    )
+    marks = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("c", i).isNotNull())
+    mixed = F.zip_with("c", "r", lambda c, r: F.coalesce(c, r))
+    hashed = hashed.select(
+        *rest, "r", "n", F.when(F.col("c").isNotNull(), marks).alias("marks"), F.when(F.col("c").isNotNull(), mixed).alias("c")
+    )
+    codes = [c for size in sizes for c in _codes(size)]
+    coded = hashed.select(*rest, "r", "c", F.concat(*codes).alias("codes"))
+    some = coded.select(*rest, "r", "c", F.explode("codes").alias("code"))
+    at, kind = F.shiftright("code", 3), F.col("code").bitwiseAND(F.lit(7))
+    made = None
+    for size in sizes:
+        for marked, name in enumerate("rc"):
+            one = _hash(F.col(name), at, size)
+            test = kind == 2 * (size - SHORTEST) + marked
+            made = F.when(test, one) if made is None else made.when(test, one)
+    return some.select(*rest, at.alias("at"), (kind.bitwiseAND(F.lit(1)) == 1).alias("marked"), made.alias("hash"))
 
 
 def benchmark_windows(items: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
-    """item, size, kind, pos and hash of every window of the benchmark, ``slots``, its words where some
-    are placeholders, and n_windows of its item. Kind c is the template, r the words themselves; a
-    window without enough other words than placeholders has no c.
+    """item, variant (of its text), size, pos and hash of every window of the benchmark, ``slots``, its words
+    where it is a template with placeholders, and n_windows of its variant. A window without enough other
+    words than placeholders, or with little but common ones, is no template; its own words always are one.
 
     Items of fewer than 8 template words are one window of their own size; fewer than 5 words (and
-    null or empty texts) are too little to tell a leak and have none. Items of equal id are one.
+    null or empty texts) are too little to tell a leak and have none. Rows of equal id and text are one;
+    texts that share an id are judged each by itself.
     """
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    rows = items.select(F.col(f"`{item}`").alias("item"), body.alias("text")).withColumn("template", _template(F.col("text")))
-    rows = rows.select("item", _words(F.col("template")).alias("c"), _raw(F.col("text"), F.col("template")).alias("r"))
-    rows = rows.where(F.size("c") >= SHORTEST).withColumn("size", F.least(F.size("c"), F.lit(WINDOW)))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.size("c") - F.col("size"))).alias("pos"))
-    literal = F.size(F.filter(F.slice("c", F.col("pos") + 1, F.col("size")), lambda w: ~w.rlike(f"[{NUMBER}-{UNIT}]")))
-    kinds = F.when(literal >= F.least(F.lit(LITERALS), F.col("size")), F.array(F.lit("c"), F.lit("r")))
-    rows = rows.withColumn("kind", F.explode(F.coalesce(kinds, F.array(F.lit("r")))))
-    hashed = F.lit(None).cast("bigint")
+    rows = items.select(F.col(f"`{item}`").alias("item"), F.xxhash64(body).alias("variant"), body.alias("text"))
+    rows = _words(rows.dropDuplicates(["item", "variant"])).where(F.size("c") >= SHORTEST)
+    rows = landed(rows.withColumn("size", F.least(F.size("c"), F.lit(WINDOW))), "benchmark-words")
+    found = None
     for size in range(SHORTEST, WINDOW + 1):
-        for kind in "cr":
-            one = F.xxhash64(F.lit(f"{kind}{size}"), *(F.get(kind, F.col("pos") + k) for k in range(size)))
-            hashed = F.when((F.col("size") == size) & (F.col("kind") == kind), one).otherwise(hashed)
-    slotted = (F.col("kind") == "c") & (literal < F.col("size"))
-    words = F.arrays_zip(F.col("c"), F.col("r"))
-    slots = F.when(slotted, F.slice(words, F.col("pos") + 1, F.col("size")))
-    rows = rows.select("item", "size", "kind", "pos", hashed.alias("hash"), slots.alias("slots"))
-    totals = rows.groupBy("item").agg(F.countDistinct("pos").alias("n_windows"))
-    both = rows.alias("r").join(totals.alias("t"), F.col("r.item").eqNullSafe(F.col("t.item")))
-    return both.select("r.*", "t.n_windows")
+        some = rows.where(F.col("size") == size)
+        some = _windows(some.withColumn("words", F.arrays_zip("c", "r")), [size])
+        found = some if found is None else found.unionAll(some)
+    found = found.withColumn("words", F.slice("words", F.col("at") + 1, F.col("size")))
+    literal = F.filter("words", lambda w: ~w["c"].rlike(_MARK))
+    content = F.filter(literal, lambda w: ~w["c"].isin(COMMON))
+    enough = (F.size(literal) >= F.least(F.lit(LITERALS), F.col("size"))) & (F.size(content) >= CONTENT)
+    found = found.where(~F.col("marked") | enough)
+    totals = found.groupBy("item", "variant").agg(F.countDistinct("at").alias("n_windows"))
+    same = F.col("r.item").eqNullSafe(F.col("t.item")) & (F.col("r.variant") == F.col("t.variant"))
+    both = found.alias("r").join(totals.alias("t"), same)
+    slots = F.when(F.col("marked"), F.col("words")).alias("slots")
+    return both.select("r.item", "r.variant", "size", F.col("at").alias("pos"), "hash", slots, "t.n_windows")
 
 
 def find_leaks(
@@ -117,18 +182,12 @@ def find_leaks(
     and text are one. broadcast_rows: a benchmark with more windows is joined by shuffling instead.
     """
     marks = landed(benchmark_windows(items, item, item_text), "benchmark-windows")
-    kinds = [(r["kind"], r["size"]) for r in marks.select("kind", "size").distinct().collect()]  # at most 8
+    sizes = sorted(r["size"] for r in marks.select("size").distinct().collect())  # four at most
     few = marks.count() <= broadcast_rows
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(body).alias("text_hash"), body.alias("text"))
-    marked = rows.withColumn("template", _template(F.col("text")))
-    plain = _raw(F.col("text"), F.col("template"))
-    hashes = None
-    for kind, size in sorted(kinds) or [("c", WINDOW)]:
-        words = marked.select("key", "text_hash", (_words(F.col("template")) if kind == "c" else plain).alias("words"))
-        some = words.select("key", "text_hash", F.posexplode(_hashes(F.col("words"), size, kind)).alias("at", "hash"))
-        hashes = some if hashes is None else hashes.unionAll(some)
-    light = marks.select("hash", "item", "pos", "size", "n_windows", F.col("slots").isNotNull().alias("slotted"))
+    hashes = _windows(_words(rows), sizes or [WINDOW]).drop("marked")
+    light = marks.select("hash", "item", "variant", "pos", "size", "n_windows", F.col("slots").isNotNull().alias("slotted"))
     found = hashes.join(F.broadcast(light) if few else light, "hash")
     found = found.withColumn("shift", F.col("at") - F.col("pos")).drop("hash")
     found = landed(found.distinct(), "template-matches")
@@ -137,22 +196,26 @@ def find_leaks(
     right, n = found.alias("f"), slotted.count()
     if n:
         odd = _inconsistent(found.where("slotted"), marks, rows, F.broadcast(slotted) if n <= broadcast_rows else slotted)
-        on = [F.col(f"f.{c}").eqNullSafe(F.col(f"o.{c}")) for c in ("key", "text_hash", "item", "shift", "pos")]
+        on = [F.col(f"f.{c}").eqNullSafe(F.col(f"o.{c}")) for c in ("key", "text_hash", "item", "variant", "shift", "pos")]
         right = right.join(odd.alias("o"), [*on, F.col("f.slotted")], "left_anti")
-    at = ["key", "text_hash", "item", "shift"]
+    at = ["key", "text_hash", "item", "variant", "shift"]
     # Windows RUN - WINDOW before each one's place, at the same shift: there if all between are.
     before = F.lag("pos", RUN - WINDOW).over(Window.partitionBy(*at).orderBy("pos"))
     runs = right.groupBy(*at, "pos").agg(F.max("slotted").alias("slotted"), F.max("n_windows").alias("n_windows"))
     runs = runs.withColumn("run", F.col("pos") - before == RUN - WINDOW)
-    pairs = runs.groupBy("key", "text_hash", "item").agg(
+    pairs = runs.groupBy("key", "text_hash", "item", "variant").agg(
         F.coalesce(F.max("run"), F.lit(False)).alias("run"),
         F.countDistinct("pos").alias("n_matched"),
         F.max("n_windows").alias("n_windows"),
         F.countDistinct(F.when(F.col("slotted"), F.col("pos"))).alias("n_slotted"),
     )
     least = F.greatest(F.least(F.lit(2), F.col("n_windows")), F.ceil(F.col("n_windows") * coverage))
-    return pairs.where((F.col("n_matched") >= least) | F.col("run")).select(
-        F.col("key").alias(key), "text_hash", F.col("item").alias(item), "n_matched", "n_windows", "n_slotted"
+    pairs = pairs.where((F.col("n_matched") >= least) | F.col("run"))
+    # Of an item's texts the one of which the document has the largest share.
+    share = F.struct((F.col("n_matched") / F.col("n_windows")).alias("share"), "n_matched", "n_windows", "n_slotted")
+    best = pairs.groupBy("key", "text_hash", "item").agg(F.max(share).alias("best"))
+    return best.select(
+        F.col("key").alias(key), "text_hash", F.col("item").alias(item), "best.n_matched", "best.n_windows", "best.n_slotted"
     )
 
 
@@ -161,15 +224,14 @@ def _inconsistent(found: DataFrame, marks: DataFrame, texts: DataFrame, docs: Da
     the document at this shift, or a value of the document which stands for two of the item."""
     same = [F.col(f"d.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ("key", "text_hash")]
     texts = texts.alias("t").join(docs.alias("d"), same, "left_semi").dropDuplicates(["key", "text_hash"])
-    texts = texts.withColumn("template", _template(F.col("text")))
-    texts = texts.select("key", "text_hash", _raw(F.col("text"), F.col("template")).alias("words"))
+    texts = _words(texts).select("key", "text_hash", F.col("r").alias("words"))
     same = [F.col(f"f.{c}").eqNullSafe(F.col(f"x.{c}")) for c in ("key", "text_hash")]
     rows = found.alias("f").join(texts.alias("x"), same).select("f.*", F.slice("x.words", F.col("at") + 1, F.col("size")).alias("own"))
-    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"m.{c}")) for c in ("item", "pos", "size")]
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"m.{c}")) for c in ("item", "variant", "pos", "size")]
     rows = rows.alias("r").join(marks.where("slots IS NOT NULL").alias("m"), same).select("r.*", "m.slots")
     pairs = F.arrays_zip(F.col("slots.c").alias("c"), F.col("slots.r").alias("theirs"), F.col("own").alias("own"))
-    at = ["key", "text_hash", "item", "shift"]
-    slots = rows.select(*at, "pos", F.explode(pairs).alias("s")).where(F.col("s.c").rlike(f"[{NUMBER}-{UNIT}]"))
+    at = ["key", "text_hash", "item", "variant", "shift"]
+    slots = rows.select(*at, "pos", F.explode(pairs).alias("s")).where(F.col("s.c").rlike(_MARK))
     slots = slots.select(*at, "pos", "s.c", "s.theirs", "s.own")
     there, back = Window.partitionBy(*at, "c", "theirs"), Window.partitionBy(*at, "c", "own")
     slots = slots.withColumn("there", F.min("own").over(there) != F.max("own").over(there))
