@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime
-from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from signalspark.functions.buckets import parse_granularity
 from signalspark.functions.filters import DEFAULT_TOP, Condition, Filter, parse_compare
 from signalspark.functions.ranges import parse_range
 from signalspark.operators import metrics as m
+from signalspark.plans.boards import Series, points
 from signalspark.schema import Frames
 
 MAX_SERIES = 20
@@ -69,14 +68,43 @@ def run_spec(frames: Frames, spec: MetricSpec, now: datetime | None = None) -> D
     return m.with_comparison(metric, frames, f, with_points=True)
 
 
+# Of each metric, the table, what is counted distinctly, and whether it takes a breakdown.
+_COUNTED = {
+    "dau": ("context", "device_id", True),
+    "wau": ("context", "device_id", True),
+    "mau": ("context", "device_id", True),
+    "events": ("events", None, True),
+    "log_volume": ("logs", None, True),
+    "sessions": ("context", None, True),
+    "unique_sessions": ("context", "session_id", True),
+    "stickiness": ("context", "device_id", False),
+    "users": ("users", None, False),
+}
+_TOP_FIELDS = {"top_events": ("events", "event_name"), "top_logs": ("logs", "level"), "top_sessions": ("context", "device_type")}
+
+
+def _series_of(name: str, spec: MetricSpec, now: datetime | None) -> list[Series]:
+    """What a question counts: one series, or one for each period that it compares."""
+    f = spec.filter(now)
+    if spec.metric in _TOP_FIELDS:
+        table, field = _TOP_FIELDS[spec.metric]
+        if spec.metric != "top_events":
+            field = spec.breakdown or field
+        return [Series(name, table, f.with_limit(spec.limit or DEFAULT_TOP), dimension=field, top=True)]
+    if spec.metric not in _COUNTED:
+        raise ValueError(f"unknown metric {spec.metric!r}")
+    table, distinct, splits = _COUNTED[spec.metric]
+    one = Series(
+        name, table, replace(f, compare=None), "updated_at" if table == "users" else "timestamp", distinct,
+        spec.breakdown if splits else None, share=spec.metric == "stickiness",
+    )
+    if f.compare is None:
+        return [one]
+    return [replace(one, period="current"), replace(one, filter=f.comparison(), period="previous")]
+
+
 def run_series(frames: Frames, specs: Mapping[str, MetricSpec], now: datetime | None = None) -> DataFrame:
-    """One to twenty named questions laid over each other."""
+    """One to twenty named questions laid over each other, in one scan of each table."""
     if not 1 <= len(specs) <= MAX_SERIES:
         raise ValueError(f"a block holds 1 to {MAX_SERIES} series")
-    named = []
-    for name, spec in specs.items():
-        points = run_spec(frames, spec, now)
-        if "dimension" not in points.columns:
-            points = points.withColumn("dimension", F.lit(None).cast("string"))
-        named.append(points.select(F.lit(name).alias("series"), "*"))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
+    return points(frames, [s for name, spec in specs.items() for s in _series_of(name, spec, now)])

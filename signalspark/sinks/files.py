@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from signalspark.functions.normalize import norm_ip
 from signalspark.operators import tables
 from signalspark.schema import TIME_COLUMNS
+from signalspark.sinks.compact import filters_of
 
 # Accepted codec names, and column order of file rows (filters first, payload last).
 CODECS = {"snappy": "snappy", "lz4": "lz4", "zstd": "zstd", "none": "uncompressed"}
@@ -101,7 +102,8 @@ def write_table(df: DataFrame, base: str, table: str, batch: str | None = None)
     """Add one batch's rows to a table, under workspace, day and batch.
 
     batch: a name for the batch. Writing a batch again replaces its own folders and no others, so a
-    stream's retries leave one copy; without a name every write is a batch of its own.
+    stream's retries leave one copy; without a name every write is a batch of its own. ``sinks.compact``
+    merges the batches of closed days. Columns by which rows are looked up get Bloom filters.
     """
     ts = TIME_COLUMNS.get(table, "timestamp")
     folders = ["workspace_id", "date"]
@@ -110,7 +112,8 @@ def write_table(df: DataFrame, base: str, table: str, batch: str | None = None)
         .withColumns({"date": F.to_date(ts), "batch_id": F.lit(batch or uuid.uuid4().hex)})
         .hint("rebalance", *folders)
         .sortWithinPartitions(*folders, ts)
-        .write.mode("overwrite")
+        .write.options(**filters_of(df.columns))
+        .mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*folders, "batch_id")
         .parquet(f"{base.rstrip('/')}/{table}")

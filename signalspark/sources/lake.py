@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 from signalspark.functions.ranges import DAY_OF, Range
 from signalspark.operators.tables import oldest_kept
 from signalspark.schema import TABLES, TIME_COLUMNS
+from signalspark.sinks.compact import live, replaced
 
 # Other names under which a table is known.
 ALIASES = {"user_traits_v1": "user_traits"}
@@ -34,6 +35,8 @@ def _open(spark: SparkSession, base: str, table: str, below: str = "", schema: S
     df = _read(spark, root, root + below, schema)
     if df is None or "date" not in df.columns:
         return df
+    if "batch_id" in df.columns:
+        df = live(df, replaced(spark, root, below))
     return df.withMetadata("date", {DAY_OF: TIME_COLUMNS.get(name, "timestamp")})
 
 

@@ -289,3 +289,73 @@ def test_streams_land_what_they_reject(spark, tmp_path):
     assert sorted(r.line for r in rejected) == ["no json", '{"type":"track"}'] and all(r.error for r in rejected)
     unstored = spark.read.parquet(f"{base}/_unstored").collect()
     assert [(r.workspace_id, r.event_type, r.n) for r in unstored] == [(1, "group", 1)]
+
+
+# --- upkeep of the lake
+
+
+def logs_by_batch(rows, base, batches, day=1):
+    from signalspark.sinks.files import write_table
+
+    for b in range(batches):
+        moment = datetime(2024, 1, day, 10, b)
+        data = [(7, moment, f"s{b}-{i}", f"m{b}-{i}") for i in range(5)]
+        write_table(rows(data, "workspace_id bigint, timestamp timestamp_ntz, session_id string, message string"), base, "logs_v1", f"b{b}")
+
+
+def test_compaction_gives_the_same_rows_before_during_and_after(spark, rows, tmp_path, monkeypatch):
+    from signalspark.sinks import compact
+    from signalspark.sources import lake
+
+    base = str(tmp_path / "lake")
+    logs_by_batch(rows, base, 4)
+    logs_by_batch(rows, base, 2, day=2)
+    folder = tmp_path / "lake/logs_v1/workspace_id=7/date=2024-01-01"
+
+    def read():
+        got = lake.scan_table(spark, base, 7, "logs_v1").collect()
+        opened = lake.open_tables(spark, base)["logs_v1"]
+        assert opened.count() == len(got)
+        return sorted((str(r.date), r.message) for r in got)
+
+    before = read()
+    assert len(before) == 30
+    real, calls = compact._hadoop, []
+
+    def breaking(spark, path):  # breaks off when the first old folder is to go
+        if "/batch_id=b" in path and "*" not in path:
+            calls.append(path)
+            raise OSError("lost")
+        return real(spark, path)
+
+    monkeypatch.setattr(compact, "_hadoop", breaking)
+    with pytest.raises(OSError, match="lost"):
+        compact.compact_closed(spark, base, "logs_v1", datetime(2024, 1, 2, 5))
+    monkeypatch.setattr(compact, "_hadoop", real)
+    assert calls and len(list(folder.glob("batch_id=*"))) == 5 and read() == before
+    logs_by_batch(rows, base, 1)  # a batch that was merged comes again
+    assert read() == before
+    assert compact.compact_closed(spark, base, "logs_v1", datetime(2024, 1, 2, 5)) == 4
+    assert read() == before and len(list(folder.glob("batch_id=*"))) == 1 and not list(folder.glob("*/_replaces"))
+    assert compact.compact_closed(spark, base, "logs_v1", datetime(2024, 1, 2, 5)) == 0
+    assert len(list((tmp_path / "lake/logs_v1/workspace_id=7/date=2024-01-02").glob("batch_id=*"))) == 2
+
+
+def test_a_look_up_reads_the_row_groups_that_may_hold_the_value(spark, tmp_path):
+    from signalspark.sinks.compact import filters_of
+
+    rows = spark.range(0, 200_000, 1, 1).selectExpr("md5(CAST(id % 50000 AS STRING)) AS session_id", "id")
+    options = {"parquet.block.size": str(1 << 20), "parquet.block.size.row.check.min": "100", "parquet.page.row.count.limit": "2000"}
+
+    def scanned(path, options):
+        rows.orderBy("session_id").selectExpr("session_id", "id").repartition(1).write.options(**options).parquet(path)
+        found = spark.read.parquet(path).where(f"session_id = md5('77') AND id >= 0")
+        assert found.count() == 4
+        frame = spark.read.parquet(path).where("session_id = md5('nobody')")
+        plan = frame._jdf.queryExecution().executedPlan()
+        frame.collect()
+        leaf = plan.collectLeaves().head()
+        return leaf.metrics().apply("numOutputRows").value()
+
+    plain = scanned(str(tmp_path / "plain"), options)
+    assert scanned(str(tmp_path / "filtered"), options | filters_of(["session_id", "id"])) < plain / 2

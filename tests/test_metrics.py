@@ -98,3 +98,56 @@ def test_specs(frames):
 def test_missing_table_is_named(frames):
     with pytest.raises(ValueError, match="logs"):
         m.log_volume(frames, WEEK)
+
+
+def test_a_board_gives_each_series_points_in_one_scan(spark, frames, tmp_path):
+    for name in ("context", "events"):
+        frames.get(name).write.parquet(str(tmp_path / name))
+    stored = Frames(**{name: spark.read.parquet(str(tmp_path / name)) for name in ("context", "events")})
+    week = "2024-01-01,2024-01-07"
+    specs = {
+        "a": MetricSpec("dau", week), "b": MetricSpec("sessions", week, breakdown="device_type"),
+        "c": MetricSpec("unique_sessions", week, granularity="hourly", limit=2), "d": MetricSpec("stickiness", week),
+        "e": MetricSpec("events", week, filters=(Condition("event_name", "eq", "buy"),)),
+        "f": MetricSpec("top_events", week, limit=1), "g": MetricSpec("dau", "2024-01-03,2024-01-04", compare_mode="prev"),
+        "h": MetricSpec("events", "2020-01-01,2020-01-02"), "i": MetricSpec("top_sessions", week),
+    }
+    board = run_series(stored, specs)
+    plan = board._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2
+    got = {name: [] for name in specs}
+    for r in board.collect():
+        got[r.series].append((str(r.date)[:10] if r.date else None, r.value, r.dimension, r.period, r.bucket_offset))
+
+    def plain(row):
+        row = row.asDict()
+        date = row.get("date")
+        return (str(date)[:10] if date else None, row["value"], row.get("dimension"), row.get("period"), row.get("bucket_offset"))
+
+    for name, spec in specs.items():
+        assert sorted(got[name], key=str) == sorted(map(plain, run_spec(stored, spec).collect()), key=str), name
+
+
+def test_sketches_stay_within_two_percent_and_small_counts_are_exact(spark):
+    from signalspark.functions.filters import Filter
+    from signalspark.operators import sketches
+
+    days = "timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(CAST(id % 10 AS INT))"
+    rows = spark.range(300_000).selectExpr(f"{days} AS timestamp", "CAST(pmod(hash(id), 60000) AS STRING) AS device_id", "CAST(id % 2 AS STRING) AS kind")
+    stored = sketches.daily_sketches(rows, "device_id", "kind")
+    f = Filter.over("2024-01-01,2024-01-10")
+    for split in (None, "kind"):
+        exact = {tuple(r[:-1]): r[-1] for r in agg.count_distinct_query(rows, "device_id", f, by=split).collect()}
+        got = {tuple(r[:-1]): r[-1] for r in sketches.distinct_from_sketches(stored, f, split is not None).collect()}
+        assert set(got) == set(exact) and all(abs(got[k] / exact[k] - 1) < 0.02 for k in exact)
+    whole = Filter.over("2024-01-01,2024-01-10", granularity=None)
+    exact = agg.count_distinct_query(rows, "device_id", whole).first().value
+    assert abs(sketches.distinct_from_sketches(stored, whole).first().value / exact - 1) < 0.02
+    few = rows.where("CAST(device_id AS INT) < 200")
+    last = Filter.over("2024-01-05,2024-01-10")
+    got = {r.date.day: r.value for r in sketches.rolling_from_sketches(sketches.daily_sketches(few, "device_id"), last, 3).collect()}
+    for day in range(5, 11):
+        window = few.where(f"date(timestamp) BETWEEN date '2024-01-{day - 2:02d}' AND date '2024-01-{day:02d}'")
+        assert got[day] == window.select("device_id").distinct().count()
+    with pytest.raises(ValueError):
+        sketches.distinct_from_sketches(stored, Filter.over("2024-01-01,2024-01-10", granularity="hourly"))
