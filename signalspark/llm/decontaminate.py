@@ -54,39 +54,61 @@ _BLANKS = "\t\n\x0b\x0c\r"
 _MARK = f"[{NUMBER}-{UNIT}]"
 
 
-def _template(flat: Column) -> Column:
-    """The text in lower case with placeholders, without punctuation; words stay apart as they were.
+def _tree(words: list[str]) -> str:
+    """A pattern for any of the words that decides letter by letter."""
+    ends, heads = "" in words, sorted({w[0] for w in words if w})
+    parts = [h + _tree([w[1:] for w in words if w[:1] == h]) for h in heads]
+    if not parts:
+        return ""
+    body = parts[0] if len(parts) == 1 and not ends else f"(?:{'|'.join(parts)})"
+    return f"{body}?" if ends else body
+
+
+def _marked(text: Column) -> Column:
+    """The text in lower case with a placeholder before each number, name and unit.
 
     Names are words that begin with a capital and go on in lower case, wherever they stand, and other
-    capitals within a sentence; common words are none. Numbers may be spelled.
+    capitals within a sentence; common words are none. Numbers may be spelled, and stand at the
+    beginning of a word.
     """
-    name = r"(?=\p{Lu})(?<![\p{L}\p{N}'’-])" + rf"(?!(?i:{'|'.join(COMMON + NUMERALS)})(?![\p{{L}}'’-]))"
-    within = r"(?<=[\p{Ll}\p{Nd},;] {1,8})"
-    text = F.regexp_replace(flat, rf"{name}(?:\p{{Lu}}\p{{Ll}}|{within}\p{{Lu}})[\p{{L}}'’-]*", NAME)
-    numeral = f"(?:{'|'.join(NUMERALS)})"
-    spelled = rf"(?<![\p{{L}}\p{{N}}])(?=[tfsenhmb]){numeral}(?:-{numeral}|-one)?(?![\p{{L}}\p{{N}}'’-])"
-    text = F.regexp_replace(F.lower(text), rf"[0-9]+(?:[.,:/][0-9]+)*|{spelled}", NUMBER)
+    common = _tree(sorted(set(COMMON + NUMERALS)))
+    name = r"(?=\p{Lu})(?<![\p{L}\p{N}'’-])" + rf"(?!(?i:{common})(?![\p{{L}}'’-]))"
+    within = rf"(?<=[\p{{Ll}}\p{{Nd}},;][ {_BLANKS}]{{1,8}})"
+    text = F.regexp_replace(text, rf"{name}(?:\p{{Lu}}\p{{Ll}}|{within}\p{{Lu}})[\p{{L}}'’-]*", f"{NAME}$0")
+    numeral = _tree(NUMERALS)
+    heads = "".join(sorted({w[0] for w in NUMERALS}))
+    spelled = rf"{numeral}(?:-{numeral}|-one)?(?![\p{{L}}\p{{N}}'’-])"
+    number = rf"(?=[0-9{heads}])(?<![\p{{L}}\p{{N}}{NAME}])(?:[0-9]+(?:[.,:/][0-9]+)*|{spelled})"
+    text = F.regexp_replace(F.lower(text), number, f"{NUMBER}$0")
     units = f"{'|'.join(UNITS)}|(?:{'|'.join(SPELLED)}|(?:{'|'.join(PREFIXES)})?(?:{'|'.join(PREFIXED)}))s?"
-    text = F.regexp_replace(text, f"({NUMBER} ?)(?:(?:{units})(?!\\p{{L}})|%)", f"$1{UNIT}")
-    return F.regexp_replace(text, rf"[^a-z \p{{L}}\p{{N}}{NUMBER}-{UNIT}]+", "")
+    numbers = "(?:[0-9][0-9.,:/]*|[a-z-]+)"
+    return F.regexp_replace(text, f"({NUMBER}{numbers} ?)((?:{units})(?!\\p{{L}})|%)", f"$1{UNIT}$2")
 
 
 def _words(rows: DataFrame) -> DataFrame:
-    """``text`` replaced by ``c``, the words of its template, and ``r``, its own words in lower case at the same
-    places; what has no letter, number or placeholder is no word. ``any_mark``: there is a placeholder."""
+    """``text`` replaced by ``w``, its words with their placeholders before them, in lower case and without
+    punctuation; what has no letter, number or placeholder is no word."""
     clean = F.col("text")
     held = F.contains(clean, F.lit(NUMBER)) | F.contains(clean, F.lit(NAME)) | F.contains(clean, F.lit(UNIT))
     clean = F.when(held, F.regexp_replace(clean, _MARK, "")).otherwise(clean)
-    rows = rows.withColumn("text", F.translate(clean, _BLANKS, " " * len(_BLANKS)))
-    plain = F.regexp_replace(F.lower("text"), r"[^a-z \p{L}\p{N}]+", "")
-    rows = rows.withColumns({"template": _template(F.col("text")), "r": F.split(plain, " ")}).drop("text")
-    marks = [F.contains("template", F.lit(m)) for m in (NUMBER, NAME, UNIT)]
-    rows = rows.withColumns({"c": F.split("template", " "), "any_mark": marks[0] | marks[1] | marks[2]}).drop("template")
-    rows = rows.withColumns({"c0": F.array_remove("c", ""), "r0": F.array_remove("r", "")})
-    # A word of the text is one of the template; as many of both stand at the same places.
-    both = F.filter(F.arrays_zip("c", "r"), lambda x: x["c"] != "")
-    aligned = F.when(F.size("c0") == F.size("r0"), F.col("r0")).otherwise(F.transform(both, lambda x: x["r"]))
-    return rows.withColumn("r", aligned).withColumn("c", F.col("c0")).drop("c0", "r0")
+    bare = F.regexp_replace(_marked(clean), rf"[^a-z \p{{L}}\p{{N}}{NUMBER}-{UNIT}{_BLANKS}]+", "")
+    return rows.withColumn("text", F.split(bare, f"[ {_BLANKS}]+")).select(
+        *[c for c in rows.columns if c != "text"], F.array_remove("text", "").alias("w")
+    )
+
+
+def _own(word: Column) -> Column:
+    """A word without placeholders."""
+    return F.regexp_replace(word, _MARK, "")
+
+
+def _template(word: Column) -> Column:
+    """The placeholders of a word that has some."""
+    return F.regexp_replace(word, rf"[^{NUMBER}-{UNIT}]+", "")
+
+
+def _is_marked(word: Column) -> Column:
+    return F.contains(word, F.lit(NAME)) | F.contains(word, F.lit(NUMBER)) | F.contains(word, F.lit(UNIT))
 
 
 def _hash(words: Column, at: Column, size: int) -> Column:
@@ -102,7 +124,7 @@ def _codes(size: int) -> tuple[Column, Column]:
         low, high = F.greatest(mark - size + 1, F.lit(0)), F.least(mark, last)
         return F.when(low <= high, F.sequence(low, high)).otherwise(none)
 
-    plain = F.transform(F.sequence(F.lit(0), last), lambda i: 8 * i + code)
+    plain = F.sequence(F.lit(code), 8 * last + code, F.lit(8))
     near = F.array_distinct(F.flatten(F.transform("marks", around)))
     marked = F.transform(near, lambda i: 8 * i + code + 1)
     there = last >= 0
@@ -116,20 +138,20 @@ def _windows(rows: DataFrame, sizes: list[int]) -> DataFrame:
     Words are hashed once. Windows are numbers until they are hashed, place, size and kind in one, so
     that rows are made and hashed in generated code.
     """
-    rest = [c for c in rows.columns if c not in ("c", "r", "any_mark")]
+    rest = [c for c in rows.columns if c != "w"]
     # Without a placeholder template and text are the same words.
     hashed = rows.select(
-        *rest, F.transform("r", lambda w: F.xxhash64(w)).alias("r"), F.size("r").alias("n"),
-        F.when(F.col("any_mark"), F.transform("c", lambda w: F.when(w.rlike(_MARK), F.xxhash64(w)))).alias("c"),
+        *rest, F.size("w").alias("n"),
+        F.transform("w", lambda w: F.xxhash64(F.when(_is_marked(w), _own(w)).otherwise(w))).alias("r"),
+        F.transform("w", lambda w: F.when(_is_marked(w), F.xxhash64(_template(w)))).alias("c"),
     )
-    marks = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("c", i).isNotNull())
+    place = F.filter(F.transform("c", lambda c, i: F.when(c.isNotNull(), i)), lambda i: i.isNotNull())
     mixed = F.zip_with("c", "r", lambda c, r: F.coalesce(c, r))
-    hashed = hashed.select(
-        *rest, "r", "n", F.when(F.col("c").isNotNull(), marks).alias("marks"), F.when(F.col("c").isNotNull(), mixed).alias("c")
-    )
+    hashed = hashed.select(*rest, "r", "n", place.alias("marks"), mixed.alias("c"))
     codes = [c for size in sizes for c in _codes(size)]
     coded = hashed.select(*rest, "r", "c", F.concat(*codes).alias("codes"))
-    some = coded.select(*rest, "r", "c", F.explode("codes").alias("code"))
+    # The outer form: for the other one Spark tests the array for being empty, further down and all over again.
+    some = coded.select(*rest, "r", "c", F.explode_outer("codes").alias("code")).where("code IS NOT NULL")
     at, kind = F.shiftright("code", 3), F.col("code").bitwiseAND(F.lit(7))
     made = None
     for size in sizes:
@@ -151,16 +173,16 @@ def benchmark_windows(items: DataFrame, item: str = "item_id", text: str = "text
     """
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rows = items.select(F.col(f"`{item}`").alias("item"), F.xxhash64(body).alias("variant"), body.alias("text"))
-    rows = _words(rows.dropDuplicates(["item", "variant"])).where(F.size("c") >= SHORTEST)
-    rows = landed(rows.withColumn("size", F.least(F.size("c"), F.lit(WINDOW))), "benchmark-words")
+    rows = _words(rows.dropDuplicates(["item", "variant"])).where(F.size("w") >= SHORTEST)
+    rows = landed(rows.withColumn("size", F.least(F.size("w"), F.lit(WINDOW))), "benchmark-words")
     found = None
     for size in range(SHORTEST, WINDOW + 1):
         some = rows.where(F.col("size") == size)
-        some = _windows(some.withColumn("words", F.arrays_zip("c", "r")), [size])
+        some = _windows(some.withColumn("words", F.col("w")), [size])
         found = some if found is None else found.unionAll(some)
     found = found.withColumn("words", F.slice("words", F.col("at") + 1, F.col("size")))
-    literal = F.filter("words", lambda w: ~w["c"].rlike(_MARK))
-    content = F.filter(literal, lambda w: ~w["c"].isin(COMMON))
+    literal = F.filter("words", lambda w: ~_is_marked(w))
+    content = F.filter(literal, lambda w: ~w.isin(COMMON))
     enough = (F.size(literal) >= F.least(F.lit(LITERALS), F.col("size"))) & (F.size(content) >= CONTENT)
     found = found.where(~F.col("marked") | enough)
     totals = found.groupBy("item", "variant").agg(F.countDistinct("at").alias("n_windows"))
@@ -224,14 +246,17 @@ def _inconsistent(found: DataFrame, marks: DataFrame, texts: DataFrame, docs: Da
     the document at this shift, or a value of the document which stands for two of the item."""
     same = [F.col(f"d.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ("key", "text_hash")]
     texts = texts.alias("t").join(docs.alias("d"), same, "left_semi").dropDuplicates(["key", "text_hash"])
-    texts = _words(texts).select("key", "text_hash", F.col("r").alias("words"))
+    texts = _words(texts).select("key", "text_hash", F.col("w").alias("words"))
     same = [F.col(f"f.{c}").eqNullSafe(F.col(f"x.{c}")) for c in ("key", "text_hash")]
     rows = found.alias("f").join(texts.alias("x"), same).select("f.*", F.slice("x.words", F.col("at") + 1, F.col("size")).alias("own"))
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"m.{c}")) for c in ("item", "variant", "pos", "size")]
     rows = rows.alias("r").join(marks.where("slots IS NOT NULL").alias("m"), same).select("r.*", "m.slots")
-    pairs = F.arrays_zip(F.col("slots.c").alias("c"), F.col("slots.r").alias("theirs"), F.col("own").alias("own"))
+    values = F.filter(F.arrays_zip(F.col("slots").alias("theirs"), F.col("own").alias("own")), lambda s: _is_marked(s["theirs"]))
+    pairs = F.transform(values, lambda s: F.struct(
+        _template(s["theirs"]).alias("c"), _own(s["theirs"]).alias("theirs"), _own(s["own"]).alias("own")
+    ))
     at = ["key", "text_hash", "item", "variant", "shift"]
-    slots = rows.select(*at, "pos", F.explode(pairs).alias("s")).where(F.col("s.c").rlike(_MARK))
+    slots = rows.select(*at, "pos", F.explode_outer(pairs).alias("s")).where("s IS NOT NULL")
     slots = slots.select(*at, "pos", "s.c", "s.theirs", "s.own")
     there, back = Window.partitionBy(*at, "c", "theirs"), Window.partitionBy(*at, "c", "own")
     slots = slots.withColumn("there", F.min("own").over(there) != F.max("own").over(there))
