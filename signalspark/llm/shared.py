@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,18 @@ def landed(df: DataFrame, name: str, partitioned: list[str] | None = None, optio
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, size: str):
+    """What runs meanwhile hands batches of at most so many bytes to Python."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def packed(docs: DataFrame, key: str, text: str) -> DataFrame:
     """row (all columns), key and text_hash: what lets rows pass through joins whatever their names."""
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))

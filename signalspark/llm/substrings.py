@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from signalspark.llm.bpe import small
 from signalspark.llm.components import Bitmap, bitmap
 from signalspark.llm.kernel import BLOCK, Words, _powers, blocks, flags_to_spans, mix, utf8
-from signalspark.llm.shared import landed
+from signalspark.llm.shared import batches_of, landed
 
 _U = np.uint64
 _SECOND = _U(0x9E3779B97F4A7C15)
@@ -131,7 +131,8 @@ def _leads(rows: DataFrame, settings: Settings) -> DataFrame:
     place = F.struct(F.col("key").isNull().alias("none"), "key", "text_hash", "pos")
     first = rows.groupBy("anchor").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     # An anchor of one document leads nowhere, however often it stands there.
-    first = first.where("NOT (first.key <=> last.key)").select("anchor", "first")
+    # It is written so that the join stands on its own and a very common anchor's places can be split.
+    first = landed(first.where("NOT (first.key <=> last.key)").select("anchor", "first"), "first-places")
     found = rows.join(first, "anchor").where(
         "NOT (key <=> first.key AND text_hash = first.text_hash AND pos = first.pos)"
     )
@@ -244,7 +245,11 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def duplicate_spans(docs: DataFrame, settings: Settings, key: str, text: str) -> DataFrame:
     """key, text_hash, start and end of spans of words that a smaller document has, too; spans may overlap."""
-    docs = _prepared(docs, key, text)
+    with batches_of(docs.sparkSession, "16m"):
+        return _duplicate_spans(_prepared(docs, key, text), settings)
+
+
+def _duplicate_spans(docs: DataFrame, settings: Settings) -> DataFrame:
     kind = docs.schema["key"].dataType.simpleString()
     rows = landed(_anchor_rows(docs, settings), "anchors")
     leads = landed(_leads(rows, settings), "leads")
@@ -296,6 +301,7 @@ def duplicate_spans(docs: DataFrame, settings: Settings, key: str, text: str) ->
     order = F.struct(F.col("key").isNull().alias("none"), "key")
     first = loose.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.max(order).alias("last"))
     first = first.where("NOT (first <=> last)").select("h1", "h2", F.col("first.key").alias("first_key"))
+    first = landed(first, "first-windows")
     again = loose.join(first, ["h1", "h2"]).where("NOT (key <=> first_key)")
     columns = ["key", "text_hash", "start", "end"]
     return found.where("h1 IS NULL").select(*columns).unionAll(again.select(*columns))
