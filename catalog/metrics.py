@@ -18,6 +18,7 @@ from catalog.base import (
 from signalspark.functions.filters import Condition, Filter
 from signalspark.operators import aggregates as agg
 from signalspark.operators import metrics as m
+from signalspark.operators.sketches import daily_sketches, distinct_from_sketches
 from signalspark.plans.specs import MetricSpec, run_series, run_spec
 
 DAILY = Filter.over(RANGE)
@@ -404,3 +405,10 @@ def _(spark, sf):
 @query("a2_context_sessions_rolling", select(SESSIONS, "v_context"))
 def _(spark, sf):
     return agg.count_distinct_query(context(spark, sf), "session_id", ROLLING)
+
+
+@query("a2_context_devices_sketched", select(f"{DAY}, {DEVICES}", "v_context", group="1"))
+def _(spark, sf):
+    """Daily devices from stored sketches; so few are counted exactly."""
+    f = Filter.over(RANGE)
+    return distinct_from_sketches(daily_sketches(context(spark, sf), "device_id"), f)

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from catalog.base import events, logs, query
 from catalog.ingest import ingested, scratch
 from signalspark.sinks import files
+from signalspark.sinks.compact import compact_closed
+from signalspark.sources import lake
 from signalspark.streaming import jobs
 from signalspark.streaming import tail as t
 
@@ -184,3 +187,21 @@ def _(spark, sf):
     return spark.read.parquet(path).withColumn("date", F.col("date").cast("date"))
 
 
+
+
+@query("k3_compacted", "SELECT event_id, level, DATE_TRUNC('day', timestamp)::DATE AS date FROM v_logs")
+def _(spark, sf):
+    """A lake written in four batches, its closed days merged, and read again."""
+    base, rows = scratch(spark, "lake"), logs(spark, sf).withColumn("workspace_id", F.lit(7))
+    for batch in range(4):
+        files.write_table(rows.where(F.pmod("event_id", F.lit(4)) == batch), base, "logs_v1", f"b{batch}")
+    compact_closed(spark, base, "logs_v1", datetime(2024, 1, 20))
+    return lake.scan_table(spark, base, 7, "logs_v1").select("event_id", "level", "date")
+
+
+@query("k6_null", "SELECT count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM v_logs")
+def _(spark, sf):
+    """The sink that keeps nothing still computes every row: what an observation saw of them."""
+    seen = Observation()
+    files.write_noop(logs(spark, sf).observe(seen, F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids")))
+    return spark.createDataFrame([(seen.get["n"], seen.get["ids"])], "n bigint, ids bigint")

@@ -13,6 +13,8 @@ from signalspark.operators import chain as chains
 from signalspark.operators import redact as r
 from signalspark.operators import reduce as red
 from signalspark.operators import templates as tpl
+from signalspark.sinks.files import write_batch
+from signalspark.streaming.patterns import pattern_stream
 from signalspark.operators.jsonfilter import Cond, FilterConfig, json_filter
 from signalspark.operators.tables import to_logs
 
@@ -330,6 +332,26 @@ def _(spark, sf):
     return groups.groupBy(F.col("key").alias("level")).agg(F.sum("count").alias("events"))
 
 
+_DAY_GROUPS = """WITH RECURSIVE numbered AS (
+      SELECT level AS k, event_id, epoch_us(timestamp) // 1000 AS ms,
+        row_number() OVER (PARTITION BY level ORDER BY epoch_us(timestamp) // 1000, event_id) AS rn FROM v_logs),
+    firsts AS (SELECT k, ms, min(rn) AS rn FROM numbered GROUP BY 1, 2),
+    linked AS (SELECT a.*, least(a.rn + 50, coalesce(b.rn, 1000000000)) AS following
+      FROM numbered a ASOF LEFT JOIN firsts b ON a.k = b.k AND a.ms + 86400000 <= b.ms),
+    starts AS (SELECT k, rn, following FROM linked WHERE rn = 1
+      UNION ALL SELECT l.k, l.rn, l.following FROM starts s JOIN linked l ON l.k = s.k AND l.rn = s.following)
+    SELECT s.k AS level, arg_min(l.event_id, l.rn) AS event_id, count(*) AS count, min(l.ms) AS first_ts, max(l.ms) AS last_ts
+    FROM starts s JOIN linked l ON l.k = s.k AND l.rn >= s.rn AND l.rn < s.following GROUP BY s.k, s.rn"""
+
+
+@query("x25_flush_groups", f"SELECT * FROM ({_DAY_GROUPS})")
+def _(spark, sf):
+    """Every group, those open at the end of the input included."""
+    rows = logs(spark, sf).select("level", "timestamp", "event_id")
+    groups = red.reduce_groups(rows, "level", "timestamp", 86_400_000, 50, ("event_id",))
+    return groups.select(F.col("key").alias("level"), "event_id", "count", "first_ts", "last_ts")
+
+
 # --- log templates
 
 _FLOAT = r"[+-]?((?i:inf|infinity|nan)|([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?)"
@@ -467,3 +489,23 @@ def _(spark, sf):
     seed = tpl.load_registry(spark, path)
     second = tpl.cluster(logs(spark, sf).where(~half), order=("event_id",), threshold=0.9, seed=seed)
     return second.assigned.select("event_id", "pattern_id")
+
+
+@query(
+    "x34_stream_registry",
+    f"SELECT event_id, pattern_id FROM (SELECT event_id, {_template('message')} AS template FROM v_logs) JOIN {_ids()} USING (template)",
+)
+def _(spark, sf):
+    """Ids given micro-batch by micro-batch, each going on from the registry that the last one left."""
+    rows, folder = logs(spark, sf).select("event_id", "timestamp", "message"), scratch(spark, "pattern-stream")
+    for number, day in enumerate(("2024-01-10", "2024-01-20", "2024-02-10")):
+        before = ("2024-01-01", "2024-01-10", "2024-01-20")[number]
+        part = rows.where(f"timestamp >= TIMESTAMP_NTZ '{before}' AND timestamp < TIMESTAMP_NTZ '{day}'")
+        part.coalesce(1).write.parquet(f"{folder}/in/part={number}")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/part=*")
+    query = pattern_stream(
+        stream, f"{folder}/registry", f"{folder}/checkpoint", lambda df, name: write_batch(df, f"{folder}/out", name),
+        order=("event_id",), threshold=0.9,
+    ).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("event_id", "pattern_id")

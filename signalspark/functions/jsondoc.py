@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # A parser that stops after the first value would accept trailing text, so the message is
 # wrapped in an object whose last key must be reached.
-_END = "~end"
+END = "~end"
 
 # What counts as number text: no suffixes, no inner or outer spaces.
 NUMBER = r"(?:[+-]?(?:(?i:inf|infinity|nan)|(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?))"
@@ -23,24 +23,43 @@ def computed_once(df: DataFrame, *columns: Column) -> DataFrame:
 
 def with_document(df: DataFrame, message: Column, name: str = "_doc") -> DataFrame:
     """Add the message as a VARIANT ``{"doc": ...}``, null when it is not one JSON value."""
-    wrapped = F.try_parse_json(F.concat(F.lit('{"doc":'), message, F.lit(f',"{_END}":1}}')))
+    wrapped = F.try_parse_json(F.concat(F.lit('{"doc":'), message, F.lit(f',"{END}":1}}')))
     parsed = computed_once(df, wrapped.alias(name))
-    whole = F.try_variant_get(F.col(name), f'$["{_END}"]', "int") == 1
+    whole = F.try_variant_get(F.col(name), f'$["{END}"]', "int") == 1
     return parsed.withColumn(name, F.when(whole, F.col(name)))
 
 
-def with_fields(df: DataFrame, message: Column, names: list[str], *extra: Column) -> DataFrame:
-    """Add ``_doc``, a struct with the named top-level fields as VARIANT, in one parse.
+def _wrapped(message: Column) -> Column:
+    return F.concat(F.lit('{"doc":'), message, F.lit(f',"{END}":1}}'))
 
-    ``_complete`` is null when the message is not one JSON value; ``_doc`` when it is not an object.
-    ``extra`` columns are computed along with it: parsing and lambdas keep a step from being
-    compiled, so they are best kept together in one.
-    """
+
+def fields_of(message: Column, names: list[str]) -> Column:
+    """The named top-level fields as VARIANT in ``doc``, null when the message is not an object; the end mark
+    is null when it is not one JSON value."""
     fields = ", ".join(f"`{name}`: variant" for name in names)
-    wrapped = F.concat(F.lit('{"doc":'), message, F.lit(f',"{_END}":1}}'))
-    parsed = F.from_json(wrapped, f"struct<doc: struct<{fields}>, `{_END}`: int>")
+    return F.from_json(_wrapped(message), f"struct<doc: struct<{fields}>, `{END}`: int>")
+
+
+def with_typed_fields(
+    df: DataFrame, message: Column, texts: list[str], numbers: list[str], objects: list[str], *extra: Column
+) -> DataFrame:
+    """Add ``_doc``, a struct with the named top-level fields: texts, whole numbers and VARIANT, in one parse.
+
+    ``_odd`` tells that a text field may have been no text, or that the message is not an object, not one
+    JSON value or has a number that does not fit; otherwise ``_doc`` is what the message says. ``extra``
+    columns are computed along with it: parsing and lambdas keep a step from being compiled, so they
+    are best kept together in one.
+    """
+    kinds = [(texts, "string"), (numbers, "bigint"), (objects, "variant")]
+    fields = ", ".join(f"`{name}`: {kind}" for names, kind in kinds for name in names)
+    kind = f"struct<doc: struct<{fields}>, `{END}`: int, `~bad`: string>"
+    parsed = F.from_json(_wrapped(message), kind, {"columnNameOfCorruptRecord": "~bad"})
+    # The name of a text field, wherever it stands, before something else than a text; or an escaped name.
+    no_text = rf'"(?:{"|".join(texts)})"[ \t\r\n]*:[ \t\r\n]*[^" \t\r\n]|\\u'
     made = computed_once(df, parsed.alias("_parsed"), *extra)
-    return made.withColumns({"_doc": F.col("_parsed.doc"), "_complete": F.col(f"_parsed.`{_END}`")}).drop("_parsed")
+    whole = (F.col(f"_parsed.`{END}`") == 1) & F.col("_parsed.doc").isNotNull() & F.col("_parsed.`~bad`").isNull()
+    odd = ~F.coalesce(whole, F.lit(False)) | F.coalesce(message.rlike(no_text), F.lit(True))
+    return made.withColumns({"_doc": F.col("_parsed.doc"), "_odd": odd}).drop("_parsed")
 
 
 def variant_path(path: str) -> str:
@@ -159,14 +178,22 @@ def too_deep(col: Column, limit: int) -> Column:
 def with_object(df: DataFrame, name: str, sources: dict[str, Column]) -> DataFrame:
     """Add the JSON text of several ``map<string,variant>`` merged with sorted keys; later maps win.
 
-    The maps become columns first: inside the lambda they would be built anew for every key.
+    The maps become columns first: inside the lambda they would be built anew for every key. Maps without a
+    key in common are put together as they are, and a VARIANT object sorts its keys; it does so by
+    characters, so that is for plain keys only.
     """
     columns = [f"_source_{key}" for key in sources]
     made = computed_once(df, *[source.alias(column) for source, column in zip(sources.values(), columns)])
     empty = F.array().cast("array<string>")
-    keys = F.array_sort(F.array_distinct(F.concat(*[F.coalesce(F.map_keys(c), empty) for c in columns])))
+    none = F.create_map().cast("map<string,variant>")
+    every = F.concat(*[F.coalesce(F.map_keys(c), empty) for c in columns])
+    made = computed_once(made, every.alias("_keys"))
+    apart = (F.size(F.array_distinct("_keys")) == F.size("_keys")) & F.array_join("_keys", "").rlike(r"^\p{ASCII}*\z")
+    whole = F.to_json(F.to_variant_object(F.map_concat(*[F.coalesce(F.col(c), none) for c in columns])))
+    keys = F.array_sort(F.array_distinct("_keys"))
     values = F.transform(keys, lambda key: F.coalesce(*[F.try_element_at(c, key) for c in reversed(columns)]))
-    return made.withColumn(name, F.to_json(F.map_from_arrays(keys, values))).drop(*columns)
+    merged = F.when(apart, whole).otherwise(F.to_json(F.map_from_arrays(keys, values)))
+    return made.withColumn(name, merged).drop(*columns, "_keys")
 
 
 def object_at(document: Column, path: str) -> Column:

@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 
 from signalspark.functions import normalize as n
 from signalspark.functions.jsondoc import (
+    END,
     Scalar,
     computed_once,
+    fields_of,
     object_at,
     single_entry,
     too_deep,
     value_at,
     with_document,
-    with_fields,
     with_object,
+    with_typed_fields,
 )
 from signalspark.schema import NIL_UUID
 
@@ -31,46 +33,60 @@ def _checked(lines: DataFrame, required: list[str], optional: list[str], plain:
              device: bool) -> DataFrame:
     """Non-blank lines with their fields as ``_doc`` and the reason for rejecting them, if any, as ``_error``.
 
-    Each line is parsed once, into a struct of VARIANT fields, which keep their JSON types.
+    A line is parsed once, into fields of their own types; objects are VARIANT, which keeps theirs. What
+    a text field was is lost by that, so lines in which something else than a text may follow the name of
+    one, and those that did not parse as they should, are parsed a second time with their types.
     ``plain`` fields may be left out but not be null.
     """
     filled = lines.where(~F.col("value").rlike(r"^[ \t\n\x0B\f\r]*\z"))
     deep = too_deep(F.col("value"), MAX_JSON_DEPTH)
-    names = [*required, *optional, *plain, "timestamp", *objects]
+    texts = [*required, *optional, *plain]
+    parsed = with_typed_fields(filled, F.when(~deep, F.col("value")), texts, ["timestamp"], objects, deep.alias("_deep"))
     # A line that nests too deeply is not handed to the parser at all.
-    parsed = with_fields(filled, F.when(~deep, F.col("value")), names, deep.alias("_deep"))
-    tests = [
-        (F.col("_deep"), f"JSON nesting exceeds maximum depth of {MAX_JSON_DEPTH}"),
-        (F.col("_complete").isNull(), "invalid JSON"),
-        (F.col("_doc").isNull(), "expected an object"),
-    ]
+    names = [*texts, "timestamp", *objects]
+    again = F.when(F.col("_odd") & ~F.col("_deep"), fields_of(F.col("value"), names))
+    parsed = computed_once(parsed, again.alias("_again"))
+    late = [(F.col("_doc.timestamp") < 0, "invalid type for `timestamp`")]
+    if device:
+        late.append((n.norm_uuid(_text("device_id")).isNull(), "`device_id` must be a valid UUID"))
+    missing = [(_text(name).isNull(), f"missing field `{name}`") for name in required]
 
     def kind(name: str) -> Column:
-        return F.schema_of_variant(f"_doc.{name}")
+        return F.schema_of_variant(f"_again.doc.{name}")
 
+    tests = [
+        (F.col("_deep"), f"JSON nesting exceeds maximum depth of {MAX_JSON_DEPTH}"),
+        (F.col(f"_again.`{END}`").isNull(), "invalid JSON"),
+        (F.col("_again.doc").isNull(), "expected an object"),
+    ]
     for name in required:
-        tests.append((F.col(f"_doc.{name}").isNull(), f"missing field `{name}`"))
+        tests.append((F.col(f"_again.doc.{name}").isNull(), f"missing field `{name}`"))
         tests.append((kind(name) != "STRING", f"invalid type for `{name}`, expected a string"))
     for name in optional:
         tests.append((~kind(name).isin("STRING", "VOID"), f"invalid type for `{name}`"))
     for name in plain:
         tests.append((kind(name) != "STRING", f"invalid type for `{name}`"))
-    natural = (kind("timestamp") == "VOID") | ((kind("timestamp") == "BIGINT") & (_stamp() >= 0))
+    stamp = F.try_variant_get("_again.doc.timestamp", "$", "bigint")
+    natural = (kind("timestamp") == "VOID") | ((kind("timestamp") == "BIGINT") & (stamp >= 0))
     tests.append((~natural, "invalid type for `timestamp`"))
-    if device:
-        tests.append((n.norm_uuid(_text("device_id")).isNull(), "`device_id` must be a valid UUID"))
-    error = F.lit(None).cast("string")
-    for test, reason in reversed(tests):
-        error = F.when(test, F.lit(reason)).otherwise(error)
-    return computed_once(parsed, error.alias("_error"))
+    tests += late[1:]
+
+    def first_of(found: list[tuple[Column, str]]) -> Column:
+        error = F.lit(None).cast("string")
+        for test, reason in reversed(found):
+            error = F.when(test, F.lit(reason)).otherwise(error)
+        return error
+
+    error = F.when(F.col("_odd") | F.col("_deep"), first_of(tests)).otherwise(first_of([*missing, *late]))
+    return computed_once(parsed, error.alias("_error")).drop("_again", "_odd", "_deep")
 
 
 def _text(name: str) -> Column:
-    return F.try_variant_get(f"_doc.{name}", "$", "string")
+    return F.col(f"_doc.{name}")
 
 
 def _stamp() -> Column:
-    return F.try_variant_get("_doc.timestamp", "$", "bigint")
+    return F.col("_doc.timestamp")
 
 
 def _object(name: str) -> Column:
