@@ -13,12 +13,12 @@ from signalspark.llm import bpe, decontaminate, langid, linededup, neardup
 
 
 def identify_language(spark, docs, sf_dir):
-    """Learn languages from two thirds of the documents, and keep every document of a known language
-    whose main language has at least half of its words. Texts that are null or have no letter go."""
+    """Learn languages from two thirds of the documents, and keep every document that has a learned
+    language, several in one text included. Texts that are null or have no letter go."""
     model = langid.learn(docs.where(langid.remainder("doc_id", 3) != 1))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
     found = langid.identify(rows, model, keep=["row"])
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= 0.5)).select("row.*")
+    return found.where(F.col("lang_pred") != langid.UNKNOWN).select("row.*")
 
 
 def drop_repeated_lines(spark, docs, sf_dir):

@@ -31,6 +31,10 @@ def corpus(spark, folder):
     rows.append((101, "\n".join(" ".join(near[a:b]) for a, b in ((0, 30), (30, 90), (90, 120))), "en"))  # other lines
     rows.append((102, prose(rnd, "en") + "\n" + item, "en"))  # a leak
     rows += [(103, "1234 !?", "en"), (104, None, None), (105, "", "en"), (None, prose(rnd, "en"), "en")]
+    WORDS["fr"] = [f"q{a}{b}eux" for a in "bcdfgh" for b in "aeiouy"]
+    rows += [(i, prose(rnd, "fr") + "\n" + prose(rnd, "fr"), "fr") for i in range(200, 230)]
+    thirds = "\n".join(prose(rnd, lang, n) for lang, n in (("en", 40), ("de", 35), ("fr", 25)))
+    rows.append((300, thirds, "en"))  # no language has half of its words
     docs = spark.createDataFrame([(*r, "s", len(r[1] or "")) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     docs.repartition(3).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(7, item)], "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
