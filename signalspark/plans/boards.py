@@ -23,8 +23,7 @@ class Series:
     """What one series counts: rows of ``table``, or different values of ``distinct``.
 
     dimension: splits every bucket. share: values in percent of their sum. top: no buckets, but the
-    ``filter.limit`` largest dimensions. period: ``current`` or ``previous`` where two are compared, and
-    ``origin``, the filter whose start the offsets of buckets are counted from.
+    ``filter.limit`` largest dimensions. period: ``current`` or ``previous`` where two are compared.
     """
 
     name: str
