@@ -11,10 +11,19 @@ from pyspark.sql import functions as F
 
 from signalspark.llm import bpe, decontaminate, langid, linededup, neardup
 
+#: Bytes that a stage hands to Python at a time at most. Stages follow each other in the same executors, whose
+#: memory holds a few such batches for every core. The setting stays, as what a stage returns is computed later.
+BATCH = "16m"
+
+
+def _small_batches(spark) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
 
 def identify_language(spark, docs, sf_dir):
     """Learn languages from two thirds of the documents, and keep every document that has a learned
     language, several in one text included. Texts that are null or have no letter go."""
+    _small_batches(spark)
     model = langid.learn(docs.where(langid.remainder("doc_id", 3) != 1))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
     found = langid.identify(rows, model, keep=["row"])
@@ -23,11 +32,13 @@ def identify_language(spark, docs, sf_dir):
 
 def drop_repeated_lines(spark, docs, sf_dir):
     """Take later lines that are similar to an earlier one out of the texts."""
+    _small_batches(spark)
     return linededup.dedup_lines(docs)
 
 
 def drop_near_duplicates(spark, docs, sf_dir):
     """Keep one document of each group of near copies, the one with the smallest id."""
+    _small_batches(spark)
     return neardup.dedup(docs)
 
 
@@ -38,6 +49,7 @@ def drop_benchmark_leaks(spark, docs, sf_dir):
 
 def encode_tokens(spark, docs, sf_dir):
     """The documents as token ids with the text they decode to."""
+    _small_batches(spark)
     return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id", "lang", "source"])
 
 
