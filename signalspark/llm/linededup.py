@@ -82,48 +82,43 @@ def _nodes(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.where(size > 0, mix(sums[starts[1:]] - sums[starts[:-1]] + size), _U(0)).view(np.int64)
 
 
-def _rarity(docs: DataFrame, settings: Settings) -> np.ndarray:
-    """Two rows of 65,536 levels (logarithms of counts) of all tokens of all lines."""
+def _lines(docs: DataFrame, settings: Settings) -> tuple[DataFrame, np.ndarray]:
+    """The lines, and how rare their tokens are, from one pass over the texts.
 
-    def run(batches):
-        counts = np.zeros((2, _SKETCH), np.int64)
-        for batch in batches:
-            for _, words in _runs(batch):
-                for i, slot in enumerate(_slots(_tokens(words, settings.shingle)[0])):
-                    counts[i] += np.bincount(slot, minlength=_SKETCH)
-        flat = counts.reshape(-1)
-        at = np.flatnonzero(flat)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(flat[at])], ["slot", "n"])
-
-    sums = docs.select("__text").mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
-    found = sums.toArrow()  # 131,072 rows at most
-    counts = np.zeros(2 * _SKETCH, np.int64)
-    counts[found.column(0).to_numpy()] = found.column(1).to_numpy()
-    return np.minimum(1.5 * np.log2(counts + 1), 63).astype(np.uint8).reshape(2, _SKETCH)
-
-
-def _lines(docs: DataFrame, settings: Settings) -> DataFrame:
-    """key, text_hash, line (from 0), n_tokens and node of every line; node 0 for lines without words."""
+    Lines: key, text_hash, line (from 0), n_tokens and node; node 0 for lines without words. Rarity: two
+    rows of 65,536 levels (logarithms of counts) of all tokens of all lines; every task ends with its counts.
+    """
+    names = ["key", "text_hash", "line", "n_tokens", "node", "slot", "n"]
+    kind = docs.schema["key"].dataType.simpleString()
 
     def run(batches):
+        counts, key_type = np.zeros((2, _SKETCH), np.int64), None
         for batch in batches:
+            key_type = batch.schema.field(0).type
             for some, words in _runs(batch):
                 ids, row = _tokens(words, settings.shingle)
+                for i, slot in enumerate(_slots(ids)):
+                    counts[i] += np.bincount(slot, minlength=_SKETCH)
                 values, starts = _token_sets(ids, row, words.rows, None)
                 text = pa.array(words.row_text)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        some.column(0).take(text),
-                        some.column(1).take(text),
-                        pa.array(words.row_line.astype(np.int64)),
-                        pa.array(np.diff(starts)),
-                        pa.array(_nodes(values, starts)),
-                    ],
-                    ["key", "text_hash", "line", "n_tokens", "node"],
-                )
-
-    kind = docs.schema["key"].dataType.simpleString()
-    return docs.mapInArrow(run, f"key {kind}, text_hash bigint, line bigint, n_tokens bigint, node bigint")
+                columns = [some.column(0).take(text), some.column(1).take(text), pa.array(words.row_line.astype(np.int64))]
+                columns += [pa.array(np.diff(starts)), pa.array(_nodes(values, starts))]
+                columns += [pa.nulls(words.rows, pa.int32()), pa.nulls(words.rows, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names)
+        if key_type is not None:
+            flat = counts.reshape(-1)
+            at = np.flatnonzero(flat)
+            columns = [pa.nulls(len(at), key_type), *(pa.nulls(len(at), pa.int64()) for _ in range(4))]
+            columns += [pa.array(at.astype(np.int32)), pa.array(flat[at])]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    kinds = f"key {kind}, text_hash bigint, line bigint, n_tokens bigint, node bigint, slot int, n bigint"
+    made = landed(docs.mapInArrow(run, kinds), "lines")
+    found = made.where("slot IS NOT NULL").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # 131,072 rows at most
+    counts = np.zeros(2 * _SKETCH, np.int64)
+    counts[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    levels = np.minimum(1.5 * np.log2(counts + 1), 63).astype(np.uint8).reshape(2, _SKETCH)
+    return made.where("slot IS NULL").drop("slot", "n"), levels
 
 
 class _Fresh:
@@ -199,8 +194,7 @@ def similar_lines(docs: DataFrame, settings: Settings = Settings(), key: str = "
     """
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     docs = docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(body).alias("text_hash"), body.alias("__text"))
-    lines = landed(_lines(docs, settings), "lines")
-    levels = _rarity(docs, settings)
+    lines, levels = _lines(docs, settings)
     prefixes = landed(_token_rows(docs, settings, levels, None), "prefixes")
     # Tokens that stand in one prefix only lead nowhere; a filter of fixed size leaves most of them out.
     repeated = prefixes.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("size"))
@@ -221,19 +215,13 @@ def similar_lines(docs: DataFrame, settings: Settings = Settings(), key: str = "
             first = np.ones(len(at), bool)
             first[1:] = owner[at[1:]] != owner[at[:-1]]
             before = pa.array(np.concatenate([flat[at][:1], flat[at][:-1]]), mask=first)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(flat[at]), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place), before],
-                ["token", "node", "n", "place", "before"],
-            )
-
-    kinds = "token bigint, node bigint, n bigint, place bigint, before bigint"
-    rows = prefixes.select("node", "n", "tokens").mapInArrow(index, kinds)
-    sizes = rows.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
-    shared = landed(rows.join(sizes.select("token"), "token"), "shared-tokens")
-    nodes = shared.select("node").distinct()
-    wanted = bitmap(nodes.select(F.col("node").alias("x")))
-    sets = landed(_token_rows(docs, settings, levels, wanted).join(nodes, "node", "left_semi"), "line-sets")
-    bits = prefixes.select("node", *_BITS)
+            columns = [pa.array(flat[at]), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place), before]
+            columns += [batch.column(i).take(rows) for i in range(3, 3 + len(_BITS))]
+            yield pa.RecordBatch.from_arrays(columns, ["token", "node", "n", "place", "before", *_BITS])
+
+    kinds = "token bigint, node bigint, n bigint, place bigint, before bigint, "
+    kinds += ", ".join(f"{c} bigint" for c in _BITS)
+    shared = landed(prefixes.select("node", "n", "tokens", *_BITS).mapInArrow(index, kinds), "shared-tokens")
 
     def alike(n, m):
         return 100 * F.least(n, m) >= settings.percent * F.greatest(n, m)
@@ -243,8 +231,7 @@ def similar_lines(docs: DataFrame, settings: Settings = Settings(), key: str = "
         both = F.col(f"{left}.n") + F.col(f"{right}.n")
         return (100 + settings.percent) * differ(left, right, _BITS) <= (100 - settings.percent) * both
 
-    placed = shared.join(bits, "node")
-    x, y = placed.alias("x"), placed.alias("y")
+    x, y = shared.alias("x"), shared.alias("y")
     left = (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node"))
     left &= F.coalesce(F.col("x.before") != F.col("y.before"), F.lit(True))
     left &= alike(F.col("x.n"), F.col("y.n"))
@@ -252,11 +239,17 @@ def similar_lines(docs: DataFrame, settings: Settings = Settings(), key: str = "
     left &= (100 + settings.percent) * behind >= settings.percent * (F.col("x.n") + F.col("y.n"))
     left &= close("x", "y")
     pairs = landed(x.join(y, left).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "line-pairs")
+    # Full sets are only made of nodes that stand in a pair.
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = bitmap(nodes.select(F.col("node").alias("x")), 1 << 26)
+    sets = landed(_token_rows(docs, settings, levels, wanted), "line-sets")
     links = landed(_proved(pairs, sets, settings), "line-links")
     groups = landed(components(links), "line-components")
     place = F.struct("key", "text_hash", "line")
     own = lines.where("node <> 0").groupBy("node").agg(F.min(place).alias("own"), F.count("*").alias("copies"))
-    own = landed(own, "line-nodes")
+    # Lines without copies or links keep the defaults below, so most nodes go no further.
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("met", F.lit(True))
+    own = landed(own.join(ends, "node", "left").where("copies > 1 OR met").drop("met"), "line-nodes")
     both = links.select(F.col("a").alias("node"), F.col("b").alias("other"))
     both = both.unionAll(links.select("b", "a"))
     others = own.select(F.col("node").alias("other"), F.col("own").alias("theirs"), F.col("copies").alias("more"))
@@ -295,7 +288,7 @@ def dedup_lines(docs: DataFrame, settings: Settings = Settings(), key: str = "do
     at = columns.index(text)
 
     def run(batches):
-        for batch in batches:
+        for batch in (some for whole in batches for some in small(whole, columns[at])):
             lost = batch.column(len(columns)).to_pylist()
             batch = batch.select(range(len(columns)))
             if not any(lost):

@@ -180,3 +180,20 @@ def test_components(spark):
         n: find(n) for n in found
     }
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_full_sets_are_made_for_pairs_only(documents, monkeypatch):
+    """Lines that share a token but are too different to be similar need no full sets; the texts give lines and rarity at once."""
+    head, seen = "one two three four five", {}
+
+    def spy(df, name, *more):
+        seen[name] = made = landed(df, name, *more)
+        return made
+
+    landed = linededup.landed
+    monkeypatch.setattr(linededup, "landed", spy)
+    rows = [(i, head + "".join(f" w{i}x{j}" for j in range(12))) for i in range(6)] + [(9, "a b c d e f g h"), (8, "a b c d e f g h i")]
+    found = {r.doc_id: r for r in linededup.similar_lines(documents(rows)).collect()}
+    assert {k for k, r in found.items() if r.n_links} == {8, 9} and found[9].removed and not found[8].removed
+    assert seen["line-sets"].count() == 2
+    assert seen["lines"].where("slot IS NOT NULL").count() > 0
