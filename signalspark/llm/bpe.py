@@ -48,6 +48,9 @@ class Merges:
 
     def encode(self, pieces: list[str], closed: list[bool]) -> list[list[int]]:
         """Ids of many pieces, the library's threads working side by side."""
+        if all(closed):
+            return [e.ids for at in range(0, len(pieces), _BATCH)
+                    for e in self._closed.encode_batch(pieces[at : at + _BATCH], add_special_tokens=False)]
         out: list = [None] * len(pieces)
         for want, coder in ((True, self._closed), (False, self._open)):
             mine = [i for i, c in enumerate(closed) if c is want or c == want]
@@ -65,6 +68,12 @@ class Merges:
 
 def encode_tree(merges: Merges, pieces: list[str], leaf: int = LEAF) -> list[list[int]]:
     """Ids of pieces of any length; all leaves, and all joins of a level, are encoded side by side."""
+    long = [i for i, piece in enumerate(pieces) if len(piece) > leaf]
+    if len(long) < len(pieces):  # a piece of one leaf has nothing to join
+        out: list = merges.encode([p for p in pieces if len(p) <= leaf], [True] * (len(pieces) - len(long)))
+        for i, ids in zip(long, encode_tree(merges, [pieces[i] for i in long], leaf) if long else [], strict=True):
+            out.insert(i, ids)
+        return out
     leaves, owner, closed = [], [], []
     for k, piece in enumerate(pieces):
         cuts = range(0, max(len(piece), 1), leaf)
@@ -116,8 +125,8 @@ def coder(path: str) -> tuple[Merges, PieceTable]:
     splitter = Splitter(path)
     merges = Merges(splitter.spec)
 
-    def compute(pieces: list[str]) -> list[np.ndarray]:
-        return [np.array(ids, np.int32) for ids in encode_tree(merges, pieces)]
+    def compute(pieces: list[str]) -> list[list[int]]:
+        return encode_tree(merges, pieces)
 
     return merges, PieceTable(splitter, compute, lambda i: np.array([i], np.int32))
 

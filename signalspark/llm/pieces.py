@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from itertools import chain
 
 import numpy as np
 
@@ -120,7 +121,7 @@ def _has_odd(text: str, lowered: bool) -> bool:
 class PieceTable:
     """Values of pieces, each computed once and kept under the piece's hash.
 
-    ``compute`` maps a list of pieces (byte characters) to one int32 array each, ``special_value``
+    ``compute`` maps a list of pieces (byte characters) to one int32 array or list each, ``special_value``
     the id of a special string to one. After ``limit`` pieces the table starts anew, so its memory
     is bounded.
     """
@@ -141,20 +142,23 @@ class PieceTable:
         if need > len(self.values):
             self.values = np.concatenate([self.values[: self.used], np.empty(need * 2 - self.used, np.int32)])
         if len(found):
-            self.values[self.used : need] = np.concatenate(found)
+            lists = isinstance(found[0], list)
+            self.values[self.used : need] = (
+                np.fromiter(chain.from_iterable(found), np.int32, need - self.used) if lists else np.concatenate(found)
+            )
         self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes) - sizes])
         self.used = need
         self.index.add(hashes)
 
-    def _lookup(self, hashes: np.ndarray, piece_of) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and lengths of the values of pieces; piece_of(i) gives the text of the i-th."""
+    def _lookup(self, hashes: np.ndarray, pieces_at) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and lengths of the values of pieces; pieces_at(numbers) gives the texts of some."""
         if len(self.index.known) > self.limit:
             self._clear()
         at = self.index.find(hashes)
         new = np.flatnonzero(at < 0)
         if len(new):
             fresh, first = np.unique(hashes[new], return_index=True)
-            self._learn(fresh, [piece_of(i) for i in new[first].tolist()])
+            self._learn(fresh, pieces_at(new[first]))
             at[new] = self.index.find(hashes[new])
         ends = np.append(self.starts[1:], self.used)
         return self.starts[at], ends[at] - self.starts[at]
@@ -178,10 +182,15 @@ class PieceTable:
         codes, starts, ends, bounds = self.splitter.fast(texts)
         hashes = span_hashes(prefix_hashes(codes), starts, ends)
 
-        def piece_of(i):
-            return byte_chars(codes[starts[i] : ends[i]].tobytes().decode("utf-32-le"))
+        def pieces_at(some):
+            sizes = ends[some] - starts[some]
+            inside = gather(starts[some], sizes, codes)
+            text = byte_chars(inside.tobytes().decode("utf-32-le"))
+            width = np.concatenate([[0], np.cumsum(1 + (inside >= 0x80) + (inside >= 0x800) + (inside >= 0x10000))])
+            edges = width[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+            return [text[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
-        begin, sizes = self._lookup(hashes, piece_of)
+        begin, sizes = self._lookup(hashes, pieces_at)
         totals = np.concatenate([[0], np.cumsum(sizes)])
         return totals[bounds], gather(begin, sizes, self.values), sizes
 
@@ -189,7 +198,7 @@ class PieceTable:
         bounds, values, lengths = [0], [], []
         for text in texts:
             for part in self.splitter.slow(text):
-                found = self.special_value(part) if isinstance(part, int) else self.compute([part])[0]
+                found = np.asarray(self.special_value(part) if isinstance(part, int) else self.compute([part])[0], np.int32)
                 values.append(found)
                 lengths.append(len(found))
             bounds.append(sum(lengths))

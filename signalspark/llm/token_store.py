@@ -51,11 +51,15 @@ def write(
         shard, begin = TaskContext.get().partitionId(), 0
         for batch in batches:
             for some in small(batch):
-                found = [np.append(ids, np.int32(end_id)) for ids in encode_texts(tokenizer, texts_of(some, "__text"))]
-                sizes = np.fromiter(map(len, found), np.int64, len(found))
+                found = list(encode_texts(tokenizer, texts_of(some, "__text")))
+                sizes = np.fromiter(map(len, found), np.int64, len(found)) + 1
                 ends = begin + np.cumsum(sizes)
                 edges = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(found).astype(np.int32)))
+                flat = np.full(int(edges[-1]), end_id, np.int32)
+                inside = np.ones(len(flat), bool)
+                inside[edges[1:] - 1] = False
+                flat[inside] = np.concatenate(found)
+                ids = pa.ListArray.from_arrays(pa.array(edges), pa.array(flat))
                 shards = pa.array(np.full(len(found), shard, np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [some.column(0), shards, pa.array(ends - sizes), pa.array(sizes), ids],
@@ -70,12 +74,15 @@ def write(
 
 
 def starts(spark: SparkSession, folder: str) -> DataFrame:
-    """key, shard, begin, n_tokens and start, the ids of all documents before; the ids are not read."""
+    """key, shard, begin, n_tokens and start, the ids of all documents before; the ids are not read.
+
+    The files' sizes, one row for each, are sent to every task, so that the ids need no shuffle.
+    """
     rows = spark.read.parquet(folder)
     files = rows.groupBy("shard").agg(F.sum("n_tokens").alias("size"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("shard", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("__before"))
-    return rows.join(files, "shard").withColumn("start", F.col("begin") + F.col("__before")).drop("__before")
+    return rows.join(F.broadcast(files), "shard").withColumn("start", F.col("begin") + F.col("__before")).drop("__before")
 
 
 def checksums(stored: DataFrame) -> DataFrame:

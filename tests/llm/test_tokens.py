@@ -108,3 +108,21 @@ def test_empty_tables(spark, documents):
     assert bpe.encode(docs, WORD).count() == 0
     folder = token_store.write(docs, BYTE, 0)
     assert token_store.starts(spark, folder).count() == 0
+
+
+def test_stored_ids_are_not_shuffled_to_find_their_starts(spark, documents, tmp_path):
+    """The sizes of the files go to the rows, however large Spark thinks they are."""
+    from signalspark.llm import token_store
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    folder = token_store.write(documents([(i, f"text {i}") for i in range(20)]), path, 0, (tmp_path / "ids").as_uri())
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = token_store.starts(spark, folder)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        rows = sorted((r.start, r.n_tokens) for r in found.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert [start for start, _ in rows] == [sum(n for _, n in rows[:i]) for i in range(20)]
