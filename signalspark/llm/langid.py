@@ -178,7 +178,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
                 sets = [[int(j) for j in o if s[j] > 0] if y else [] for o, s, y in zip(order, shares, known, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(some.column(c) for c in keep),
+                        *(some.column("__text" if c == text else c) for c in keep),
                         pa.array(names[np.where(known, best, len(found.languages))], pa.string()),
                         pa.array(np.where(known, np.minimum(top, 1.0), 0.0)),
                         pa.array([[found.languages[j] for j in s] for s in sets], pa.list_(pa.string())),
@@ -188,7 +188,8 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
                 )
 
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
-    picked = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("__text"))
+    # A text that is kept is sent once.
+    picked = docs.select(*(F.col(f"`{c}`") for c in keep if c != text), F.col(f"`{text}`").alias("__text"))
     made = "lang_pred string, score double, languages array<string>, shares array<double>"
     return picked.mapInArrow(run, ", ".join([*fields, made]))
 

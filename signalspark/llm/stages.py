@@ -13,7 +13,7 @@ from signalspark.llm import bpe, decontaminate, langid, linededup, neardup
 
 #: Bytes that a stage hands to Python at a time at most. Stages follow each other in the same executors, whose
 #: memory holds a few such batches for every core. The setting stays, as what a stage returns is computed later.
-BATCH = "16m"
+BATCH = "4m"
 
 
 def _small_batches(spark) -> None:
@@ -25,9 +25,10 @@ def identify_language(spark, docs, sf_dir):
     language, several in one text included. Texts that are null or have no letter go."""
     _small_batches(spark)
     model = langid.learn(docs.where(langid.remainder("doc_id", 3) != 1))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
-    found = langid.identify(rows, model, keep=["row"])
-    return found.where(F.col("lang_pred") != langid.UNKNOWN).select("row.*")
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
+    found = langid.identify(docs.select(rest.alias("row"), "text"), model, keep=["row", "text"])
+    columns = [F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns]
+    return found.where(F.col("lang_pred") != langid.UNKNOWN).select(*columns)
 
 
 def drop_repeated_lines(spark, docs, sf_dir):

@@ -275,3 +275,13 @@ def test_clashing_columns_pass_through_the_stages(spark):
     docs = spark.createDataFrame(rows, kinds)
     found = stages.identify_language(spark, docs, "")
     assert found.columns == docs.columns and found.where(F.col("score") == 2.0).count() == 12
+
+
+def test_a_kept_text_is_sent_to_python_once(documents):
+    from signalspark.llm import langid
+
+    docs = documents([(1, "the house"), (2, None)])
+    found = langid.identify(docs, langid.learn(docs), keep=["doc_id", "text"])
+    sent = found._jdf.queryExecution().analyzed().children().head().output().size()
+    assert sent == 2
+    assert sorted((r.doc_id, r.text) for r in found.collect()) == [(1, "the house"), (2, None)]
