@@ -501,11 +501,12 @@ def _(spark, sf):
     for number, day in enumerate(("2024-01-10", "2024-01-20", "2024-02-10")):
         before = ("2024-01-01", "2024-01-10", "2024-01-20")[number]
         part = rows.where(f"timestamp >= TIMESTAMP_NTZ '{before}' AND timestamp < TIMESTAMP_NTZ '{day}'")
-        part.coalesce(1).write.parquet(f"{folder}/in/part={number}")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/part=*")
-    query = pattern_stream(
-        stream, f"{folder}/registry", f"{folder}/checkpoint", lambda df, name: write_batch(df, f"{folder}/out", name),
-        order=("event_id",), threshold=0.9,
-    ).trigger(availableNow=True).start()
-    query.awaitTermination()
+        part.write.parquet(f"{folder}/in/part={number}")
+        # All files that have come since the last run are one micro-batch, read side by side.
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in/part=*")
+        query = pattern_stream(
+            stream, f"{folder}/registry", f"{folder}/checkpoint", lambda df, name: write_batch(df, f"{folder}/out", name),
+            order=("event_id",), threshold=0.9,
+        ).trigger(availableNow=True).start()
+        query.awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("event_id", "pattern_id")

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from signalspark.functions.jsondoc import NUMBER
+from signalspark.functions.jsondoc import NUMBER, computed_once
 from signalspark.session import ensure_checkpoint_dir
 from signalspark.sinks.versions import read_state, write_state
 
@@ -372,7 +372,7 @@ def cluster(
     threshold = min(max(threshold, 0.0), 1.0)
     text = F.col(message) if only is None else F.when(only, F.col(message))
     service = F.col(by_service).cast("string") if by_service else F.lit(None).cast("string")
-    masked = df.withColumn("_masked", masked_tokens(text)).withColumn("_service", service)
+    masked = computed_once(df, masked_tokens(text).alias("_masked")).withColumn("_service", service)
 
     place = F.struct(*[F.col(c) for c in (ts, *order)])
     seen = masked.where(F.size("_masked") > 0).groupBy("_service", "_masked").agg(

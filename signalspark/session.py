@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "signalspark", master: str | None = None, conf: dict | None = None) -> SparkSession:
@@ -32,6 +32,15 @@ def build_session(app: str = "signalspark", master: str | None = None, conf: dic
     return builder.getOrCreate()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly over as many tasks as a shuffle has, for work that costs far more than moving them.
+
+    How a table's files are cut would else decide how many tasks share the work, down to one for a file of
+    one row group. The number is given, so AQE leaves it as it is; a stream's frame stays as it was.
+    """
+    return df if df.isStreaming else df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for checkpoints: the context's or the session's, else one in the warehouse, which all executors share."""
     context = spark.sparkContext

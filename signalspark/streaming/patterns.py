@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter
 
 from signalspark.operators.templates import cluster
+from signalspark.session import spread
 from signalspark.sinks.files import stream_batch
 from signalspark.sinks.versions import before, read_state, write_state
 
@@ -39,7 +40,7 @@ def pattern_stream(
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        kept = batch.persist()
+        kept = spread(batch).persist()
         try:
             assign_batch(kept, stream_batch(batch, batch_id), registry, write, keep, **options)
         finally:

@@ -506,3 +506,16 @@ def test_number_text(rows):
     }
     got = rows([(x,) for x in known], "x double").select("x", number_text(F.col("x")).alias("t")).collect()
     assert {r.x: r.t for r in got} == known
+
+
+def test_a_micro_batch_of_one_file_is_shared_by_all_tasks(spark, rows, tmp_path, monkeypatch):
+    from signalspark.streaming import patterns
+
+    seen = []
+    monkeypatch.setattr(patterns, "assign_batch", lambda batch, *more, **options: seen.append((batch.rdd.getNumPartitions(), batch.count())))
+    made = rows([(i, f"word {i}") for i in range(100)], "event_id bigint, message string")
+    made.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(made.schema).parquet(f"{tmp_path}/in")
+    query = patterns.pattern_stream(stream, f"{tmp_path}/r", f"{tmp_path}/c", None).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert seen == [(4, 100)]
