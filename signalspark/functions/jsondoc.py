@@ -164,9 +164,11 @@ def with_object(df: DataFrame, name: str, sources: dict[str, Column]) -> DataFra
     columns = [f"_source_{key}" for key in sources]
     made = computed_once(df, *[source.alias(column) for source, column in zip(sources.values(), columns)])
     empty = F.array().cast("array<string>")
-    keys = F.array_sort(F.array_distinct(F.concat(*[F.coalesce(F.map_keys(c), empty) for c in columns])))
-    values = F.transform(keys, lambda key: F.coalesce(*[F.try_element_at(c, key) for c in reversed(columns)]))
-    return made.withColumn(name, F.to_json(F.map_from_arrays(keys, values))).drop(*columns)
+    keys = F.sort_array(F.array_distinct(F.concat(*[F.coalesce(F.map_keys(c), empty) for c in columns])))
+    entries = F.transform(
+        keys, lambda key: F.struct(key, F.coalesce(*[F.try_element_at(c, key) for c in reversed(columns)]))
+    )
+    return made.withColumn(name, F.to_json(F.map_from_entries(entries))).drop(*columns)
 
 
 def object_at(document: Column, path: str) -> Column:

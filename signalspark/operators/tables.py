@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalspark.functions import normalize as n
+from signalspark.functions.jsondoc import computed_once
 from signalspark.functions.ranges import since
 from signalspark.schema import CONTEXT_FIELDS, RETENTION_YEARS, UNSTORED_TYPES, Frames
 
@@ -60,43 +61,53 @@ def to_context(df: DataFrame) -> DataFrame:
     )
 
 
-def _identified(df: DataFrame) -> DataFrame:
-    """Identify events that name an email address, with the user id it stands for."""
-    found = _of_type(df, "identify").withColumn("email", F.coalesce(n.json_str(F.col("payload"), "email"), F.lit("")))
-    return found.withColumn("user_id", n.user_id_from_email(F.col("email"))).where(F.col("user_id") != "")
+def identified(df: DataFrame) -> DataFrame:
+    """Identify events that name an email address, with the user id it stands for; each worked out once a row."""
+    email = F.coalesce(n.json_str(F.col("payload"), "email"), F.lit(""))
+    found = computed_once(_of_type(df, "identify").drop("email", "user_id"), email.alias("email"))
+    return computed_once(found, n.user_id_from_email(F.col("email")).alias("user_id")).where(F.col("user_id") != "")
 
 
-def to_users(df: DataFrame) -> DataFrame:
-    return _identified(df).select(
+def users_of(found: DataFrame) -> DataFrame:
+    return found.select(
         "user_id",
         "email",
         F.coalesce(n.json_str(F.col("payload"), "name"), F.lit("")).alias("name"),
         F.col("timestamp").alias("updated_at"),
-        *_workspace(df),
+        *_workspace(found),
     )
 
 
+def to_users(df: DataFrame) -> DataFrame:
+    return users_of(identified(df))
+
+
+def user_devices_of(found: DataFrame) -> DataFrame:
+    linked = found.where(F.col("device_id").isNotNull())
+    return linked.select("user_id", "device_id", F.col("timestamp").alias("linked_at"), *_workspace(found))
+
+
 def to_user_devices(df: DataFrame) -> DataFrame:
-    return (
-        _identified(df)
-        .where(F.col("device_id").isNotNull())
-        .select("user_id", "device_id", F.col("timestamp").alias("linked_at"), *_workspace(df))
-    )
+    return user_devices_of(identified(df))
 
 
-def to_user_traits(df: DataFrame) -> DataFrame:
+def user_traits_of(found: DataFrame) -> DataFrame:
     """One row per trait: those kept beside the payload, or else the payload's ``traits`` object."""
     inside = n.json_map(F.col("payload"), "traits")
-    beside = F.from_json("traits", "map<string,string>") if "traits" in df.columns else F.lit(None)
-    traits = F.coalesce(beside, inside) if "traits" in df.columns else inside
-    return _identified(df).select(
+    beside = F.from_json("traits", "map<string,string>") if "traits" in found.columns else F.lit(None)
+    traits = F.coalesce(beside, inside) if "traits" in found.columns else inside
+    return found.select(
         "user_id",
         F.explode(traits).alias("trait_key", "trait_value"),
         F.col("timestamp").alias("updated_at"),
-        *_workspace(df),
+        *_workspace(found),
     )
 
 
+def to_user_traits(df: DataFrame) -> DataFrame:
+    return user_traits_of(identified(df))
+
+
 def unsupported(df: DataFrame) -> DataFrame:
     """Events of the types that no table takes."""
     return df.where(F.col("event_type").isin(UNSTORED_TYPES))
@@ -127,6 +138,8 @@ EVENT_TABLES = {
     "user_devices": to_user_devices,
     "user_traits": to_user_traits,
 }
+#: Those that can be made of what ``identified`` gives, so that it is worked out once for all of them.
+IDENTIFIED_TABLES = {"users_v1": users_of, "user_devices": user_devices_of, "user_traits": user_traits_of}
 
 
 def latest(df: DataFrame, keys: list[str], version: str) -> DataFrame:

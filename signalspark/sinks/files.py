@@ -128,10 +128,13 @@ def write_tables(
     batch = batch or uuid.uuid4().hex
     if events is not None:
         kept = events.persist(StorageLevel.MEMORY_AND_DISK)
+        found = tables.identified(kept).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             for table, build in tables.EVENT_TABLES.items():
-                write_table(build(kept), base, table, batch)
+                shared = tables.IDENTIFIED_TABLES.get(table)
+                write_table(build(kept) if shared is None else shared(found), base, table, batch)
         finally:
+            found.unpersist()
             kept.unpersist()
     if logs is not None:
         write_table(tables.to_logs(logs), base, "logs_v1", batch)

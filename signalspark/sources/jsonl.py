@@ -18,6 +18,7 @@ from signalspark.functions.jsondoc import (
     with_object,
 )
 from signalspark.schema import NIL_UUID
+from signalspark.session import spread
 
 MAX_JSON_DEPTH = 32
 
@@ -34,7 +35,7 @@ def _checked(lines: DataFrame, required: list[str], optional: list[str], plain:
     Each line is parsed once, into a struct of VARIANT fields, which keep their JSON types.
     ``plain`` fields may be left out but not be null.
     """
-    filled = lines.where(~F.col("value").rlike(r"^[ \t\n\x0B\f\r]*\z"))
+    filled = spread(lines.where(~F.col("value").rlike(r"^[ \t\n\x0B\f\r]*\z")))
     deep = too_deep(F.col("value"), MAX_JSON_DEPTH)
     names = [*required, *optional, *plain, "timestamp", *objects]
     # A line that nests too deeply is not handed to the parser at all.

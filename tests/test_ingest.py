@@ -359,3 +359,16 @@ def test_a_look_up_reads_the_row_groups_that_may_hold_the_value(spark, tmp_path)
 
     plain = scanned(str(tmp_path / "plain"), options)
     assert scanned(str(tmp_path / "filtered"), options | filters_of(["session_id", "id"])) < plain / 2
+
+
+def test_parsing_is_shared_by_all_tasks_and_identities_are_worked_out_once(spark, rows):
+    from signalspark.operators import tables
+    from signalspark.sources import jsonl
+
+    line = '{"type":"identify","device_id":"00000001-0000-4000-8000-000000000001","properties":{"email":" A@b.c"},"traits":{"k":"v"}}'
+    lines = rows([(line,)] * 8, "value string").coalesce(1)
+    assert jsonl.check_event_lines(lines).rdd.getNumPartitions() == 4
+    found = tables.to_users(jsonl.parse_event_lines(lines, 0)[0])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("sha1" in line for line in plan.splitlines() if "Filter" in line)
+    assert {(r.email, len(r.user_id)) for r in found.collect()} == {(" A@b.c", 36)} and found.count() == 8
