@@ -7,33 +7,48 @@ score lies in a window are those in an annulus around the asker. A sibling goes
 any split point can't meet the annulus, and so does a block of a leaf by its own ranges. What is left
 is scored in integers, so the tree decides only what need not be looked at.
 
-The tree is fitted on a bounded sample; all rows are sent down it. A leaf is cut into blocks by distance,
-so a leaf of many equal rows is many blocks. Askers come in blocks as well: a look-up joins blocks of
-askers and blocks of rows of the same leaf, and every task keeps the best few of each asker.
+The tree is fitted on a bounded sample; all rows are sent down it. A leaf is cut into blocks by label and
+distance, so a leaf of many equal rows is many blocks. Tasks hold a bounded number of askers at a time and
+read the blocks as they lie: a look-up moves no rows, and each row is multiplied with those askers only
+that may want it. The best few that a task has met of an asker bound what it looks for in further blocks;
+the best of a sixteenth of all blocks bound what is looked for in the others.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalspark.llm.shared import landed
+from signalspark.llm.shared import batches_of, landed
 
 #: Rounding of a distance, as a share of the lengths it comes from; annuli are widened by it.
 _SLACK = 1e-6
 
+#: Beyond all scores, and beyond all keys.
+_FAR, _LAST = 1 << 62, np.iinfo(np.int64).max
+
+#: Found rows that a task sorts at once, or keeps; rows that a part of a block of several labels has at least.
+_FOUND, _PART = 1_000_000, 128
+
+#: One block in so many is looked into first.
+_FIRST = 16
+
 
 @dataclass(frozen=True)
 class Settings:
     """scale: components become floor(scale * x). positives and negatives: how many of each. low: least
     score of a negative in percent of the positive's. fanout: split points of a node; leaf_rows: rows
     that a leaf should have; levels: of the tree at most; sample: rows that it is fitted on at most;
-    block: rows of a block; askers: anchors of a block."""
+    block: rows of a block; askers: anchors that are multiplied with a full block at once; held: bytes of
+    the vectors of the anchors that a task holds."""
 
     scale: float = 256.0
     positives: int = 5
@@ -45,38 +60,93 @@ class Settings:
     sample: int = 16384
     block: int = 1024
     askers: int = 256
+    held: int = 32 << 20
+
+
+def _floored(batches, scale: float) -> Iterator[pa.RecordBatch]:
+    """key, label and x become key, label and v; rows with a null or non-finite component go."""
+    for batch in batches:
+        column = batch.column(2)
+        edges = column.offsets.to_numpy().astype(np.int64)
+        x = column.values[edges[0] : edges[-1]].cast(pa.float64(), safe=False).to_numpy(zero_copy_only=False)  # NaN for null
+        whole = np.ones(len(column), bool)
+        whole[np.searchsorted(edges, np.flatnonzero(~np.isfinite(x)) + edges[0], "right") - 1] = False
+        with np.errstate(all="ignore"):
+            v = np.floor(np.where(np.isfinite(x), x, 0) * scale)
+        v = pa.array(np.clip(v, -(2.0**62), 2.0**62).astype(np.int64))  # so large ones raise an error in any case
+        v = pa.ListArray.from_arrays(pa.array((edges - edges[0]).astype(np.int32)), v)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), v], ["key", "label", "v"]).filter(pa.array(whole))
+
+
+def _packed(batches) -> Iterator[pa.RecordBatch]:
+    """key, label and v become key, label, size and v: components of so many bytes, as few as a batch needs."""
+    for batch in batches:
+        column = batch.column(2)
+        edges = column.offsets.to_numpy().astype(np.int64)
+        v = column.values.to_numpy()[edges[0] : edges[-1]]
+        v = v.astype(_small(int(np.abs(v).max(initial=0))))
+        columns = [batch.column(0), batch.column(1), pa.array(np.full(len(column), v.itemsize, np.int32)), _binary(v, edges - edges[0])]
+        yield pa.RecordBatch.from_arrays(columns, ["key", "label", "size", "v"])
 
 
 def quantised(rows: DataFrame, settings: Settings, key: str, label: str, vector: str) -> DataFrame:
-    """key, label, v: one row for each key, the least label and vector of its rows; others take no part."""
-    x = F.col(f"`{vector}`").cast("array<double>")
-    usable = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    found = rows.select(
-        F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{label}`").cast("bigint").alias("label"),
-        F.when(usable, F.transform(x, lambda c: F.floor(c * F.lit(settings.scale)))).alias("v"),
-    )
-    found = found.where("key IS NOT NULL AND label IS NOT NULL AND v IS NOT NULL")
-    return found.groupBy("key").agg(F.min(F.struct("label", "v")).alias("one")).select("key", "one.label", "one.v")
-
-
-def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
-    """Lists of integers as rows of a matrix; shorter ones end in zeros."""
-    edges = column.offsets.to_numpy().astype(np.int64)
-    flat = column.values.to_numpy()[edges[0] : edges[-1]]
-    sizes = np.diff(edges)
-    if len(sizes) and (sizes == width).all():
-        return flat.reshape(len(sizes), width).astype(np.int64)
-    out = np.zeros((len(sizes), width), np.int64)
-    out[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(edges[:-1] - edges[0], sizes)] = flat
+    """key, label, size, v: one row for each key, the least label and vector of its rows; others take no part."""
+    kind, lists = rows.select(F.col(f"`{vector}`")).dtypes[0][1], "key bigint, label bigint, v array<bigint>"
+    plain = kind in [f"array<{k}>" for k in ("tinyint", "smallint", "int", "bigint", "float", "double")]
+    x = F.col(f"`{vector}`") if plain else F.col(f"`{vector}`").cast("array<double>")
+    rows = rows.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{label}`").cast("bigint").alias("label"), x.alias("x"))
+    rows, scale, packed = rows.where("key IS NOT NULL AND label IS NOT NULL AND x IS NOT NULL"), settings.scale, _KEPT
+
+    def alone(some):
+        return some.mapInArrow(lambda batches: _packed(_floored(batches, scale)), packed)
+
+    again = landed(rows.groupBy("key").count().where("count > 1").select("key"), "repeated-keys")
+    if again.isEmpty():  # vectors need not be sorted by key
+        return alone(rows)
+    several = rows.join(again, "key", "left_semi").mapInArrow(lambda batches: _floored(batches, scale), lists)
+    least = several.groupBy("key").agg(F.min(F.struct("label", "v")).alias("one")).select("key", "one.label", "one.v")
+    return alone(rows.join(again, "key", "left_anti")).union(least.mapInArrow(_packed, packed))
+
+
+_KEPT = "key bigint, label bigint, size int, v binary"
+
+
+def _vectors(sizes: pa.Array, column: pa.Array, width: int | None = None) -> np.ndarray:
+    """What ``_packed`` has packed, as rows of a matrix; shorter ones end in zeros."""
+    sizes = sizes.to_numpy()
+    counts = pc.binary_length(column).to_numpy() // sizes
+    out = np.zeros((len(sizes), counts.max(initial=0) if width is None else width), np.int64)
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        flat = np.frombuffer(b"".join((column if len(at) == len(sizes) else column.take(pa.array(at))).to_pylist()), f"i{size}")
+        ends = np.cumsum(counts[at])
+        if len(flat) == len(at) * out.shape[1]:
+            out[at] = flat.reshape(len(at), out.shape[1])
+        else:
+            out[np.repeat(at, counts[at]), np.arange(len(flat)) - np.repeat(ends - counts[at], counts[at])] = flat
     return out
 
 
-def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of integer rows; sums stay below 2**56 (``_measure`` sees to it)."""
-    bound = a.shape[1] * (int(np.abs(a).max(initial=0)) + 1) * (int(np.abs(b).max(initial=0)) + 1)
-    if bound < 1 << 53:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a.astype(np.int64) @ b.astype(np.int64).T
+def _small(most: int) -> np.dtype:
+    """The smallest integers that hold all components up to so much."""
+    return np.dtype(next(k for k in (np.int8, np.int16, np.int32, np.int64) if most <= np.iinfo(k).max))
+
+
+def _binary(flat: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """Numbers between such edges as one binary value each."""
+    offsets, data = np.ascontiguousarray(edges * flat.itemsize, np.int32), np.ascontiguousarray(flat)
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _unpacked(column: pa.Array, kind: np.dtype, width: int) -> np.ndarray:
+    """Binary values as rows of a matrix."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), width)
+
+
+def exact_kind(top: int) -> type:
+    """Numbers in which inner products of integer rows are exact whose squared lengths lie below top: no sum
+    of some of the products is larger. Sums stay below 2**56 (``_measure`` sees to it)."""
+    return np.float32 if top < 1 << 24 else np.float64 if top < 1 << 53 else np.int64
 
 
 @dataclass
@@ -91,7 +161,7 @@ class Node:
 
 @dataclass
 class Tree:
-    """width: components of a row; top: greatest squared length; paths: the nodes and children on the way
+    """width: components of a row; top: above all squared lengths; paths: the nodes and children on the way
     to each leaf."""
 
     root: Node | int
@@ -170,35 +240,68 @@ def _meets(distance, low, high, inner, outer) -> np.ndarray:
     return (least <= outer) & (most >= inner)
 
 
-def annuli(tree: Tree, askers: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Inner and outer distance of rows whose score lies between low and high, widened by rounding."""
-    x = askers.astype(np.float64)
-    lengths = np.einsum("ij,ij->i", x, x) + tree.top
+def annuli(tree: Tree, square: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inner and outer distance of rows whose score lies between low and high, widened by rounding. square:
+    squared lengths of the askers."""
+    lengths = square + tree.top
     inner, outer = lengths - 2.0 * high, lengths - 2.0 * low
     slack = _SLACK * (1 + np.sqrt(lengths))
     return np.sqrt(np.maximum(inner, 0)) - slack, np.sqrt(np.maximum(outer, 0)) + slack
 
 
-def _asking(askers: np.ndarray) -> np.ndarray:
-    return np.column_stack([askers.astype(np.float64), np.zeros(len(askers))])
+class Search:
+    """Askers on their way through the tree: which of them a leaf or block may have rows for."""
+
+    def __init__(self, tree: Tree, asked: np.ndarray, low: np.ndarray, high: np.ndarray):
+        self.tree, self.asked, self.near = tree, asked, {}
+        self.square = np.concatenate([np.empty(0), *(np.einsum("ij,ij->i", x, x) for x in map(np.float64, self._parts(asked)))])
+        self.narrow(low, high)
+
+    @staticmethod
+    def _parts(x: np.ndarray) -> list[np.ndarray]:
+        return [x[i : i + 8192] for i in range(0, len(x), 8192)]
+
+    def narrow(self, low: np.ndarray, high: np.ndarray) -> None:
+        """Only scores from low to high are asked for."""
+        self.inner, self.outer = annuli(self.tree, self.square, low, high)
+
+    def _distance(self, node: Node) -> np.ndarray:
+        if id(node) not in self.near:
+            asking = (np.column_stack([x.astype(np.float64), np.zeros(len(x))]) for x in self._parts(self.asked))
+            self.near[id(node)] = np.concatenate([_distances(x, node.points).astype(np.float32) for x in asking])
+        return self.near[id(node)]
+
+    def _left(self, at: np.ndarray, nodes: list[Node], low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        def meets(some):
+            distance = np.concatenate([self._distance(node)[some] for node in nodes], 1)
+            return _meets(distance, low, high, self.inner[some], self.outer[some])
+
+        few = at[:: max(1, len(at) // 512)]
+        if not nodes or not len(at) or len(few) < len(at) and meets(few).mean() > 0.95:  # too few would go
+            return at
+        return np.concatenate([some[meets(some)] for some in self._parts(at)])
+
+    def leaf(self, leaf: int, at: np.ndarray) -> np.ndarray:
+        """Those of the askers ``at`` that must look into a leaf, and maybe a few more."""
+        path = self.tree.paths[leaf]
+        self.near = {id(node): self.near[id(node)] for node, _ in path if id(node) in self.near}
+        for node, child in path:
+            span = node.ranges[child]
+            at = at[:0] if span is None else self._left(at, [node], *span)
+        return at
+
+    def block(self, leaf: int, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The same for a block with its ranges."""
+        return self._left(at, [node for node, _ in self.tree.paths[leaf]], low, high)
 
 
 def leaves_of(tree: Tree, askers: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each leaf that some asker must look into, with the askers' numbers."""
-    points = _asking(askers)
-    inner, outer = annuli(tree, askers, low, high)
-    todo = [(tree.root, np.arange(len(askers)))]
-    while todo:
-        node, at = todo.pop()
-        if not isinstance(node, Node):
-            yield node, at
-            continue
-        distance = _distances(points[at], node.points)
-        for child, span in zip(node.children, node.ranges, strict=True):
-            if span is not None:
-                some = at[_meets(distance, *span, inner[at], outer[at])]
-                if len(some):
-                    todo.append((child, some))
+    search = Search(tree, askers, low, high)
+    for leaf in range(len(tree.paths)):
+        at = search.leaf(leaf, np.arange(len(askers)))
+        if len(at):
+            yield leaf, at
 
 
 def with_ranges(tree: Tree, spans: list[tuple[int, np.ndarray, np.ndarray]]) -> Tree:
@@ -215,202 +318,372 @@ def with_ranges(tree: Tree, spans: list[tuple[int, np.ndarray, np.ndarray]]) ->
 
 @dataclass
 class Index:
-    """tree: with its ranges; blocks: leaf, keys, labels, rows and ranges of every block."""
+    """tree: with its ranges; kind: integers that the rows are kept in; blocks: leaf, keys, labels, rows and
+    ranges of every block, in order of label and key."""
 
     tree: Tree
+    kind: np.dtype
     blocks: DataFrame
 
 
-def _measure(rows: DataFrame) -> tuple[int, int, int]:
-    """Number of rows, length of the longest vector and greatest squared length."""
-    square = F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double"))
-    n, width, top = rows.agg(F.count("*"), F.max(F.size("v")), F.max(square)).first()
+def _measure(rows: DataFrame) -> tuple[int, int, int, int]:
+    """Number of rows, length of the longest vector, above the greatest squared length and largest component."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = _vectors(*batch.columns)
+                square = np.einsum("ij,ij->i", x.astype(np.float64), x.astype(np.float64)).max()
+                some = [len(x)], [x.shape[1]], [float(square)], [int(np.abs(x).max(initial=0))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in some], ["n", "width", "top", "most"])
+
+    measured = rows.select("size", "v").mapInArrow(run, "n bigint, width bigint, top double, most bigint")
+    n, width, top, most = measured.agg(F.sum("n"), F.max("width"), F.max("top"), F.max("most")).first()
     if n and top >= 1 << 55:
         raise ValueError("components are too large for integer scores of 64 bits; choose a smaller scale")
-    return n, width or 0, int(top or 0) + 1
+    return n or 0, width or 0, int(top or 0) + 1, most or 0
 
 
-def build(rows: DataFrame, settings: Settings) -> Index:
-    """The index of rows (key, label, v)."""
-    spark = rows.sparkSession
-    n, width, top = _measure(rows)
-    some = rows.orderBy(F.xxhash64("key"), "key").limit(settings.sample).select("v").toArrow()  # of bounded size
-    sample = _matrix(some.column(0).combine_chunks(), width) if some.num_rows else np.zeros((0, width), np.int64)
-    tree = fit(sample, n, top, settings)
-    sent = spark.sparkContext.broadcast(tree)
+_PLACED = "leaf bigint, near double, key bigint, label bigint, v binary"
+_BLOCK = "leaf bigint, keys binary, labels binary, rows binary, low array<double>, high array<double>"
+
+
+def _names(kinds: str) -> list[str]:
+    return [k.split()[0] for k in kinds.split(", ")]
+
 
-    def place(batches):
+def _placed(rows: DataFrame, tree: Tree, kind: np.dtype) -> DataFrame:
+    """rows as ``quantised`` gives them, with their leaves and distances."""
+    sent = rows.sparkSession.sparkContext.broadcast(tree)
+
+    def run(batches):
         tree = sent.value
         for batch in batches:
-            leaf, near = placed(tree, _matrix(batch.column(2), tree.width))
-            yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(near), *batch.columns], ["leaf", "near", *batch.schema.names])
+            x = _vectors(batch.column(2), batch.column(3), tree.width)
+            leaf, near = placed(tree, x)
+            v = _binary(x.astype(kind).ravel(), np.arange(len(x) + 1) * tree.width)
+            columns = [pa.array(leaf), pa.array(near), batch.column(0), batch.column(1), v]
+            yield pa.RecordBatch.from_arrays(columns, _names(_PLACED))
+
+    return rows.select("key", "label", "size", "v").mapInArrow(run, _PLACED)
+
 
-    kinds = "leaf bigint, near double, key bigint, label bigint, v array<bigint>"
-    order = ["leaf", "near", "key"]
-    sorted_rows = rows.select("key", "label", "v").mapInArrow(place, kinds).repartitionByRange(*order).sortWithinPartitions(*order)
+def build(rows: DataFrame, settings: Settings) -> Index:
+    """The index of rows as ``quantised`` gives them."""
+    spark = rows.sparkSession
+    n, width, top, most = _measure(rows)
+    kind, mixed = _small(most), F.xxhash64("key")
+    share = (4 * settings.sample + 64) / max(n, 1)  # more than are needed, else every task gives so many
+    some = rows if share >= 1 else rows.where(mixed < F.lit(int(share * 2**64) - (1 << 63)))
+    some = some.orderBy(mixed, "key").limit(settings.sample).select("size", "v").toArrow()  # of bounded size
+    sample = _vectors(some.column(0), some.column(1), width)
+    tree = fit(sample, n, top, settings)
+    sent = spark.sparkContext.broadcast(tree)
+    order = ["leaf", "label", "near", "key"]
+    sorted_rows = _placed(rows, tree, kind).repartitionByRange(*order).sortWithinPartitions(*order)
 
     def cut(batches):
-        tree, held, leaf_of = sent.value, [], None
+        tree, held, last = sent.value, [], None
 
         def block(parts, leaf):
             keys, labels, x = (np.concatenate([p[i] for p in parts]) for i in range(3))
             low, high = _spans(tree, leaf, tree.lifted(x))
-            small = np.abs(x).max(initial=0) < 1 << 31
+            at = np.lexsort((keys, labels))
             columns = [
-                pa.array([leaf]), pa.array([len(keys)]), pa.array([keys.tobytes()]), pa.array([labels.tobytes()]),
-                pa.array([x.astype(np.int32 if small else np.int64).tobytes()]), pa.array([low.tolist()], pa.list_(pa.float64())),
-                pa.array([high.tolist()], pa.list_(pa.float64())),
+                pa.array([leaf]), pa.array([keys[at].tobytes()]), pa.array([labels[at].tobytes()]), pa.array([x[at].tobytes()]),
+                pa.array([low.tolist()], pa.list_(pa.float64())), pa.array([high.tolist()], pa.list_(pa.float64())),
             ]
-            return pa.RecordBatch.from_arrays(columns, [k.split()[0] for k in _BLOCK.split(", ")])
+            return pa.RecordBatch.from_arrays(columns, _names(_BLOCK))
 
         for batch in batches:
-            leaves = batch.column(0).to_numpy()
-            keys, labels = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            x = _matrix(batch.column(4), tree.width)
-            edges = [0, *(np.flatnonzero(np.diff(leaves)) + 1).tolist(), len(leaves)]
+            leaves, keys, labels = (batch.column(i).to_numpy() for i in (0, 2, 3))
+            x = _unpacked(batch.column(4), kind, tree.width)
+            edges = [0, *(np.flatnonzero(np.diff(leaves) | np.diff(labels)) + 1).tolist(), len(leaves)]
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 while a < b:
-                    if held and (leaf_of != leaves[a] or sum(len(p[0]) for p in held) >= settings.block):
-                        yield block(held, leaf_of)
-                        held = []
-                    leaf_of = int(leaves[a])
-                    end = min(b, a + settings.block - sum(len(p[0]) for p in held))
+                    here, size = (int(leaves[a]), int(labels[a])), sum(len(p[0]) for p in held)
+                    full = settings.block if here == last else settings.block // 2  # most blocks have one label
+                    if held and (here[0] != last[0] or size >= full):
+                        yield block(held, last[0])
+                        held, size = [], 0
+                    last, end = here, min(b, a + settings.block - size)
                     held.append((keys[a:end], labels[a:end], x[a:end]))
                     a = end
         if held:
-            yield block(held, leaf_of)
+            yield block(held, last[0])
 
-    blocks = landed(sorted_rows.mapInArrow(cut, _BLOCK), "vector-blocks")
+    small = {"parquet.block.size": str(4 << 20), "parquet.block.size.row.check.min": "10"}  # for many tasks
+    blocks = landed(sorted_rows.mapInArrow(cut, _BLOCK), "vector-blocks", options=small)
     spans = blocks.select("leaf", F.posexplode(F.arrays_zip("low", "high")).alias("at", "x"))
     spans = spans.groupBy("leaf", "at").agg(F.min("x.low").alias("low"), F.max("x.high").alias("high"))
     spans = spans.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("at", "low", "high"))).alias("x"))
     found = [  # one row for each leaf: fanout ** levels at most
         (r.leaf, np.array([s.low for s in r.x]), np.array([s.high for s in r.x])) for r in spans.collect()
     ]
-    return Index(with_ranges(tree, found), blocks)
+    return Index(with_ranges(tree, found), kind, blocks)
 
 
-_BLOCK = "leaf bigint, n bigint, keys binary, labels binary, rows binary, low array<double>, high array<double>"
-_ASKERS = "leaf bigint, keys binary, labels binary, rows binary, low binary, high binary, extra binary"
-
-def _askers(anchors: DataFrame, index: Index, settings: Settings, home: bool) -> DataFrame:
-    """Blocks of anchors (key, label, v, low, high, extra) for each leaf that they must look into, or, at
-    home, for the leaf that they lie in."""
-    sent = anchors.sparkSession.sparkContext.broadcast(index.tree)
-    names = [k.split()[0] for k in _ASKERS.split(", ")]
-
-    def run(batches):
-        tree = sent.value
-        for whole in batches:
-            for start in range(0, whole.num_rows, settings.askers):
-                batch = whole.slice(start, settings.askers)
-                keys, labels = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                x = _matrix(batch.column(2), tree.width)
-                low, high = batch.column(3).to_numpy(), batch.column(4).to_numpy()
-                extra = _matrix(batch.column(5), 2 * settings.positives)
-                visits = leaves_of(tree, x, low, high)
-                if home:
-                    own = placed(tree, x)[0]
-                    visits = ((leaf, np.flatnonzero(own == leaf)) for leaf in np.unique(own).tolist())
-                out = []
-                for leaf, at in visits:
-                    parts = (keys[at], labels[at], x[at], low[at], high[at], extra[at])
-                    out.append((leaf, *(np.ascontiguousarray(p).tobytes() for p in parts)))
-                if out:
-                    columns = list(zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], names)
-
-    return anchors.select("key", "label", "v", "low", "high", "extra").mapInArrow(run, _ASKERS)
+@dataclass
+class Askers:
+    """Some anchors in order of label and key, with their leaves and their distances there."""
 
+    keys: np.ndarray
+    labels: np.ndarray
+    x: np.ndarray
+    leaf: np.ndarray
+    near: np.ndarray
 
-def _looked_up(anchors: DataFrame, index: Index, settings: Settings, home: bool = False, negatives: bool = False) -> DataFrame:
-    """The best rows of each anchor (``key``): ``other``, ``score``, and for negatives the positive they belong to.
 
-    Every task gives the few best that it met of each anchor, or anchor and positive. home: only in the
-    blocks of an anchor's leaf that it may lie in itself.
-    """
-    sent = anchors.sparkSession.sparkContext.broadcast(index.tree)
-    many = settings.negatives if negatives else settings.positives
-    kinds = "key bigint, positive bigint, positive_score bigint, other bigint, score bigint"
-
-    def best(score, keys, old):
-        if old is not None:
-            score, keys = np.concatenate([old[0], score]), np.concatenate([old[1], keys])
-        if len(score) > many:
-            least = np.partition(score, len(score) - many)[len(score) - many]
-            at = np.flatnonzero(score >= least)
-            score, keys = score[at], keys[at]
-        order = np.lexsort((keys, -score))[:many]
-        return score[order], keys[order]
+@dataclass
+class Slots:
+    """What askers look for, askers x slots: the best ``many`` rows with a score of at most upper. Rows of a
+    score below lower, or of that score and a key above last, are not among them. Lower is above upper in a
+    slot that takes none."""
+
+    many: int
+    upper: np.ndarray
+    lower: np.ndarray
+    last: np.ndarray
+
+
+def ranks(slots: Slots, asker: np.ndarray, score: np.ndarray, key: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of each slot, the numbers and ranks of the rows that it takes, which come by asker, falling score and key."""
+    new = np.flatnonzero(np.diff(asker, prepend=-1))
+    first = np.repeat(new, np.diff(new, append=len(asker)))
+    for slot in range(slots.upper.shape[1]):
+        lower = slots.lower[asker, slot]
+        ok = (score > lower) | ((score == lower) & (key <= slots.last[asker, slot]))
+        ok &= (score <= slots.upper[asker, slot]) & (lower <= slots.upper[asker, slot])
+        rank = np.cumsum(ok)
+        rank -= (rank - ok)[first]
+        at = np.flatnonzero(ok & (rank <= slots.many))
+        yield slot, at, rank[at]
+
+
+class Best:
+    """The best rows met so far of each asker's slots. low and last: what a row must have to be among them in
+    any slot, as in ``Slots``; high: the greatest score that a slot takes."""
+
+    def __init__(self, slots: Slots, top: int):
+        self.slots, self.top = replace(slots, lower=slots.lower.copy(), last=slots.last.copy()), top
+        self.high = np.clip(slots.upper.max(1), -top, top)
+        self.low, self.last = np.empty_like(self.high), np.empty_like(self.high)
+        self._bound(np.arange(len(self.high)))
+        self._clear()
+
+    def _clear(self) -> None:
+        self.kept, self.new, self.n = (np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)), [], 0
+
+    def _bound(self, at: np.ndarray) -> None:
+        lower = self.slots.lower[at]
+        low = lower.min(1)
+        self.last[at] = np.where(lower == low[:, None], self.slots.last[at], -1 - _LAST).max(1)
+        self.low[at] = np.clip(low, -self.top, self.top + 1)
+
+    def add(self, asker: np.ndarray, score: np.ndarray, key: np.ndarray) -> None:
+        self.new.append((asker.astype(np.int32), score.astype(np.int64), key))
+        self.n += len(asker)
+
+    def settle(self) -> None:
+        """Keeps what a slot may take, and bounds each slot by the last of enough rows."""
+        asker, score, key = (np.concatenate(c) for c in zip(self.kept, *self.new, strict=True))
+        self.new, self.n = [], 0
+        order = np.lexsort((key, -score, asker))
+        asker, score, key = asker[order], score[order], key[order]
+        keep = np.zeros(len(asker), bool)
+        for slot, at, rank in ranks(self.slots, asker, score, key):
+            keep[at] = True
+            at = at[rank == self.slots.many]
+            self.slots.lower[asker[at], slot], self.slots.last[asker[at], slot] = score[at], key[at]
+        self._bound(np.unique(asker))
+        self.kept = asker[keep], score[keep], key[keep]
+
+    def given(self) -> pa.RecordBatch:
+        """What is kept; the bounds stay."""
+        asker, score, key = self.kept
+        self._clear()
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (asker, key, score)], _names(_FOUNDS))
+
+
+_FOUNDS = "asker int, other bigint, score bigint"
+_BESTS = "asker int, slot int, rank int, other bigint, score bigint"
+
+
+def _parts(labels: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Parts of a block in order of label: most of one label, none of them very small but the last."""
+    cuts = [0]
+    for at in (np.flatnonzero(np.diff(labels)) + 1).tolist():
+        if at - cuts[-1] >= _PART:
+            cuts.append(at)
+    return zip(cuts, [*cuts[1:], len(labels)], strict=True)
+
+
+def _top(ok: np.ndarray, score: np.ndarray, many: int) -> np.ndarray:
+    """The best ``many`` of each row's cells that are ok; of equal ones the first."""
+    if score.shape[1] <= many:
+        return ok
+    score = np.where(ok, score, -_FAR if score.dtype == np.int64 else -np.inf)
+    least = np.partition(score, score.shape[1] - many, axis=1)[:, -many, None]
+    over, same = score > least, ok & (score == least)
+    return over | (same & (same.cumsum(1) <= many - over.sum(1, keepdims=True)))
+
+
+def _looked_into(index: Index, tree, askers, slots, settings: Settings, blocks: DataFrame, negatives: bool, home: bool = False) -> DataFrame:
+    """Rows of some blocks among which are the best of each slot there. tree, askers, slots: as sent to all
+    tasks. home: only the blocks of an asker's leaf that it may lie in itself."""
 
     def run(batches):
-        tree, found = sent.value, {}
-
-        def flushed():
-            rows = [(*name, int(k), int(s)) for name, (score, keys) in found.items() for s, k in zip(score, keys, strict=True)]
-            found.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 5)], [k.split()[0] for k in kinds.split(", ")]
-            )
+        root, who, kind = tree.value, askers.value, exact_kind(tree.value.top)
+        best, asked = Best(slots.value, root.top), who.x.astype(kind)
+        search = Search(root, who.x, best.low, best.high)
+        seeking, last, into = np.flatnonzero(best.low <= best.high), None, None
+        space = np.empty(settings.askers * settings.block, kind)
+
+        def at_home(leaf, labels, low, high):
+            at = np.flatnonzero((who.leaf == leaf) & (who.labels >= labels[0]) & (who.labels <= labels[-1]))
+            path = root.paths[leaf]
+            if path:
+                node, child = path[-1]
+                least, most = (s[len(s) - len(node.points) + child] for s in (low, high))
+                slack = _SLACK * (1 + root.top**0.5)
+                at = at[(who.near[at] >= least - slack) & (who.near[at] <= most + slack)]
+            return at
+
+        def meet(at, keys, labels, x, mixed):
+            """Askers and rows, which come by key; mixed: rows of several labels."""
+            whole = at[-1] - at[0] == len(at) - 1
+            score = space[: len(at) * len(keys)].reshape(len(at), len(keys))
+            np.matmul(asked[at[0] : at[-1] + 1] if whole else asked[at], x.T, out=score)
+            low = (best.low[at] + (best.last[at] < keys[0])).astype(kind)
+            some = np.flatnonzero(score.max(1) >= low)
+            if not len(some):
+                return
+            score, at = score[some], at[some]
+            ok = (score >= low[some, None]) & (score <= best.high[at, None].astype(kind)) & (keys != who.keys[at, None])
+            if mixed:
+                ok &= (labels == who.labels[at, None]) != negatives
+            many = best.slots.many
+            if np.count_nonzero(ok) > 4 * many * len(at):
+                few = np.zeros_like(ok)
+                for slot in range(best.slots.upper.shape[1]):
+                    lower, upper = (np.clip(s[at, slot, None], -root.top, root.top + 1).astype(kind) for s in (best.slots.lower, best.slots.upper))
+                    few |= _top(ok & (score >= lower) & (score <= upper), score, many)
+                ok = few
+            i, j = np.nonzero(ok)
+            best.add(at[i], score[i, j], keys[j])
 
         for batch in batches:
             for row in batch.to_pylist():
-                own, own_labels, low, high = (np.frombuffer(row[c], np.int64) for c in ("a_keys", "a_labels", "a_low", "a_high"))
-                asking = np.frombuffer(row["a_rows"], np.int64).reshape(len(own), tree.width)
-                extra = np.frombuffer(row["a_extra"], np.int64).reshape(len(own), 2 * settings.positives)
-                alive, path, span = np.arange(len(own)), tree.paths[row["leaf"]], (np.array(row["low"]), np.array(row["high"]))
-                if path and home:
-                    node, child = path[-1]
-                    near = _distances(tree.lifted(asking), node.points[child : child + 1])[:, 0]
-                    least, most = (s[len(s) - len(node.points) + child] for s in span)
-                    slack = _SLACK * (1 + tree.top**0.5)
-                    alive = np.flatnonzero((near >= least - slack) & (near <= most + slack))
-                elif path:
-                    distance = np.concatenate([_distances(_asking(asking), node.points) for node, _ in path], 1)
-                    alive = np.flatnonzero(_meets(distance, *span, *annuli(tree, asking, low, high)))
-                if not len(alive):
-                    continue
-                keys, labels = np.frombuffer(row["keys"], np.int64), np.frombuffer(row["labels"], np.int64)
-                kind = np.int32 if len(row["rows"]) == 4 * len(keys) * tree.width else np.int64
-                x = np.frombuffer(row["rows"], kind).reshape(len(keys), tree.width)
-                scores = products(asking[alive], x)
-                for i, score in zip(alive.tolist(), scores, strict=True):
+                leaf, keys, labels = row["leaf"], np.frombuffer(row["keys"], np.int64), np.frombuffer(row["labels"], np.int64)
+                x = np.frombuffer(row["rows"], index_kind).reshape(len(keys), root.width)
+                span = np.array(row["low"]), np.array(row["high"])
+                if home:
+                    block = at_home(leaf, labels, *span)
+                else:
+                    if leaf != last:
+                        last, into = leaf, search.leaf(leaf, seeking)
+                    block = search.block(leaf, into, *span)
+                for a, b in _parts(labels):
+                    mixed = labels[a] != labels[b - 1]
+                    order = a + np.argsort(keys[a:b]) if mixed else slice(a, b)
+                    part = keys[order], labels[order], x[order].astype(kind), mixed
+                    start, end = (np.searchsorted(who.labels[block], labels[i], side) for i, side in ((a, "left"), (b - 1, "right")))
                     if not negatives:
-                        at = np.flatnonzero((labels == own_labels[i]) & (score >= low[i]) & (keys != own[i]))
-                        if len(at):
-                            name = (int(own[i]), None, None)
-                            found[name] = best(score[at], keys[at], found.get(name))
-                        continue
-                    at = np.flatnonzero((labels != own_labels[i]) & (score >= low[i]) & (score <= high[i]))
-                    at = at[np.lexsort((keys[at], -score[at]))]
-                    falling = -score[at]
-                    for positive, its in extra[i].reshape(-1, 2).tolist():
-                        if positive == _NONE or its < 0:
-                            continue
-                        first = int(np.searchsorted(falling, -its))
-                        some = at[first : first + many]
-                        some = some[100 * score[some] >= settings.low * its]
-                        if len(some):
-                            name = (int(own[i]), positive, its)
-                            found[name] = best(score[some], keys[some], found.get(name))
-                if len(found) > 100_000:
-                    yield flushed()
-        yield flushed()
-
-    asked = _askers(anchors, index, settings, home)
-    names = [k.split()[0] for k in _ASKERS.split(", ")]
-    asked = asked.select("leaf", *(F.col(c).alias(f"a_{c}") for c in names[1:]))
-    both = asked.join(index.blocks, "leaf").select(*(f"a_{c}" for c in names[1:]), *(k.split()[0] for k in _BLOCK.split(", ")))
-    return both.mapInArrow(run, kinds)
-
-
-#: Stands for no key or no score; keys and scores are never that small.
-_NONE = -(1 << 62)
-
-
-def _ranked(found: DataFrame, by: list[str], many: int) -> DataFrame:
-    order = Window.partitionBy(*by).orderBy(F.col("score").desc(), "other")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= many)
+                        asking = [block[start:end]]
+                    else:
+                        asking = [block] if mixed else [block[:start], block[end:]]
+                    step = len(space) // (b - a)
+                    for at in asking:
+                        for i in range(0, len(at), step):
+                            meet(at[i : i + step], *part)
+                            if best.n > _FOUND:
+                                best.settle()
+                                search.narrow(best.low, best.high)
+                                if len(best.kept[0]) > _FOUND:
+                                    yield best.given()
+        best.settle()
+        yield best.given()
+
+    index_kind = index.kind
+    return blocks.mapInArrow(run, _FOUNDS)
+
+
+def _bests(found: DataFrame, slots) -> DataFrame:
+    """The best rows of each slot among those found."""
+
+    def run(batches):
+        best = Best(slots.value, _FAR)
+        for batch in batches:
+            best.add(*(batch.column(i).to_numpy() for i in (0, 2, 1)))
+            if best.n > _FOUND:
+                best.settle()
+        best.settle()
+        asker, score, key = best.kept
+        for slot, at, rank in ranks(best.slots, asker, score, key):
+            columns = asker[at], np.full(len(at), slot, np.int32), rank.astype(np.int32), key[at], score[at]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], _names(_BESTS))
+
+    return found.repartition("asker").mapInArrow(run, _BESTS)
+
+
+def _bounded(slots: Slots, sent, found: DataFrame) -> Slots:
+    """The slots, bounded by the last of enough rows among those found."""
+    last = _bests(found, sent).where(F.col("rank") == slots.many).toArrow()  # one row for a slot at most
+    at = last["asker"].to_numpy(), last["slot"].to_numpy()
+    slots = replace(slots, lower=slots.lower.copy(), last=slots.last.copy())
+    slots.lower[at], slots.last[at] = last["score"].to_numpy(), last["other"].to_numpy()
+    return slots
+
+
+def _mined(asking: DataFrame, index: Index, tree, settings: Settings) -> DataFrame:
+    """The hard negatives of so many anchors as a task can hold."""
+    spark = asking.sparkSession
+    rows = asking.toArrow()
+    keys, labels, leaf, near = (rows[c].to_numpy() for c in ("key", "label", "leaf", "near"))
+    order = np.lexsort((keys, labels))
+    who = Askers(keys[order], labels[order], _unpacked(rows["v"], index.kind, index.tree.width)[order], leaf[order], near[order])
+    sent, early = [spark.sparkContext.broadcast(who)], F.expr(f"pmod(xxhash64(keys), {_FIRST}) = 0")
+
+    def tell(slots):
+        sent.append(spark.sparkContext.broadcast(slots))
+        return sent[-1]
+
+    def look(slots, blocks, name, negatives=False, home=False):
+        return landed(_looked_into(index, tree, sent[0], slots, settings, blocks, negatives, home), name)
+
+    def everywhere(slots, negatives=False):
+        first = look(tell(slots), index.blocks.where(early), "found-first", negatives)
+        slots = _bounded(slots, sent[-1], first)
+        return _bests(first.union(look(tell(slots), index.blocks.where(~early), "found", negatives)), sent[-1])
+
+    shape = len(keys), settings.positives
+    one = np.full((len(keys), 1), _FAR)
+    slots = Slots(settings.positives, one, -one, np.full_like(one, _LAST))
+    if len(index.tree.paths) > 1:  # the last of enough positives near an anchor is a bound for all others
+        slots = _bounded(slots, tell(slots), look(sent[-1], index.blocks, "found-at-home", home=True))
+    positives = everywhere(slots).toArrow()  # a few for each anchor
+    at = positives["asker"].to_numpy(), positives["rank"].to_numpy() - 1
+    others, upper = np.zeros(shape, np.int64), np.full(shape, -_FAR)
+    others[at], upper[at] = positives["other"].to_numpy(), positives["score"].to_numpy()
+    # A negative positive score has an empty window: 80 percent of it are more than it is.
+    lower = np.where(upper >= 0, -(-settings.low * np.maximum(upper, 0) // 100), _FAR)
+    found = everywhere(Slots(settings.negatives, upper, lower, np.full(shape, _LAST)), negatives=True)
+    pairs = tell((who.keys, others, upper))
+
+    def named(batches):
+        keys, others, upper = pairs.value
+        for batch in batches:
+            asker, slot = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            columns = [pa.array(keys[asker]), pa.array(others[asker, slot]), *batch.columns[2:4], pa.array(upper[asker, slot]), batch.column(4)]
+            yield pa.RecordBatch.from_arrays(columns, _names(_MINED))
+
+    mined = landed(found.mapInArrow(named, _MINED), "hard-negatives")
+    for one in sent:
+        one.destroy()
+    return mined
+
+
+_MINED = "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint"
 
 
 def mine(
@@ -427,30 +700,15 @@ def mine(
     vector counts; shorter vectors end in zeros, as empty ones do. Components whose squares sum to
     2**55 or more raise an error. Other columns are not looked at; an empty table gives no rows.
     """
-    rows = landed(quantised(rows, settings, key, label, vector), "vectors")
-    index = build(rows, settings)
-    none = F.array_repeat(F.lit(_NONE), 2 * settings.positives)
-    asking = landed(rows.where(anchors).select("key", "label", "v"), "anchors")
-    least, most = F.lit(_NONE), F.lit(1 << 62)
-    first = asking.select("*", least.alias("low"), most.alias("high"), none.alias("extra"))
-    # The last of enough positives near an anchor is a bound for all others.
-    held = _ranked(_looked_up(first, index, settings, home=True), ["key"], settings.positives)
-    bound = held.where(F.col("rank") == settings.positives).select("key", F.col("score").alias("bound"))
-    wider = asking.join(bound, "key", "left").select(
-        "key", "label", "v", F.coalesce("bound", least).alias("low"), most.alias("high"), none.alias("extra")
-    )
-    found = _ranked(_looked_up(landed(wider, "bounds"), index, settings), ["key"], settings.positives)
-    positives = landed(found.select("key", "other", "score"), "positives")
-    pairs = positives.groupBy("key").agg(
-        F.max("score").alias("high"), F.min(F.when(F.col("score") >= 0, F.col("score"))).alias("least"),
-        F.flatten(F.collect_list(F.array("other", "score"))).alias("extra"),
-    )
-    # A negative positive score has an empty window: 80 percent of it are more than it is.
-    pairs = pairs.where("least IS NOT NULL").withColumn("low", F.expr(f"{settings.low} * least div 100"))
-    padded = F.slice(F.concat("extra", none), 1, 2 * settings.positives).alias("extra")
-    windows = asking.join(pairs, "key").select("key", "label", "v", "low", "high", padded)
-    found = _ranked(_looked_up(landed(windows, "score-windows"), index, settings, negatives=True), ["key", "positive"], settings.negatives)
-    return found.select(
-        F.col("key").alias("anchor_id"), F.col("positive").alias("positive_id"), "rank",
-        F.col("other").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"),
-    )
+    spark = rows.sparkSession
+    with batches_of(spark, "8m"):
+        rows = landed(quantised(rows, settings, key, label, vector), "vectors")
+        index = build(rows, settings)
+        asking = landed(_placed(rows.where(anchors), index.tree, index.kind), "anchors")
+        size = asking.count() * max(1, index.tree.width) * index.kind.itemsize
+        turns, tree = math.ceil(size / settings.held), spark.sparkContext.broadcast(index.tree)
+        found = [  # each turn reads all blocks
+            _mined(asking.where(F.expr(f"pmod(xxhash64(key), {turns}) = {turn}")), index, tree, settings) for turn in range(turns)
+        ]
+        tree.destroy()
+    return reduce(DataFrame.union, found) if found else spark.createDataFrame([], _MINED)
